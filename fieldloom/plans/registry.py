@@ -1,17 +1,265 @@
-"""Registered queries of the field-analytics operators."""
+"""Registered queries of the field-analytics operators: each a DataFrame job, with its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldloom.functions import expressions as X
+from fieldloom.operators import grid as G
+from fieldloom.operators import images as I
+from fieldloom.operators import kinematics as K
+from fieldloom.operators import masks as R
+from fieldloom.operators import matching as C
+from fieldloom.operators import stats as A
+from fieldloom.plans import fixtures as fx
+from fieldloom.runtime import new_path
+from fieldloom.sources import frames as S
+from fieldloom.sources import session
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+N, FPS, RAD, SP, SIDE = fx.N_FRAMES, fx.FPS, fx.RADIUS, fx.SPACING, fx.SIDE
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, keys: str, values: str) -> DataFrame:
+    """Keys and values rounded to 6 decimals, without negative zero."""
+    return df.select(*keys.split(), *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in values.split()])
+
+
+def sql(ctes: str, keys: str, values: str, source: str, tail: str = "") -> str:
+    cols = [*keys.split(), *[f'round("{c}", 6) + 0.0 AS "{c}"' for c in values.split()]]
+    return f"WITH {ctes}\nSELECT {', '.join(cols)} FROM {source} {tail}"
+
+
+def vel(s: SparkSession, d: str) -> DataFrame:
+    return K.velocity(fx.disp(s, d), N, FPS)
+
+
+def strained(s: SparkSession, d: str) -> DataFrame:
+    return K.kinematics(fx.disp(s, d), N, FPS, RAD, SP)
+
+
+# Sources and sinks ---------------------------------------------------------------------------
+FILES = "f AS (SELECT url AS path, row_number() OVER (ORDER BY url) - 1 AS rn FROM pages WHERE lower(list_last(string_split(url, '/'))) NOT LIKE '%roi%')"
+query("s3_select_frames", f"WITH {FILES} SELECT path, rn = 0 AS is_reference, CAST(CASE WHEN rn = 0 THEN -1 ELSE (rn - 1) // 3 END AS INTEGER) AS frame_idx FROM f WHERE rn = 0 OR ((rn - 1) % 3 = 0 AND (rn - 1) // 3 < 20)")(lambda s, d: S.select_frames(fx.manifest(s, d), 3, 20))
+query("s4_detect_roi", "SELECT max(url) AS roi_path FROM pages WHERE lower(list_last(string_split(url, '/'))) LIKE '%roi%'")(lambda s, d: S.detect_roi(fx.manifest(s, d)))
+ORDER_IDX = "SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders"
+query("s5_sample_range", "SELECT o_orderkey AS idx FROM orders WHERE o_orderkey BETWEEN 10 AND 900 AND (o_orderkey - 10) % 7 = 0")(lambda s, d: S.sample_range(fx.read(s, d, "orders").select(F.col("o_orderkey").alias("idx")), 10, 900, 7))
+query("s6_split_reference", "WITH f AS (SELECT url AS path, row_number() OVER (ORDER BY url, page_id) - 1 AS idx FROM pages) SELECT path, idx = 5 AS is_reference, CAST(CASE WHEN idx = 5 THEN -1 WHEN idx > 5 THEN idx - 1 ELSE idx END AS INTEGER) AS frame_idx FROM f")(
+    lambda s, d: S.split_reference(fx.read(s, d, "pages").select(F.col("url").alias("path"), (F.row_number().over(Window.orderBy("url", "page_id")) - 1).alias("idx")), 5))
+query("s7_effective_fps", "SELECT max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x FROM events".replace("max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x", "coalesce(max(round(value)), 1.0) / 3 AS fps"))(lambda s, d: S.effective_fps(fx.read(s, d, "events").select(F.round("value").alias("fps")), None, 3))
+query("s8_with_time", f"WITH {fx.DISP} SELECT DISTINCT frame_idx, frame_idx / 2.0::DOUBLE AS t_sec FROM disp")(lambda s, d: S.with_time(fx.disp(s, d).select("frame_idx").distinct(), FPS))
+query("s9_mask_from_pixels", f"WITH {fx.PIXEL} SELECT frame_id, y, x FROM px p WHERE val > 0.5 * (SELECT max(val) FROM px q WHERE q.frame_id = p.frame_id)")(lambda s, d: I.mask_from_pixels(fx.pixels(s, d)))
+query("s11_pick_mask", "WITH c AS (SELECT l_returnflag AS name, CAST(l_linenumber % 2 AS INTEGER) AS val FROM lineitem UNION ALL SELECT l_linestatus, l_linenumber FROM lineitem), g AS (SELECT name, sum(val) AS n FROM c GROUP BY name HAVING bool_and(val IN (0, 1))) SELECT max_by(name, n) AS name, CAST(max(n) AS BIGINT) AS n FROM g")(
+    lambda s, d: S.pick_mask(fx.read(s, d, "lineitem").select(F.col("l_returnflag").alias("name"), (F.col("l_linenumber") % 2).alias("val")).union(fx.read(s, d, "lineitem").select("l_linestatus", "l_linenumber"))))
+
+
+@query("s13_write_mask", f"WITH {fx.BRIGHT} SELECT y, x, 255 AS val FROM bright")
+def _s13(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "mask")
+    session.write_mask(fx.bright(s, d), path)
+    return s.read.parquet(path)
+
+
+query("s14_csv_rows", f"""WITH {fx.DISP} SELECT r.range::INTEGER AS y, string_agg(coalesce(CAST(CAST(d.u AS BIGINT) AS VARCHAR) || '.0', 'nan'), ',' ORDER BY c.range) AS line
+FROM range(60) r CROSS JOIN range(72) c LEFT JOIN disp d ON d.frame_idx = 3 AND d.y = r.range AND d.x = c.range GROUP BY r.range""")(lambda s, d: session.csv_rows(fx.disp(s, d), "u", 3, 60, 72))
+
+
+@query("s15_s16_session", sql(fx.DISP, "frame_idx y x", "u v", "disp").replace("FROM disp", ", CAST(NULL AS DOUBLE) AS corr, 2.0::DOUBLE AS fps FROM disp"))
+def _s15(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "session")
+    session.write_session(fx.disp(s, d), fx.rect(s), {"fps": FPS}, path)
+    meta, _, field = session.read_session(s, path)
+    return rounded(field, "frame_idx y x", "u v").withColumns({"corr": F.lit(None).cast("double"), "fps": F.lit(float(meta["fps"]))})
+
+
+# Masks ---------------------------------------------------------------------------------------
+query("v1_shapes_agree", f"WITH {fx.PIXEL}, s AS (SELECT frame_id, max(y) AS h, max(x) AS w FROM px GROUP BY frame_id) SELECT count(DISTINCT (h, w)) <= 1 AS same FROM s")(lambda s, d: S.shapes_agree(fx.pixels(s, d).groupBy("frame_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))))
+query("v2_valid", f"WITH {fx.DENSE} SELECT frame_idx, y, x FROM dense WHERE u IS NOT NULL")(lambda s, d: K.dense_frames(fx.disp(s, d), N).where(X.finite(F.col("u")).isNotNull()).select("frame_idx", "y", "x"))
+
+
+def masked(name: str, ctes: str, where: str, mask: Callable[[SparkSession], DataFrame]) -> None:
+    """A shape's mask applied to the reference image."""
+    query(name, f"WITH {fx.PIXEL}, {ctes} SELECT p.y, p.x, p.val FROM px p JOIN {where} m ON m.y = p.y AND m.x = p.x WHERE p.frame_id = 0")(
+        lambda s, d: fx.pixels(s, d).where("frame_id = 0").join(mask(s), ["y", "x"]).select("y", "x", "val"))
+
+
+masked("r1_full", fx.FULL, "img", lambda s: R.roi_full(s, SIDE, SIDE))
+masked("r2_rect", fx.RECT, "rect", fx.rect)
+masked("r3_circle", fx.CIRCLE, "circle", fx.circle)
+_EDGES = list(zip(fx.POLYGON, fx.POLYGON[1:] + fx.POLYGON[:1], strict=True))
+_INSIDE = " + ".join(f"CAST((({y1} > y) <> ({y2} > y)) AND x < {x2 - x1} * (y - {y1})::DOUBLE / {y2 - y1} + {x1} AS INTEGER)" for (x1, y1), (x2, y2) in _EDGES if y1 != y2)
+_EDGE = " OR ".join(f"((x - {x1}) * {y2 - y1} = (y - {y1}) * {x2 - x1} AND x BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND y BETWEEN {min(y1, y2)} AND {max(y1, y2)})" for (x1, y1), (x2, y2) in _EDGES)
+masked("r4_polygon", fx.FULL + f", poly AS (SELECT * FROM img WHERE ({_INSIDE}) % 2 = 1 OR {_EDGE})", "poly", lambda s: R.roi_polygon(s, SIDE, SIDE, fx.POLYGON))
+query("r5_point_in_polygon", f"WITH {fx.DISP}, p AS (SELECT frame_idx, y AS y0, x AS x0, x AS x, y AS y FROM disp) SELECT frame_idx, y, x, ({_INSIDE}) % 2 = 1 AS inside FROM p")(lambda s, d: fx.disp(s, d).select("frame_idx", "y", "x", X.in_polygon(F.col("x"), F.col("y"), fx.POLYGON).alias("inside")))
+query("r6_erase", f"WITH {fx.BRIGHT} SELECT y, x FROM bright WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) > 16")(lambda s, d: R.roi_erase(fx.bright(s, d), [(24, 24)], 4))
+query("r7_union", f"WITH {fx.BRIGHT}, c AS (SELECT * FROM img WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) <= 225) SELECT y, x FROM bright UNION SELECT y, x FROM c")(lambda s, d: R.roi_union(fx.bright(s, d), fx.circle(s)))
+query("r8_border", f"WITH {fx.BRIGHT} SELECT y, x FROM bright b WHERE (SELECT count(*) FROM bright n WHERE abs(n.y - b.y) + abs(n.x - b.x) = 1) < 4")(lambda s, d: R.mask_border(fx.bright(s, d), SIDE, SIDE))
+query("r9_dilate", f"WITH {fx.BRIGHT} SELECT DISTINCT i.y, i.x FROM img i JOIN bright b ON b.y BETWEEN i.y - 2 AND i.y + 1 AND b.x BETWEEN i.x - 2 AND i.x + 1")(lambda s, d: R.mask_dilate(fx.bright(s, d), SIDE, SIDE, R.square(4)))
+GROUND = "g AS (SELECT y, x FROM img EXCEPT SELECT y, x FROM bright), reach(y, x) AS (SELECT y, x FROM g WHERE y IN (0, 47) OR x IN (0, 47) UNION SELECT g.y, g.x FROM reach r JOIN g ON abs(g.y - r.y) + abs(g.x - r.x) = 1)"
+query("r10_fill_holes", f"WITH RECURSIVE {fx.BRIGHT}, {GROUND} SELECT y, x FROM img EXCEPT SELECT y, x FROM reach")(lambda s, d: R.mask_fill_holes(fx.bright(s, d), SIDE, SIDE))
+query("r11_seed_in_roi", f"WITH {fx.BRIGHT} SELECT y, x FROM bright WHERE x = 20 AND y = 21")(lambda s, d: R.seed_in_roi((20, 21), fx.bright(s, d)))
+query("r12_roi_size", f"WITH {fx.BRIGHT} SELECT count(*) AS n_pixels FROM bright")(lambda s, d: R.roi_size(fx.bright(s, d)))
+query("r13_grid_count", f"WITH {fx.BRIGHT} SELECT count(*) AS n FROM bright WHERE y >= 5 AND y < 43 AND x >= 5 AND x < 43 AND (y - 5) % 3 = 0 AND (x - 5) % 3 = 0")(lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 5, 3).agg(F.count("*").alias("n")))
+SMALL = "small AS (SELECT frame_idx, y, x, u / 16 AS u, v / 16 AS v FROM disp WHERE frame_idx < 4), bm AS (SELECT frame_id AS frame_idx, y, x FROM px WHERE val >= 110)"
+query("r14_dynamic_drop", f"WITH {fx.DISP}, {fx.PIXEL}, {SMALL} SELECT s.* FROM small s WHERE EXISTS (SELECT 1 FROM bm WHERE bm.frame_idx = s.frame_idx AND bm.y = round_even(s.y + s.v, 0) AND bm.x = round_even(s.x + s.u, 0))")(
+    lambda s, d: R.apply_dynamic_mask(fx.disp(s, d).where("frame_idx < 4").withColumns({"u": F.col("u") / 16, "v": F.col("v") / 16}), fx.pixels(s, d).where("val >= 110").select(F.col("frame_id").alias("frame_idx"), "y", "x"), SIDE, SIDE))
+
+# Grid ----------------------------------------------------------------------------------------
+BGRID = fx.BRIGHT + ", bgrid AS (SELECT ((y - 2) // 2)::INTEGER AS iy, ((x - 2) // 2)::INTEGER AS ix, y, x FROM bright WHERE y >= 2 AND y < 46 AND x >= 2 AND x < 46 AND (y - 2) % 2 = 0 AND (x - 2) % 2 = 0), dom AS (SELECT *, CAST(CASE WHEN count(*) OVER () < 200 THEN 0 ELSE ntile(4) OVER (ORDER BY y, x) - 1 END AS INTEGER) AS domain FROM bgrid)"
+bgrid = lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 2, 2)
+domains = lambda s, d: G.assign_domain(bgrid(s, d), 4)
+query("g1_build_grid", f"WITH {BGRID} SELECT iy, ix, y, x FROM bgrid")(bgrid)
+query("g2_disc", f"WITH {fx.PIXEL} SELECT y - 20 AS dy, x - 20 AS dx, val FROM px WHERE frame_id = 0 AND (y - 20) * (y - 20) + (x - 20) * (x - 20) <= 49")(lambda s, d: G.disc_offsets(s, 7).join(fx.pixels(s, d).where("frame_id = 0").select((F.col("y") - 20).alias("dy"), (F.col("x") - 20).alias("dx"), "val"), ["dy", "dx"]))
+query("g3_default_seed", f"WITH {fx.BRIGHT} SELECT floor(avg(x))::INTEGER AS x, floor(avg(y))::INTEGER AS y FROM bright")(lambda s, d: G.default_seed(fx.bright(s, d)))
+query("g4_snap", f"WITH {BGRID}, p AS (SELECT s_suppkey AS id, s_suppkey * 7 % 48 AS py, s_suppkey * 5 % 48 AS px FROM supplier), r AS (SELECT id, y, x, row_number() OVER (PARTITION BY id ORDER BY (y - py) * (y - py) + (x - px) * (x - px), y, x) AS k FROM p, bgrid) SELECT id, y, x FROM r WHERE k = 1")(
+    lambda s, d: G.snap(fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 48).alias("y"), (F.col("s_suppkey") * 5 % 48).alias("x")), bgrid(s, d)))
+query("g5_assign_domain", f"WITH {BGRID} SELECT * FROM dom")(domains)
+query("g6_domain_seeds", f"WITH {BGRID}, c AS (SELECT domain, CASE WHEN domain = 0 THEN 12 ELSE avg(y) END AS cy, CASE WHEN domain = 0 THEN 20 ELSE avg(x) END AS cx FROM dom GROUP BY domain), r AS (SELECT d.domain, y, x, row_number() OVER (PARTITION BY d.domain ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), y, x) AS k FROM dom d JOIN c ON c.domain = d.domain) SELECT domain, y, x FROM r WHERE k = 1")(
+    lambda s, d: G.domain_seeds(domains(s, d), (20.0, 12.0)))
+query("g7_neighbours", f"WITH {BGRID} SELECT a.domain, a.y, a.x, b.y AS ny, b.x AS nx, CASE WHEN b.y < a.y THEN 0 WHEN b.y > a.y THEN 1 WHEN b.x < a.x THEN 2 ELSE 3 END AS direction FROM dom a JOIN dom b ON a.domain = b.domain AND abs(a.y - b.y) + abs(a.x - b.x) = 2 AND (a.y = b.y OR a.x = b.x)")(lambda s, d: G.neighbours(domains(s, d), 2))
+query("g8_merge_domains", f"WITH {BGRID} SELECT domain, count(*) AS n FROM dom GROUP BY domain")(lambda s, d: domains(s, d).where("domain < 2").unionByName(domains(s, d).where("domain >= 2")).groupBy("domain").agg(F.count("*").alias("n")))
+query("g9_densify", f"WITH {fx.DISP} SELECT f.frame_idx, r.range::INTEGER AS y, c.range::INTEGER AS x, d.u, d.v FROM (SELECT DISTINCT frame_idx FROM disp) f CROSS JOIN range(60) r CROSS JOIN range(72) c LEFT JOIN disp d ON d.frame_idx = f.frame_idx AND d.y = r.range AND d.x = c.range")(lambda s, d: G.densify(fx.disp(s, d), 60, 72))
+CROP = fx.DISP + ", b AS (SELECT frame_idx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM disp GROUP BY frame_idx), crop AS (SELECT b.frame_idx, r.range::INTEGER AS row, c.range::INTEGER AS col, d.u FROM b CROSS JOIN range(40) r CROSS JOIN range(40) c LEFT JOIN disp d ON d.frame_idx = b.frame_idx AND d.y = b.y0 + 3 * r.range AND d.x = b.x0 + 3 * c.range WHERE b.y0 + 3 * r.range <= b.y1 AND b.x0 + 3 * c.range <= b.x1)"
+query("g10_crop_decimate", f"WITH {CROP} SELECT * FROM crop")(lambda s, d: G.crop_decimate(fx.disp(s, d), "u", 3))
+query("g11_fill_nearest", f"WITH {CROP}, r AS (SELECT a.frame_idx, a.row, a.col, b.u, row_number() OVER (PARTITION BY a.frame_idx, a.row, a.col ORDER BY (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col), b.row, b.col) AS k FROM crop a JOIN crop b ON b.frame_idx = a.frame_idx AND b.u IS NOT NULL WHERE a.frame_idx < 6) SELECT frame_idx, row, col, u FROM r WHERE k = 1")(lambda s, d: G.fill_nearest(G.crop_decimate(fx.disp(s, d).where("frame_idx < 6"), "u", 3), "u"))
+
+# Images --------------------------------------------------------------------------------------
+MIRROR = fx.PIXEL + ", o AS (SELECT range::INTEGER - 4 AS o FROM range(9)), m AS (SELECT range::INTEGER - 4 AS i, CASE WHEN range < 4 THEN 4 - range WHEN range > 51 THEN 98 - range ELSE range - 4 END::INTEGER AS j FROM range(56))"
+
+
+def conv(name: str, value: str, ky: str, kx: str, source: str = "px") -> str:
+    """Separable weighted sum over mirrored neighbours; weights as CASE expressions of o."""
+    return f""", {name}_1 AS (SELECT p.frame_id, t.y, p.x, sum(p.{value} * ({ky})) AS s FROM (SELECT y::INTEGER AS y, o FROM range(48) r(y), o) t JOIN m ON m.i = t.y + t.o JOIN {source} p ON p.y = m.j GROUP BY ALL),
+{name} AS (SELECT p.frame_id, p.y, t.x, sum(p.s * ({kx})) AS s FROM (SELECT x::INTEGER AS x, o FROM range(48) r(x), o) t JOIN m ON m.i = t.x + t.o JOIN {name}_1 p ON p.x = m.j GROUP BY ALL)"""
+
+
+ONES, ROW121, DIFF = "1", "CASE abs(o) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END", "CASE o WHEN -1 THEN -1 WHEN 1 THEN 1 ELSE 0 END"
+BINOM = "CASE abs(o) WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END"
+STD = MIRROR + conv("a1", "val", ONES, ONES) + ", px2 AS (SELECT frame_id, y, x, val * val AS val FROM px)" + conv("a2", "val", ONES, ONES, "px2") + ", sd AS (SELECT a1.frame_id, a1.y, a1.x, sqrt(greatest(a2.s / 81.0 - (a1.s / 81.0) * (a1.s / 81.0), 0.0)) AS val FROM a1 JOIN a2 ON a1.frame_id = a2.frame_id AND a1.y = a2.y AND a1.x = a2.x)"
+SOBEL = MIRROR + conv("gx", "val", ROW121, DIFF) + conv("gy", "val", DIFF, ROW121) + ", so AS (SELECT gx.frame_id, gx.y, gx.x, sqrt(gx.s * gx.s + gy.s * gy.s) AS val FROM gx JOIN gy ON gx.frame_id = gy.frame_id AND gx.y = gy.y AND gx.x = gy.x)"
+U8 = ", u8 AS (SELECT frame_id, y, x, CASE WHEN max(val) OVER (PARTITION BY frame_id) > 0 THEN floor(val / max(val) OVER (PARTITION BY frame_id) * 255.0) ELSE 0 END::INTEGER AS val FROM {0})"
+query("i4_local_std", sql(STD, "frame_id y x", "val", "sd"))(lambda s, d: rounded(I.local_std(fx.pixels(s, d), SIDE, SIDE), "frame_id y x", "val"))
+query("i5_sobel", sql(SOBEL, "frame_id y x", "val", "so"))(lambda s, d: rounded(I.sobel(fx.pixels(s, d), SIDE, SIDE), "frame_id y x", "val"))
+query("i6_gauss", "WITH " + MIRROR + conv("g", "val", BINOM, BINOM) + " SELECT frame_id, y, x, round_even(s / 256.0, 0) + 0.0 AS val FROM g")(lambda s, d: I.smooth(fx.pixels(s, d), SIDE, SIDE, "gauss"))
+query("i7_to_u8", "WITH " + fx.PIXEL + U8.format("px") + " SELECT * FROM u8")(lambda s, d: I.to_u8(fx.pixels(s, d)))
+OTSU = U8.format("px") + ", hi AS (SELECT frame_id, val, count(*) AS n FROM u8 GROUP BY ALL), cu AS (SELECT *, sum(n) OVER w AS n0, sum(n * val) OVER w AS s0, sum(n) OVER (PARTITION BY frame_id) AS nn, sum(n * val) OVER (PARTITION BY frame_id) AS ss FROM hi WINDOW w AS (PARTITION BY frame_id ORDER BY val)), be AS (SELECT frame_id, val, CASE WHEN nn > n0 THEN round(n0::DOUBLE * (nn - n0) * (s0 / n0 - (ss - s0) / (nn - n0)) * (s0 / n0 - (ss - s0) / (nn - n0)), 6) ELSE 0 END AS b FROM cu), ot AS (SELECT frame_id, val AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY b DESC, val) AS k FROM be) WHERE k = 1)"
+query("i8_otsu", "WITH " + fx.PIXEL + OTSU + " SELECT * FROM ot")(lambda s, d: I.otsu(I.to_u8(fx.pixels(s, d))))
+ELL = "el AS (SELECT a.range::INTEGER - 7 AS dy, b.range::INTEGER - 7 AS dx FROM range(15) a, range(15) b WHERE abs(b.range - 7) <= round_even(7 * sqrt(1 - (a.range - 7) * (a.range - 7) / 49.0), 0))"
+query("i9_close", f"WITH {fx.BRIGHT}, {ELL}, sparse AS (SELECT y, x FROM bright WHERE (y * 5 + x * 3) % 7 = 0), di AS (SELECT DISTINCT b.y - dy AS y, b.x - dx AS x FROM sparse b, el WHERE b.y - dy BETWEEN 0 AND 47 AND b.x - dx BETWEEN 0 AND 47) SELECT i.y, i.x FROM img i WHERE NOT EXISTS (SELECT 1 FROM el WHERE i.y + dy BETWEEN 0 AND 47 AND i.x + dx BETWEEN 0 AND 47 AND NOT EXISTS (SELECT 1 FROM di WHERE di.y = i.y + dy AND di.x = i.x + dx))")(
+    lambda s, d: R.morph_close(fx.bright(s, d).where((F.col("y") * 5 + F.col("x") * 3) % 7 == 0), SIDE, SIDE))
+query("i10_largest_component")(lambda s, d: R.largest_component(fx.bright(s, d), SIDE, SIDE))
+query("i11_dynamic_mask")(lambda s, d: I.dynamic_mask(fx.pixels(s, d), SIDE, SIDE, "Hybrid"))
+
+# Matching ------------------------------------------------------------------------------------
+SEEDS = "sd AS (SELECT s_suppkey AS id, (12 + s_suppkey * 7 % 20)::INTEGER AS y, (12 + s_suppkey * 5 % 22)::INTEGER AS x FROM supplier)"
+seeds = lambda s, d: fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (12 + F.col("s_suppkey") * 7 % 20).cast("int").alias("y"), (12 + F.col("s_suppkey") * 5 % 22).cast("int").alias("x"))
+
+
+def match_sql(score: str) -> str:
+    return f"""WITH {fx.PIXEL}, {SEEDS}, t AS (SELECT id, p.y, p.x, val AS t FROM sd JOIN px p ON p.frame_id = 0 AND p.y BETWEEN sd.y - 5 AND sd.y + 5 AND p.x BETWEEN sd.x - 5 AND sd.x + 5),
+n AS (SELECT id, count(*) AS size FROM t GROUP BY id), sh AS (SELECT a.range::INTEGER - 8 AS v0, b.range::INTEGER - 8 AS u0 FROM range(17) a, range(17) b),
+c AS (SELECT p.frame_id, t.id, u0, v0, count(*) AS n, sum(t * val) AS ti, sum(t * t) AS tt, sum(val * val) AS ii, sum(t) AS st, sum(val) AS si FROM t, sh JOIN px p ON p.frame_id > 0 AND p.y = t.y + v0 AND p.x = t.x + u0 GROUP BY ALL),
+k AS (SELECT frame_id, c.id, u0, v0, round({score}, 9) AS score FROM c JOIN n ON n.id = c.id AND n.size = c.n), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, id ORDER BY score DESC, v0, u0) AS rk FROM k)
+SELECT frame_id, id, u0, v0, score FROM r WHERE rk = 1"""
+
+
+def matched(zero_mean: bool) -> Query:
+    return lambda s, d: C.template_match(seeds(s, d), fx.pixels(s, d).where("frame_id = 0"), fx.pixels(s, d).where("frame_id > 0"), SIDE, SIDE, 5, fx.SEARCH, zero_mean)
+
+
+query("c1_template_match", match_sql("CASE WHEN tt * ii > 0 THEN ti / sqrt(tt * ii) ELSE 0 END"))(matched(False))
+query("c2_zero_mean_match", match_sql("CASE WHEN (tt - st * st / n) * (ii - si * si / n) > 0 THEN (ti - st * si / n) / sqrt((tt - st * st / n) * (ii - si * si / n)) ELSE 0 END"))(matched(True))
+query("c3_subset_quality", f"WITH {fx.PIXEL}, {fx.GRID}, q AS (SELECT g.y, g.x, count(*) AS n_px, sqrt(greatest(sum(val * val) - sum(val) * sum(val) / count(*), 0.0)) AS sigma FROM grid g JOIN px p ON p.frame_id = 0 AND (p.y - g.y) * (p.y - g.y) + (p.x - g.x) * (p.x - g.x) <= 25 GROUP BY g.y, g.x) SELECT y, x, n_px, round(sigma, 6) + 0.0 AS sigma, n_px >= 6 AND sigma >= 1e-12 AS valid FROM q")(
+    lambda s, d: C.subset_quality(G.build_grid(fx.rect(s), SIDE, SIDE, 5, 3), fx.pixels(s, d).where("frame_id = 0"), 5).withColumn("sigma", F.round("sigma", 6) + F.lit(0.0)))
+WARP = "w AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS u, CAST(embedding[2] AS DOUBLE) * 4 AS v, CAST(embedding[3] AS DOUBLE) / 8 AS ux, CAST(embedding[4] AS DOUBLE) / 8 AS uy, CAST(embedding[5] AS DOUBLE) / 8 AS vx, CAST(embedding[6] AS DOUBLE) / 8 AS vy, CAST(embedding[7] AS DOUBLE) AS du, CAST(embedding[8] AS DOUBLE) AS dv, CAST(embedding[9] AS DOUBLE) / 8 AS dux, CAST(embedding[10] AS DOUBLE) / 8 AS duy, CAST(embedding[11] AS DOUBLE) / 8 AS dvx, CAST(embedding[12] AS DOUBLE) / 8 AS dvy FROM embeddings)"
+WNAMES = ("u", "v", "ux", "uy", "vx", "vy", "du", "dv", "dux", "duy", "dvx", "dvy")
+WSCALE = (4, 4, 0.125, 0.125, 0.125, 0.125, 1, 1, 0.125, 0.125, 0.125, 0.125)
+
+
+def warps(s: SparkSession, d: str) -> DataFrame:
+    return fx.read(s, d, "embeddings").select("vec_id", *[(F.col("embedding")[i].cast("double") * k).alias(n) for i, (n, k) in enumerate(zip(WNAMES, WSCALE, strict=True))])
+
+
+OUT = "pu pv pux puy pvx pvy"
+
+
+@query("c5_compose_affine", sql(WARP + ", i AS (SELECT *, (1 + dux) * (1 + dvy) - duy * dvx AS det FROM w), j AS (SELECT *, (1 + dvy) / det AS ia, -duy / det AS ib, -dvx / det AS ic, (1 + dux) / det AS ie FROM i), k AS (SELECT *, -(ia * du + ib * dv) AS iu, -(ic * du + ie * dv) AS iv FROM j), o AS (SELECT vec_id, (1 + ux) * iu + uy * iv + u AS pu, vx * iu + (1 + vy) * iv + v AS pv, (1 + ux) * ia + uy * ic - 1 AS pux, (1 + ux) * ib + uy * ie AS puy, vx * ia + (1 + vy) * ic AS pvx, vx * ib + (1 + vy) * ie - 1 AS pvy FROM k)", "vec_id", OUT, "o"))
+def _c5(s: SparkSession, d: str) -> DataFrame:
+    c = [F.col(n) for n in WNAMES]
+    return rounded(warps(s, d).select("vec_id", *[x.alias(n) for x, n in zip(X.compose_affine(c[:6], c[6:]), OUT.split(), strict=True)]), "vec_id", OUT)
+
+
+@query("c6_extrapolate", sql(WARP + ", o AS (SELECT vec_id, u + ux * 3 + uy * -3 AS eu, v + vx * 3 + vy * -3 AS ev FROM w)", "vec_id", "eu ev", "o"))
+def _c6(s: SparkSession, d: str) -> DataFrame:
+    eu, ev = X.extrapolate([F.col(n) for n in WNAMES[:6]], F.lit(3), F.lit(-3))
+    return rounded(warps(s, d).select("vec_id", eu.alias("eu"), ev.alias("ev")), "vec_id", "eu ev")
+
+
+query("c7_accept", f"WITH {WARP} SELECT vec_id FROM w WHERE abs(ux * 40) < 0.5 AND abs(u - du) < 2 AND abs(v - dv) < 2")(lambda s, d: warps(s, d).where(X.accepted(F.abs(F.col("ux") * 40), F.col("u"), F.col("v"), F.col("du"), F.col("dv"), 1, 0.5)).select("vec_id"))
+query("c13_survival", f"WITH {fx.DENSE} SELECT frame_idx, count(u) AS n_valid, count(u) / 480.0::DOUBLE AS survival, count(u) / 480.0::DOUBLE < 0.6 AS redo FROM dense GROUP BY frame_idx")(lambda s, d: A.survival(fx.disp(s, d), 480, N))
+query("c14_next_guess", f"WITH {fx.DISP} SELECT frame_idx, median(u) AS u0, median(v) AS v0 FROM disp GROUP BY frame_idx")(lambda s, d: A.next_guess(fx.disp(s, d)))
+
+# Kinematics ----------------------------------------------------------------------------------
+query("k1_velocity", sql(fx.VEL, "frame_idx y x", "Vx Vy", "vel"))(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Vx Vy"))
+query("k2_speed", f'WITH {fx.VEL} SELECT frame_idx, y, x, round(sqrt("Vx" * "Vx" + "Vy" * "Vy"), 6) AS "Veff" FROM vel')(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Veff"))
+SLOPES = "dVx_dx dVx_dy dVy_dx dVy_dy"
+query("k3_plane_fit", sql(fx.VEL + fx.fit_sql("vel", "Vx", "Vy", "fit"), "frame_idx y x", SLOPES, "fit"))(lambda s, d: rounded(K.plane_fit(vel(s, d), ["Vx", "Vy"], RAD, SP), "frame_idx y x", SLOPES))
+RATES = "Exx_rate Eyy_rate Exy_rate"
+query("k4_strain_rate", sql(fx.RATE, "frame_idx y x", RATES, "rate"))(lambda s, d: rounded(K.strain_rate(vel(s, d), RAD, SP), "frame_idx y x", RATES))
+query("k5_effective_rate", sql(fx.RATE, "frame_idx y x", "Eeff_rate", "rate"))(lambda s, d: rounded(K.strain_rate(vel(s, d), RAD, SP), "frame_idx y x", "Eeff_rate"))
+query("k6_strain", sql(fx.STRAIN, "frame_idx y x", "Exx Eyy Exy", "strain"))(lambda s, d: rounded(strained(s, d), "frame_idx y x", "Exx Eyy Exy"))
+query("k7_effective_strain", sql(fx.STRAIN, "frame_idx y x", "Eeff", "strain"))(lambda s, d: rounded(strained(s, d), "frame_idx y x", "Eeff"))
+query("k8_kinematics", sql(fx.STRAIN, "frame_idx y x", "u Vx Vy Exx_rate Eeff_rate Exx Eeff", "strain"))(lambda s, d: rounded(strained(s, d), "frame_idx y x", "u Vx Vy Exx_rate Eeff_rate Exx Eeff"))
+query("k9_trajectories", f"""WITH {fx.DENSE}, z AS (SELECT y, x FROM disp WHERE frame_idx = 0), ry AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS r FROM (SELECT DISTINCT y FROM z)), rx AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r FROM (SELECT DISTINCT x FROM z)),
+se AS (SELECT z.y, z.x FROM z JOIN ry ON ry.y = z.y AND ry.r % 2 = 0 JOIN rx ON rx.x = z.x AND rx.r % 2 = 0), g AS (SELECT d.*, max(CASE WHEN u IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY d.y, d.x ORDER BY frame_idx) AS gone FROM dense d JOIN se ON se.y = d.y AND se.x = d.x WHERE frame_idx <= 9)
+SELECT y, x, frame_idx, x + u AS px, y + v AS py FROM g WHERE gone = 0 UNION ALL SELECT y, x, -1, x, y FROM se""")(
+    lambda s, d: K.trajectories(fx.disp(s, d), 9, 2).select("y", "x", F.explode("path").alias("p")).select("y", "x", "p.frame_idx", F.col("p.x").alias("px"), F.col("p.y").alias("py")))
+query("k10_probe", f"WITH {fx.DISP} SELECT * FROM disp WHERE x = 12 AND y = 9")(lambda s, d: K.probe(fx.disp(s, d), 12.7, 9.2))
+GL = fx.DISP + fx.fit_sql("disp", "u", "v", "fit") + ', o AS (SELECT frame_idx, y, x, 0.5 * (2 * "du_dx" + "du_dx" * "du_dx" + "dv_dx" * "dv_dx") AS "GExx", 0.5 * (2 * "dv_dy" + "du_dy" * "du_dy" + "dv_dy" * "dv_dy") AS "GEyy", 0.5 * ("du_dy" + "dv_dx" + "du_dx" * "du_dy" + "dv_dx" * "dv_dy") AS "GExy" FROM fit)'
+query("k11_green_lagrange", sql(GL, "frame_idx y x", "GExx GEyy GExy", "o"))(lambda s, d: rounded(K.green_lagrange(fx.disp(s, d), RAD, SP), "frame_idx y x", "GExx GEyy GExy"))
+query("k12_finite_diff", sql(fx.VEL, "frame_idx y x", "Vx", "vel"))(lambda s, d: rounded(K.dense_frames(fx.disp(s, d), N).withColumn("Vx", K.finite_diff("u", N, FPS)), "frame_idx y x", "Vx"))
+query("k13_trapz_error", f"""WITH {fx.VEL}, m AS (SELECT frame_idx, round(avg(u), 6) AS u, round(avg("Vx"), 6) AS r FROM vel GROUP BY frame_idx), p AS (SELECT *, CASE WHEN row_number() OVER t = 1 THEN 0 ELSE 0.5 * (lag(coalesce(r, 0)) OVER t + coalesce(r, 0)) / 2.0 END AS p FROM m WINDOW t AS (ORDER BY frame_idx)), a AS (SELECT *, sum(p) OVER (ORDER BY frame_idx) AS again FROM p)
+SELECT frame_idx, round(again, 6) + 0.0 AS again, round(CASE WHEN u <> 0 THEN abs(again - u) / abs(u) END, 6) AS error FROM a""")(
+    lambda s, d: rounded(K.trapz_error(vel(s, d).groupBy("frame_idx").agg(F.round(F.avg("u"), 6).alias("u"), F.round(F.avg("Vx"), 6).alias("r")), "r", "u", FPS), "frame_idx", "again error"))
+
+# Statistics ----------------------------------------------------------------------------------
+query("a1_field_stats", f'WITH {fx.VEL} SELECT frame_idx, round(avg("Vx"), 6) + 0.0 AS mean, round(stddev_pop("Vx"), 6) AS std, min("Vx") AS min, max("Vx") AS max, count("Vx") AS n_valid FROM vel GROUP BY frame_idx')(
+    lambda s, d: A.field_stats(vel(s, d), "Vx", N).select("frame_idx", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("std", 6).alias("std"), "min", "max", "n_valid"))
+query("a2_global_range", f"WITH {fx.DISP} SELECT coalesce(min(u), 0.0) AS lo, coalesce(max(u), 1.0) AS hi FROM disp")(lambda s, d: A.global_range(fx.disp(s, d), "u"))
+query("a3_frame_range", f"WITH {fx.DISP} SELECT frame_idx, min(u) AS lo, max(u) AS hi FROM disp GROUP BY frame_idx")(lambda s, d: A.frame_range(fx.disp(s, d), "u"))
+query("a4_robust_range", f"WITH {fx.DISP} SELECT frame_idx, round(quantile_cont(u, 0.02), 6) AS lo, round(quantile_cont(u, 0.98), 6) AS hi FROM disp GROUP BY frame_idx")(lambda s, d: rounded(A.robust_range(fx.disp(s, d), "u"), "frame_idx", "lo hi"))
+query("a5_symmetric_range", f'WITH {fx.VEL}, r AS (SELECT frame_idx, greatest(abs(min("Vx")), abs(max("Vx"))) AS m FROM vel GROUP BY frame_idx) SELECT frame_idx, -m AS lo, CASE WHEN m = -m THEN m + 1e-12 ELSE m END AS hi FROM r')(lambda s, d: A.scale_range(A.frame_range(vel(s, d), "Vx"), True))
+query("a6_normalize", f"WITH {fx.DISP}, r AS (SELECT frame_idx, quantile_cont(u, 0.02) AS lo, quantile_cont(u, 0.98) AS hi FROM disp GROUP BY frame_idx) SELECT d.frame_idx, y, x, round(least(greatest((u - lo) / (CASE WHEN lo = hi THEN hi + 1e-12 ELSE hi END - lo), 0.0), 1.0), 6) AS u_norm FROM disp d JOIN r ON r.frame_idx = d.frame_idx")(
+    lambda s, d: rounded(A.normalize(fx.disp(s, d), "u", A.scale_range(A.robust_range(fx.disp(s, d), "u"), False)), "frame_idx y x", "u_norm"))
+query("a7_valid_count", f"WITH {fx.DENSE} SELECT frame_idx, count(u) AS n_valid FROM dense GROUP BY frame_idx")(lambda s, d: A.survival(fx.disp(s, d), 480, N).select("frame_idx", "n_valid"))
+query("a8_agreement", f"WITH {fx.DISP} SELECT count(*) AS n, round(power(corr(u, 7 * v), 2), 6) AS r2, round(avg(u - 7 * v), 6) AS bias, round(avg(u - 7 * v) - 1.96 * stddev_samp(u - 7 * v), 6) AS low, round(avg(u - 7 * v) + 1.96 * stddev_samp(u - 7 * v), 6) AS high FROM disp")(
+    lambda s, d: rounded(A.agreement(fx.disp(s, d), fx.disp(s, d).withColumn("u", 7 * F.col("v")), "u"), "n", "r2 bias low high"))
+query("a9_mean_series", f"WITH {fx.DISP} SELECT frame_idx, round(avg(u), 6) AS mean FROM disp GROUP BY frame_idx")(lambda s, d: rounded(A.mean_series(fx.disp(s, d), "u"), "frame_idx", "mean"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Velocity, strain rate and its statistics for every frame."""
+    return rounded(A.field_stats(K.strain_rate(vel(spark, sf_dir), RAD, SP), "Eeff_rate", N), "frame_idx n_valid", "mean std min max")
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
