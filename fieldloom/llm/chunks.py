@@ -9,8 +9,8 @@ passages. The first place of every chunk (smallest id, then offset) is the one
 that stays.
 
 Defined results: null and empty texts have no chunks; documents with null id
-take no part; rows that repeat an id and a text count as one place; an empty
-table gives an empty result.
+take no part; rows that repeat an id and a text are copies of each other, of
+which one place stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,12 +53,12 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, at (number of the chunk), start and end (bytes), d1 and d2 (digest) of every chunk."""
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    """id, start and end (bytes), d1 and d2 (digest) of every chunk."""
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], []]
             digests: list[bytes] = []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
@@ -66,15 +66,15 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if i is None or not len(end):
                     continue
                 start = np.concatenate([[0], end[:-1]])
-                for c, v in zip(columns, (np.full(len(end), i), np.arange(len(end)), start, end), strict=True):
+                for c, v in zip(columns, (np.full(len(end), i), start, end), strict=True):
                     c.append(v)
                 digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             if digests:
                 d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 whole = [np.concatenate(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(whole, (np.int64, np.int32, np.int32, np.int32), strict=True)] + [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(whole, (np.int64, np.int32, np.int32), strict=True)] + [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=schema)
 
-    return map_arrow(narrow(docs, id_col, text_col).toDF("id", "text"), kernel, "id long, at int, start int, end int, d1 long, d2 long")
+    return map_arrow(narrow(docs, id_col, text_col).toDF("id", "text"), kernel, "id long, start int, end int, d1 long, d2 long")
 
 
 def repeated(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,13 +82,15 @@ def repeated(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_c
     n_first (its chunks that stand here first), first_doc (smallest document that has one of them)
     and cut (start and end of its chunks that stand elsewhere before)."""
     every = chunks(docs, id_col, text_col)
-    first = F.min(F.struct("id", "at"))
-    places = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("d1", "d2", "first")
-    again = every.select("d1", "d2", "id", "at", "start", "end").join(places.hint("merge"), ["d1", "d2"]).select("id", "at", "start", "end", F.col("first.id").alias("first_doc"), (F.struct("id", "at") == F.col("first")).alias("here")).distinct()
-    # Consecutive chunks share the difference between their number and their rank among the repeated ones.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+    # Longs alone cross the network here; offsets of the first place are found among the repeated chunks later.
+    places = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("id").alias("first_doc")).where("n > 1").select("d1", "d2", "first_doc")
+    again = every.select("d1", "d2", "id", "start", "end").join(places.hint("merge"), ["d1", "d2"]).repartition("id").dropDuplicates(["id", "start", "end"])
+    order = Window.partitionBy("id").orderBy("start")
+    gap = F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")
+    marked = again.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
+    here = (F.col("id") == F.col("first_doc")) & (F.col("start") == F.min("start").over(Window.partitionBy("id", "d1", "d2")))
     cut = F.sort_array(F.collect_list(F.when(~F.col("here"), F.struct("start", "end")))).alias("cut")
-    runs = again.withColumn("run", F.col("at") - rank).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.count_if("here").alias("n_first"), F.min("first_doc").alias("first_doc"), cut)
+    runs = marked.withColumn("here", here).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.count_if("here").alias("n_first"), F.min("first_doc").alias("first_doc"), cut)
     return runs.where(F.col("end") - F.col("start") >= least).select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_first", "first_doc", "cut")
 
 
