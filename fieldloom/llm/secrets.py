@@ -144,11 +144,13 @@ def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
 
     Overlapping spans are merged first. Documents without a span stay as they are.
     """
-    found = scan(docs, **options).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    found = scan(docs, **options).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
     both = docs.withColumn("_blob", blob_of(F.col("text"))).join(found.hint("merge"), "_blob", "left")
-    state = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(state)
-    columns = [clean.alias("text") if c == "text" else F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("long")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return both.select(*columns)
+    state = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(state)
+    # In a column of its own: beside a new text, a later expression of the same select could read that one.
+    done = both.withColumn("_clean", clean)
+    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))}
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
