@@ -169,13 +169,9 @@ def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return base, materialise(reps, "classes")
 
 
-def labels_of(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """``members`` with the component of each representative, from all links so far."""
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    comp = components(edges).withColumnRenamed("node", "rep")
-    return members.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def labels_of(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``members`` with the component of each representative; one without links is its own."""
+    return members.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -192,9 +188,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
     pairs = members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n").distinct()
     pairs = pairs.join(first.withColumnRenamed("pivot", "b").hint("merge"), "b").where(near).select("a", "b")
     links = [materialise(verify(pairs, items, percent), "links")]
+    comp = components(_union(links))
     crowds = not members.where(F.col("size") > large).isEmpty()
     for turn in range(1, PIVOTS if crowds else 1):
-        now = materialise(labels_of(members.where(F.col("size") > large), links), "labelled")
+        now = materialise(labels_of(members.where(F.col("size") > large), comp), "labelled")
         # A bucket's next pivot is one of its main component: first by a hash that changes from turn to turn.
         count = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("p"))
         mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "p"), F.struct("m", "comp")).alias("main")).where("comps > 1").select("key", F.col("main.comp").alias("main"), F.col("main.p.rep").alias("b"), F.col("main.p.n").alias("pn"))
@@ -202,11 +199,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             break
-        links.append(materialise(verify(pairs, items, percent), "links"))
+        comp = _with_more(comp, links, materialise(verify(pairs, items, percent), "links"))
 
-    now = materialise(labels_of(members.where("size > 2"), links), "labelled")
-    links.append(materialise(rest(now, items, percent), "links"))
-    comp = components(_union(links))
+    now = materialise(labels_of(members.where("size > 2"), comp), "labelled")
+    comp = _with_more(comp, links, materialise(rest(now, items, percent), "links"))
     return result(base, reps, comp, id_col)
 
 
@@ -231,6 +227,14 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _with_more(comp: DataFrame, links: list[DataFrame], more: DataFrame) -> DataFrame:
+    """The components with ``more`` links, which join ``links``; without any they stay as they are."""
+    if more.isEmpty():
+        return comp
+    links.append(more)
+    return components(_union(links))
+
+
 def result(base: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
     """Every row of ``base`` with the component of its class."""
     known = base.select("id", "n", "d1", "d2")
