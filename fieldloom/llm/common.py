@@ -14,6 +14,8 @@ from fieldloom.runtime import ship
 
 #: Bytes of text that a kernel holds as Python objects at once.
 SLICE_BYTES = 2 << 20
+#: Longs that may be broadcast (8 bytes each); larger tables are joined by shuffling.
+BROADCAST_CELLS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,11 @@ def record(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def sized(df: DataFrame, cells: int) -> DataFrame:
+    """A written table of longs with a join hint: broadcast where it holds at most ``cells`` values, else merge."""
+    return df.hint("broadcast" if df.count() * len(df.columns) <= cells else "merge")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z become a-z; every other character stays."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

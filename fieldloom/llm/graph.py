@@ -5,28 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import BROADCAST_CELLS, sized
 from fieldloom.runtime import materialise
 
 ROUNDS = 100
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
     """node, comp (the smallest node reachable) of every node of ``edges`` (a, b).
 
-    Each round every node takes the smallest label among its neighbours and then
-    the label of its label, so that long chains halve. Labels are written to the
-    shared folder each round. Null ends and loops are ignored; no edges give no rows.
+    Each round every node takes the smallest label among its neighbours' and the
+    label of its own label, so that long chains halve. Both meet in one grouping
+    by node; labels of at most ``cells`` values reach the edges by broadcast, larger ones
+    by shuffling. Labels are written to the shared folder each round. Null ends
+    and loops are ignored; no edges give no rows.
     """
     clean = edges.select("a", "b").where("a is not null and b is not null and a != b")
     both = materialise(clean.union(clean.select("b", "a")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
     for _ in range(ROUNDS):
-        told = both.join(labels.select(F.col("node").alias("b"), "comp").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        nearer = labels.join(told.hint("merge"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("comp").alias("far"))
-        new = materialise(nearer.join(jump.hint("merge"), "near").select("node", "old", F.least("near", "far").alias("comp")), "labels")
-        done = new.where("comp != old").isEmpty()
+        known = sized(labels, cells)
+        told = both.join(known.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("long").alias("old"))
+        jump = labels.select("node", F.col("comp").alias("old")).join(known.select(F.col("node").alias("old"), F.col("comp").alias("far")), "old").select("node", F.least("old", "far").alias("comp"), "old")
+        new = materialise(told.union(jump).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old")), "labels")
         labels = new.select("node", "comp")
-        if done:
+        if new.where("comp != old").isEmpty():
             break
     return labels
+
+
+def merged(comp: DataFrame | None, links: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
+    """``comp`` (node, comp) after ``links`` (a, b) between its components.
+
+    A node that ``comp`` lacks is a component of its own. Only the links are
+    searched for components; the nodes then take their component's new name.
+    """
+    if comp is None:
+        return components(links, cells)
+    if links.isEmpty():
+        return comp
+    top = components(links, cells)
+    every = comp.union(top.select("node", F.col("node").alias("comp")))
+    renamed = every.join(sized(top, cells).select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left")
+    return materialise(renamed.groupBy("node").agg(F.min(F.coalesce("now", "comp")).alias("comp")), "components")

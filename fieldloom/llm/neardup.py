@@ -30,14 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import map_arrow, narrow, record, slices
-from fieldloom.llm.graph import components
+from fieldloom.llm.common import BROADCAST_CELLS, map_arrow, narrow, record, sized, slices
+from fieldloom.llm.graph import merged
 from fieldloom.runtime import materialise
 
 RING_BITS, BANDS, ROWS, SEED = 20, 32, 5, 20_220_101
 SHINGLE, SIMILARITY = 5, 80
-#: Candidate ids that may be broadcast (8 bytes each); beyond, they are joined.
-BROADCAST_IDS = 500_000
 #: Members of a bucket that are worth another pivot; members in a block.
 LARGE, BLOCK, PIVOTS = 64, 64, 3
 
@@ -108,16 +106,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return map_arrow(docs, kernel, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
+def sets(docs: DataFrame, ids: DataFrame, k: int, cells: int) -> DataFrame:
     """id, items (the sorted set as bytes) of the documents named by ``ids`` (id)."""
-    few = ids.count() <= broadcast_ids
     schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield record(schema, part.column(0), [shingles(t, k).tobytes() for t in part.column(1).to_pylist()])
 
-    return map_arrow(docs.join(ids.hint("broadcast" if few else "merge"), "id", "left_semi"), kernel, "id long, items binary").dropDuplicates(["id"])
+    return map_arrow(docs.join(sized(ids, cells), "id", "left_semi"), kernel, "id long, items binary").dropDuplicates(["id"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -129,8 +126,8 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def verify(pairs: DataFrame, items: DataFrame, percent: int, cells: int) -> DataFrame:
+    """Links (a, b) between the components ``ca`` and ``cb`` of the written pairs (a, b, ca, cb) whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,25 +136,40 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
             ok = [i for i in range(len(a)) if linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), percent)]
             yield record(schema, [a[i] for i in ok], [b[i] for i in ok])
 
-    left = items.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = items.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    full = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return map_arrow(full, kernel, "a long, b long")
+    known = sized(pairs, cells)
+    left = items.select(F.col("id").alias("a"), F.col("items").alias("x")).join(known, "a")
+    right = items.select(F.col("id").alias("b"), F.col("items").alias("y")).join(known.select("b"), "b", "left_semi")
+    full = left.join(right.hint("merge"), "b").select("ca", "cb", "x", "y")
+    return map_arrow(full, kernel, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """``linked`` of x with each of the other sets, none of them empty, at once."""
+    n = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    y = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+    return 100 * both >= percent * (len(x) + n - both)
 
 
 def verify_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between the ``left`` and ``right`` members (id, comp, items) of each row, of different components."""
+    """Links (a, b) between components, from the ``left`` and ``right`` members (comp, items) of each row."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    load = lambda side: [(m["comp"], np.frombuffer(m["items"], np.uint64)) for m in side.as_py()]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                load = lambda side: [(m["id"], m["comp"], np.frombuffer(m["items"], np.uint64)) for m in side]
-                right = load(right)
-                found = [(a, b) for a, ca, x in load(left) for b, cb, y in right if ca != cb and linked(x, y, percent)]
+                right, found = load(batch.column(1)[i]), set()
+                comps = np.array([c for c, _ in right], dtype=np.int64)
+                n = np.array([len(y) for _, y in right], dtype=np.int64)
+                for c, x in load(batch.column(0)[i]):
+                    near = np.flatnonzero((comps != c) & (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))))
+                    if len(near):
+                        ok = near[similar(x, [right[j][1] for j in near], percent)]
+                        found.update((c, int(d)) for d in comps[ok])
                 if found:
-                    yield record(schema, *zip(*found, strict=True))
+                    yield record(schema, *zip(*sorted(found), strict=True))
 
     return map_arrow(blocks, kernel, "a long, b long")
 
@@ -169,40 +181,40 @@ def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return base, materialise(reps, "classes")
 
 
-def labels_of(members: DataFrame, comp: DataFrame) -> DataFrame:
+def labels_of(members: DataFrame, comp: DataFrame, cells: int) -> DataFrame:
     """``members`` with the component of each representative; one without links is its own."""
-    return members.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    return members.join(sized(comp.withColumnRenamed("node", "rep"), cells), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every document."""
     docs = narrow(docs, id_col, text_col).toDF("id", "text")
     base, reps = classes(docs, shingle)
-    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    # One shuffle by key serves both the count and the join, which read the same columns.
+    keyed = reps.select("rep", "n", F.explode("bands").alias("key")).repartition("key")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn"), F.count("*").alias("size")).where("size > 1")
     members = materialise(keyed.join(buckets.hint("merge"), "key"), "members")
-    items = materialise(sets(docs, members.select(F.col("rep").alias("id")).distinct(), shingle, broadcast_ids), "sets")
+    candidates = materialise(members.select(F.col("rep").alias("id")).distinct(), "candidates")
+    items = materialise(sets(docs, candidates, shingle, cells), "sets")
     near = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
 
-    first = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"))
-    pairs = members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n").distinct()
-    pairs = pairs.join(first.withColumnRenamed("pivot", "b").hint("merge"), "b").where(near).select("a", "b")
-    links = [materialise(verify(pairs, items, percent), "links")]
-    comp = components(_union(links))
+    pairs = members.where((F.col("rep") != F.col("pivot")) & near).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = materialise(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")
+    comp = merged(None, materialise(verify(pairs, items, percent, cells), "links"), cells)
     crowds = not members.where(F.col("size") > large).isEmpty()
     for turn in range(1, PIVOTS if crowds else 1):
-        now = materialise(labels_of(members.where(F.col("size") > large), comp), "labelled")
+        now = materialise(labels_of(members.where(F.col("size") > large).drop("pivot", "pn"), comp, cells), "labelled")
         # A bucket's next pivot is one of its main component: first by a hash that changes from turn to turn.
         count = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("p"))
         mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "p"), F.struct("m", "comp")).alias("main")).where("comps > 1").select("key", F.col("main.comp").alias("main"), F.col("main.p.rep").alias("b"), F.col("main.p.n").alias("pn"))
-        pairs = now.join(mixed.hint("merge"), "key").where((F.col("comp") != F.col("main")) & near).select(F.col("rep").alias("a"), "b").distinct()
+        pairs = now.join(mixed.hint("merge"), "key").where((F.col("comp") != F.col("main")) & near).select(F.col("rep").alias("a"), "b", F.col("comp").alias("ca"), F.col("main").alias("cb")).distinct()
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             break
-        comp = _with_more(comp, links, materialise(verify(pairs, items, percent), "links"))
+        comp = merged(comp, materialise(verify(pairs, items, percent, cells), "links"), cells)
 
-    now = materialise(labels_of(members.where("size > 2"), comp), "labelled")
-    comp = _with_more(comp, links, materialise(rest(now, items, percent), "links"))
+    now = materialise(labels_of(members.where("size > 2"), comp, cells), "labelled")
+    comp = merged(comp, materialise(rest(now, items, percent), "links"), cells)
     return result(base, reps, comp, id_col)
 
 
@@ -213,28 +225,13 @@ def rest(now: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     rows = now.select("key", "rep", "comp").join(mixed.hint("merge"), "key")
     block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / BLOCK)).cast("int")
     data = items.withColumnRenamed("id", "rep")
-    rows = rows.join(data.hint("merge"), "rep").select("key", "comp", "main", block(1, "all").alias("block"), F.struct(F.col("rep").alias("id"), "comp", "items").alias("member"))
+    rows = rows.join(data.hint("merge"), "rep").select("key", "comp", "main", block(1, "all").alias("block"), F.struct("comp", "items").alias("member"))
     # Blocks hold about BLOCK members each, because their number follows the size of the bucket.
     right = rows.groupBy("key", "block").agg(F.collect_list("member").alias("right"))
     left = rows.where("comp != main").groupBy("key", F.col("block").alias("own")).agg(F.collect_list("member").alias("left"))
     return verify_blocks(left.join(right.hint("merge"), "key").select("left", "right"), percent).distinct()
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
-def _with_more(comp: DataFrame, links: list[DataFrame], more: DataFrame) -> DataFrame:
-    """The components with ``more`` links, which join ``links``; without any they stay as they are."""
-    if more.isEmpty():
-        return comp
-    links.append(more)
-    return components(_union(links))
-
-
 def result(base: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
     """Every row of ``base`` with the component of its class."""
     known = base.select("id", "n", "d1", "d2")
@@ -244,7 +241,8 @@ def result(base: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str) -> Da
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with its own columns."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+def keep_one(docs: DataFrame, cells: int = BROADCAST_CELLS, **options) -> DataFrame:
+    """One document of each component, with its own columns; an id stays if one of its rows is kept."""
+    ids = near_duplicates(docs, cells=cells, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
+    gone = materialise(ids.where("not kept").select("_id"), "gone")
+    return docs.join(sized(gone, cells), docs["doc_id"] == gone["_id"], "left_anti")

@@ -151,7 +151,7 @@ def test_near_duplicates_by_brute_force(spark, shingle):
         if all(comp[c] == c for c in comp):
             break
     for large, limit in ((64, 1000), (4, -1)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, texts), shingle, large=large, broadcast_ids=limit).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, texts), shingle, large=large, cells=limit).collect()}
         assert got == {i: (len(s), comp[i], comp[i] == i) for i, s in enumerate(sets)}
     none = spark.createDataFrame([(None, "a b c", "en", "s", 5)], DOCS)
     assert neardup.near_duplicates(none).first()["kept"] and neardup.near_duplicates(none.limit(0)).count() == 0
