@@ -157,6 +157,15 @@ def test_near_duplicates_by_brute_force(spark, shingle):
     assert neardup.near_duplicates(none).first()["kept"] and neardup.near_duplicates(none.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1000, -1])
+def test_keep_one_with_null_and_repeated_ids(spark, cells):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, same, "x"), (2, same, "y"), (2, same, "z"), (None, same, "n"), (4, None, "e"), (5, "", "f"), (5, same, "g")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id string"), cells=cells)
+    assert kept.columns == ["doc_id", "text", "_id"]
+    assert sorted(r["_id"] for r in kept.collect()) == ["e", "f", "g", "n", "x"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(90, 91)], "a long, b long")
     assert {r["node"]: r["comp"] for r in graph.components(edges).collect()} == {i: 0 for i in range(51)} | {90: 90, 91: 90}
