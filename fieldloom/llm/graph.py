@@ -8,29 +8,45 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import BROADCAST_CELLS, sized
 from fieldloom.runtime import materialise
 
-ROUNDS = 100
+def roots(edges: DataFrame, cells: int) -> DataFrame:
+    """node, comp (a root) of every node of ``edges`` (a, b, in both directions).
+
+    Every node points to the smallest of itself and its neighbours; pointers are
+    doubled until all of them end at nodes that point to themselves.
+    """
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
+    while True:
+        known = sized(labels.select(F.col("node").alias("comp"), F.col("comp").alias("far")), cells)
+        new = materialise(labels.join(known, "comp").select("node", F.col("far").alias("comp"), (F.col("far") != F.col("comp")).alias("moved")), "labels")
+        labels = new.select("node", "comp")
+        if new.where("moved").isEmpty():
+            return labels
 
 
 def components(edges: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
     """node, comp (the smallest node reachable) of every node of ``edges`` (a, b).
 
-    Each round every node takes the smallest label among its neighbours' and the
-    label of its own label, so that long chains halve. Both meet in one grouping
-    by node; labels of at most ``cells`` values reach the edges by broadcast, larger ones
-    by shuffling. Labels are written to the shared folder each round. Null ends
-    and loops are ignored; no edges give no rows.
+    In each phase nodes are gathered under ``roots``, and the edges are drawn
+    anew between roots, until none is left. A root that keeps edges has a node
+    below it, or a neighbour below a smaller root, under which it falls in the
+    next phase. So two phases halve the nodes at least, and phases are
+    logarithmic in their number whatever the order of ids along a chain. Labels
+    of at most ``cells`` values reach the edges by broadcast, larger ones by
+    shuffling. Null ends and loops are ignored; no edges give no rows.
     """
     clean = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    both = materialise(clean.union(clean.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
-    for _ in range(ROUNDS):
-        known = sized(labels, cells)
-        told = both.join(known.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("long").alias("old"))
-        jump = labels.select("node", F.col("comp").alias("old")).join(known.select(F.col("node").alias("old"), F.col("comp").alias("far")), "old").select("node", F.least("old", "far").alias("comp"), "old")
-        new = materialise(told.union(jump).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("comp != old").isEmpty():
-            break
+    left = materialise(clean.union(clean.select("b", "a")).distinct(), "edges")
+    phases = []
+    while not phases or not left.isEmpty():
+        phases.append(roots(left, cells))
+        known = sized(phases[-1], cells)
+        for end in ("a", "b"):
+            left = left.join(known.select(F.col("node").alias(end), F.col("comp").alias(f"root_{end}")), end)
+        left = materialise(left.where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+    labels = phases.pop()
+    while phases:
+        known = sized(labels.select(F.col("node").alias("comp"), F.col("comp").alias("now")), cells)
+        labels = materialise(phases.pop().join(known, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "labels")
     return labels
 
 

@@ -171,6 +171,17 @@ def test_components_of_a_chain(spark):
     assert {r["node"]: r["comp"] for r in graph.components(edges).collect()} == {i: 0 for i in range(51)} | {90: 90, 91: 90}
 
 
+@pytest.mark.parametrize(("order", "cells"), [("shuffled", graph.BROADCAST_CELLS), ("descending", -1)])
+def test_components_of_long_chains_in_any_order(spark, order, cells):
+    chain = list(range(1000))
+    if order == "shuffled":
+        random.Random(6).shuffle(chain)
+    else:
+        chain = [0, *reversed(chain[1:])]
+    edges = spark.createDataFrame([*zip(chain, chain[1:], strict=False), (2001, 2000)], "a long, b long")
+    assert {r["node"]: r["comp"] for r in graph.components(edges, cells).collect()} == dict.fromkeys(chain, 0) | {2000: 2000, 2001: 2000}
+
+
 def test_chunks_find_shifted_passages(spark):
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(n))
