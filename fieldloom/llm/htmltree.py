@@ -10,8 +10,8 @@ is the mean over itself and all below it, each weighted by its observations and
 by ``damping`` to the power of its depth below the node. Branches whose
 composite importance is under ``threshold`` say the same on every page, and are
 removed from each page, together with elements that are boilerplate by their
-tag, role or class. What remains of the article elements (of the body, where a
-page has none) is the text. An element that is, holds or lies in an article, and
+tag, role or class. What remains of the article elements (of the body, where
+none of them remains with any text) is the text. An element that is, holds or lies in an article, and
 the page itself, are never removed for low importance: equal articles on many
 pages are still articles.
 
@@ -135,10 +135,7 @@ def observations(html: str) -> Iterator[tuple[str, int, int]]:
             yield node.path, xxhash.xxh3_64_intdigest(shown) >> 1, xxhash.xxh3_64_intdigest(said) >> 1
 
 
-def main_text(html: str, pruned: frozenset[str] | set[str]) -> str:
-    """The text of what is kept, blocks and white space alike turned into one space."""
-    tree = Tree(html)
-    use_main = any(n.tag in MAIN and n.kept for n in tree.nodes)
+def text_under(tree: Tree, pruned: frozenset[str] | set[str], use_main: bool) -> str:
     out: list[str] = []
     stack: list[Node | str | None] = [tree.top]
     while stack:
@@ -157,6 +154,15 @@ def main_text(html: str, pruned: frozenset[str] | set[str]) -> str:
     return " ".join("".join(out).split())
 
 
+def main_text(html: str, pruned: frozenset[str] | set[str]) -> str:
+    """The text of what is kept, blocks and white space alike turned into one space.
+
+    Articles are the text if those that no dropped element holds say anything; else the body is.
+    """
+    tree = Tree(html)
+    return (any(n.tag in MAIN for n in tree.nodes) and text_under(tree, pruned, True)) or text_under(tree, pruned, False)
+
+
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     return narrow(pages, "page_id", "url", "html").withColumn("host", host)

@@ -93,6 +93,13 @@ def test_html_style_tree_drops_what_is_the_same_everywhere(spark):
     assert tree["html>body" if "html>body>div.t>p" in tree else "body>div.t>p"] == pytest.approx(htmltree.entropy_of([1] * 30))
 
 
+@pytest.mark.parametrize("rest", ["<aside><article>Teaser</article></aside>", "<div class=comments><article>Me too</article></div>", "<nav><main>Go</main></nav>", "<article> <p>\n</p></article>", "<article><aside>Ad</aside></article>"])
+def test_html_story_outside_dropped_or_blank_articles(rest):
+    page = f"<body><div class='t'><p>The story</p></div>{rest}<div class='bar'>Same words</div></body>"
+    assert htmltree.main_text(page, {"body>div.bar"}) == "The story"
+    assert htmltree.main_text(page + "<article>Told here</article>", set()) == "Told here"
+
+
 def test_quality_counts_by_brute_force():
     rng = random.Random(2)
     for _ in range(200):
