@@ -11,9 +11,15 @@ by ``damping`` to the power of its depth below the node. Branches whose
 composite importance is under ``threshold`` say the same on every page, and are
 removed from each page, together with elements that are boilerplate by their
 tag, role or class. What remains of the article elements (of the body, where
-none of them remains with any text) is the text. An element that is, holds or lies in an article, and
-the page itself, are never removed for low importance: equal articles on many
-pages are still articles.
+none of them remains with any text) is the text. An element that is or holds an article, and the page
+itself, are never removed for low importance.
+
+Branches inside articles are observed once for each of the host's differing
+articles, as equal articles on many pages are still articles. They go where all
+of the branch repeats (no importance in it reaches ``threshold``) over at least
+``least_pages`` differing articles. An inline element beside its parent's own
+words is part of their sentence: it counts there and stays with them. Where
+nothing of a page's articles would be left, they stay whole.
 
 Defined results: null or empty html gives an empty text; a null or malformed
 url falls under the host ""; repeated rows each give a result; malformed markup
@@ -59,7 +65,7 @@ DEPTH = 64
 
 
 class Node:
-    __slots__ = ("children", "depth", "holds", "kept", "main", "name", "parent", "path", "tag", "text")
+    __slots__ = ("children", "depth", "holds", "kept", "live", "main", "name", "parent", "path", "runs_on", "tag", "text")
 
     def __init__(self, tag: str, name: str, parent: Node | None) -> None:
         self.tag, self.name, self.parent = tag, name, parent
@@ -67,6 +73,7 @@ class Node:
         self.path = name if not parent or not parent.depth else f"{parent.path}>{name}" if self.depth <= DEPTH else parent.path
         self.main = bool(parent and parent.main) or tag in MAIN
         self.kept, self.children, self.text = True, [], []
+        self.live, self.runs_on = True, False
         self.holds = tag in ("", "html", "body")
         above = parent
         while self.main and above and not above.holds:
@@ -82,6 +89,9 @@ class Tree(HTMLParser):
         self.nodes: list[Node] = []
         self.feed(html)
         self.close()
+        for node in self.nodes:  # parents come first
+            node.live = node.kept and node.parent.live
+            node.runs_on = node.main and node.tag in INLINE and (node.parent.runs_on or any(map(str.strip, node.parent.text)))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -126,15 +136,42 @@ class Tree(HTMLParser):
             node = node.parent
 
 
-def observations(html: str) -> Iterator[tuple[str, int, int]]:
+def observations(tree: Tree) -> Iterator[tuple[str, int, int]]:
     """For each element outside articles: style path, hash of its presentation, hash of its content."""
-    for node in Tree(html).nodes:
+    for node in tree.nodes:
         if node.kept and not node.main and not node.holds:
             shown = ">".join(c.name for c in node.children if isinstance(c, Node))
             said = " ".join("".join(node.text).split())
             yield node.path, xxhash.xxh3_64_intdigest(shown) >> 1, xxhash.xxh3_64_intdigest(said) >> 1
 
 
+def sentence(node: Node) -> str:
+    """The words directly in the element, those of inline elements among them included."""
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag in VOID:
+            out.append(" ")
+        elif c.runs_on and c.kept:
+            stack.extend(reversed(c.children))
+    return "".join(out)
+
+
+def in_articles(tree: Tree) -> tuple[int, list[tuple[str, int, int]]]:
+    """A hash of what the page's articles say (0 for nothing), and ``observations`` of each element inside them."""
+    found = []
+    for node in tree.nodes:
+        if node.live and node.main and not node.holds and not node.runs_on and node.tag not in MAIN and node.tag not in VOID:
+            shown = ">".join(c.name for c in node.children if isinstance(c, Node) and not c.runs_on)
+            said = " ".join(sentence(node).split())
+            found.append((node.path, xxhash.xxh3_64_intdigest(shown) >> 1, xxhash.xxh3_64_intdigest(said) >> 1))
+    text = text_under(tree, frozenset(), True) if found else ""
+    return (xxhash.xxh3_64_intdigest(text) >> 1 or 1) if text else 0, found
+
+
 def text_under(tree: Tree, pruned: frozenset[str] | set[str], use_main: bool) -> str:
     out: list[str] = []
     stack: list[Node | str | None] = [tree.top]
@@ -143,7 +180,7 @@ def text_under(tree: Tree, pruned: frozenset[str] | set[str], use_main: bool) ->
         if isinstance(x, str):
             out.append(x)
             continue
-        if not x.kept or (not x.main and not x.holds and x.path in pruned):
+        if not x.kept or (x.path in pruned and not x.holds and not x.runs_on and x.tag not in MAIN and not (x.main and x.tag in VOID)):
             continue
         if x.tag in VOID:
             out.append(" " if x.tag in ("br", "hr") else "")
@@ -160,7 +197,11 @@ def main_text(html: str, pruned: frozenset[str] | set[str]) -> str:
     Articles are the text if those that no dropped element holds say anything; else the body is.
     """
     tree = Tree(html)
-    return (any(n.tag in MAIN for n in tree.nodes) and text_under(tree, pruned, True)) or text_under(tree, pruned, False)
+    if any(n.tag in MAIN and n.live for n in tree.nodes):
+        text = text_under(tree, pruned, True) or text_under(tree, frozenset(), True)
+        if text:
+            return text
+    return text_under(tree, pruned, False)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -169,27 +210,42 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """host, path, pages, importance and composite of every style node outside articles."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64()), ("n", pa.int64())])
+    """host, path, m (observations), importance, articles (differing ones it was seen in; null
+    outside articles), composite and peak (largest importance in the branch) of every style node."""
+    item = pa.struct([("path", pa.string()), ("kind", pa.int8()), ("value", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("article", pa.int64()), ("items", pa.list_(item))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            seen: Counter = Counter()
+            seen: dict[tuple[str, int | None], Counter] = {}
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for path, shown, said in observations(html or ""):
-                    seen[host, path, 0, shown] += 1
-                    seen[host, path, 1, said] += 1
+                tree, outside = Tree(html or ""), seen.setdefault((host, None), Counter())
+                for path, shown, said in observations(tree):
+                    outside[path, 0, shown] += 1
+                    outside[path, 1, said] += 1
+                article, found = in_articles(tree)
+                if article:
+                    inside = Counter((path, 2, article) for path in {f[0] for f in found})
+                    for path, shown, said in found:
+                        inside[path, 0, shown] += 1
+                        inside[path, 1, said] += 1
+                    # Of equal articles with other markup the smaller observations count, here as in the table.
+                    seen[host, article] = min(seen.get((host, article), inside), inside, key=lambda c: sorted(c.items()))
             if seen:
-                yield record(schema, *zip(*[(*k, n) for k, n in seen.items()], strict=True))
+                items = [[dict(zip(("path", "kind", "value", "n"), (*k, n), strict=True)) for k, n in sorted(c.items())] for c in seen.values()]
+                yield record(schema, [h for h, _ in seen], [a for _, a in seen], items)
 
-    values = map_arrow(with_host(pages).select("host", "html"), kernel, "host string, path string, kind byte, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    found = materialise(map_arrow(with_host(pages).select("host", "html"), kernel, "host string, article long, items array<struct<path:string,kind:byte,value:long,n:long>>"), "observed")
+    differing = found.where("article is not null").groupBy("host", "article").agg(F.min("items").alias("items")).select("host", "items")
+    values = found.where("article is null").select("host", "items").union(differing).select("host", F.inline("items")).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     # Entropy over the log of the number of observations: log(N) - sum(n log n) / N, all over log(N).
     kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
     entropy = F.when(F.col("m") > 1, F.lit(1.0) - F.col("s") / (F.col("m") * F.log(F.greatest(F.col("m"), F.lit(2)).cast("double")))).otherwise(F.lit(1.0))
-    own = kinds.groupBy("host", "path").agg(F.max("m").alias("m"), F.max(entropy).alias("importance"))
+    is_seen = F.col("kind") < 2
+    own = kinds.groupBy("host", "path").agg(F.max(F.when(is_seen, F.col("m"))).alias("m"), F.max(F.when(is_seen, entropy)).alias("importance"), F.max(F.when(~is_seen, F.col("m"))).alias("articles"))
     steps = F.split("path", ">")
     above = own.select("host", "m", "importance", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, 1, i), ">").alias("path"), F.pow(F.lit(damping), F.size(steps) - i).alias("w")))).alias("a"))
-    composite = above.groupBy("host", F.col("a.path").alias("path")).agg((F.sum(F.col("a.w") * F.col("m") * F.col("importance")) / F.sum(F.col("a.w") * F.col("m"))).alias("composite"))
+    composite = above.groupBy("host", F.col("a.path").alias("path")).agg((F.sum(F.col("a.w") * F.col("m") * F.col("importance")) / F.sum(F.col("a.w") * F.col("m"))).alias("composite"), F.max("importance").alias("peak"))
     return own.join(composite.hint("merge"), ["host", "path"])
 
 
@@ -197,11 +253,14 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, damping: float = DAM
     """page_id, url, text, n_chars: the main text of every page.
 
     A style node is removed if it was seen at least ``least_pages`` times and
-    its composite importance is under ``threshold``. The removed nodes are
+    its composite importance is under ``threshold``; inside articles, if it was
+    seen in as many differing ones and no importance in the branch reaches
+    ``threshold``. The removed nodes are
     broadcast only after a count shows that they are few; else pages meet them
     by a join on the host.
     """
-    low = style_tree(pages, damping).where((F.col("m") >= least_pages) & (F.col("composite") < threshold)).select("host", "path")
+    often = F.coalesce("articles", "m") >= least_pages
+    low = style_tree(pages, damping).where(often & (F.when(F.col("articles").isNull(), F.col("composite")).otherwise(F.col("peak")) < threshold)).select("host", "path")
     low = materialise(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths")), "pruned")
     few = (low.agg(F.sum(F.size("paths"))).first()[0] or 0) <= broadcast_rows
     both = with_host(pages).join(low.hint("broadcast" if few else "merge"), "host", "left").select("page_id", "url", "html", "paths")

@@ -100,6 +100,20 @@ def test_html_story_outside_dropped_or_blank_articles(rest):
     assert htmltree.main_text(page + "<article>Told here</article>", set()) == "Told here"
 
 
+def test_html_style_tree_prunes_inside_articles(spark):
+    story = "<h1>Title {0}</h1><p>text {0}<br>goes <b>on</b></p><p>click <a>here</a> {0}</p>"
+    page = "<body><article>" + story + "<div class='x'><p>Same words</p><a>Mail</a> <a>Print</a></div><ul><li>one</li><li>two</li></ul></article></body>"
+    want = [f"Title {i} text {i} goes on click here {i}" for i in range(30)]
+    rows = [(i, "http://h.example/x", page.format(i)) for i in range(30)]
+    # One article on many pages, and few differing ones: nothing goes.
+    rows += [(100 + i, "http://same.example/x", page.format(1)) for i in range(30)] + [(200 + i, "http://few.example/x", page.format(i)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltree.extract(pages).collect()}
+    assert [got[i] for i in range(30)] == want
+    whole = " Same words Mail Print one two"
+    assert {got[100 + i] for i in range(30)} == {want[1] + whole} and [got[200 + i] for i in range(4)] == [w + whole for w in want[:4]]
+
+
 def test_quality_counts_by_brute_force():
     rng = random.Random(2)
     for _ in range(200):
