@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import map_arrow, narrow, slices
 
 #: Bytes that a boundary depends on, bits that must be zero (chunks of 2**BITS bytes on average).
-WINDOW, BITS, SEED = 16, 5, 9
+WINDOW, BITS, SEED = 16, 4, 9
 #: Bytes of a run of repeated chunks that make a passage; a passage of 50 words
-#: has some 300, of which the chunks at its ends may be lost.
+#: has some 300, of which the chunks at its ends may be lost; chunks are fine
+#: enough that two long ones seldom leave less than this.
 LEAST = 128
 #: The gear table: a random number for each byte.
 GEAR = np.random.default_rng(SEED).integers(0, 1 << WINDOW, 256, dtype=np.uint32)
@@ -82,15 +83,17 @@ def repeated(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_c
     n_first (its chunks that stand here first), first_doc (smallest document that has one of them)
     and cut (start and end of its chunks that stand elsewhere before)."""
     every = chunks(docs, id_col, text_col)
-    # Longs alone cross the network here; offsets of the first place are found among the repeated chunks later.
-    places = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("id").alias("first_doc")).where("n > 1").select("d1", "d2", "first_doc")
-    again = every.select("d1", "d2", "id", "start", "end").join(places.hint("merge"), ["d1", "d2"]).repartition("id").dropDuplicates(["id", "start", "end"])
+    # One shuffle by digest serves both the count and the join, which read the same columns.
+    keyed = every.repartition("d1", "d2")
+    places = keyed.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "end")).alias("first")).where("n > 1").select("d1", "d2", "first")
+    here = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
+    again = keyed.join(places.hint("merge"), ["d1", "d2"]).select("id", "start", "end", F.col("first.id").alias("first_doc"), here.alias("here"))
+    again = again.repartition("id").dropDuplicates(["id", "start", "end"])
     order = Window.partitionBy("id").orderBy("start")
     gap = F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")
     marked = again.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
-    here = (F.col("id") == F.col("first_doc")) & (F.col("start") == F.min("start").over(Window.partitionBy("id", "d1", "d2")))
     cut = F.sort_array(F.collect_list(F.when(~F.col("here"), F.struct("start", "end")))).alias("cut")
-    runs = marked.withColumn("here", here).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.count_if("here").alias("n_first"), F.min("first_doc").alias("first_doc"), cut)
+    runs = marked.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.count_if("here").alias("n_first"), F.min("first_doc").alias("first_doc"), cut)
     return runs.where(F.col("end") - F.col("start") >= least).select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_first", "first_doc", "cut")
 
 

@@ -217,6 +217,17 @@ def test_chunks_find_shifted_passages(spark):
     assert left[0] == texts[0] and len(left[1]) < len(texts[1]) - 150 and left[2] == texts[2]
 
 
+def test_chunks_find_passages_of_51_words(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    texts = []
+    for _ in range(400):
+        passage = text(51)
+        texts += [f"{text(40)} {passage} {text(40)}", f"{text(60)} {passage} {text(20)}"]
+    found = {r["doc_id"] for r in chunks.repeated(docs(spark, texts)).collect()}
+    assert len(found) >= 0.99 * len(texts)
+
+
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(300, 8)), 2)
