@@ -18,16 +18,17 @@ def effective(xx: Column, yy: Column, xy: Column) -> Column:
 
 
 def compose_affine(p: list[Column], d: list[Column]) -> list[Column]:
-    """p after the inverse of d; both are u, v, du_dx, du_dy, dv_dx, dv_dy."""
+    """p after the inverse of d; both are u, v, du_dx, du_dy, dv_dx, dv_dy. NULL where d has no inverse."""
     u, v, ux, uy, vx, vy = p
     du, dv, dux, duy, dvx, dvy = d
     a, b, c, e = 1 + dux, duy, dvx, 1 + dvy
     det = a * e - b * c
+    det = F.when(F.abs(det) >= 1e-12, det)
     ia, ib, ic, ie = e / det, -b / det, -c / det, a / det
     iu, iv = -(ia * du + ib * dv), -(ic * du + ie * dv)
     m11, m12, m21, m22 = 1 + ux, uy, vx, 1 + vy
     out = [m11 * iu + m12 * iv + u, m21 * iu + m22 * iv + v, m11 * ia + m12 * ic - 1, m11 * ib + m12 * ie, m21 * ia + m22 * ic, m21 * ib + m22 * ie - 1]
-    return [F.when(F.abs(det) >= 1e-12, x) for x in out]
+    return out
 
 
 def extrapolate(p: list[Column], dx: Column, dy: Column) -> tuple[Column, Column]:
@@ -69,4 +70,7 @@ def widened(lo: Column, hi: Column) -> Column:
 
 
 def normalised(c: Column, lo: Column, hi: Column) -> Column:
-    return F.when(c.isNotNull(), F.least(F.greatest((c - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
+    """c's place between lo and hi, clipped to [0, 1]; in an empty range 0 up to its value and 1 above."""
+    span = F.when(hi > lo, hi - lo)
+    inside = F.least(F.greatest((c - lo) / span, F.lit(0.0)), F.lit(1.0))
+    return F.when(c.isNotNull() & lo.isNotNull() & hi.isNotNull(), F.when(span.isNotNull(), inside).otherwise((c > lo).cast("double")))

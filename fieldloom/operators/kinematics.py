@@ -19,7 +19,7 @@ def dense_frames(field: DataFrame, n_frames: int) -> DataFrame:
     """Every point of ``field`` at every frame; values are NULL where it has none."""
     points = field.select("y", "x").distinct()
     full = points.select(F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("frame_idx"), "y", "x")
-    return full.join(field, ["frame_idx", "y", "x"], "left")
+    return full.join(field.hint("merge"), ["frame_idx", "y", "x"], "left")
 
 
 def along_time() -> Window:
@@ -43,15 +43,15 @@ def velocity(field: DataFrame, n_frames: int, fps: float) -> DataFrame:
 
 
 def complete_lattice(field: DataFrame, spacing: int) -> DataFrame:
-    """Every lattice point of the bounding box in every frame of ``field``.
+    """Every lattice point of the bounding box in every frame of ``field``, with the box's origin (y0, x0).
 
     The box is one row and frames are few against points, so both are broadcast.
     """
     box = field.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).where("y0 is not null")
-    rows = box.select("x0", "x1", F.explode(F.sequence("y0", "y1", F.lit(spacing))).alias("y")).select("y", F.explode(F.sequence("x0", "x1", F.lit(spacing))).alias("x"))
+    rows = box.select("y0", "x0", "x1", F.explode(F.sequence("y0", "y1", F.lit(spacing))).alias("y")).select("y", F.explode(F.sequence("x0", "x1", F.lit(spacing))).alias("x"), "y0", "x0")
     frames = field.select("frame_idx").distinct().agg(F.sort_array(F.collect_set("frame_idx")).alias("frames"))
-    points = rows.join(frames.hint("broadcast"), F.lit(True)).select(F.explode("frames").alias("frame_idx"), "y", "x")
-    return points.join(field, ["frame_idx", "y", "x"], "left")
+    points = rows.join(frames.hint("broadcast"), F.lit(True)).select(F.explode("frames").alias("frame_idx"), "y", "x", "y0", "x0")
+    return points.join(field.hint("merge"), ["frame_idx", "y", "x"], "left")
 
 
 def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, valid: Column | None = None) -> DataFrame:
@@ -59,13 +59,14 @@ def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, v
 
     Only valid points take part and get a result, which also needs six points
     and a regular system. Sums go over y within a column and then over x within
-    a row, on the complete lattice: no self-join.
+    a row, on the complete lattice: no self-join. Coordinates count from the
+    origin of the bounding box, since large ones would cancel in the sums.
     """
     ok = valid if valid is not None else F.lit(True)
     for c in columns:
         ok = ok & F.col(c).isNotNull()
     lattice = complete_lattice(field, spacing).withColumn("_w", F.coalesce(ok, F.lit(False)).cast("double"))
-    x, y, w = F.col("x").cast("double"), F.col("y").cast("double"), F.col("_w")
+    x, y, w = (F.col("x") - F.col("x0")).cast("double"), (F.col("y") - F.col("y0")).cast("double"), F.col("_w")
     moments = {"n": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
     for c in columns:
         v = F.when(w > 0, F.col(c)).otherwise(0.0)
@@ -75,14 +76,16 @@ def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, v
         source = moments if order == "y" else {k: F.col(f"_{k}") for k in moments}
         lattice = lattice.withColumns({f"_{k}": F.sum(m).over(span) for k, m in source.items()})
     s = {k: F.col(f"_{k}") for k in moments}
-    cxx, cyy, cxy = s["sxx"] - s["sx"] * s["sx"] / s["n"], s["syy"] - s["sy"] * s["sy"] / s["n"], s["sxy"] - s["sx"] * s["sy"] / s["n"]
+    # Divisors are NULL where they may not be used: a shared division can be computed outside of the condition that guards it.
+    n = F.when(s["n"] >= LEAST_POINTS, s["n"])
+    cxx, cyy, cxy = s["sxx"] - s["sx"] * s["sx"] / n, s["syy"] - s["sy"] * s["sy"] / n, s["sxy"] - s["sx"] * s["sy"] / n
     det = cxx * cyy - cxy * cxy
+    det = F.when((w > 0) & (det > LEAST_DET), det)
     slopes = {}
     for c in columns:
-        cux, cuy = s[f"sx_{c}"] - s[f"s_{c}"] * s["sx"] / s["n"], s[f"sy_{c}"] - s[f"s_{c}"] * s["sy"] / s["n"]
-        good = (w > 0) & (s["n"] >= LEAST_POINTS) & (det > LEAST_DET)
-        slopes[f"d{c}_dx"] = F.when(good, (cux * cyy - cuy * cxy) / det)
-        slopes[f"d{c}_dy"] = F.when(good, (cuy * cxx - cux * cxy) / det)
+        cux, cuy = s[f"sx_{c}"] - s[f"s_{c}"] * s["sx"] / n, s[f"sy_{c}"] - s[f"s_{c}"] * s["sy"] / n
+        slopes[f"d{c}_dx"] = (cux * cyy - cuy * cxy) / det
+        slopes[f"d{c}_dy"] = (cuy * cxx - cux * cxy) / det
     return lattice.select(*field.columns, *[v.alias(k) for k, v in slopes.items()])
 
 
@@ -114,9 +117,9 @@ def kinematics(disp: DataFrame, n_frames: int, fps: float, radius: int, spacing:
     field = velocity(disp, n_frames, fps)
     if roi is not None:
         inside = roi.select("y", "x", F.lit(True).alias("_in")).distinct()
-        field = field.join(inside, ["y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+        field = field.join(inside.hint("merge"), ["y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     rated = strain_rate(field, radius, spacing, F.col("_in") if roi is not None else None)
-    rated = rated.join(field.select("y", "x").distinct(), ["y", "x"], "left_semi").drop("_in")
+    rated = rated.join(field.select("y", "x").distinct().hint("merge"), ["y", "x"], "left_semi").drop("_in")
     return integrate_strain(rated, fps)
 
 
@@ -132,10 +135,10 @@ def trajectories(field: DataFrame, max_frame: int, step: int = 10) -> DataFrame:
     if max_frame < 0:
         return field.sparkSession.createDataFrame([], "y int, x int, path array<struct<frame_idx:int,x:double,y:double>>")
     start = field.where("frame_idx = 0 and u is not null and v is not null").select("y", "x")
-    # Rows and columns of a grid are few against its points; each list is ranked by itself and broadcast.
+    # A grid has at most as many rows or columns as an image has pixels on a side, so each list is ranked by itself and broadcast.
     rank = lambda c: start.select(c).distinct().withColumn("_r", F.row_number().over(Window.orderBy(c)) - 1).where(F.col("_r") % step == 0).select(c)
     seeds = start.join(rank("y").hint("broadcast"), "y").join(rank("x").hint("broadcast"), "x")
-    dense = dense_frames(field.where(F.col("frame_idx") <= max_frame).select("frame_idx", "y", "x", "u", "v").join(seeds, ["y", "x"], "left_semi"), max_frame + 1)
+    dense = dense_frames(field.where(F.col("frame_idx") <= max_frame).select("frame_idx", "y", "x", "u", "v").join(seeds.hint("merge"), ["y", "x"], "left_semi"), max_frame + 1)
     gone = F.max((F.col("u").isNull() | F.col("v").isNull()).cast("int")).over(along_time().rowsBetween(Window.unboundedPreceding, 0))
     live = dense.withColumn("_gone", gone).where("_gone = 0")
     node = F.struct("frame_idx", (F.col("x") + F.col("u")).alias("x"), (F.col("y") + F.col("v")).alias("y"))
@@ -149,7 +152,10 @@ def probe(field: DataFrame, x: float, y: float) -> DataFrame:
 
 
 def trapz_error(series: DataFrame, rate: str, value: str, fps: float) -> DataFrame:
-    """A per-frame series with its rate integrated again, and the relative error of that."""
+    """A per-frame series with its rate integrated again, and the relative error of that.
+
+    The series has one row per frame, hence one window over all of it.
+    """
     w = Window.orderBy("frame_idx")
     r = F.coalesce(F.col(rate), F.lit(0.0))
     part = F.when(F.row_number().over(w) == 1, 0.0).otherwise(0.5 * (F.lag(r).over(w) + r) / fps)

@@ -15,7 +15,7 @@ def frames_of(n_frames: int, spark) -> DataFrame:
 def field_stats(field: DataFrame, c: str, n_frames: int) -> DataFrame:
     """Mean, population deviation, least, largest and number of valid values of every frame."""
     got = field.groupBy("frame_idx").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n_valid"))
-    return frames_of(n_frames, field.sparkSession).join(got, "frame_idx", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    return frames_of(n_frames, field.sparkSession).join(got.hint("merge"), "frame_idx", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
 
 
 def frame_range(field: DataFrame, c: str) -> DataFrame:
@@ -40,7 +40,7 @@ def scale_range(ranges: DataFrame, sym: bool) -> DataFrame:
 
 def normalize(field: DataFrame, c: str, ranges: DataFrame) -> DataFrame:
     """``field`` with <c>_norm in [0, 1]; ``ranges`` holds one row per frame."""
-    both = field.join(ranges.select("frame_idx", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "frame_idx", "left")
+    both = field.join(ranges.select("frame_idx", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).hint("merge"), "frame_idx", "left")
     return both.withColumn(f"{c}_norm", normalised(F.col(c), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -48,7 +48,7 @@ def survival(disp: DataFrame, n_grid: int, n_frames: int, least: float = 0.6) ->
     """Valid points of every frame, their share of the grid, and whether the frame must be redone."""
     got = disp.where("u is not null").groupBy("frame_idx").agg(F.count("*").alias("n"))
     rate = F.col("n_valid") / F.lit(float(max(1, n_grid)))
-    full = frames_of(n_frames, disp.sparkSession).join(got, "frame_idx", "left").select("frame_idx", F.coalesce("n", F.lit(0)).alias("n_valid"))
+    full = frames_of(n_frames, disp.sparkSession).join(got.hint("merge"), "frame_idx", "left").select("frame_idx", F.coalesce("n", F.lit(0)).alias("n_valid"))
     return full.select("frame_idx", "n_valid", rate.alias("survival"), (rate < least).alias("redo"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expressions as X
@@ -54,17 +54,18 @@ def strained(s: SparkSession, d: str) -> DataFrame:
 
 
 # Sources and sinks ---------------------------------------------------------------------------
+query("s1_scan_files")(lambda s, d: S.scan_frames(s, d, ("parquet",)).select(S.base_name(F.col("path")).alias("name")))
 FILES = "f AS (SELECT url AS path, row_number() OVER (ORDER BY url) - 1 AS rn FROM pages WHERE lower(list_last(string_split(url, '/'))) NOT LIKE '%roi%')"
 query("s3_select_frames", f"WITH {FILES} SELECT path, rn = 0 AS is_reference, CAST(CASE WHEN rn = 0 THEN -1 ELSE (rn - 1) // 3 END AS INTEGER) AS frame_idx FROM f WHERE rn = 0 OR ((rn - 1) % 3 = 0 AND (rn - 1) // 3 < 20)")(lambda s, d: S.select_frames(fx.manifest(s, d), 3, 20))
 query("s4_detect_roi", "SELECT max(url) AS roi_path FROM pages WHERE lower(list_last(string_split(url, '/'))) LIKE '%roi%'")(lambda s, d: S.detect_roi(fx.manifest(s, d)))
 ORDER_IDX = "SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders"
 query("s5_sample_range", "SELECT o_orderkey AS idx FROM orders WHERE o_orderkey BETWEEN 10 AND 900 AND (o_orderkey - 10) % 7 = 0")(lambda s, d: S.sample_range(fx.read(s, d, "orders").select(F.col("o_orderkey").alias("idx")), 10, 900, 7))
 query("s6_split_reference", "WITH f AS (SELECT url AS path, row_number() OVER (ORDER BY url, page_id) - 1 AS idx FROM pages) SELECT path, idx = 5 AS is_reference, CAST(CASE WHEN idx = 5 THEN -1 WHEN idx > 5 THEN idx - 1 ELSE idx END AS INTEGER) AS frame_idx FROM f")(
-    lambda s, d: S.split_reference(fx.read(s, d, "pages").select(F.col("url").alias("path"), (F.row_number().over(Window.orderBy("url", "page_id")) - 1).alias("idx")), 5))
+    lambda s, d: S.split_reference(S.ranked(fx.read(s, d, "pages").select(F.col("url").alias("path"), "page_id"), ["path", "page_id"], "idx"), 5))
 query("s7_effective_fps", "SELECT max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x FROM events".replace("max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x", "coalesce(max(round(value)), 1.0) / 3 AS fps"))(lambda s, d: S.effective_fps(fx.read(s, d, "events").select(F.round("value").alias("fps")), None, 3))
 query("s8_with_time", f"WITH {fx.DISP} SELECT DISTINCT frame_idx, frame_idx / 2.0::DOUBLE AS t_sec FROM disp")(lambda s, d: S.with_time(fx.disp(s, d).select("frame_idx").distinct(), FPS))
 query("s9_mask_from_pixels", f"WITH {fx.PIXEL} SELECT frame_id, y, x FROM px p WHERE val > 0.5 * (SELECT max(val) FROM px q WHERE q.frame_id = p.frame_id)")(lambda s, d: I.mask_from_pixels(fx.pixels(s, d)))
-query("s11_pick_mask", "WITH c AS (SELECT l_returnflag AS name, CAST(l_linenumber % 2 AS INTEGER) AS val FROM lineitem UNION ALL SELECT l_linestatus, l_linenumber FROM lineitem), g AS (SELECT name, sum(val) AS n FROM c GROUP BY name HAVING bool_and(val IN (0, 1))) SELECT max_by(name, n) AS name, CAST(max(n) AS BIGINT) AS n FROM g")(
+query("s11_pick_mask", "WITH c AS (SELECT l_returnflag AS name, CAST(l_linenumber % 2 AS INTEGER) AS val FROM lineitem UNION ALL SELECT l_linestatus, l_linenumber FROM lineitem), g AS (SELECT name, sum(val) AS n FROM c GROUP BY name HAVING bool_and(val IN (0, 1))) SELECT name, CAST(n AS BIGINT) AS n FROM g ORDER BY n DESC, name LIMIT 1")(
     lambda s, d: S.pick_mask(fx.read(s, d, "lineitem").select(F.col("l_returnflag").alias("name"), (F.col("l_linenumber") % 2).alias("val")).union(fx.read(s, d, "lineitem").select("l_linestatus", "l_linenumber"))))
 
 
@@ -87,6 +88,10 @@ def _s15(s: SparkSession, d: str) -> DataFrame:
     return rounded(field, "frame_idx y x", "u v").withColumns({"corr": F.lit(None).cast("double"), "fps": F.lit(float(meta["fps"]))})
 
 
+_DIM = ", ".join(f"('{n}', '{q}', '{c}', '{u}')" for q, (u, fields) in session.QUANTITIES.items() for n, c in fields.items())
+query("s17_field_catalog", f"WITH {fx.DISP}, dim(name, quantity, component, unit) AS (VALUES {_DIM}), l AS (SELECT frame_idx, y, x, 'u' AS name, u AS value FROM disp UNION ALL SELECT frame_idx, y, x, 'v', v FROM disp) SELECT frame_idx, y, x, name, value, quantity, component, unit FROM l JOIN dim USING (name)")(lambda s, d: session.long_form(fx.disp(s, d)))
+
+
 # Masks ---------------------------------------------------------------------------------------
 query("v1_shapes_agree", f"WITH {fx.PIXEL}, s AS (SELECT frame_id, max(y) AS h, max(x) AS w FROM px GROUP BY frame_id) SELECT count(DISTINCT (h, w)) <= 1 AS same FROM s")(lambda s, d: S.shapes_agree(fx.pixels(s, d).groupBy("frame_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))))
 query("v2_valid", f"WITH {fx.DENSE} SELECT frame_idx, y, x FROM dense WHERE u IS NOT NULL")(lambda s, d: K.dense_frames(fx.disp(s, d), N).where(X.finite(F.col("u")).isNotNull()).select("frame_idx", "y", "x"))

@@ -11,16 +11,26 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Numbers that may be broadcast (8 bytes each); larger tables are joined by shuffling.
+BROADCAST_CELLS = 1_000_000
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+#: Folders written so far, by context.
+_WRITTEN: dict[int, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in tests on one machine, a new local folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+    driver and executors are one process on one machine, as in tests, a new
+    local folder is made and set; a cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -28,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(id(spark.sparkContext), []).append(top)
+    return f"{top}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -39,15 +51,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fieldloom_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_fieldloom_path", None)
+        if path:
+            _delete(df.sparkSession, path.rsplit("/", 1)[0])
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every table that this session has written with ``new_path``; call it once results are stored."""
+    for path in _WRITTEN.pop(id(spark.sparkContext), []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sized(df: DataFrame, cells: int = BROADCAST_CELLS) -> DataFrame:
+    """A table with a join hint: broadcast where a count shows at most ``cells`` values, else merge."""
+    return df.hint("broadcast" if df.count() * len(df.columns) <= cells else "merge")
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers.
+    """Make this package importable by Python workers, and bound the batches they get.
 
-    Nothing to do where PYTHONPATH already names the repository; else a zip of
-    the package is added to the job, once for each context.
+    Where PYTHONPATH already names the repository, it is importable; else a zip
+    of the package is added to the job, once for each context. Batches are cut
+    by bytes as well as by rows, so that long rows don't fill a worker's memory.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     context = spark.sparkContext
     if str(ROOT) in on_path or getattr(context, "_fieldloom_shipped", False):

@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.runtime import materialise, sized
+
 EXTENSIONS = ("png", "tif", "tiff", "jpg", "jpeg", "bmp")
 
 
-def scan_frames(spark: SparkSession, folder: str) -> DataFrame:
+def scan_frames(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """path of every image in the folder itself, whatever the case of its extension."""
-    files = spark.read.format("binaryFile").load(folder).select("path")
-    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*EXTENSIONS))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
+    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
+
+
+def ranked(rows: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
+    """``rows`` with their place (from 0) in the order of ``order``, which has no ties.
+
+    Rows are written in sorted ranges; the ranges' counts are summed (one number
+    per range) and each range is numbered by itself, so no task sees all rows.
+    """
+    part = F.spark_partition_id()
+    held = materialise(rows.repartitionByRange(*order).withColumn("_part", part), "ranges")
+    before = held.groupBy("_part").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return held.join(sized(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
 
 
 def base_name(path: Column) -> Column:
@@ -26,10 +41,8 @@ def detect_roi(manifest: DataFrame) -> DataFrame:
 def select_frames(manifest: DataFrame, step: int = 1, limit: int | None = None) -> DataFrame:
     """frame_idx, path, is_reference: files sorted by name without ROI files; the first is the
     reference (frame_idx -1), of the rest every step-th, ``limit`` at most.
-
-    A manifest lists files, not pixels; it is ranked as one sorted list.
     """
-    files = manifest.where(~base_name(F.col("path")).contains("roi")).withColumn("rn", F.row_number().over(Window.orderBy("path")) - 1)
+    files = ranked(manifest.where(~base_name(F.col("path")).contains("roi")), ["path"])
     kept = files.where((F.col("rn") == 0) | ((F.col("rn") - 1) % step == 0)).select("path", (F.col("rn") == 0).alias("is_reference"), F.when(F.col("rn") == 0, -1).otherwise(((F.col("rn") - 1) / step).cast("int")).alias("frame_idx"))
     return kept if limit is None else kept.where(F.col("frame_idx") < limit)
 
@@ -61,7 +74,7 @@ def with_time(frames: DataFrame, fps: float) -> DataFrame:
 def pick_mask(candidates: DataFrame) -> DataFrame:
     """The name of the table (name, val) that holds only 0 and 1 with the largest sum; ties to the first name."""
     sums = candidates.groupBy("name").agg(F.min(F.col("val").isin(0, 1)).alias("ok"), F.sum("val").alias("n")).where("ok")
-    return sums.agg(F.max_by(F.struct("name", "n"), F.struct("n")).alias("m")).select(F.col("m.name").alias("name"), F.col("m.n").alias("n"))
+    return sums.agg(F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), F.col("name"))).alias("m")).select(F.col("m.name").alias("name"), F.col("m.n").alias("n"))
 
 
 def shapes_agree(meta: DataFrame) -> DataFrame:

@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 #: Fields of a session, in the order of its schema (fixed values).
 FIELDS = "u v Exx Exy Eyy Eeff Vx Vy Veff du_dx du_dy dv_dx dv_dy dVx_dx dVx_dy dVy_dx dVy_dy Exx_rate Exy_rate Eyy_rate Eeff_rate corr".split()
-#: name -> label, unit of the fields a viewer offers (fixed values).
-CATALOG = {
-    "u": ("Displacement U", "px"), "v": ("Displacement V", "px"), "Exx": ("Strain Exx", ""), "Eyy": ("Strain Eyy", ""), "Exy": ("Strain Exy", ""), "Eeff": ("Effective strain", ""),
-    "Vx": ("Velocity Vx", "px/s"), "Vy": ("Velocity Vy", "px/s"), "Veff": ("Velocity magnitude", "px/s"),
-    "Exx_rate": ("Strain rate Exx", "1/s"), "Eyy_rate": ("Strain rate Eyy", "1/s"), "Exy_rate": ("Strain rate Exy", "1/s"), "Eeff_rate": ("Effective strain rate", "1/s"),
+#: quantity -> unit and its fields, by rank of the quantity.
+QUANTITIES = {
+    "displacement": ("px", {"u": "x", "v": "y"}),
+    "velocity": ("px/s", {"Vx": "x", "Vy": "y", "Veff": "speed"}),
+    "strain": ("1", {"Exx": "xx", "Eyy": "yy", "Exy": "xy", "Eeff": "effective"}),
+    "strain rate": ("1/s", {"Exx_rate": "xx", "Eyy_rate": "yy", "Exy_rate": "xy", "Eeff_rate": "effective"}),
 }
 DEFAULTS = {"fps": 1.0}
 
 
 def field_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in CATALOG.items()], "name string, label string, unit string")
+    """name, quantity, component and unit of every field that a viewer offers."""
+    rows = [(name, quantity, part, unit) for quantity, (unit, fields) in QUANTITIES.items() for name, part in fields.items()]
+    return spark.createDataFrame(rows, "name string, quantity string, component string, unit string")
+
+
+def long_form(field: DataFrame) -> DataFrame:
+    """frame_idx, y, x, name, value, quantity, component and unit: one row per present value of a catalogued field."""
+    names = [c for _, fields in QUANTITIES.values() for c in fields if c in field.columns]
+    values = field.unpivot(["frame_idx", "y", "x"], names, "name", "value").where("value is not null")
+    # The catalogue has one row per field of the schema, hence the broadcast.
+    return values.join(field_dim(field.sparkSession).hint("broadcast"), "name").select("frame_idx", "y", "x", "name", "value", "quantity", "component", "unit")
 
 
 def write_session(field: DataFrame, roi: DataFrame, meta: dict, path: str) -> None:
@@ -39,14 +50,14 @@ def read_session(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataF
     return meta, spark.read.parquet(f"{path}/roi"), full
 
 
-def write_mask(mask: DataFrame, path: str) -> None:
-    mask.select("y", "x", F.lit(255).alias("val")).write.mode("overwrite").parquet(path)
+def write_mask(mask: DataFrame, path: str, keys: tuple[str, ...] = ()) -> None:
+    mask.select(*keys, "y", "x", F.lit(255).alias("val")).write.mode("overwrite").parquet(path)
 
 
 def csv_rows(field: DataFrame, c: str, frame_idx: int, h: int, w: int) -> DataFrame:
     """y and the comma-separated line of each row of the dense matrix; missing values are nan."""
     rows = field.sparkSession.range(h).select(F.col("id").cast("int").alias("y"))
-    cells = rows.select("y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).join(field.where(F.col("frame_idx") == frame_idx).select("y", "x", F.col(c).alias("v")), ["y", "x"], "left")
+    cells = rows.select("y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).join(field.where(F.col("frame_idx") == frame_idx).select("y", "x", F.col(c).alias("v")).hint("merge"), ["y", "x"], "left")
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.coalesce(F.col("v").cast("string"), F.lit("nan")).alias("s")))), lambda s: s["s"]), ",")
     return cells.groupBy("y").agg(line.alias("line"))
 

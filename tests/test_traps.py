@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import expressions as X
 from fieldloom.operators import grid, kinematics, masks, matching, stats
+from fieldloom.sources import frames, session
 
 FIELD = "frame_idx int, y int, x int, u double, v double"
 
@@ -96,3 +97,52 @@ def test_planted_shift_is_found(spark):
     seeds = spark.createDataFrame([(1, 12, 12)], "id int, y int, x int")
     got = matching.template_match(seeds, px(0), px(1), 24, 24, 4, 4).first()
     assert (got["u0"], got["v0"], got["score"]) == (1, 2, 1.0)
+
+
+def test_empty_windows_and_absent_frames_have_no_gradient(spark):
+    rows = [(f, y, x, 0.0, 0.0, 1.0 * x, 0.0) for f, n in ((0, 15), (1, 3)) for y in range(0, n, 3) for x in range(0, 60, 3) if f == 0 or x > 45]
+    fit = kinematics.plane_fit(frame(spark, rows, FIELD + ", Vx double, Vy double"), ["Vx", "Vy"], 6, 3).collect()
+    assert len(fit) == 200 and all((r["dVx_dx"] is None) == (r["frame_idx"] == 1) for r in fit)
+
+
+def test_gradient_far_from_the_origin(spark):
+    o = 10_000_000
+    rows = [(0, o + y, o + x, 0.0, 0.0, 2.0 * x, 0.5 * y) for y in range(0, 15, 3) for x in range(0, 15, 3)]
+    fit = kinematics.plane_fit(frame(spark, rows, FIELD + ", Vx double, Vy double"), ["Vx", "Vy"], 6, 3).collect()
+    assert all(abs(r["dVx_dx"] - 2) < 1e-9 and abs(r["dVy_dy"] - 0.5) < 1e-9 for r in fit)
+
+
+def test_normalising_a_constant_field(spark):
+    field = frame(spark, [(0, 0, x, 1e6, 1e6) for x in range(3)] + [(0, 0, 9, None, 0.0)])
+    got = stats.normalize(field, "u", stats.scale_range(stats.robust_range(field, "u"), False)).orderBy("x").collect()
+    assert [r["u_norm"] for r in got] == [0.0, 0.0, 0.0, None]
+
+
+def test_warp_without_inverse_is_null(spark):
+    zero, minus = F.lit(0.0), F.lit(-1.0)
+    got = spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(X.compose_affine([zero] * 6, [zero, zero, minus, zero, zero, minus]))]).first()
+    assert list(got) == [None] * 6
+
+
+def test_files_are_listed_by_extension(spark, tmp_path):
+    for name in ("a.PNG", "b.txt", "c.jpeg", "d"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.png").write_bytes(b"x")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in frames.scan_frames(spark, f"file://{tmp_path}").collect()) == ["a.PNG", "c.jpeg"]
+
+
+def test_ranks_cover_all_rows_in_order(spark):
+    rows = spark.range(1000).selectExpr("cast(id * 7919 % 1000 as string) as path")
+    got = {r["path"]: r["rn"] for r in frames.ranked(rows, ["path"]).collect()}
+    assert got == {p: i for i, p in enumerate(sorted(map(str, range(1000))))}
+
+
+def test_mask_choice_breaks_ties_by_name(spark):
+    rows = [("b", 1), ("a", 1), ("c", 2)]
+    assert tuple(frames.pick_mask(spark.createDataFrame(rows, "name string, val int")).first()) == ("a", 1)
+
+
+def test_csv_export(spark, tmp_path):
+    session.export_csv(frame(spark, [(0, 0, 1, 2.0, 0.5)]), 0, 2, 2, f"file://{tmp_path}/out")
+    assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/out_u.csv").collect()] == ["nan,2.0", "nan,nan"]
