@@ -6,21 +6,26 @@ frequencies; an unseen one falls back to the longest n-gram length at which any
 of its n-grams is known, down to single characters, and scores by their mean.
 A text's language has the highest sum with the log share of the language added.
 
-The fit reads at most about ``fit_docs`` labelled documents, chosen by a hash of
-their id; every document is scored on its whole text.
+The fit reads at most ``fit_docs`` labelled documents, those whose ids have the
+smallest hashes; every document is scored on its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 ties go to the first language in sorted order; an empty training set makes
-every text ``und``; a document with null id or null lang is never learned from.
+every text ``und``; a document with null id or null lang is never learned from;
+repeated rows each get a result, and an empty table gives an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import map_arrow, narrow, record, slices
+from fieldloom.runtime import materialise
 
 #: Bounds of the model: documents it is fitted on, words and n-grams it keeps.
 FIT_DOCS, WORDS, GRAMS, LONGEST = 10_000, 30_000, 20_000, 4
 #: Unseen words whose backoff a worker remembers.
 MEMO = 100_000
 SCHEMA = "doc_id long, lang_pred string, score double"
-#: Runs of letters and marks are words; everything else separates them.
+#: Runs of letters and marks are words, in the fit as in a prediction; everything else separates them.
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 
 
@@ -94,10 +100,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@cache
+def letters() -> re.Pattern[str]:
+    """Runs of the characters whose category is a letter or a mark, as one class of ranges."""
+    is_one = [unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(is_one)) if is_one[c] != (c > 0 and is_one[c - 1])]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]+")
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters (and the few other numerals that are no decimal digits); none if no letter is among them."""
-    found = re.findall(r"[^\W\d_]+", text.lower())
-    return found if any(c.isalpha() for w in found for c in w[:1]) or any(c.isalpha() for w in found for c in w) else []
+    """Runs of letters and marks, in lower case; none if no letter is among them."""
+    found = letters().findall(text.lower())
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 def log_shares(rows: list, langs: list[str], key: str) -> tuple[list[str], np.ndarray]:
@@ -113,8 +127,10 @@ def log_shares(rows: list, langs: list[str], key: str) -> tuple[list[str], np.nd
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """The bounded model. What reaches the driver is the model alone: WORDS words and GRAMS n-grams of each length."""
     base = narrow(train, id_col, text_col, lang_col).toDF("id", "text", "lang").where("id is not null and lang is not null and text is not null")
-    share = min(1.0, fit_docs / max(1, base.count()))
-    base = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    ids = materialise(base.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_docs), "fit")
+    # The sample has a fixed number of ids at most, hence the broadcast; of a repeated id one row counts.
+    base = base.join(ids.hint("broadcast"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    base = materialise(base.select("row.lang", "row.text"), "fit")
     prior = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(prior)
     if not langs:

@@ -2,7 +2,7 @@
 
 A naive Bayes classifier over hashed word beginnings and endings is fitted on a
 bounded sample of a labelled table and gives every document a posterior q over
-the domains. Documents get nonnegative rates r that minimise the squared
+the domains. Documents get nonnegative rates r (of at most ``most``, where one is set) that minimise the squared
 distance between the expected token totals of the domains, sum(n * q * r), and
 the targets, by projected gradient from r = 1. The gradient is scaled by the
 inverse of M = sum(n * q * q') over the documents whose rate isn't zero, and the
@@ -35,6 +35,8 @@ from fieldloom.runtime import materialise
 #: the other domains. Weaker signs would add up over long texts.
 BUCKETS, FIT_DOCS, EVIDENCE, EFFECT = 1 << 15, 10_000, 5.0, 3.5
 STEPS, CHAIN, TOLERANCE = 40, 6, 1e-6
+#: Share of M that documents off their bounds must have for a step by its inverse, and of its largest eigenvalue for a direction to count.
+FREE, FLAT = 0.01, 1e-4
 
 #: domain -> condition on a row of labels; the first that holds counts.
 GRADES = {"toxic": "toxic = 1", "poor": "quality = 0", "clean": "quality = 1"}
@@ -50,11 +52,10 @@ class Model:
     priors: tuple[list[float], list[float]] = ((), ())
 
 
-def words(docs: DataFrame, *more: str) -> DataFrame:
-    """One row per word of each row of ``docs``; ``row`` tells rows apart whatever their ids."""
-    base = docs.select("doc_id", "text", *more).withColumn("row", F.monotonically_increasing_id())
-    word = F.explode(F.split(F.translate(F.lower("text"), "\t\n\x0b\x0c\r", "     "), " ")).alias("word")
-    return base.select("doc_id", "row", *more, word).where("word != ''")
+def words_of(text: Column) -> Column:
+    """The words of a text as an array; none of a null text."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def features(word: Column) -> list[Column]:
@@ -63,6 +64,11 @@ def features(word: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int") for x in (head, tail)]
 
 
+def buckets_of(words: Column) -> Column:
+    """The buckets of all words, in the row: no word becomes a row of its own."""
+    return F.flatten(F.transform(words, lambda w: F.array(*features(w))))
+
+
 def labelled(labels: DataFrame, domains: dict[str, str], fit_docs: int = FIT_DOCS) -> DataFrame:
     """doc_id, domain (its place in ``domains``); ``fit_docs`` rows at most, chosen by a hash of the id."""
     place = F.coalesce(*[F.when(F.expr(rule), i) for i, rule in enumerate(domains.values())])
@@ -73,11 +79,12 @@ def labelled(labels: DataFrame, domains: dict[str, str], fit_docs: int = FIT_DOC
 def fit(docs: DataFrame, labels: DataFrame, domains: dict[str, str], fit_docs: int = FIT_DOCS) -> Model:
     names, k = list(domains), len(domains)
     sample = materialise(labelled(labels, domains, fit_docs), "labelled")
-    # The sample has a fixed number of rows at most, hence the broadcast.
-    rows = words(narrow(docs, "doc_id", "text").join(sample.hint("broadcast"), "doc_id"), "domain")
+    # The sample has a fixed number of ids at most, hence the broadcast; a repeated id counts once.
+    found = narrow(docs, "doc_id", "text").join(sample.hint("broadcast"), "doc_id").groupBy("doc_id", "domain").agg(F.max("text").alias("text"))
+    found = materialise(found.withColumn("words", words_of(F.col("text"))).select("domain", F.size("words").cast("long").alias("n_tokens"), buckets_of(F.col("words")).alias("buckets")), "sample")
     of = [F.count_if(F.col("domain") == i).alias(f"c{i}") for i in range(k)]
     # Documents are counted, not words: a word repeated in one text is one piece of evidence.
-    counts = rows.select("row", "domain", F.explode(F.array(*features(F.col("word")))).alias("bucket")).distinct().groupBy("bucket").agg(*of).collect()
+    counts = found.select("domain", F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(*of).collect()
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     c = np.zeros((k, BUCKETS))
     for r in counts:
@@ -88,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: dict[str, str], fit_docs: i
     weight = np.log((c + 0.5) / (expected + 0.5)) - np.log((others + 0.5) / (other_expected + 0.5))
     weight[(np.abs(c - expected) < EVIDENCE * np.sqrt(expected + 1)) | (np.abs(weight) < EFFECT)] = 0
     model = Model(names, {n: np.round(weight[i], 6).tolist() for i, n in enumerate(names)})
-    signs = evidence(narrow(docs, "doc_id", "text").join(sample.hint("broadcast"), "doc_id"), model, "domain")
+    signs = found.select("domain", *evidence(F.col("buckets"), model))
     prior = np.ones((2, k))
     for r in signs.groupBy(shows(names).alias("shown"), "domain").agg(F.count("*").alias("n")).collect():
         prior[int(r["shown"]), r["domain"]] += r["n"]
@@ -106,84 +113,130 @@ def shows(names: list[str]) -> Column:
     return F.greatest(F.lit(0.0), *[F.col(f"s_{n}") for n in names]) > 0
 
 
-def evidence(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """doc_id, n_tokens and s_<domain>, the summed log ratios, of every row of ``docs``."""
-    names, buckets = model.domains, features(F.col("word"))
-    sums = [F.sum(sum((F.get(literal(model.weights[n]), b) for b in buckets), F.lit(0.0))).alias(f"s_{n}") for n in names]
-    found = words(docs, *more).groupBy("doc_id", "row", *more).agg(F.count("*").alias("n_tokens"), *sums).drop("row")
-    # Texts without a word yield no row above.
-    blank = ~F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "", F.lit(False))
-    return found.unionByName(docs.where(blank).select("doc_id", *more, F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(f"s_{n}") for n in names]))
+def evidence(buckets: Column, model: Model) -> list[Column]:
+    """s_<domain>, the summed log ratios of a row's buckets."""
+    total = lambda n: F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(literal(model.weights[n]), b)) if any(model.weights[n]) else F.lit(0.0)
+    return [total(n).alias(f"s_{n}") for n in model.domains]
 
 
-def posteriors(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens and q_<domain> of every row of ``docs``."""
+def posteriors(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """``keep``, n_tokens and q_<domain> of every row of ``rows``, whose text is in the column ``text``.
+
+    All of it happens within the row: no shuffle, no row more than there are texts.
+    """
     names = model.domains
+    cut = rows.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, F.size("words").cast("long").alias("n_tokens"), buckets_of(F.col("words")).alias("buckets"))
+    summed = cut.select(*keep, "n_tokens", *evidence(F.col("buckets"), model))
     shown = shows(names)
     logs = {n: F.col(f"s_{n}") + F.when(shown, with_).otherwise(without) for n, without, with_ in zip(names, *model.priors, strict=True)}
     top = F.greatest(*logs.values()) if len(logs) > 1 else next(iter(logs.values()))
-    raw = evidence(docs, model).select("doc_id", "n_tokens", *[F.exp(v - top).alias(f"e_{n}") for n, v in logs.items()])
+    raw = summed.select(*keep, "n_tokens", *[F.exp(v - top).alias(f"e_{n}") for n, v in logs.items()])
     whole = sum((F.col(f"e_{n}") for n in names), F.lit(0.0))
-    return raw.select("doc_id", "n_tokens", *[(F.col(f"e_{n}") / whole).alias(f"q_{n}") for n in names])
+    return raw.select(*keep, "n_tokens", *[(F.col(f"e_{n}") / whole).alias(f"q_{n}") for n in names])
 
 
-def rates(members: DataFrame, targets: dict[str, float], anchor: str, steps: int = STEPS) -> DataFrame:
-    """``members`` (n_tokens, q_<domain>) with the column rate.
+@dataclass
+class Mixture:
+    """A fitted mixture: the rate of a document follows from its posterior by ``steps`` of the descent.
+
+    ``residual`` is the distance of the expected totals to the targets, over the sum of the targets.
+    """
+
+    model: Model
+    steps: list[list[float]]
+    most: float | None
+    residual: float
+
+    def rate(self) -> Column:
+        rate = F.lit(1.0)
+        for y in self.steps:
+            rate = stepped(rate, y, self.model.domains, self.most)
+        return rate
+
+
+def stepped(rate: Column, y: list[float], names: list[str], most: float | None) -> Column:
+    """One step against the gradient, back onto [0, most]."""
+    slope = sum((F.col(f"q_{n}") * float(v) for n, v in zip(names, y, strict=True)), F.lit(0.0))
+    rate = F.greatest(F.lit(0.0), rate - slope)
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def descend(members: DataFrame, targets: dict[str, float], anchor: str, most: float | None = None, steps: int = STEPS) -> tuple[list[list[float]], float]:
+    """The steps from rate 1 that bring the expected tokens of ``members`` (n_tokens, q_<domain>) to the targets, and the residual.
 
     The token budget is such that the expected tokens of domain ``anchor`` stay
     what they are: target k is its weight over the anchor's, times the anchor's tokens.
+    Rates lie in [0, most]; where that bound keeps the targets from being met, the
+    descent ends at the least distance it finds.
     """
     names = list(targets)
     n, q = F.col("n_tokens").cast("double"), [F.col(f"q_{k}") for k in names]
     pairs = [(i, j) for i in range(len(q)) for j in range(i, len(q))]
 
     def sums(frame: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of the domains at ``rate``, and M over the documents whose rate isn't zero."""
-        live = F.when(rate > 0, n)
-        got = frame.agg(*[F.sum(n * x * rate).alias(f"b{i}") for i, x in enumerate(q)], *[F.sum(live * q[i] * q[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        """Expected tokens of the domains at ``rate``, and M over the documents whose rate isn't at a bound."""
+        free = F.when((rate > 0) if most is None or frame is members else (rate > 0) & (rate < most), n)
+        got = frame.agg(*[F.sum(n * x * rate).alias(f"b{i}") for i, x in enumerate(q)], *[F.sum(free * q[i] * q[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
         m = np.zeros((len(q), len(q)))
         for i, j in pairs:
             m[i, j] = m[j, i] = got[f"m{i}_{j}"] or 0.0
         return np.array([got[f"b{i}"] or 0.0 for i in range(len(q))]), m
 
-    state, size = members.withColumn("rate", F.lit(1.0)), 1.0
-    have, m = sums(state, F.col("rate"))
+    have, m = sums(members, F.lit(1.0))
+    state, size, taken = members.withColumn("rate", F.lit(1.0)), 1.0, []
+    whole = m
     goal = np.array([targets[k] for k in names]) / targets[anchor] * have[names.index(anchor)]
-    gap, taken = have - goal, 0
+    gap = have - goal
     off = lambda g: float(np.linalg.norm(g) / max(1.0, np.abs(goal).sum()))
     for _ in range(steps):
         if off(gap) < TOLERANCE or size < 1e-3:
             break
-        y = size * (np.linalg.pinv(m + np.eye(len(q)) * 1e-9 * max(1.0, np.trace(m))) @ gap)
-        slope = sum((x * float(v) for x, v in zip(q, y, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.col("rate") - slope)
+        # Where hardly any document is off its bounds, M says nothing of the rest: then the plain gradient shows the way.
+        scale = m if np.trace(m) > FREE * np.trace(whole) else np.eye(len(q)) * np.linalg.eigvalsh(whole)[-1]
+        y = (size * (np.linalg.pinv(scale, rcond=FLAT) @ gap)).tolist()
+        rate = stepped(F.col("rate"), y, names, most)
         now, m_now = sums(state, rate)
         if off(now - goal) > off(gap) * (1 - 1e-4):
             size /= 2  # no descent: a shorter step from the same place
             continue
-        state, gap, m, size, taken = state.withColumn("rate", rate), now - goal, m_now, min(1.0, 2 * size), taken + 1
-        if taken % CHAIN == 0:  # else the expression grows with every step
+        state, gap, m, size = state.withColumn("rate", rate), now - goal, m_now, min(1.0, 2 * size)
+        taken.append(y)
+        if len(taken) % CHAIN == 0:  # else the expression grows with every step
             state = materialise(state, "rates")
-    return state
+    return taken, off(gap)
 
 
-def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, anchor: str = "clean", fit_docs: int = FIT_DOCS) -> DataFrame:
-    """doc_id, n_tokens, q_<domain> and rate of every document."""
+def fit_mixture(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, anchor: str = "clean", most: float | None = None, fit_docs: int = FIT_DOCS) -> tuple[Mixture, DataFrame]:
+    """The mixture that meets ``targets`` with rates of ``most`` at most, and doc_id, n_tokens, q_<domain> of every document."""
     targets = targets or TARGETS
     docs = narrow(docs, "doc_id", "text")
-    members = materialise(posteriors(docs, fit(docs, labels, domains or GRADES, fit_docs)), "posteriors")
-    return rates(members, targets, anchor)
+    model = fit(docs, labels, domains or GRADES, fit_docs)
+    members = materialise(posteriors(docs, model, "doc_id"), "posteriors")
+    steps, residual = descend(members, {k: targets[k] for k in model.domains}, anchor, most)
+    return Mixture(model, steps, most, residual), members
+
+
+def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, targets: dict[str, float] | None = None, anchor: str = "clean", most: float | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """doc_id, n_tokens, q_<domain>, rate and residual (the same in every row) of every document."""
+    mixture, members = fit_mixture(docs, labels, domains, targets, anchor, most, fit_docs)
+    return members.withColumns({"rate": mixture.rate(), "residual": F.lit(mixture.residual)})
 
 
-def sample(docs: DataFrame, mixed: DataFrame, repeats: bool = True) -> DataFrame:
+def sample(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """Each document as often as its rate says: the whole part, and once more for the rest by a hash of its id.
 
-    Without ``repeats`` a rate over one counts as one.
+    Rates are computed in each row from its own text, so texts stay where they
+    are and columns of any name stay as they are; rows that repeat an id and a
+    text are kept or left together. A null id is drawn as one id, a null or blank text by
+    the prior. Rates count in hundredths, so that a rate a hair under 1 loses no
+    document. A mixture with ``most`` = 1 repeats nothing. An empty table stays empty.
     """
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.max("rate"), 6).alias("_rate"))
-    both = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["_id"]), "left")
-    n = F.coalesce(F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("int"), F.lit(1)).cast("int")
-    if not repeats:
-        return both.where(n > 0).select(*docs.columns)
-    return both.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), docs["text"].alias("text"))
+    # Zero times the partition's number keeps the condition on the rate from being computed anew, below all columns that it is made of.
+    rated = posteriors(rows, mixture.model, "row", "id").select("row", "id", (F.round(mixture.rate(), 2) + 0 * F.spark_partition_id()).alias("rate"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    kept = rated.where(times > 0)
+    if mixture.most is None or mixture.most > 1:
+        kept = kept.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy"))
+    return kept.select("row.*")

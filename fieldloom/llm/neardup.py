@@ -17,7 +17,8 @@ Two classes of similarity 0.8 share no bucket with probability 3e-6.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a document with null id is linked with nothing and kept; rows that
-repeat an id are one node; an empty table gives an empty result.
+repeat an id are compared by their own texts each; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import BROADCAST_CELLS, map_arrow, narrow, record, sized, slices
-from fieldloom.llm.graph import merged
-from fieldloom.runtime import materialise
+from fieldloom.llm.common import look_up, map_arrow, narrow, record, slices
+from fieldloom.operators.graph import merged
+from fieldloom.runtime import BROADCAST_CELLS, discard, materialise, sized
 
 RING_BITS, BANDS, ROWS, SEED = 20, 32, 5, 20_220_101
 SHINGLE, SIMILARITY = 5, 80
 #: Members of a bucket that are worth another pivot; members in a block.
 LARGE, BLOCK, PIVOTS = 64, 64, 3
+#: Blocks in a group. One class in so many is looked at to find frequent keys; members that make a key frequent; such keys at most.
+GROUP, SAMPLED, HOT_MEMBERS, HOT_KEYS = 16, 64, 512, 1024
 
 _WINDOWS: dict[int, np.ndarray] = {}
 
@@ -88,6 +91,11 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def digest(items: bytes) -> tuple[int, int]:
+    d = np.frombuffer(xxhash.xxh3_128_digest(items), dtype=np.int64)
+    return int(d[0]), int(d[1])
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """id, n (set size), d1 and d2 (digest of the set) and bands of every document."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -98,23 +106,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for text in part.column(1).to_pylist():
                 s = shingles(text, k)
                 n.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                digests.append(digest(s.tobytes()))
                 found.append(bands(signature(s)) if len(s) else None)
-            d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield record(schema, part.column(0), n, d[:, 0], d[:, 1], found)
+            yield record(schema, part.column(0), n, *zip(*digests, strict=True), found)
 
     return map_arrow(docs, kernel, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, k: int, cells: int) -> DataFrame:
-    """id, items (the sorted set as bytes) of the documents named by ``ids`` (id)."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+def sets(docs: DataFrame, wanted: DataFrame, k: int, cells: int) -> DataFrame:
+    """node, items (the sorted set as bytes) of the classes in ``wanted`` (id, d1, d2, node), taken from a row with that id and digest."""
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield record(schema, part.column(0), [shingles(t, k).tobytes() for t in part.column(1).to_pylist()])
+        for part in slices(batches, 3):
+            nodes, d1, d2, texts = (part.column(i).to_pylist() for i in range(4))
+            data = [shingles(t, k).tobytes() for t in texts]
+            ok = [i for i, x in enumerate(data) if digest(x) == (d1[i], d2[i])]
+            if ok:
+                yield record(schema, [nodes[i] for i in ok], [data[i] for i in ok])
 
-    return map_arrow(docs.join(sized(ids, cells), "id", "left_semi"), kernel, "id long, items binary").dropDuplicates(["id"])
+    found = docs.join(sized(wanted, cells), "id").select("node", "d1", "d2", "text")
+    return map_arrow(found, kernel, "node long, items binary").dropDuplicates(["node"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -137,8 +149,8 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int, cells: int) -> Data
             yield record(schema, [a[i] for i in ok], [b[i] for i in ok])
 
     known = sized(pairs, cells)
-    left = items.select(F.col("id").alias("a"), F.col("items").alias("x")).join(known, "a")
-    right = items.select(F.col("id").alias("b"), F.col("items").alias("y")).join(known.select("b"), "b", "left_semi")
+    left = items.select(F.col("node").alias("a"), F.col("items").alias("x")).join(known, "a")
+    right = items.select(F.col("node").alias("b"), F.col("items").alias("y")).join(known.select("b"), "b", "left_semi")
     full = left.join(right.hint("merge"), "b").select("ca", "cb", "x", "y")
     return map_arrow(full, kernel, "a long, b long").distinct()
 
@@ -153,7 +165,7 @@ def similar(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
 
 
 def verify_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from the ``left`` and ``right`` members (comp, items) of each row."""
+    """Links (a, b) between components, from the members (comp, items) of each row's two sides."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     load = lambda side: [(m["comp"], np.frombuffer(m["items"], np.uint64)) for m in side.as_py()]
 
@@ -175,74 +187,110 @@ def verify_blocks(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of all rows, and one row (rep, n, bands) for each set that several or one row has."""
+    """The signatures of all rows, and one row (rep, node, n, d1, d2, bands) for each set that several or one row has.
+
+    A class's node is its smallest id, or a hash of its digest where several classes have that id.
+    """
     base = materialise(signatures(docs, k), "signatures")
     reps = base.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    return base, materialise(reps, "classes")
+    reps = materialise(reps, "classes")
+    shared = materialise(reps.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1").select("rep"), "shared")
+    if shared.isEmpty():
+        return base, reps.withColumn("node", F.col("rep"))
+    flagged = reps.join(sized(shared.withColumn("again", F.lit(True))), "rep", "left")
+    return base, materialise(flagged.withColumn("node", F.when(F.col("again"), F.xxhash64("rep", "d1", "d2")).otherwise(F.col("rep"))).drop("again"), "classes")
 
 
 def labels_of(members: DataFrame, comp: DataFrame, cells: int) -> DataFrame:
-    """``members`` with the component of each representative; one without links is its own."""
-    return members.join(sized(comp.withColumnRenamed("node", "rep"), cells), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    """``members`` with the component of each node; one without links is its own."""
+    return members.join(sized(comp, cells), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def bucketed(reps: DataFrame) -> DataFrame:
+    """node, n, key, pivot (smallest node), pn and size: the members of every bucket of two classes or more; written.
+
+    Keys that look frequent in a sample are counted by partial sums and meet
+    their buckets by broadcast, as there are HOT_KEYS of them at most; all others
+    are dealt by key, once for the count and the join. The sample decides about
+    the way only: every bucket is complete.
+    """
+    keyed = reps.select("node", "n", F.explode("bands").alias("key"))
+    seen = keyed.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT_MEMBERS)
+    hot = materialise(seen.orderBy(F.desc("m"), "key").limit(HOT_KEYS).select("key"), "hot").hint("broadcast")
+    count = lambda rows: rows.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.count("*").alias("size")).where("size > 1")
+    rare = keyed.join(hot, "key", "left_anti").repartition("key")
+    often = keyed.join(hot, "key", "left_semi")
+    return materialise(rare.join(count(rare).hint("merge"), "key").unionByName(often.join(count(often).hint("broadcast"), "key")), "members")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every document."""
     docs = narrow(docs, id_col, text_col).toDF("id", "text")
     base, reps = classes(docs, shingle)
-    # One shuffle by key serves both the count and the join, which read the same columns.
-    keyed = reps.select("rep", "n", F.explode("bands").alias("key")).repartition("key")
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(keyed.join(buckets.hint("merge"), "key"), "members")
-    candidates = materialise(members.select(F.col("rep").alias("id")).distinct(), "candidates")
-    items = materialise(sets(docs, candidates, shingle, cells), "sets")
+    members = bucketed(reps)
+    wanted = reps.join(sized(members.select("node").distinct(), cells), "node", "left_semi").select(F.col("rep").alias("id"), "d1", "d2", "node")
+    items = materialise(sets(docs, materialise(wanted, "candidates"), shingle, cells), "sets")
     near = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
 
-    pairs = members.where((F.col("rep") != F.col("pivot")) & near).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = members.where((F.col("node") != F.col("pivot")) & near).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = materialise(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")
     comp = merged(None, materialise(verify(pairs, items, percent, cells), "links"), cells)
     crowds = not members.where(F.col("size") > large).isEmpty()
     for turn in range(1, PIVOTS if crowds else 1):
         now = materialise(labels_of(members.where(F.col("size") > large).drop("pivot", "pn"), comp, cells), "labelled")
         # A bucket's next pivot is one of its main component: first by a hash that changes from turn to turn.
-        count = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("p"))
-        mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "p"), F.struct("m", "comp")).alias("main")).where("comps > 1").select("key", F.col("main.comp").alias("main"), F.col("main.p.rep").alias("b"), F.col("main.p.n").alias("pn"))
-        pairs = now.join(mixed.hint("merge"), "key").where((F.col("comp") != F.col("main")) & near).select(F.col("rep").alias("a"), "b", F.col("comp").alias("ca"), F.col("main").alias("cb")).distinct()
+        count = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "p"), F.struct("m", "comp")).alias("main")).where("comps > 1").select("key", F.col("main.comp").alias("main"), F.col("main.p.node").alias("b"), F.col("main.p.n").alias("pn"))
+        pairs = look_up(now, materialise(mixed, "mixed"), ["key"], cells).where((F.col("comp") != F.col("main")) & near).select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), F.col("main").alias("cb")).distinct()
         pairs = materialise(pairs, "pairs")
+        discard(now)
         if pairs.isEmpty():
             break
         comp = merged(comp, materialise(verify(pairs, items, percent, cells), "links"), cells)
 
     now = materialise(labels_of(members.where("size > 2"), comp, cells), "labelled")
-    comp = merged(comp, materialise(rest(now, items, percent), "links"), cells)
-    return result(base, reps, comp, id_col)
+    comp = merged(comp, materialise(rest(now, items, percent, cells), "links"), cells)
+    discard(now, members, items)
+    return result(base, reps, comp, id_col, cells)
 
 
-def rest(now: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Links that a pivot has not shown: members outside the main component of their bucket against all others there."""
+def rest(now: DataFrame, items: DataFrame, percent: int, cells: int) -> DataFrame:
+    """Links that a pivot has not shown: members outside the main component of their bucket against all others there.
+
+    Members stand in blocks of about BLOCK, blocks of the right side in groups
+    of GROUP. A task's unit is one left block against one group, so neither
+    work nor memory of a unit grows with the bucket.
+    """
     count = now.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where("comps > 1").drop("comps")
-    rows = now.select("key", "rep", "comp").join(mixed.hint("merge"), "key")
-    block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / BLOCK)).cast("int")
-    data = items.withColumnRenamed("id", "rep")
-    rows = rows.join(data.hint("merge"), "rep").select("key", "comp", "main", block(1, "all").alias("block"), F.struct("comp", "items").alias("member"))
-    # Blocks hold about BLOCK members each, because their number follows the size of the bucket.
-    right = rows.groupBy("key", "block").agg(F.collect_list("member").alias("right"))
-    left = rows.where("comp != main").groupBy("key", F.col("block").alias("own")).agg(F.collect_list("member").alias("left"))
-    return verify_blocks(left.join(right.hint("merge"), "key").select("left", "right"), percent).distinct()
-
-
-def result(base: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
+    mixed = count.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max_by(F.struct("comp", "m"), F.struct("m", "comp")).alias("main")).where("comps > 1")
+    mixed = materialise(mixed.select("key", F.col("main.comp").alias("main"), "all", (F.col("all") - F.col("main.m")).alias("out")), "mixed")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), blocks(n)).cast("int")
+    rows = look_up(now, mixed, ["key"], cells).where("main is not null").join(items.hint("merge"), "node")
+    rows = materialise(rows.select("key", "comp", "main", "all", "out", block(1, "all").alias("right"), block(2, "out").alias("left"), F.struct("comp", "items").alias("member")), "rest")
+    right = rows.groupBy("key", "right").agg(F.collect_list("member").alias("theirs"), F.first("out").alias("out"))
+    right = right.select("key", (F.col("right") / GROUP).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("left"), "theirs")
+    left = rows.where("comp != main").groupBy("key", "left").agg(F.collect_list("member").alias("mine"), F.first("all").alias("all"))
+    left = left.select("key", "left", F.explode(F.sequence(F.lit(0), ((blocks("all") - 1) / GROUP).cast("int"))).alias("group"), "mine")
+    return verify_blocks(left.join(right.hint("merge"), ["key", "left", "group"]).select("mine", "theirs"), percent).distinct()
+
+
+def result(base: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str, cells: int) -> DataFrame:
     """Every row of ``base`` with the component of its class."""
-    known = base.select("id", "n", "d1", "d2")
-    named = materialise(reps.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component")), "named")
-    found = known.join(named.hint("merge"), ["d1", "d2"], "left")
+    named = materialise(labels_of(reps.select("d1", "d2", "rep", "node"), comp, cells), "named")
+    if not named.where("node != rep").isEmpty():  # a component's name is an id, not a hash
+        named = materialise(look_up(named, materialise(named.groupBy("comp").agg(F.min("rep").alias("least")), "names"), ["comp"], cells).withColumn("comp", F.col("least")), "named")
+    found = look_up(base.select("id", "n", "d1", "d2"), named.select("d1", "d2", F.col("comp").alias("component")), ["d1", "d2"], cells)
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, cells: int = BROADCAST_CELLS, **options) -> DataFrame:
-    """One document of each component, with its own columns; an id stays if one of its rows is kept."""
-    ids = near_duplicates(docs, cells=cells, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
+def keep_one(docs: DataFrame, cells: int = BROADCAST_CELLS, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document of each component, with its own columns; an id stays if one of its rows is kept.
+
+    Rows with a null id or a null or blank text stay; repeated rows of a kept id
+    all stay; columns of any name stay as they are; an empty table stays empty.
+    """
+    ids = near_duplicates(docs, cells=cells, id_col=id_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept"))
     gone = materialise(ids.where("not kept").select("_id"), "gone")
-    return docs.join(sized(gone, cells), docs["doc_id"] == gone["_id"], "left_anti")
+    return docs.join(sized(gone, cells), docs[id_col] == gone["_id"], "left_anti")

@@ -19,7 +19,12 @@ def vocabulary() -> str:
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    """Two scans with one ledger: of the part of the corpus that was there before (one blob in eight), then of
+    all of it. The second one passes over every pair of blob and rule version that the first has seen."""
+    docs = table(spark, sf_dir, "documents")
+    before = docs.where(F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 1), 16, 10).cast("int") < 2)
+    ledger = secrets.extend(before.select("text"), None, secrets.RULES)
+    return secrets.digest(secrets.scan(docs, ledger))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_tokens", *[F.round(f"q_{k}", 6).alias(f"q_{k}") for k in mixing.TARGETS], F.round("rate", 6).alias("rate"))
+    return mixed.select("doc_id", "n_tokens", *[F.round(f"q_{k}", 6).alias(f"q_{k}") for k in mixing.TARGETS], F.round("rate", 6).alias("rate"), F.round("residual", 6).alias("residual"))
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

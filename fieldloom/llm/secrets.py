@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import map_arrow, narrow, slices
-from fieldloom.runtime import new_path
+from fieldloom.llm.common import look_up, map_arrow, narrow, slices
+from fieldloom.runtime import BROADCAST_CELLS, materialise, new_path
 
 #: kind -> (pattern, group whose length counts, least length). The first three
 #: are fixed by contract; all are free of look-around, so that other engines
@@ -86,37 +86,43 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: dict[str, tuple[str, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, blob and the spans of every rule in its text.
+def scan(docs: DataFrame, ledger: str | None = None, rules: dict[str, tuple[str, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", cells: int = BROADCAST_CELLS) -> DataFrame:
+    """One row per document: id, blob and the spans of every rule in its text (NULL for none).
 
     ``ledger`` is the path of the Parquet ledger, which this call extends; with
-    None a new one is begun in the shared folder. Each blob crosses the network
-    once however many documents hold it, because copies meet before the shuffle.
+    None a new one is begun in the shared folder. Copies of a blob meet before
+    the shuffle, so each crosses the network once for each task that reads it
+    at most. Findings reach the documents by ``look_up``.
     """
     rules = rules or RULES
+    base = narrow(docs, id_col, text_col).toDF("id", "text")
+    versions = materialise(base.select("id", blob_of(F.col("text")).alias("blob")), "versions")
+    ledger = extend(base, ledger, rules)
+    found = materialise(findings(docs.sparkSession.read.schema(LEDGER).parquet(ledger), rules), "findings")
+    return look_up(versions, found, ["blob"], cells).select(F.col("id").alias(id_col), "blob", "spans")
+
+
+def extend(docs: DataFrame, ledger: str | None, rules: dict[str, tuple[str, int, int]]) -> str:
+    """Scan every blob of ``docs`` (text) with the rule versions that the ledger lacks for it; the ledger's path."""
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "ledger")
-    base = narrow(docs, id_col, text_col).toDF("id", "text")
-    versions = base.select("id", blob_of(F.col("text")).alias("blob"))
     wanted = F.array(*[F.lit(v) for v in rule_versions(rules).values()])
-    todo = base.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("seen"))
     if _exists(spark, ledger):
-        seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rule_versions"))).alias("seen"))
-        pending = versions.select("blob").distinct().join(seen.hint("merge"), "blob", "left").select("blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
-        todo = todo.join(pending.hint("merge"), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
-    else:
-        todo = todo.groupBy("blob").agg(F.first("text").alias("text")).withColumn("pending", wanted)
+        rows = rows.union(spark.read.schema(LEDGER).parquet(ledger).select("blob", F.lit(None).cast("string"), "rule_versions"))
+    blobs = rows.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"), F.flatten(F.collect_list("seen")).alias("seen"))
+    todo = blobs.select("blob", "text", F.array_except(wanted, "seen").alias("pending")).where(F.col("text").isNotNull() & (F.size("pending") > 0))
     map_arrow(todo, scan_kernel(rules), LEDGER).write.mode("append").option("compression", "zstd").parquet(ledger)
-    return versions.join(findings(spark.read.schema(LEDGER).parquet(ledger), rules).hint("merge"), "blob", "left").select(F.col("id").alias(id_col), "blob", "spans")
+    return ledger
 
 
 def findings(ledger: DataFrame, rules: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """blob -> spans of the present rule versions, each pair of blob and version counted once."""
+    """blob -> spans of the present rule versions, each pair of blob and version counted once; blobs without any are left out."""
     now = {v: k for k, v in rule_versions(rules).items()}
     rank = F.create_map(*[x for i, k in enumerate(rules) for x in (F.lit(k), F.lit(i))])
     kinds = F.transform(F.filter("rule_versions", lambda v: v.isin(list(now))), lambda v: F.split_part(v, F.lit("@"), F.lit(1)))
     rows = ledger.withColumn("kinds", kinds).select("blob", F.filter("spans", lambda s: F.array_contains(F.col("kinds"), s["kind"])).alias("spans"))
-    merged = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = rows.where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     keyed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     return merged.select("blob", F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
@@ -139,18 +145,28 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "<secret>", cells: int = BROADCAST_CELLS, **options) -> DataFrame:
     """The documents with every found span replaced by ``mask``; n_chars follows the text.
 
-    Overlapping spans are merged first. Documents without a span stay as they are.
+    Overlapping spans are merged first. Rows without a span stay as they are, a
+    null text among them; columns of any other name stay as they are; repeated
+    rows are each redacted; an empty table stays empty. Texts are moved only
+    where the findings are too many to be broadcast.
     """
-    found = scan(docs, **options).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    ledger = extend(narrow(docs, "text"), options.pop("ledger", None), rules := options.pop("rules", None) or RULES)
+    found = findings(docs.sparkSession.read.schema(LEDGER).parquet(ledger), rules)
+    found = materialise(found.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")), "found")
+    # A blob is 4 numbers, a span one.
+    few = (found.agg(F.sum(F.size("spans") + 4)).first()[0] or 0) <= cells
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), blob_of(docs["text"]).alias("blob"))
+    if few:
+        both = rows.join(found.hint("broadcast"), "blob", "left").select("row", "spans")
+    else:
+        both = look_up(rows, found, ["blob"], 0).select("row", "spans")
+    text = F.col("row.text")
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-        F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
-    both = docs.withColumn("_blob", blob_of(F.col("text"))).join(found.hint("merge"), "_blob", "left")
-    state = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(state)
-    # In a column of its own: beside a new text, a later expression of the same select could read that one.
-    done = both.withColumn("_clean", clean)
-    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))}
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
+    state = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = both.select("row", "spans", F.when(F.col("spans").isNull(), text).otherwise(state).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast("long"))}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, chunks, graph, htmltree, langid, licenses, mixing, neardup, quality, secrets, topk
+from fieldloom.llm import bpe, chunks, htmltree, langid, licenses, mixing, neardup, quality, secrets, topk
 from fieldloom.llm.queries import vocabulary
+from fieldloom.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [None, "", " \n\t ", "a", "é" * 3, "word " * 3000, "x" * 5000]
