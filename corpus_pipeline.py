@@ -36,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with the probability of their rate, so that the domains' tokens meet the targets."""
-    return mixing.sample(docs, mixing.mix(docs, table(spark, sf_dir, "labels"), DOMAINS, TARGETS, "clean"), repeats=False)
+    return mixing.sample(docs, mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), DOMAINS, TARGETS, "clean", most=1.0)[0])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
