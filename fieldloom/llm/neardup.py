@@ -39,8 +39,8 @@ RING_BITS, BANDS, ROWS, SEED = 20, 32, 5, 20_220_101
 SHINGLE, SIMILARITY = 5, 80
 #: Members of a bucket that are worth another pivot; members in a block.
 LARGE, BLOCK, PIVOTS = 64, 64, 3
-#: Blocks in a group. One class in so many is looked at to find frequent keys; members that make a key frequent; such keys at most.
-GROUP, SAMPLED, HOT_MEMBERS, HOT_KEYS = 16, 64, 512, 1024
+#: Blocks in a group. One class in so many is looked at to find frequent keys; members that make a key frequent; such keys at most; tasks that each is dealt over.
+GROUP, SAMPLED, HOT_MEMBERS, HOT_KEYS, SALTS = 16, 64, 512, 1024, 32
 
 _WINDOWS: dict[int, np.ndarray] = {}
 
@@ -209,18 +209,20 @@ def labels_of(members: DataFrame, comp: DataFrame, cells: int) -> DataFrame:
 def bucketed(reps: DataFrame) -> DataFrame:
     """node, n, key, pivot (smallest node), pn and size: the members of every bucket of two classes or more; written.
 
-    Keys that look frequent in a sample are counted by partial sums and meet
-    their buckets by broadcast, as there are HOT_KEYS of them at most; all others
-    are dealt by key, once for the count and the join. The sample decides about
-    the way only: every bucket is complete.
+    Keys that look frequent in a sample, HOT_KEYS of them at most, are dealt over
+    SALTS tasks each; all others are dealt by key. One shuffle serves the count
+    and the join. The sample decides about the way only: every bucket is complete.
     """
     keyed = reps.select("node", "n", F.explode("bands").alias("key"))
     seen = keyed.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT_MEMBERS)
-    hot = materialise(seen.orderBy(F.desc("m"), "key").limit(HOT_KEYS).select("key"), "hot").hint("broadcast")
-    count = lambda rows: rows.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.count("*").alias("size")).where("size > 1")
-    rare = keyed.join(hot, "key", "left_anti").repartition("key")
-    often = keyed.join(hot, "key", "left_semi")
-    return materialise(rare.join(count(rare).hint("merge"), "key").unionByName(often.join(count(often).hint("broadcast"), "key")), "members")
+    hot = materialise(seen.orderBy(F.desc("m"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt")
+    dealt = keyed.join(hot.hint("broadcast"), "key", "left").select("node", "n", "key", salt).repartition("key", "salt")
+    part = dealt.groupBy("key", "salt").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.count("*").alias("size"))
+    whole = part.where("salt >= 0").groupBy("key").agg(F.min("pivot").alias("pivot"), F.min_by("pn", "pivot").alias("pn"), F.sum("size").alias("size"))
+    whole = whole.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "pivot", "pn", "size")
+    known = part.where("salt < 0").unionByName(whole).where("size > 1")
+    return materialise(dealt.join(known.hint("merge"), ["key", "salt"]).drop("salt"), "members")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, cells: int = BROADCAST_CELLS) -> DataFrame:
