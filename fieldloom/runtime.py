@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 #: Numbers that may be broadcast (8 bytes each); larger tables are joined by shuffling.
-BROADCAST_CELLS = 1_000_000
+BROADCAST_CELLS = 250_000
 #: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
 BATCH_BYTES = 4 << 20
 #: Folders written so far, by context.
