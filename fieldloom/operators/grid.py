@@ -6,72 +6,101 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.masks import lattice
+from fieldloom.runtime import discard, materialise
 
 #: Fewer points are not split into domains.
 LEAST_SPLIT = 200
 
 
-def build_grid(mask: DataFrame, h: int, w: int, r: int, s: int) -> DataFrame:
-    """iy, ix, y, x of the lattice points with origin r and pitch s that lie in the mask."""
-    points = lattice(mask.sparkSession, r, h - r, r, w - r, s)
-    inside = points.join(mask.select("y", "x"), ["y", "x"], "left_semi")
-    return inside.select(((F.col("y") - r) / s).cast("int").alias("iy"), ((F.col("x") - r) / s).cast("int").alias("ix"), "y", "x")
+def build_grid(mask: DataFrame, h: int, w: int, r: int, s: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, iy, ix, y, x of the points with origin r and pitch s that lie in the mask."""
+    on = lambda c, n: F.col(c).between(r, n - r - 1) & ((F.col(c) - r) % s == 0)
+    inside = mask.select(*keys, "y", "x").where(on("y", h) & on("x", w)).distinct()
+    return inside.select(*keys, ((F.col("y") - r) / s).cast("int").alias("iy"), ((F.col("x") - r) / s).cast("int").alias("ix"), "y", "x")
 
 
 def disc_offsets(spark: SparkSession, r: int) -> DataFrame:
     return lattice(spark, -r, r + 1, -r, r + 1).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= r * r).select(F.col("y").alias("dy"), F.col("x").alias("dx"))
 
 
-def default_seed(mask: DataFrame) -> DataFrame:
-    return mask.agg(F.floor(F.avg("x")).cast("int").alias("x"), F.floor(F.avg("y")).cast("int").alias("y"))
+def default_seed(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return mask.groupBy(*keys).agg(F.floor(F.avg("x")).cast("int").alias("x"), F.floor(F.avg("y")).cast("int").alias("y"))
 
 
-def snap(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """The nearest grid point of each point (id, x, y); ties go to the first in (y, x).
+def nearest(points: DataFrame, spots: DataFrame, keys: list[str], ids: list[str], carry: list[str], r: int = 1) -> DataFrame:
+    """keys, ids and m (d2, y, x and ``carry``) of the nearest spot (keys, y, x, carry) to each point (keys, ids, y, x).
 
-    Seeds are one per domain, so they are the broadcast side.
+    Ties go to the first in (y, x); points of a group without a spot get none.
+    Both are dealt into squares of side r, and a point meets the spots of its own
+    square and the 8 around it; a spot found is final if its distance is at
+    most r. For the points left r is doubled. Each round is written.
     """
-    p = points.select("id", F.col("y").alias("py"), F.col("x").alias("px")).hint("broadcast")
-    d2 = (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))
-    near = grid.join(p, F.lit(True)).groupBy("id").agg(F.min(F.struct(d2.cast("double").alias("d2"), F.col("y").alias("y"), F.col("x").alias("x"))).alias("m"))
-    return near.select("id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+    todo = materialise(points.join(spots.select(*keys).distinct().hint("merge"), keys, "left_semi") if keys else points, "points")
+    out = None
+    while out is None or not todo.isEmpty():
+        cell = lambda c, o=0: (F.floor(F.col(c) / r) + o).cast("int")
+        around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        asked = todo.select(*keys, *ids, F.col("y").alias("py"), F.col("x").alias("px"), F.explode(around).alias("o")).select(*keys, *ids, "py", "px", (cell("py") + F.col("o.dy")).alias("cy"), (cell("px") + F.col("o.dx")).alias("cx"))
+        held = spots.select(*keys, "y", "x", *carry, cell("y").alias("cy"), cell("x").alias("cx"))
+        d2 = ((F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))).cast("double")
+        met = asked.join(held.hint("merge"), [*keys, "cy", "cx"]).groupBy(*keys, *ids).agg(F.min(F.struct(d2.alias("d2"), "y", "x", *carry)).alias("m"))
+        found = materialise(met.where(F.col("m.d2") <= float(r) * r), "nearest")
+        out = found if out is None else out.unionByName(found)
+        todo, before = materialise(todo.join(found.select(*keys, *ids).hint("merge"), [*keys, *ids], "left_anti"), "points"), todo
+        discard(before)
+        r *= 2
+    return out
+
 
+def snap(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest grid point of each point (id, x, y) in every frame of the grid; ties go to the first in (y, x)."""
+    seeds = points.select("id", "y", "x")
+    if grid.isEmpty():
+        return grid.select(*keys, F.lit(None).cast(points.schema["id"].dataType).alias("id"), "y", "x")
+    if keys:
+        # One row with the list of frames.
+        frames = grid.select(*keys).distinct().agg(F.collect_list(F.struct(*keys)).alias("frames"))
+        seeds = seeds.join(frames.hint("broadcast"), F.lit(True)).select("id", "y", "x", F.explode("frames").alias("f")).select(*[F.col(f"f.{k}").alias(k) for k in keys], "id", "y", "x")
+    near = nearest(seeds, grid, list(keys), ["id"], [], 4)
+    return near.select(*keys, "id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
-def assign_domain(grid: DataFrame, k: int, n_points: int | None = None) -> DataFrame:
-    """k nearly equal contiguous chunks in the order of (y, x); one if there are few points.
 
-    Positions come from counts of rows before each row of the grid, so no task holds the grid.
+def assign_domain(grid: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """k nearly equal contiguous chunks of each frame's points in the order of (y, x); one if there are few points.
+
+    Positions come from counts of rows before each row of the grid, so no task
+    holds a grid; a window ranks the rows of a frame only.
     """
-    n = grid.count() if n_points is None else n_points
-    k = k if n >= LEAST_SPLIT else 1
-    rows = grid.groupBy("y").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = grid.join(rows.select("y", "_before"), "y").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("y").orderBy("x")) - 1)
-    size, more = divmod(n, k)
+    of = Window.partitionBy(*keys)
+    rows = grid.groupBy(*keys, "y").agg(F.count("*").alias("_m"))
+    rows = rows.withColumns({"_before": F.coalesce(F.sum("_m").over(of.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(of)})
+    placed = grid.join(rows.select(*keys, "y", "_before", "_n").hint("merge"), [*keys, "y"]).withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "y").orderBy("x")) - 1)
+    size, more, at = F.floor(F.col("_n") / k), F.col("_n") % k, F.col("_at")
     long = more * (size + 1)
-    domain = F.when(F.col("_at") < long, F.floor(F.col("_at") / (size + 1))).otherwise(more + F.floor((F.col("_at") - long) / max(1, size)))
-    return placed.withColumn("domain", domain.cast("int")).select(*grid.columns, "domain")
+    domain = F.when(at < long, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long) / F.greatest(size, F.lit(1))))
+    return placed.withColumn("domain", F.when(F.col("_n") < LEAST_SPLIT, 0).otherwise(domain).cast("int")).select(*grid.columns, "domain")
 
 
-def domain_seeds(grid: DataFrame, seed: tuple[float, float]) -> DataFrame:
+def domain_seeds(grid: DataFrame, seed: tuple[float, float], keys: tuple[str, ...] = ()) -> DataFrame:
     """Domain 0 takes its point nearest to the seed (x, y), others the one nearest to their centroid."""
-    centre = grid.groupBy("domain").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    aim = centre.select("domain", F.when(F.col("domain") == 0, seed[1]).otherwise(F.col("cy")).alias("cy"), F.when(F.col("domain") == 0, seed[0]).otherwise(F.col("cx")).alias("cx"))
+    centre = grid.groupBy(*keys, "domain").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
+    aim = centre.select(*keys, "domain", F.when(F.col("domain") == 0, seed[1]).otherwise(F.col("cy")).alias("cy"), F.when(F.col("domain") == 0, seed[0]).otherwise(F.col("cx")).alias("cx"))
     d2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
-    near = grid.join(aim, "domain").groupBy("domain").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("m"))
-    return near.select("domain", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+    near = grid.join(aim.hint("merge"), [*keys, "domain"]).groupBy(*keys, "domain").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("m"))
+    return near.select(*keys, "domain", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 
-def neighbours(grid: DataFrame, s: int) -> DataFrame:
+def neighbours(grid: DataFrame, s: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of grid points one pitch apart within a domain: y, x, ny, nx, direction (up, down, left, right)."""
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("direction"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(((-s, 0), (s, 0), (0, -s), (0, s)))])).alias("m")
-    out = grid.select("domain", "y", "x", moves).select("domain", "y", "x", (F.col("y") + F.col("m.dy")).alias("ny"), (F.col("x") + F.col("m.dx")).alias("nx"), F.col("m.direction").alias("direction"))
-    return out.join(grid.select("domain", F.col("y").alias("ny"), F.col("x").alias("nx")), ["domain", "ny", "nx"]).select("domain", "y", "x", "ny", "nx", "direction")
+    out = grid.select(*keys, "domain", "y", "x", moves).select(*keys, "domain", "y", "x", (F.col("y") + F.col("m.dy")).alias("ny"), (F.col("x") + F.col("m.dx")).alias("nx"), F.col("m.direction").alias("direction"))
+    return out.join(grid.select(*keys, "domain", F.col("y").alias("ny"), F.col("x").alias("nx")).hint("merge"), [*keys, "domain", "ny", "nx"]).select(*keys, "domain", "y", "x", "ny", "nx", "direction")
 
 
 def densify(field: DataFrame, h: int, w: int) -> DataFrame:
     """Every pixel of every frame of ``field``; NULL off the points."""
     frames = field.select("frame_idx").distinct().select("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y"))
-    return frames.select("frame_idx", "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).join(field, ["frame_idx", "y", "x"], "left")
+    return frames.select("frame_idx", "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x")).join(field.hint("merge"), ["frame_idx", "y", "x"], "left")
 
 
 def crop_decimate(field: DataFrame, c: str, s: int) -> DataFrame:
@@ -79,27 +108,16 @@ def crop_decimate(field: DataFrame, c: str, s: int) -> DataFrame:
     box = field.where(F.col(c).isNotNull()).groupBy("frame_idx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     rows = box.select("frame_idx", "x0", "x1", "y0", F.explode(F.sequence("y0", "y1", F.lit(s))).alias("y"))
     cells = rows.select("frame_idx", "y", F.explode(F.sequence("x0", "x1", F.lit(s))).alias("x"), "y0", "x0")
-    return cells.join(field.select("frame_idx", "y", "x", c), ["frame_idx", "y", "x"], "left").select("frame_idx", ((F.col("y") - F.col("y0")) / s).cast("int").alias("row"), ((F.col("x") - F.col("x0")) / s).cast("int").alias("col"), c)
+    return cells.join(field.select("frame_idx", "y", "x", c).hint("merge"), ["frame_idx", "y", "x"], "left").select("frame_idx", ((F.col("y") - F.col("y0")) / s).cast("int").alias("row"), ((F.col("x") - F.col("x0")) / s).cast("int").alias("col"), c)
 
 
 def fill_nearest(cells: DataFrame, c: str) -> DataFrame:
     """Missing cells (frame_idx, row, col) take the value of the nearest valid one; ties to the first in (row, col).
 
-    Candidates come from a square whose radius doubles. A value found within a
-    square of radius r is final only if its distance is at most r, since a
-    nearer one could else lie outside.
+    Frames without a valid cell stay as they are.
     """
-    valid = cells.where(F.col(c).isNotNull())
-    frames = valid.select("frame_idx").distinct()
-    todo = cells.where(F.col(c).isNull()).select("frame_idx", "row", "col").join(frames, "frame_idx", "left_semi")
-    out = cells.where(F.col(c).isNotNull()).unionByName(cells.where(F.col(c).isNull()).join(frames, "frame_idx", "left_anti"))
-    r = 1
-    while not todo.isEmpty():
-        side = F.sequence(F.lit(-r), F.lit(r))
-        around = todo.select("frame_idx", "row", "col", F.explode(side).alias("dy")).select("*", F.explode(side).alias("dx")).select("frame_idx", "row", "col", (F.col("row") + F.col("dy")).alias("r2"), (F.col("col") + F.col("dx")).alias("c2"), (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias("d2"))
-        seen = around.join(valid.select("frame_idx", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col(c).alias("v")), ["frame_idx", "r2", "c2"])
-        found = seen.groupBy("frame_idx", "row", "col").agg(F.min(F.struct("d2", "r2", "c2", "v")).alias("m")).where(F.col("m.d2") <= r * r).select("frame_idx", "row", "col", F.col("m.v").alias(c))
-        out = out.unionByName(found.select(*cells.columns))
-        todo = todo.join(found, ["frame_idx", "row", "col"], "left_anti")
-        r *= 2
-    return out
+    place = [F.col("row").alias("y"), F.col("col").alias("x")]
+    spots = materialise(cells.where(F.col(c).isNotNull()).select("frame_idx", *place, F.col(c).alias("v")), "valid")
+    points = cells.where(F.col(c).isNull()).select("frame_idx", "row", "col", *place)
+    near = nearest(points, spots, ["frame_idx"], ["row", "col"], ["v"]).select("frame_idx", "row", "col", F.col("m.v").alias("_v"))
+    return cells.join(near.hint("merge"), ["frame_idx", "row", "col"], "left").withColumn(c, F.coalesce(c, "_v")).select(*cells.columns)

@@ -64,7 +64,7 @@ def smooth(pixel: DataFrame, h: int, w: int, kind: str) -> DataFrame:
 def to_u8(metric: DataFrame) -> DataFrame:
     """Metric over its frame's maximum, in 0 to 255, truncated; frames that are zero throughout stay zero."""
     top = metric.groupBy("frame_id").agg(F.max("val").alias("_top"))
-    both = metric.join(top, "frame_id")
+    both = metric.join(top.hint("merge"), "frame_id")
     return both.select("frame_id", "y", "x", F.when(F.col("_top") > 0, F.floor(F.col("val") / F.col("_top") * 255.0)).otherwise(0).cast("int").alias("val"))
 
 
@@ -81,18 +81,18 @@ def otsu(codes: DataFrame) -> DataFrame:
 
 
 def above(codes: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return codes.join(thresholds, "frame_id").where(F.col("val") > F.col("threshold")).select("frame_id", "y", "x")
+    return codes.join(thresholds.hint("merge"), "frame_id").where(F.col("val") > F.col("threshold")).select("frame_id", "y", "x")
 
 
 def mask_from_pixels(pixel: DataFrame) -> DataFrame:
     """Pixels over half of their image's maximum."""
     top = pixel.groupBy("frame_id").agg(F.max("val").alias("_top"))
-    return pixel.join(top, "frame_id").where(F.col("val") > 0.5 * F.col("_top")).select("frame_id", "y", "x")
+    return pixel.join(top.hint("merge"), "frame_id").where(F.col("val") > 0.5 * F.col("_top")).select("frame_id", "y", "x")
 
 
 def dynamic_mask(pixel: DataFrame, h: int, w: int, method: str = "Hybrid") -> DataFrame:
-    """Thresholded texture of each frame, closed. Unknown methods give no mask."""
-    from fieldloom.operators.masks import morph_close
+    """Thresholded texture of each frame, closed, and of that the largest component, filled. Unknown methods give no mask."""
+    from fieldloom.operators.masks import largest_component, morph_close
     from fieldloom.runtime import materialise
 
     if method not in ("Contrast", "Edge Detection", "Hybrid"):
@@ -103,6 +103,7 @@ def dynamic_mask(pixel: DataFrame, h: int, w: int, method: str = "Hybrid") -> Da
     codes = scaled(parts[0](pixel, h, w))
     for f in parts[1:]:
         more = scaled(f(pixel, h, w)).withColumnRenamed("val", "val2")
-        codes = scaled(codes.join(more, ["frame_id", "y", "x"]).select("frame_id", "y", "x", (F.col("val") + F.col("val2")).cast("double").alias("val")))
+        codes = scaled(codes.join(more.hint("merge"), ["frame_id", "y", "x"]).select("frame_id", "y", "x", (F.col("val") + F.col("val2")).cast("double").alias("val")))
     blurred = materialise(smooth(codes.withColumn("val", F.col("val").cast("double")), h, w, "box" if method == "Edge Detection" else "gauss").withColumn("val", F.col("val").cast("int")), "blurred")
-    return morph_close(above(blurred, otsu(blurred)), h, w, 15, ("frame_id",))
+    closed = materialise(morph_close(above(blurred, otsu(blurred)), h, w, 15, ("frame_id",)), "closed")
+    return largest_component(closed, h, w, ("frame_id",))

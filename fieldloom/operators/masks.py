@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.expressions import in_polygon, on_edge
-from fieldloom.runtime import materialise
+from fieldloom.operators.graph import components
+from fieldloom.runtime import materialise, ship, sized
 
 
 def lattice(spark: SparkSession, y0: int, y1: int, x0: int, x1: int, step: int = 1) -> DataFrame:
@@ -71,8 +74,16 @@ def roi_erase(mask: DataFrame, centres: list[tuple[int, int]], r: int) -> DataFr
     return mask.where(~gone)
 
 
-def roi_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("y", "x").union(b.select("y", "x")).distinct()
+def roi_union(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return a.select(*keys, "y", "x").union(b.select(*keys, "y", "x")).distinct()
+
+
+def roi_of_frames(mask: DataFrame, h: int, w: int, keys: tuple[str, ...]) -> DataFrame:
+    """The full image of every frame that ``mask`` names by its keys."""
+    if not keys:
+        return roi_full(mask.sparkSession, h, w)
+    rows = mask.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y"))
+    return rows.select(*keys, "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("x"))
 
 
 def mask_dilate(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +95,11 @@ def mask_erode(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]],
     """Points all of whose neighbours are in the mask; ``outside`` says whether those beyond the image count as in it."""
     hits = shifted(mask, [(-dy, -dx) for dy, dx in offsets], keys).groupBy(*keys, "y", "x").agg(F.count("*").alias("_n"))
     if outside:
-        needed = sum((((F.col("y") + dy).between(0, h - 1)) & ((F.col("x") + dx).between(0, w - 1))).cast("int") for dy, dx in offsets)
+        # Neighbours inside the image, counted by runs of offsets in a row: terms grow with the height of the shape only.
+        runs = [(dy, dx) for dy, dx in offsets if (dy, dx - 1) not in offsets]
+        ends = [(dy, dx) for dy, dx in offsets if (dy, dx + 1) not in offsets]
+        span = lambda a, b: F.greatest(F.lit(0), F.least(F.col("x") + b, F.lit(w - 1)) - F.greatest(F.col("x") + a, F.lit(0)) + 1)
+        needed = sum((F.when((F.col("y") + dy).between(0, h - 1), span(a, b)).otherwise(0) for (dy, a), (_, b) in zip(sorted(runs), sorted(ends), strict=True)), F.lit(0))
     else:
         needed = F.lit(len(offsets))
     inside = F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)
@@ -96,72 +111,108 @@ def morph_close(mask: DataFrame, h: int, w: int, size: int = 15, keys: tuple[str
     return mask_erode(mask_dilate(mask, h, w, shape, keys), h, w, shape, keys)
 
 
-def mask_border(mask: DataFrame, h: int, w: int) -> DataFrame:
+def mask_border(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Points of the mask with a 4-neighbour outside it; beyond the image is outside."""
-    core = mask_erode(mask, h, w, [(0, 0), *CROSS], outside=False)
-    return mask.select("y", "x").join(core, ["y", "x"], "left_anti")
+    core = mask_erode(mask, h, w, [(0, 0), *CROSS], keys, outside=False)
+    return mask.select(*keys, "y", "x").join(core.hint("merge"), [*keys, "y", "x"], "left_anti")
 
 
-def complement(mask: DataFrame, h: int, w: int) -> DataFrame:
-    return roi_full(mask.sparkSession, h, w).join(mask.select("y", "x"), ["y", "x"], "left_anti")
+def complement(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    return roi_of_frames(mask, h, w, keys).join(mask.select(*keys, "y", "x").hint("merge"), [*keys, "y", "x"], "left_anti")
 
 
-def label_components(mask: DataFrame, w: int, diagonal: bool = False, rounds: int = 200) -> DataFrame:
-    """y, x, label (smallest y * w + x of the component), by labels handed to neighbours and halved chains.
+#: Side of the tiles that are labelled by themselves.
+TILE = 256
 
-    Runs of a row are the nodes, so the graph is as small as the mask is smooth.
-    """
-    from pyspark.sql import Window
 
-    row = Window.partitionBy("y").orderBy("x")
-    runs = mask.select("y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    runs = materialise(runs.select("y", "a", "b", (F.col("y").cast("long") * w + F.col("a")).alias("id")), "runs")
+def tile_labels(y: np.ndarray, x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the first pixel of each pixel's component; pixels come sorted by (y, x)."""
+    new = np.append(True, (np.diff(y) != 0) | (np.diff(x) != 1))
+    first = np.flatnonzero(new)
+    ry, a, b = y[first].tolist(), x[first].tolist(), x[np.append(first[1:], len(y)) - 1].tolist()
+    parent = list(range(len(first)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    i = 0
+    for j in range(len(ry)):  # runs of the row above that can still touch a run from j on
+        while i < j and (ry[i] < ry[j] - 1 or (ry[i] == ry[j] - 1 and b[i] + reach < a[j])):
+            i += 1
+        k = i
+        while k < j and ry[k] == ry[j] - 1 and a[k] <= b[j] + reach:
+            p, q = root(k), root(j)
+            parent[max(p, q)] = min(p, q)
+            k += 1
+    of = first[[root(i) for i in range(len(first))]][np.cumsum(new) - 1]
+    return y[of], x[of]
+
+
+def label_components(mask: DataFrame, diagonal: bool = False, keys: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """keys, y, x and label (row and column of the component's first pixel in the tile that sorts first).
+
+    Tiles are labelled each by itself, in one pass; only labels that touch over
+    the edges of tiles are then searched for components, however long these are.
+    """
+    ship(mask.sparkSession)
+    place = [F.floor(F.col(c) / tile).cast("int") for c in ("y", "x")]
     reach = 1 if diagonal else 0
-    up = runs.select((F.col("y") + 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"))
-    edges = runs.join(up.hint("merge"), "y").where((F.col("a") <= F.col("b2") + reach) & (F.col("a2") <= F.col("b") + reach)).select("id", "id2")
-    both = materialise(edges.union(edges.select("id2", "id")), "edges")
-    labels = runs.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        told = both.join(labels.withColumnRenamed("id", "id2"), "id2").groupBy("id").agg(F.min("label").alias("low"))
-        near = labels.join(told, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("near"))
-        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
-        new = materialise(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("label")), "labels")
-        done, labels = new.where("label != old").isEmpty(), new.select("id", "label")
-        if done:
-            break
-    return runs.join(labels, "id").select("y", F.explode(F.sequence("a", "b")).alias("x"), "label")
-
-
-def mask_fill_holes(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """The mask and all background that 4-connected paths don't join to the image's edge."""
-    parts = label_components(complement(mask, h, w), w)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+        ly, lx = tile_labels(pdf["y"].to_numpy(), pdf["x"].to_numpy(), reach)
+        return pdf.assign(ly=ly, lx=lx)[[*keys, "y", "x", "ly", "lx"]]
+
+    base = mask.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    tiled = base.withColumns({"ty": place[0], "tx": place[1]})
+    kinds = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in keys)
+    local = materialise(tiled.groupBy(*keys, "ty", "tx").applyInPandas(label, f"{kinds + ', ' if keys else ''}y int, x int, ly int, lx int"), "labels")
+    node = F.struct(*keys, "ly", "lx")
+    moves = [(-1, 0), (0, -1), *([(-1, -1), (-1, 1)] if diagonal else [])]
+    across = local.select(*keys, node.alias("a"), F.col("y").alias("y0"), F.col("x").alias("x0"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in moves])).alias("m"))
+    across = across.select(*keys, "a", "y0", "x0", (F.col("y0") + F.col("m.dy")).alias("y"), (F.col("x0") + F.col("m.dx")).alias("x")).where((F.floor(F.col("y") / tile) != F.floor(F.col("y0") / tile)) | (F.floor(F.col("x") / tile) != F.floor(F.col("x0") / tile)))
+    edges = materialise(across.join(local.select(*keys, "y", "x", node.alias("b")).hint("merge"), [*keys, "y", "x"]).select("a", "b").distinct(), "edges")
+    named = local.select(*keys, "y", "x", node.alias("label"))
+    if edges.isEmpty():
+        return named
+    found = sized(components(edges).withColumnRenamed("node", "label"))
+    return named.join(found, "label", "left").select(*keys, "y", "x", F.coalesce("comp", "label").alias("label"))
+
+
+def enclosed(mask: DataFrame, h: int, w: int, keys: tuple[str, ...]) -> DataFrame:
+    """The labelled parts of the background that touch no edge of the image."""
+    parts = materialise(label_components(complement(mask, h, w, keys), keys=keys), "ground")
     edge = (F.col("y") == 0) | (F.col("y") == h - 1) | (F.col("x") == 0) | (F.col("x") == w - 1)
-    holes = parts.join(parts.where(edge).select("label").distinct(), "label", "left_anti").select("y", "x")
-    return mask.select("y", "x").union(holes)
+    return parts.join(parts.where(edge).select("label").distinct().hint("merge"), "label", "left_anti")
 
 
-def largest_component(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """The 8-connected component that holds the most pixels once its holes are filled."""
-    parts = materialise(label_components(mask, w, diagonal=True), "parts")
-    # The holes of a component are parts of the complement that touch no edge; each lies in one component.
-    ground = materialise(label_components(complement(mask, h, w), w), "ground")
-    edge = (F.col("y") == 0) | (F.col("y") == h - 1) | (F.col("x") == 0) | (F.col("x") == w - 1)
-    holes = ground.join(ground.where(edge).select("label").distinct(), "label", "left_anti")
-    first = holes.groupBy("label").agg(F.min(F.struct("y", "x")).alias("p")).select("label", F.col("p.y").alias("y"), (F.col("p.x") - 1).alias("x"))
-    owner = first.join(parts.select("y", "x", F.col("label").alias("owner")), ["y", "x"]).select("label", "owner")
-    filled = parts.select("y", "x", F.col("label").alias("owner")).union(holes.join(owner, "label").select("y", "x", "owner"))
-    sizes = filled.groupBy("owner").agg(F.count("*").alias("n"))
-    best = sizes.agg(F.max_by("owner", F.struct(F.col("n"), -F.col("owner"))).alias("owner"))
-    return filled.join(best.hint("broadcast"), "owner").select("y", "x")
+def mask_fill_holes(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The mask and all background that 4-connected paths don't join to the image's edge."""
+    return mask.select(*keys, "y", "x").union(enclosed(mask, h, w, keys).select(*keys, "y", "x"))
+
+
+def largest_component(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The 8-connected component of each frame that holds the most pixels once its holes are filled."""
+    parts = materialise(label_components(mask, diagonal=True, keys=keys), "parts")
+    # A hole lies in the component of the pixel left of its first one.
+    holes = materialise(enclosed(mask, h, w, keys), "holes")
+    first = holes.groupBy("label").agg(F.min(F.struct("y", "x", *keys)).alias("p")).select("label", *[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.y").alias("y"), (F.col("p.x") - 1).alias("x"))
+    owner = first.join(parts.select(*keys, "y", "x", F.col("label").alias("owner")).hint("merge"), [*keys, "y", "x"]).select("label", "owner")
+    filled = parts.select(*keys, "y", "x", F.col("label").alias("owner")).unionByName(holes.join(owner.hint("merge"), "label").select(*keys, "y", "x", "owner"))
+    sizes = filled.groupBy(*keys, "owner").agg(F.count("*").alias("n"))
+    best = sizes.groupBy(*keys).agg(F.min_by("owner", F.struct(-F.col("n"), F.col("owner"))).alias("owner")).select("owner")
+    return filled.join(best.hint("merge"), "owner", "left_semi").select(*keys, "y", "x")
 
 
 def seed_in_roi(seed: tuple[int, int], mask: DataFrame) -> DataFrame:
     """The seed (x, y) as one row if it lies in the mask, else none."""
-    return mask.select("y", "x").distinct().where((F.col("x") == seed[0]) & (F.col("y") == seed[1]))
+    return mask.distinct().where((F.col("x") == seed[0]) & (F.col("y") == seed[1]))
 
 
-def roi_size(mask: DataFrame) -> DataFrame:
-    return mask.agg(F.count("*").alias("n_pixels"))
+def roi_size(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return mask.groupBy(*keys).agg(F.count("*").alias("n_pixels"))
 
 
 def apply_dynamic_mask(disp: DataFrame, mask: DataFrame, h: int, w: int) -> DataFrame:
@@ -169,4 +220,4 @@ def apply_dynamic_mask(disp: DataFrame, mask: DataFrame, h: int, w: int) -> Data
     to_y, to_x = F.rint(F.col("y") + F.col("v")).cast("int"), F.rint(F.col("x") + F.col("u")).cast("int")
     moved = disp.withColumns({"_y": to_y, "_x": to_x}).where(F.col("_y").between(0, h - 1) & F.col("_x").between(0, w - 1))
     inside = mask.select("frame_idx", F.col("y").alias("_y"), F.col("x").alias("_x"))
-    return moved.join(inside, ["frame_idx", "_y", "_x"], "left_semi").drop("_y", "_x")
+    return moved.join(inside.hint("merge"), ["frame_idx", "_y", "_x"], "left_semi").drop("_y", "_x")

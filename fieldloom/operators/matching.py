@@ -2,37 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.runtime import ship
 
-def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, h: int, w: int, r: int, search: int, zero_mean: bool = False) -> DataFrame:
-    """frame_id, id, u0, v0, score of each seed (id, y, x): the first best shift within ``search`` pixels.
+#: Side of the tiles that images are cut into, and seeds that meet a tile at once.
+TILE, SEEDS = 64, 512
 
-    Templates are squares of radius r clipped to the image; a shift counts if
-    the whole template stays inside. Score: normalised cross correlation.
-    """
-    side = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    cells = seeds.select("id", "y", "x", side(r).alias("dy")).select("*", side(r).alias("dx")).select("id", (F.col("y") + F.col("dy")).alias("ty"), (F.col("x") + F.col("dx")).alias("tx"))
-    template = cells.join(ref.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("val").alias("t")), ["ty", "tx"])
-    moved = template.select("*", side(search).alias("v0")).select("*", side(search).alias("u0")).select("id", "u0", "v0", "t", (F.col("ty") + F.col("v0")).alias("y"), (F.col("tx") + F.col("u0")).alias("x"))
-    sized = template.groupBy("id").agg(F.count("*").alias("size"))
-    both = moved.join(cur, ["y", "x"]).groupBy("frame_id", "id", "u0", "v0").agg(F.count("*").alias("n"), F.sum(F.col("t") * F.col("val")).alias("ti"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("val") * F.col("val")).alias("ii"), F.sum("t").alias("st"), F.sum("val").alias("si"))
-    n, st, si = F.col("n"), F.col("st"), F.col("si")
-    ti, tt, ii = (F.col(c) for c in ("ti", "tt", "ii"))
+
+def tiles(pixel: DataFrame, keys: list[str], halo: int, name: str) -> DataFrame:
+    """keys, ty, tx and ``name`` (y, x, val): the pixels of every tile and of the ``halo`` around it."""
+    reach = -(-halo // TILE)
+    near = [F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])]
+    at = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    moved = pixel.select(*keys, "y", "x", "val", F.explode(near[0]).alias("o")).select(*keys, "y", "x", "val", (at("y") + F.col("o.dy")).alias("ty"), (at("x") + F.col("o.dx")).alias("tx"))
+    inside = lambda c, t: F.col(c).between(F.col(t) * TILE - halo, (F.col(t) + 1) * TILE + halo - 1)
+    return moved.where(inside("y", "ty") & inside("x", "tx")).groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct("y", "x", "val")).alias(name))
+
+
+def dense(cells: list, y0: int, x0: int, side: int) -> np.ndarray:
+    """A square of pixels; NaN where there is none."""
+    out = np.full((side, side), np.nan)
+    if len(cells):
+        y, x, v = (np.array(c) for c in zip(*((c["y"], c["x"], c["val"]) for c in cells), strict=True))
+        out[y - y0, x - x0] = v
+    return out
+
+
+def best_shift(ref: np.ndarray, cur: np.ndarray, y: int, x: int, r: int, search: int, zero_mean: bool) -> tuple[int, int, float] | None:
+    """u0, v0 and score of the first best shift of the square around (y, x) whose whole template stays on pixels."""
+    template = ref[y - r : y + r + 1, x - r : x + r + 1]
+    there = ~np.isnan(template)
+    if not there.any():
+        return None
+    t = np.where(there, template, 0.0)
+    reach = r + search
+    field = cur[y - reach : y + reach + 1, x - reach : x + reach + 1]
+    seen = np.lib.stride_tricks.sliding_window_view(np.where(np.isnan(field), 0.0, field), t.shape)
+    held = np.lib.stride_tricks.sliding_window_view(~np.isnan(field), t.shape)
+    over = lambda w, k: np.tensordot(w, k, axes=((2, 3), (0, 1)))
+    m, n = there.astype(float), float(there.sum())
+    full = over(held, m) == n
+    if not full.any():
+        return None
+    ti, ii, tt = over(seen, t), over(seen * seen, m), float((t * t).sum())
     if zero_mean:
+        st, si = float(t.sum()), over(seen, m)
         ti, tt, ii = ti - st * si / n, tt - st * st / n, ii - si * si / n
-    score = F.when(tt * ii > 0, ti / F.sqrt(tt * ii)).otherwise(0.0)
-    full = both.join(sized, "id").where("n = size").withColumn("score", F.round(score, 9))
-    best = full.groupBy("frame_id", "id").agg(F.max_by(F.struct("u0", "v0", "score"), F.struct("score", -F.col("v0"), -F.col("u0"))).alias("m"))
-    return best.select("frame_id", "id", F.col("m.u0").alias("u0"), F.col("m.v0").alias("v0"), F.col("m.score").alias("score"))
+    both = tt * ii
+    score = np.where(both > 0, ti / np.sqrt(np.where(both > 0, both, 1.0)), 0.0)
+    at = int(np.argmax(np.where(full, np.round(score, 9), -np.inf)))
+    v, u = divmod(at, full.shape[1])
+    return u - search, v - search, float(score[v, u])
+
+
+def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, search: int, zero_mean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, frame_id, id, u0, v0, score of each seed (id, y, x): the first best shift within ``search`` pixels.
+
+    ``ref`` holds one image for each value of ``keys``, ``cur`` any number of
+    frames for each. Templates are squares of radius r clipped to the image; a
+    shift counts if the whole template stays inside. Score: normalised cross
+    correlation. Images are cut into tiles with a halo, so a task holds two
+    tiles and at most about SEEDS seeds, whatever the size of an image.
+    """
+    ship(ref.sparkSession)
+    halo, group = r + search, list(keys)
+    side = TILE + 2 * halo
+    at = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    placed = seeds.select("id", "y", "x", at("y").alias("ty"), at("x").alias("tx"))
+    many = placed.groupBy("ty", "tx").agg(F.ceil(F.count("*") / SEEDS).cast("int").alias("blocks"))
+    blocks = placed.join(many.hint("merge"), ["ty", "tx"]).groupBy("ty", "tx", F.pmod(F.xxhash64("id", "y", "x"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "y", "x")).alias("seeds"))
+    pairs = tiles(cur, [*group, "frame_id"], halo, "cur").join(tiles(ref, group, halo, "ref").hint("merge"), [*group, "ty", "tx"]).join(blocks.drop("block").hint("merge"), ["ty", "tx"])
+    kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")}
+    kinds["id"] = seeds.schema["id"].dataType.simpleString()
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for row in pdf.to_dict("records"):
+                y0, x0 = row["ty"] * TILE - halo, row["tx"] * TILE - halo
+                a, b = dense(row["ref"], y0, x0, side), dense(row["cur"], y0, x0, side)
+                for s in row["seeds"]:
+                    found = best_shift(a, b, s["y"] - y0, s["x"] - x0, r, search, zero_mean)
+                    if found:
+                        rows.append((*[row[k] for k in group], row["frame_id"], s["id"], *found))
+            yield pd.DataFrame(rows, columns=[*kinds, "u0", "v0", "score"])
+
+    found = pairs.mapInPandas(kernel, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", u0 int, v0 int, score double")
+    return found.withColumn("score", F.round("score", 9))
 
 
-def subset_quality(grid: DataFrame, ref: DataFrame, r: int) -> DataFrame:
-    """y, x, n_px, sigma (root of the summed squared deviations) and valid of the disc around every grid point."""
+def subset_quality(grid: DataFrame, ref: DataFrame, r: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, y, x, n_px, sigma (root of the summed squared deviations) and valid of the disc around every grid point."""
     side = F.sequence(F.lit(-r), F.lit(r))
     cells = grid.select("y", "x", F.explode(side).alias("dy")).select("*", F.explode(side).alias("dx")).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= r * r)
-    pixels = cells.select("y", "x", (F.col("y") + F.col("dy")).alias("py"), (F.col("x") + F.col("dx")).alias("px")).join(ref.select(F.col("y").alias("py"), F.col("x").alias("px"), "val"), ["py", "px"])
-    sums = pixels.groupBy("y", "x").agg(F.count("*").alias("n_px"), F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("ss"))
+    pixels = cells.select("y", "x", (F.col("y") + F.col("dy")).alias("py"), (F.col("x") + F.col("dx")).alias("px")).join(ref.select(*keys, F.col("y").alias("py"), F.col("x").alias("px"), "val").hint("merge"), ["py", "px"])
+    sums = pixels.groupBy(*keys, "y", "x").agg(F.count("*").alias("n_px"), F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("ss"))
     sigma = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n_px"), F.lit(0.0)))
-    return sums.select("y", "x", "n_px", sigma.alias("sigma"), ((F.col("n_px") >= 6) & (sigma >= 1e-12)).alias("valid"))
+    return sums.select(*keys, "y", "x", "n_px", sigma.alias("sigma"), ((F.col("n_px") >= 6) & (sigma >= 1e-12)).alias("valid"))

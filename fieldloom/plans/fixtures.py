@@ -75,16 +75,25 @@ strain AS (SELECT *, {EFF.format('"Exx"', '"Eyy"', '"Exy"')} AS "Eeff" FROM run)
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Frame 0 (reference) and frames k = 1..3, in which everything has moved by u = k, v = 2k."""
-    rows = read(spark, d, "embeddings").where(F.col("vec_id") < SIDE + 10).select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"))
-    base = rows.select("row", "col", F.floor((F.col("e").cast("double") + 0.6) * 200).cast("double").alias("val"))
-    moved = base.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("frame_id"), "row", "col", "val")
-    out = moved.select("frame_id", (F.col("row") - 10 + 2 * F.col("frame_id")).alias("y"), (F.col("col") - 8 + F.col("frame_id")).alias("x"), "val")
+    """Sets of four images, each from 58 rows of ``embeddings``: frame 4 s is the reference of set s, and in frames
+    4 s + k (k = 1..3) everything has moved by u = k, v = 2 k. Rows after the last full 58 make no image."""
+    high = SIDE + 10
+    rows = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / high).cast("int").alias("set"), F.pmod("vec_id", F.lit(high)).cast("int").alias("row"), "embedding")
+    full = rows.groupBy("set").agg(F.collect_list(F.struct("row", "embedding")).alias("rows")).where(F.size("rows") == high)
+    cells = full.select("set", F.explode("rows").alias("r")).select("set", "r.row", F.posexplode("r.embedding").alias("col", "e"))
+    base = cells.select("set", "row", "col", F.floor((F.col("e").cast("double") + 0.6) * 200).cast("double").alias("val"))
+    moved = base.select("set", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "row", "col", "val")
+    out = moved.select((4 * F.col("set") + F.col("k")).alias("frame_id"), (F.col("row") - 10 + 2 * F.col("k")).alias("y"), (F.col("col") - 8 + F.col("k")).alias("x"), "val")
     return out.where(F.col("y").between(0, SIDE - 1) & F.col("x").between(0, SIDE - 1))
 
 
-PIXEL = """px AS (SELECT k.k::INTEGER AS frame_id, (e.vec_id - 10 + 2 * k.k)::INTEGER AS y, (c.c - 8 + k.k)::INTEGER AS x, floor((CAST(e.embedding[c.c + 1] AS DOUBLE) + 0.6) * 200) AS val
-  FROM embeddings e, range(64) c(c), range(4) k(k) WHERE e.vec_id < 58 AND e.vec_id - 10 + 2 * k.k BETWEEN 0 AND 47 AND c.c - 8 + k.k BETWEEN 0 AND 47)"""
+def references(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).where("frame_id % 4 = 0")
+
+
+PIXEL = """px AS (SELECT (4 * e.s + k.k)::INTEGER AS frame_id, (e.r - 10 + 2 * k.k)::INTEGER AS y, (c.c - 8 + k.k)::INTEGER AS x, floor((CAST(e.embedding[c.c + 1] AS DOUBLE) + 0.6) * 200) AS val
+  FROM (SELECT vec_id // 58 AS s, vec_id % 58 AS r, embedding FROM embeddings WHERE vec_id // 58 IN (SELECT vec_id // 58 FROM embeddings GROUP BY 1 HAVING count(*) = 58)) e, range(64) c(c), range(4) k(k)
+  WHERE e.r - 10 + 2 * k.k BETWEEN 0 AND 47 AND c.c - 8 + k.k BETWEEN 0 AND 47)"""
 FULL = "img AS (SELECT a.range::INTEGER AS y, b.range::INTEGER AS x FROM range(48) a, range(48) b)"
 RECT = FULL + ", rect AS (SELECT * FROM img WHERE y BETWEEN 4 AND 43 AND x BETWEEN 6 AND 41)"
 CIRCLE = FULL + ", circle AS (SELECT * FROM img WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) <= 225)"
@@ -100,11 +109,11 @@ def circle(spark: SparkSession) -> DataFrame:
 
 
 def bright(spark: SparkSession, d: str) -> DataFrame:
-    """A rough mask from the data: reference pixels of code 125 or more."""
-    return pixels(spark, d).where("frame_id = 0 and val >= 125").select("y", "x")
+    """A rough mask for each reference image: its pixels of code 125 or more."""
+    return references(spark, d).where("val >= 125").select("frame_id", "y", "x")
 
 
-BRIGHT = PIXEL + ", " + FULL + ", bright AS (SELECT y, x FROM px WHERE frame_id = 0 AND val >= 125)"
+BRIGHT = PIXEL + ", " + FULL + ", bright AS (SELECT frame_id, y, x FROM px WHERE frame_id % 4 = 0 AND val >= 125), imgf AS (SELECT f.frame_id, i.y, i.x FROM (SELECT DISTINCT frame_id FROM bright) f, img i)"
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:

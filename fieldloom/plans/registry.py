@@ -15,13 +15,15 @@ from fieldloom.operators import masks as R
 from fieldloom.operators import matching as C
 from fieldloom.operators import stats as A
 from fieldloom.plans import fixtures as fx
-from fieldloom.runtime import new_path
+from fieldloom.runtime import new_path, sized
 from fieldloom.sources import frames as S
 from fieldloom.sources import session
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: Masks and grids of images are keyed by their frame.
+BY = ("frame_id",)
 N, FPS, RAD, SP, SIDE = fx.N_FRAMES, fx.FPS, fx.RADIUS, fx.SPACING, fx.SIDE
 
 
@@ -69,10 +71,10 @@ query("s11_pick_mask", "WITH c AS (SELECT l_returnflag AS name, CAST(l_linenumbe
     lambda s, d: S.pick_mask(fx.read(s, d, "lineitem").select(F.col("l_returnflag").alias("name"), (F.col("l_linenumber") % 2).alias("val")).union(fx.read(s, d, "lineitem").select("l_linestatus", "l_linenumber"))))
 
 
-@query("s13_write_mask", f"WITH {fx.BRIGHT} SELECT y, x, 255 AS val FROM bright")
+@query("s13_write_mask", f"WITH {fx.BRIGHT} SELECT frame_id, y, x, 255 AS val FROM bright")
 def _s13(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "mask")
-    session.write_mask(fx.bright(s, d), path)
+    session.write_mask(fx.bright(s, d), path, BY)
     return s.read.parquet(path)
 
 
@@ -98,9 +100,9 @@ query("v2_valid", f"WITH {fx.DENSE} SELECT frame_idx, y, x FROM dense WHERE u IS
 
 
 def masked(name: str, ctes: str, where: str, mask: Callable[[SparkSession], DataFrame]) -> None:
-    """A shape's mask applied to the reference image."""
-    query(name, f"WITH {fx.PIXEL}, {ctes} SELECT p.y, p.x, p.val FROM px p JOIN {where} m ON m.y = p.y AND m.x = p.x WHERE p.frame_id = 0")(
-        lambda s, d: fx.pixels(s, d).where("frame_id = 0").join(mask(s), ["y", "x"]).select("y", "x", "val"))
+    """A shape's mask applied to every reference image."""
+    query(name, f"WITH {fx.PIXEL}, {ctes} SELECT p.frame_id, p.y, p.x, p.val FROM px p JOIN {where} m ON m.y = p.y AND m.x = p.x WHERE p.frame_id % 4 = 0")(
+        lambda s, d: fx.references(s, d).join(sized(mask(s)), ["y", "x"]).select("frame_id", "y", "x", "val"))
 
 
 masked("r1_full", fx.FULL, "img", lambda s: R.roi_full(s, SIDE, SIDE))
@@ -111,37 +113,37 @@ _INSIDE = " + ".join(f"CAST((({y1} > y) <> ({y2} > y)) AND x < {x2 - x1} * (y -
 _EDGE = " OR ".join(f"((x - {x1}) * {y2 - y1} = (y - {y1}) * {x2 - x1} AND x BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND y BETWEEN {min(y1, y2)} AND {max(y1, y2)})" for (x1, y1), (x2, y2) in _EDGES)
 masked("r4_polygon", fx.FULL + f", poly AS (SELECT * FROM img WHERE ({_INSIDE}) % 2 = 1 OR {_EDGE})", "poly", lambda s: R.roi_polygon(s, SIDE, SIDE, fx.POLYGON))
 query("r5_point_in_polygon", f"WITH {fx.DISP}, p AS (SELECT frame_idx, y AS y0, x AS x0, x AS x, y AS y FROM disp) SELECT frame_idx, y, x, ({_INSIDE}) % 2 = 1 AS inside FROM p")(lambda s, d: fx.disp(s, d).select("frame_idx", "y", "x", X.in_polygon(F.col("x"), F.col("y"), fx.POLYGON).alias("inside")))
-query("r6_erase", f"WITH {fx.BRIGHT} SELECT y, x FROM bright WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) > 16")(lambda s, d: R.roi_erase(fx.bright(s, d), [(24, 24)], 4))
-query("r7_union", f"WITH {fx.BRIGHT}, c AS (SELECT * FROM img WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) <= 225) SELECT y, x FROM bright UNION SELECT y, x FROM c")(lambda s, d: R.roi_union(fx.bright(s, d), fx.circle(s)))
-query("r8_border", f"WITH {fx.BRIGHT} SELECT y, x FROM bright b WHERE (SELECT count(*) FROM bright n WHERE abs(n.y - b.y) + abs(n.x - b.x) = 1) < 4")(lambda s, d: R.mask_border(fx.bright(s, d), SIDE, SIDE))
-query("r9_dilate", f"WITH {fx.BRIGHT} SELECT DISTINCT i.y, i.x FROM img i JOIN bright b ON b.y BETWEEN i.y - 2 AND i.y + 1 AND b.x BETWEEN i.x - 2 AND i.x + 1")(lambda s, d: R.mask_dilate(fx.bright(s, d), SIDE, SIDE, R.square(4)))
-GROUND = "g AS (SELECT y, x FROM img EXCEPT SELECT y, x FROM bright), reach(y, x) AS (SELECT y, x FROM g WHERE y IN (0, 47) OR x IN (0, 47) UNION SELECT g.y, g.x FROM reach r JOIN g ON abs(g.y - r.y) + abs(g.x - r.x) = 1)"
-query("r10_fill_holes", f"WITH RECURSIVE {fx.BRIGHT}, {GROUND} SELECT y, x FROM img EXCEPT SELECT y, x FROM reach")(lambda s, d: R.mask_fill_holes(fx.bright(s, d), SIDE, SIDE))
-query("r11_seed_in_roi", f"WITH {fx.BRIGHT} SELECT y, x FROM bright WHERE x = 20 AND y = 21")(lambda s, d: R.seed_in_roi((20, 21), fx.bright(s, d)))
-query("r12_roi_size", f"WITH {fx.BRIGHT} SELECT count(*) AS n_pixels FROM bright")(lambda s, d: R.roi_size(fx.bright(s, d)))
-query("r13_grid_count", f"WITH {fx.BRIGHT} SELECT count(*) AS n FROM bright WHERE y >= 5 AND y < 43 AND x >= 5 AND x < 43 AND (y - 5) % 3 = 0 AND (x - 5) % 3 = 0")(lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 5, 3).agg(F.count("*").alias("n")))
-SMALL = "small AS (SELECT frame_idx, y, x, u / 16 AS u, v / 16 AS v FROM disp WHERE frame_idx < 4), bm AS (SELECT frame_id AS frame_idx, y, x FROM px WHERE val >= 110)"
+query("r6_erase", f"WITH {fx.BRIGHT} SELECT frame_id, y, x FROM bright WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) > 16")(lambda s, d: R.roi_erase(fx.bright(s, d), [(24, 24)], 4))
+query("r7_union", f"WITH {fx.BRIGHT}, c AS (SELECT * FROM imgf WHERE (x - 24) * (x - 24) + (y - 24) * (y - 24) <= 225) SELECT frame_id, y, x FROM bright UNION SELECT frame_id, y, x FROM c")(lambda s, d: R.roi_union(fx.bright(s, d), R.roi_of_frames(fx.bright(s, d), SIDE, SIDE, BY).where((F.col("x") - 24) * (F.col("x") - 24) + (F.col("y") - 24) * (F.col("y") - 24) <= 225), BY))
+query("r8_border", f"WITH {fx.BRIGHT} SELECT b.frame_id, b.y, b.x FROM bright b LEFT JOIN bright n ON n.frame_id = b.frame_id AND abs(n.y - b.y) + abs(n.x - b.x) = 1 GROUP BY ALL HAVING count(n.y) < 4")(lambda s, d: R.mask_border(fx.bright(s, d), SIDE, SIDE, BY))
+query("r9_dilate", f"WITH {fx.BRIGHT} SELECT DISTINCT b.frame_id, i.y, i.x FROM img i JOIN bright b ON b.y BETWEEN i.y - 2 AND i.y + 1 AND b.x BETWEEN i.x - 2 AND i.x + 1")(lambda s, d: R.mask_dilate(fx.bright(s, d), SIDE, SIDE, R.square(4), BY))
+GROUND = "g AS (SELECT frame_id, y, x FROM imgf EXCEPT SELECT frame_id, y, x FROM bright), reach(frame_id, y, x) AS (SELECT frame_id, y, x FROM g WHERE y IN (0, 47) OR x IN (0, 47) UNION SELECT g.frame_id, g.y, g.x FROM reach r JOIN (SELECT range AS o FROM range(4)) o ON true JOIN g ON g.frame_id = r.frame_id AND g.y = r.y + CASE o.o WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AND g.x = r.x + CASE o.o WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END)"
+query("r10_fill_holes", f"WITH RECURSIVE {fx.BRIGHT}, {GROUND} SELECT frame_id, y, x FROM imgf EXCEPT SELECT frame_id, y, x FROM reach")(lambda s, d: R.mask_fill_holes(fx.bright(s, d), SIDE, SIDE, BY))
+query("r11_seed_in_roi", f"WITH {fx.BRIGHT} SELECT frame_id, y, x FROM bright WHERE x = 20 AND y = 21")(lambda s, d: R.seed_in_roi((20, 21), fx.bright(s, d)))
+query("r12_roi_size", f"WITH {fx.BRIGHT} SELECT frame_id, count(*) AS n_pixels FROM bright GROUP BY frame_id")(lambda s, d: R.roi_size(fx.bright(s, d), BY))
+query("r13_grid_count", f"WITH {fx.BRIGHT} SELECT frame_id, count(*) AS n FROM bright WHERE y >= 5 AND y < 43 AND x >= 5 AND x < 43 AND (y - 5) % 3 = 0 AND (x - 5) % 3 = 0 GROUP BY frame_id")(lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 5, 3, BY).groupBy("frame_id").agg(F.count("*").alias("n")))
+SMALL = "small AS (SELECT frame_idx, y, x, u / 16 AS u, v / 16 AS v FROM disp), bm AS (SELECT frame_id AS frame_idx, y, x FROM px WHERE val >= 110)"
 query("r14_dynamic_drop", f"WITH {fx.DISP}, {fx.PIXEL}, {SMALL} SELECT s.* FROM small s WHERE EXISTS (SELECT 1 FROM bm WHERE bm.frame_idx = s.frame_idx AND bm.y = round_even(s.y + s.v, 0) AND bm.x = round_even(s.x + s.u, 0))")(
-    lambda s, d: R.apply_dynamic_mask(fx.disp(s, d).where("frame_idx < 4").withColumns({"u": F.col("u") / 16, "v": F.col("v") / 16}), fx.pixels(s, d).where("val >= 110").select(F.col("frame_id").alias("frame_idx"), "y", "x"), SIDE, SIDE))
+    lambda s, d: R.apply_dynamic_mask(fx.disp(s, d).withColumns({"u": F.col("u") / 16, "v": F.col("v") / 16}), fx.pixels(s, d).where("val >= 110").select(F.col("frame_id").alias("frame_idx"), "y", "x"), SIDE, SIDE))
 
 # Grid ----------------------------------------------------------------------------------------
-BGRID = fx.BRIGHT + ", bgrid AS (SELECT ((y - 2) // 2)::INTEGER AS iy, ((x - 2) // 2)::INTEGER AS ix, y, x FROM bright WHERE y >= 2 AND y < 46 AND x >= 2 AND x < 46 AND (y - 2) % 2 = 0 AND (x - 2) % 2 = 0), dom AS (SELECT *, CAST(CASE WHEN count(*) OVER () < 200 THEN 0 ELSE ntile(4) OVER (ORDER BY y, x) - 1 END AS INTEGER) AS domain FROM bgrid)"
-bgrid = lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 2, 2)
-domains = lambda s, d: G.assign_domain(bgrid(s, d), 4)
-query("g1_build_grid", f"WITH {BGRID} SELECT iy, ix, y, x FROM bgrid")(bgrid)
-query("g2_disc", f"WITH {fx.PIXEL} SELECT y - 20 AS dy, x - 20 AS dx, val FROM px WHERE frame_id = 0 AND (y - 20) * (y - 20) + (x - 20) * (x - 20) <= 49")(lambda s, d: G.disc_offsets(s, 7).join(fx.pixels(s, d).where("frame_id = 0").select((F.col("y") - 20).alias("dy"), (F.col("x") - 20).alias("dx"), "val"), ["dy", "dx"]))
-query("g3_default_seed", f"WITH {fx.BRIGHT} SELECT floor(avg(x))::INTEGER AS x, floor(avg(y))::INTEGER AS y FROM bright")(lambda s, d: G.default_seed(fx.bright(s, d)))
-query("g4_snap", f"WITH {BGRID}, p AS (SELECT s_suppkey AS id, s_suppkey * 7 % 48 AS py, s_suppkey * 5 % 48 AS px FROM supplier), r AS (SELECT id, y, x, row_number() OVER (PARTITION BY id ORDER BY (y - py) * (y - py) + (x - px) * (x - px), y, x) AS k FROM p, bgrid) SELECT id, y, x FROM r WHERE k = 1")(
-    lambda s, d: G.snap(fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 48).alias("y"), (F.col("s_suppkey") * 5 % 48).alias("x")), bgrid(s, d)))
+BGRID = fx.BRIGHT + ", bgrid AS (SELECT frame_id, ((y - 2) // 2)::INTEGER AS iy, ((x - 2) // 2)::INTEGER AS ix, y, x FROM bright WHERE y >= 2 AND y < 46 AND x >= 2 AND x < 46 AND (y - 2) % 2 = 0 AND (x - 2) % 2 = 0), dom AS (SELECT *, CAST(CASE WHEN count(*) OVER (PARTITION BY frame_id) < 200 THEN 0 ELSE ntile(4) OVER (PARTITION BY frame_id ORDER BY y, x) - 1 END AS INTEGER) AS domain FROM bgrid)"
+bgrid = lambda s, d: G.build_grid(fx.bright(s, d), SIDE, SIDE, 2, 2, BY)
+domains = lambda s, d: G.assign_domain(bgrid(s, d), 4, BY)
+query("g1_build_grid", f"WITH {BGRID} SELECT frame_id, iy, ix, y, x FROM bgrid")(bgrid)
+query("g2_disc", f"WITH {fx.PIXEL} SELECT frame_id, y - 20 AS dy, x - 20 AS dx, val FROM px WHERE frame_id % 4 = 0 AND (y - 20) * (y - 20) + (x - 20) * (x - 20) <= 49")(lambda s, d: fx.references(s, d).select("frame_id", (F.col("y") - 20).alias("dy"), (F.col("x") - 20).alias("dx"), "val").join(sized(G.disc_offsets(s, 7)), ["dy", "dx"]))
+query("g3_default_seed", f"WITH {fx.BRIGHT} SELECT frame_id, floor(avg(x))::INTEGER AS x, floor(avg(y))::INTEGER AS y FROM bright GROUP BY frame_id")(lambda s, d: G.default_seed(fx.bright(s, d), BY))
+query("g4_snap", f"WITH {BGRID}, p AS (SELECT s_suppkey AS id, s_suppkey * 7 % 48 AS py, s_suppkey * 5 % 48 AS px FROM supplier), r AS (SELECT frame_id, id, y, x, row_number() OVER (PARTITION BY frame_id, id ORDER BY (y - py) * (y - py) + (x - px) * (x - px), y, x) AS k FROM p, bgrid) SELECT frame_id, id, y, x FROM r WHERE k = 1")(
+    lambda s, d: G.snap(fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 48).alias("y"), (F.col("s_suppkey") * 5 % 48).alias("x")), bgrid(s, d), BY))
 query("g5_assign_domain", f"WITH {BGRID} SELECT * FROM dom")(domains)
-query("g6_domain_seeds", f"WITH {BGRID}, c AS (SELECT domain, CASE WHEN domain = 0 THEN 12 ELSE avg(y) END AS cy, CASE WHEN domain = 0 THEN 20 ELSE avg(x) END AS cx FROM dom GROUP BY domain), r AS (SELECT d.domain, y, x, row_number() OVER (PARTITION BY d.domain ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), y, x) AS k FROM dom d JOIN c ON c.domain = d.domain) SELECT domain, y, x FROM r WHERE k = 1")(
-    lambda s, d: G.domain_seeds(domains(s, d), (20.0, 12.0)))
-query("g7_neighbours", f"WITH {BGRID} SELECT a.domain, a.y, a.x, b.y AS ny, b.x AS nx, CASE WHEN b.y < a.y THEN 0 WHEN b.y > a.y THEN 1 WHEN b.x < a.x THEN 2 ELSE 3 END AS direction FROM dom a JOIN dom b ON a.domain = b.domain AND abs(a.y - b.y) + abs(a.x - b.x) = 2 AND (a.y = b.y OR a.x = b.x)")(lambda s, d: G.neighbours(domains(s, d), 2))
-query("g8_merge_domains", f"WITH {BGRID} SELECT domain, count(*) AS n FROM dom GROUP BY domain")(lambda s, d: domains(s, d).where("domain < 2").unionByName(domains(s, d).where("domain >= 2")).groupBy("domain").agg(F.count("*").alias("n")))
+query("g6_domain_seeds", f"WITH {BGRID}, c AS (SELECT frame_id, domain, CASE WHEN domain = 0 THEN 12 ELSE avg(y) END AS cy, CASE WHEN domain = 0 THEN 20 ELSE avg(x) END AS cx FROM dom GROUP BY frame_id, domain), r AS (SELECT d.frame_id, d.domain, y, x, row_number() OVER (PARTITION BY d.frame_id, d.domain ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), y, x) AS k FROM dom d JOIN c ON c.frame_id = d.frame_id AND c.domain = d.domain) SELECT frame_id, domain, y, x FROM r WHERE k = 1")(
+    lambda s, d: G.domain_seeds(domains(s, d), (20.0, 12.0), BY))
+query("g7_neighbours", f"WITH {BGRID} SELECT a.frame_id, a.domain, a.y, a.x, b.y AS ny, b.x AS nx, CASE WHEN b.y < a.y THEN 0 WHEN b.y > a.y THEN 1 WHEN b.x < a.x THEN 2 ELSE 3 END AS direction FROM dom a JOIN dom b ON a.frame_id = b.frame_id AND a.domain = b.domain AND abs(a.y - b.y) + abs(a.x - b.x) = 2 AND (a.y = b.y OR a.x = b.x)")(lambda s, d: G.neighbours(domains(s, d), 2, BY))
+query("g8_merge_domains", f"WITH {BGRID} SELECT frame_id, domain, count(*) AS n FROM dom GROUP BY frame_id, domain")(lambda s, d: domains(s, d).where("domain < 2").unionByName(domains(s, d).where("domain >= 2")).groupBy("frame_id", "domain").agg(F.count("*").alias("n")))
 query("g9_densify", f"WITH {fx.DISP} SELECT f.frame_idx, r.range::INTEGER AS y, c.range::INTEGER AS x, d.u, d.v FROM (SELECT DISTINCT frame_idx FROM disp) f CROSS JOIN range(60) r CROSS JOIN range(72) c LEFT JOIN disp d ON d.frame_idx = f.frame_idx AND d.y = r.range AND d.x = c.range")(lambda s, d: G.densify(fx.disp(s, d), 60, 72))
 CROP = fx.DISP + ", b AS (SELECT frame_idx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM disp GROUP BY frame_idx), crop AS (SELECT b.frame_idx, r.range::INTEGER AS row, c.range::INTEGER AS col, d.u FROM b CROSS JOIN range(40) r CROSS JOIN range(40) c LEFT JOIN disp d ON d.frame_idx = b.frame_idx AND d.y = b.y0 + 3 * r.range AND d.x = b.x0 + 3 * c.range WHERE b.y0 + 3 * r.range <= b.y1 AND b.x0 + 3 * c.range <= b.x1)"
 query("g10_crop_decimate", f"WITH {CROP} SELECT * FROM crop")(lambda s, d: G.crop_decimate(fx.disp(s, d), "u", 3))
-query("g11_fill_nearest", f"WITH {CROP}, r AS (SELECT a.frame_idx, a.row, a.col, b.u, row_number() OVER (PARTITION BY a.frame_idx, a.row, a.col ORDER BY (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col), b.row, b.col) AS k FROM crop a JOIN crop b ON b.frame_idx = a.frame_idx AND b.u IS NOT NULL WHERE a.frame_idx < 6) SELECT frame_idx, row, col, u FROM r WHERE k = 1")(lambda s, d: G.fill_nearest(G.crop_decimate(fx.disp(s, d).where("frame_idx < 6"), "u", 3), "u"))
+query("g11_fill_nearest", f"WITH {CROP}, r AS (SELECT a.frame_idx, a.row, a.col, b.u, row_number() OVER (PARTITION BY a.frame_idx, a.row, a.col ORDER BY (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col), b.row, b.col) AS k FROM crop a JOIN crop b ON b.frame_idx = a.frame_idx AND b.u IS NOT NULL) SELECT frame_idx, row, col, u FROM r WHERE k = 1")(lambda s, d: G.fill_nearest(G.crop_decimate(fx.disp(s, d), "u", 3), "u"))
 
 # Images --------------------------------------------------------------------------------------
 MIRROR = fx.PIXEL + ", o AS (SELECT range::INTEGER - 4 AS o FROM range(9)), m AS (SELECT range::INTEGER - 4 AS i, CASE WHEN range < 4 THEN 4 - range WHEN range > 51 THEN 98 - range ELSE range - 4 END::INTEGER AS j FROM range(56))"
@@ -165,9 +167,9 @@ query("i7_to_u8", "WITH " + fx.PIXEL + U8.format("px") + " SELECT * FROM u8")(la
 OTSU = U8.format("px") + ", hi AS (SELECT frame_id, val, count(*) AS n FROM u8 GROUP BY ALL), cu AS (SELECT *, sum(n) OVER w AS n0, sum(n * val) OVER w AS s0, sum(n) OVER (PARTITION BY frame_id) AS nn, sum(n * val) OVER (PARTITION BY frame_id) AS ss FROM hi WINDOW w AS (PARTITION BY frame_id ORDER BY val)), be AS (SELECT frame_id, val, CASE WHEN nn > n0 THEN round(n0::DOUBLE * (nn - n0) * (s0 / n0 - (ss - s0) / (nn - n0)) * (s0 / n0 - (ss - s0) / (nn - n0)), 6) ELSE 0 END AS b FROM cu), ot AS (SELECT frame_id, val AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY b DESC, val) AS k FROM be) WHERE k = 1)"
 query("i8_otsu", "WITH " + fx.PIXEL + OTSU + " SELECT * FROM ot")(lambda s, d: I.otsu(I.to_u8(fx.pixels(s, d))))
 ELL = "el AS (SELECT a.range::INTEGER - 7 AS dy, b.range::INTEGER - 7 AS dx FROM range(15) a, range(15) b WHERE abs(b.range - 7) <= round_even(7 * sqrt(1 - (a.range - 7) * (a.range - 7) / 49.0), 0))"
-query("i9_close", f"WITH {fx.BRIGHT}, {ELL}, sparse AS (SELECT y, x FROM bright WHERE (y * 5 + x * 3) % 7 = 0), di AS (SELECT DISTINCT b.y - dy AS y, b.x - dx AS x FROM sparse b, el WHERE b.y - dy BETWEEN 0 AND 47 AND b.x - dx BETWEEN 0 AND 47) SELECT i.y, i.x FROM img i WHERE NOT EXISTS (SELECT 1 FROM el WHERE i.y + dy BETWEEN 0 AND 47 AND i.x + dx BETWEEN 0 AND 47 AND NOT EXISTS (SELECT 1 FROM di WHERE di.y = i.y + dy AND di.x = i.x + dx))")(
-    lambda s, d: R.morph_close(fx.bright(s, d).where((F.col("y") * 5 + F.col("x") * 3) % 7 == 0), SIDE, SIDE))
-query("i10_largest_component")(lambda s, d: R.largest_component(fx.bright(s, d), SIDE, SIDE))
+query("i9_close", f"WITH {fx.BRIGHT}, {ELL}, sparse AS (SELECT frame_id, y, x FROM bright WHERE (y * 5 + x * 3) % 7 = 0), di AS (SELECT DISTINCT b.frame_id, b.y - dy AS y, b.x - dx AS x FROM sparse b, el WHERE b.y - dy BETWEEN 0 AND 47 AND b.x - dx BETWEEN 0 AND 47), inside AS (SELECT i.y, i.x, count(*) AS n FROM img i, el WHERE i.y + dy BETWEEN 0 AND 47 AND i.x + dx BETWEEN 0 AND 47 GROUP BY ALL), hit AS (SELECT d.frame_id, d.y - dy AS y, d.x - dx AS x, count(*) AS n FROM di d, el GROUP BY ALL) SELECT h.frame_id, h.y, h.x FROM hit h JOIN inside i ON i.y = h.y AND i.x = h.x AND i.n = h.n")(
+    lambda s, d: R.morph_close(fx.bright(s, d).where((F.col("y") * 5 + F.col("x") * 3) % 7 == 0), SIDE, SIDE, 15, BY))
+query("i10_largest_component")(lambda s, d: R.largest_component(fx.bright(s, d), SIDE, SIDE, BY))
 query("i11_dynamic_mask")(lambda s, d: I.dynamic_mask(fx.pixels(s, d), SIDE, SIDE, "Hybrid"))
 
 # Matching ------------------------------------------------------------------------------------
@@ -176,21 +178,27 @@ seeds = lambda s, d: fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("
 
 
 def match_sql(score: str) -> str:
-    return f"""WITH {fx.PIXEL}, {SEEDS}, t AS (SELECT id, p.y, p.x, val AS t FROM sd JOIN px p ON p.frame_id = 0 AND p.y BETWEEN sd.y - 5 AND sd.y + 5 AND p.x BETWEEN sd.x - 5 AND sd.x + 5),
-n AS (SELECT id, count(*) AS size FROM t GROUP BY id), sh AS (SELECT a.range::INTEGER - 8 AS v0, b.range::INTEGER - 8 AS u0 FROM range(17) a, range(17) b),
-c AS (SELECT p.frame_id, t.id, u0, v0, count(*) AS n, sum(t * val) AS ti, sum(t * t) AS tt, sum(val * val) AS ii, sum(t) AS st, sum(val) AS si FROM t, sh JOIN px p ON p.frame_id > 0 AND p.y = t.y + v0 AND p.x = t.x + u0 GROUP BY ALL),
-k AS (SELECT frame_id, c.id, u0, v0, round({score}, 9) AS score FROM c JOIN n ON n.id = c.id AND n.size = c.n), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, id ORDER BY score DESC, v0, u0) AS rk FROM k)
+    """Whole templates as lists; seeds stand far enough from the border for none to be clipped."""
+    return f"""WITH {fx.PIXEL}, {SEEDS}, o AS (SELECT a.range - 5 AS dy, b.range - 5 AS dx FROM range(11) a, range(11) b), sh AS (SELECT a.range::INTEGER - 8 AS v0, b.range::INTEGER - 8 AS u0 FROM range(17) a, range(17) b),
+ar AS (SELECT c.frame_id, c.y, c.x, o.dy, o.dx FROM px c, o),
+pa AS (SELECT a.frame_id, a.y, a.x, list(p.val ORDER BY a.dy, a.dx) AS v FROM ar a JOIN px p ON p.frame_id = a.frame_id AND p.y = a.y + a.dy AND p.x = a.x + a.dx GROUP BY ALL HAVING count(*) = 121),
+pb AS (SELECT *, frame_id // 4 AS s4, list_sum(v) AS s, list_inner_product(v, v) AS ss FROM pa), w AS (SELECT sd.id, sd.y + v0 AS y, sd.x + u0 AS x, a.s4, u0, v0, a.v, a.s, a.ss FROM sd JOIN pb a ON a.y = sd.y AND a.x = sd.x AND a.frame_id % 4 = 0, sh),
+c AS (SELECT b.frame_id, w.id, u0, v0, 121 AS n, list_inner_product(w.v, b.v) AS ti, w.ss AS tt, b.ss AS ii, w.s AS st, b.s AS si FROM w JOIN pb b ON b.s4 = w.s4 AND b.y = w.y AND b.x = w.x AND b.frame_id % 4 > 0),
+k AS (SELECT frame_id, id, u0, v0, round({score}, 9) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, id ORDER BY score DESC, v0, u0) AS rk FROM k)
 SELECT frame_id, id, u0, v0, score FROM r WHERE rk = 1"""
 
 
+in_sets = lambda p: p.withColumn("set", F.floor(F.col("frame_id") / 4).cast("int"))
+
+
 def matched(zero_mean: bool) -> Query:
-    return lambda s, d: C.template_match(seeds(s, d), fx.pixels(s, d).where("frame_id = 0"), fx.pixels(s, d).where("frame_id > 0"), SIDE, SIDE, 5, fx.SEARCH, zero_mean)
+    return lambda s, d: C.template_match(seeds(s, d), in_sets(fx.references(s, d)).drop("frame_id"), in_sets(fx.pixels(s, d).where("frame_id % 4 > 0")), 5, fx.SEARCH, zero_mean, ("set",)).drop("set")
 
 
 query("c1_template_match", match_sql("CASE WHEN tt * ii > 0 THEN ti / sqrt(tt * ii) ELSE 0 END"))(matched(False))
 query("c2_zero_mean_match", match_sql("CASE WHEN (tt - st * st / n) * (ii - si * si / n) > 0 THEN (ti - st * si / n) / sqrt((tt - st * st / n) * (ii - si * si / n)) ELSE 0 END"))(matched(True))
-query("c3_subset_quality", f"WITH {fx.PIXEL}, {fx.GRID}, q AS (SELECT g.y, g.x, count(*) AS n_px, sqrt(greatest(sum(val * val) - sum(val) * sum(val) / count(*), 0.0)) AS sigma FROM grid g JOIN px p ON p.frame_id = 0 AND (p.y - g.y) * (p.y - g.y) + (p.x - g.x) * (p.x - g.x) <= 25 GROUP BY g.y, g.x) SELECT y, x, n_px, round(sigma, 6) + 0.0 AS sigma, n_px >= 6 AND sigma >= 1e-12 AS valid FROM q")(
-    lambda s, d: C.subset_quality(G.build_grid(fx.rect(s), SIDE, SIDE, 5, 3), fx.pixels(s, d).where("frame_id = 0"), 5).withColumn("sigma", F.round("sigma", 6) + F.lit(0.0)))
+query("c3_subset_quality", f"WITH {fx.PIXEL}, {fx.GRID}, q AS (SELECT p.frame_id, g.y, g.x, count(*) AS n_px, sqrt(greatest(sum(val * val) - sum(val) * sum(val) / count(*), 0.0)) AS sigma FROM grid g JOIN px p ON p.frame_id % 4 = 0 AND (p.y - g.y) * (p.y - g.y) + (p.x - g.x) * (p.x - g.x) <= 25 GROUP BY p.frame_id, g.y, g.x) SELECT frame_id, y, x, n_px, round(sigma, 6) + 0.0 AS sigma, n_px >= 6 AND sigma >= 1e-12 AS valid FROM q")(
+    lambda s, d: C.subset_quality(G.build_grid(fx.rect(s), SIDE, SIDE, 5, 3), fx.references(s, d), 5, BY).withColumn("sigma", F.round("sigma", 6) + F.lit(0.0)))
 WARP = "w AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS u, CAST(embedding[2] AS DOUBLE) * 4 AS v, CAST(embedding[3] AS DOUBLE) / 8 AS ux, CAST(embedding[4] AS DOUBLE) / 8 AS uy, CAST(embedding[5] AS DOUBLE) / 8 AS vx, CAST(embedding[6] AS DOUBLE) / 8 AS vy, CAST(embedding[7] AS DOUBLE) AS du, CAST(embedding[8] AS DOUBLE) AS dv, CAST(embedding[9] AS DOUBLE) / 8 AS dux, CAST(embedding[10] AS DOUBLE) / 8 AS duy, CAST(embedding[11] AS DOUBLE) / 8 AS dvx, CAST(embedding[12] AS DOUBLE) / 8 AS dvy FROM embeddings)"
 WNAMES = ("u", "v", "ux", "uy", "vx", "vy", "du", "dv", "dux", "duy", "dvx", "dvy")
 WSCALE = (4, 4, 0.125, 0.125, 0.125, 0.125, 1, 1, 0.125, 0.125, 0.125, 0.125)

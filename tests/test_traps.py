@@ -95,7 +95,7 @@ def test_polygon_needs_three_points(spark):
 def test_planted_shift_is_found(spark):
     px = lambda d: spark.createDataFrame([(1, y, x, float((y - 2 * d) ** 2 * 7 % 31 + (x - d) ** 3 % 23)) for y in range(24) for x in range(24)], "frame_id int, y int, x int, val double")
     seeds = spark.createDataFrame([(1, 12, 12)], "id int, y int, x int")
-    got = matching.template_match(seeds, px(0), px(1), 24, 24, 4, 4).first()
+    got = matching.template_match(seeds, px(0).drop("frame_id"), px(1), 4, 4).first()
     assert (got["u0"], got["v0"], got["score"]) == (1, 2, 1.0)
 
 
@@ -146,3 +146,23 @@ def test_mask_choice_breaks_ties_by_name(spark):
 def test_csv_export(spark, tmp_path):
     session.export_csv(frame(spark, [(0, 0, 1, 2.0, 0.5)]), 0, 2, 2, f"file://{tmp_path}/out")
     assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/out_u.csv").collect()] == ["nan,2.0", "nan,nan"]
+
+
+def test_components_reach_over_tiles(spark):
+    snake = [(0, y, x) for y in range(0, 21, 2) for x in range(21)] + [(0, y, 20 if y % 4 == 1 else 0) for y in range(1, 20, 2)] + [(1, 3, 3), (1, 4, 4)]
+    mask = spark.createDataFrame(snake, "frame_id int, y int, x int")
+    for tile in (4, 256):
+        count = lambda diagonal, tile=tile: {r["frame_id"]: r["n"] for r in masks.label_components(mask, diagonal, ("frame_id",), tile).groupBy("frame_id").agg(F.countDistinct("label").alias("n")).collect()}
+        assert count(False) == {0: 1, 1: 2} and count(True) == {0: 1, 1: 1}
+
+
+def test_flat_images_match_without_a_score(spark):
+    px = spark.createDataFrame([(1, y, x, 0.0) for y in range(20) for x in range(20)], "frame_id int, y int, x int, val double")
+    seeds = spark.createDataFrame([(1, 10, 10)], "id int, y int, x int")
+    for zero_mean in (False, True):
+        assert tuple(matching.template_match(seeds, px.drop("frame_id"), px, 2, 3, zero_mean).first()) == (1, 1, -3, -3, 0.0)
+
+
+def test_nearest_of_far_points_and_empty_frames(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 5.0), (0, 0, 30, None), (1, 0, 0, None)], "frame_idx int, row int, col int, u double")
+    assert {(r["frame_idx"], r["col"]): r["u"] for r in grid.fill_nearest(cells, "u").collect()} == {(0, 0): 5.0, (0, 30): 5.0, (1, 0): None}
