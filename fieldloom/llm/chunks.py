@@ -114,16 +114,17 @@ def passages(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     salts as it needs, so no digest fills a task.
     """
     every = chunks(docs, id_col, text_col)
-    first = F.min(F.struct("id", "start")).alias("first")
-    counted = materialise(every.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").select("d1", "d2", "n", F.col("first.id").alias("first_doc"), F.col("first.start").alias("first_start")), "counted")
+    counted = materialise(every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("id").alias("first_doc")).where("n > 1"), "counted")
     per = max(LEAST_HOT, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     salts = F.ceil(F.col("n") / per).cast("int")
     hot = materialise(counted.where(F.col("n") > per).select("d1", "d2", salts.alias("salts")), "hot")
     salted = every.join(hot.hint("broadcast"), ["d1", "d2"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "text_hash"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    known = counted.select("d1", "d2", "first_doc", "first_start", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    here = (F.col("id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    again = salted.join(known.hint("merge"), ["d1", "d2", "salt"]).select("id", "text_hash", "start", "end", "first_doc", here.alias("here"))
+    known = counted.select("d1", "d2", "first_doc", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    again = salted.join(known.hint("merge"), ["d1", "d2", "salt"]).select("id", "text_hash", "start", "end", "d1", "first_doc")
     again = again.repartition("id", "text_hash").dropDuplicates(["id", "text_hash", "start"])
+    # A chunk stays where it stands first in the first document that has it; half of its digest tells it from the others of one text.
+    nth = F.row_number().over(Window.partitionBy("id", "text_hash", "d1").orderBy("start"))
+    again = again.withColumn("here", (F.col("id") == F.col("first_doc")) & (nth == 1))
     order = Window.partitionBy("id", "text_hash").orderBy("start")
     gap = F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")
     marked = again.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
