@@ -50,7 +50,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags whose text runs on within the block around them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags with no article text, wherever they stand.
-DROPPED = frozenset("script style noscript template nav footer aside form head title iframe object svg math button select textarea option dialog menu canvas audio video".split())
+DROPPED = frozenset("script style noscript template nav footer aside form head title iframe object svg button select textarea option dialog menu canvas audio video".split())
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,6 +58,9 @@ KEEPS_OPEN = frozenset("ul ol dl table article main section div body html td th
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menus?|nav|navbar|navigation|newsletter|notices?|popup|modal|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[-_\s])", re.IGNORECASE)
 
+#: Class names that begin so tell of a wrapper's state, not what it is (has-sidebar, no-comments).
+STATES = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "without_", "is-", "is_")
+
 #: Noise outside articles only: inside, a header holds the title.
 HEADERS = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?:$|[-_\s])", re.IGNORECASE)
 #: Elements nested deeper share the style node of their ancestor at this depth.
@@ -90,6 +93,8 @@ class Tree(HTMLParser):
         self.feed(html)
         self.close()
         for node in self.nodes:  # parents come first
+            if node.tag == "form" and node.holds:  # a wrapper of the article
+                node.kept = True
             node.live = node.kept and node.parent.live
             node.runs_on = node.main and node.tag in INLINE and (node.parent.runs_on or any(map(str.strip, node.parent.text)))
 
@@ -106,7 +111,7 @@ class Tree(HTMLParser):
             or (not self.at.main and (tag == "header" or HEADERS.search(said.get("class", "")) or HEADERS.search(said.get("id", ""))))
             or said.get("role", "").lower() in ROLES
             or "hidden" in said
-            or (tag not in ("html", "body", "article", "main") and (NOISE.search(said.get("class", "")) or NOISE.search(said.get("id", ""))))
+            or (tag not in ("html", "body", "article", "main") and any(NOISE.search(name) for a in ("class", "id") for name in said.get(a, "").split() if not name.lower().startswith(STATES)))
         )
         self.at.children.append(node)
         self.nodes.append(node)

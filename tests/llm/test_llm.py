@@ -243,3 +243,41 @@ def test_topk_by_brute_force(spark):
     got = topk.search(table, pivots=6, annulus=32)
     assert {tuple(r) for r in got.collect()} == want
     assert topk.search(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("body", "want"), [("<div class='has-sidebar'><p>Hi</p></div>", "Hi"), ("<main><div class='layout no-sidebar'>Hi</div></main>", "Hi"), ("<article>Let <math><mi>x</mi></math> be</article>", "Let x be"), ("<form><article>Hi</article><input value=a><button>Go</button></form>", "Hi"), ("<div class='sidebar'>No</div><p>Hi</p><form>Mail</form>", "Hi")])
+def test_html_wrappers_stay(body, want):
+    assert htmltree.main_text(f"<body>{body}</body>", set()) == want
+
+
+def test_stages_keep_columns_that_clash(spark):
+    names = "_id _blob _clean _spans _rate row id text_hash spans blob times rate left".split()
+    good = " ".join(f"fair{i}" for i in range(40))
+    rows = [(1, f"{good} token=abcdefgh1", "en", "s", 9), (1, f"{good} token=abcdefgh1", "en", "s", 9), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, good, "en", "s", 9)]
+    table = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(7) for n in names})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    mixture = mixing.fit_mixture(table, labels, {"toxic": "toxic = 1", "clean": "toxic = 0"}, {"clean": 0.9, "toxic": 0.1}, most=1.0)[0]
+    stages = {"quality": lambda d: quality.keep_good(d, labels), "secrets": secrets.redact, "mixture": lambda d: mixing.sample(d, mixture), "chunks": chunks.remove_repeats}
+    for name, stage in stages.items():
+        out = stage(table)
+        assert out.columns == table.columns and stage(table.limit(0)).count() == 0, name
+        got = out.collect()
+        assert all(r[n] == 7 for r in got for n in names), name
+        assert len(got) == (3 if name == "quality" else 5), name
+    assert {r["text"] for r in secrets.redact(table).collect()} == {f"{good} <secret>", None, "", good}
+
+
+def test_license_texts_without_a_name():
+    texts = {"mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software", "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted", "gpl": "GPLv3", "apache": "http://www.apache.org/licenses/LICENSE-2.0"}
+    for label, text in texts.items():
+        assert licenses.scan_text(text, licenses.rules_here())[5] == label
+    n, base, first, last = licenses.scan_text("mit license foo " * 20_000, licenses.rules_here())[:4]
+    assert (n, base, first, last) == (60_000, 20_000, 0, 59_997)
+
+
+def test_chunk_lengths():
+    rng = random.Random(9)
+    for text in ("a" * 5000, "-" * 999, "ab" * 3000, "".join(rng.choice("abcdefgh é") for _ in range(9000))):
+        ends = chunks.boundaries(text.encode())
+        sizes = np.diff(ends, prepend=0)
+        assert ends[-1] == len(text.encode()) and sizes.max() <= chunks.LONGEST + chunks.SHORTEST + 3 and (sizes[:-1] >= chunks.SHORTEST - 3).all()
