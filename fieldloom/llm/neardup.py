@@ -211,17 +211,19 @@ def bucketed(reps: DataFrame) -> DataFrame:
 
     Keys that look frequent in a sample, HOT_KEYS of them at most, are dealt over
     SALTS tasks each; all others are dealt by key. One shuffle serves the count
-    and the join. The sample decides about the way only: every bucket is complete.
+    and the join, as long as no condition on the salt reaches below it: so the salt
+    is never null, and the conditions are on its maximum. The sample decides about the way only: every bucket
+    is complete.
     """
     keyed = reps.select("node", "n", F.explode("bands").alias("key"))
     seen = keyed.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT_MEMBERS)
     hot = materialise(seen.orderBy(F.desc("m"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt")
+    salt = F.coalesce(F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), F.lit(-1)).alias("salt")
     dealt = keyed.join(hot.hint("broadcast"), "key", "left").select("node", "n", "key", salt).repartition("key", "salt")
-    part = dealt.groupBy("key", "salt").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.count("*").alias("size"))
-    whole = part.where("salt >= 0").groupBy("key").agg(F.min("pivot").alias("pivot"), F.min_by("pn", "pivot").alias("pn"), F.sum("size").alias("size"))
+    part = dealt.groupBy("key", "salt").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"), F.count("*").alias("size"), F.max("salt").alias("of"))
+    whole = part.where("of >= 0").groupBy("key").agg(F.min("pivot").alias("pivot"), F.min_by("pn", "pivot").alias("pn"), F.sum("size").alias("size"))
     whole = whole.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "pivot", "pn", "size")
-    known = part.where("salt < 0").unionByName(whole).where("size > 1")
+    known = part.where("of < 0").drop("of").unionByName(whole).where("size > 1")
     return materialise(dealt.join(known.hint("merge"), ["key", "salt"]).drop("salt"), "members")
 
 
