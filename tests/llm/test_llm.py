@@ -179,6 +179,17 @@ def test_near_duplicates_by_brute_force(spark, shingle):
     assert neardup.near_duplicates(none).first()["kept"] and neardup.near_duplicates(none.limit(0)).count() == 0
 
 
+def test_frequent_keys_are_dealt_without_loss(spark, monkeypatch):
+    bands = {i: [7, 100 + i % 3, 1000 + i] for i in range(60)}
+    reps = spark.createDataFrame([(i, 10 + i, b) for i, b in bands.items()], "node long, n long, bands array<long>")
+    keys = {k: [i for i, b in bands.items() if k in b] for k in (7, 100, 101, 102)}
+    want = sorted((i, 10 + i, k, m[0], 10 + m[0], len(m)) for k, m in keys.items() for i in m)
+    for sampled, least in ((1, 30), (1, 10**6)):  # key 7 is frequent, then none is
+        monkeypatch.setattr(neardup, "SAMPLED", sampled)
+        monkeypatch.setattr(neardup, "HOT_MEMBERS", least)
+        assert sorted(map(tuple, neardup.bucketed(reps).select("node", "n", "key", "pivot", "pn", "size").collect())) == want
+
+
 @pytest.mark.parametrize("cells", [1000, -1])
 def test_keep_one_with_null_and_repeated_ids(spark, cells):
     same = " ".join(f"w{i}" for i in range(30))
