@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, chunks, htmltree, langid, licenses, mixing, neardup, quality, secrets, topk
+from fieldloom.llm import bpe, chunks, decontaminate, htmltree, langid, licenses, mixing, neardup, phrases, quality, secrets, topk
 from fieldloom.llm.common import table
 
 
@@ -66,11 +66,19 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_ledger, op2_language_id, op3_byte_bpe, op4_html_style_tree, op5_quality_ratio,
-        op6_license_rules, op7_mixing, op8_circulant_minhash, op9_gear_chunks, op10_pivot_topk,
+        op6_license_rules, op7_mixing, op8_circulant_minhash, op9_gear_chunks, op10_pivot_topk, op12_phrase_tries, op13_ngram_decontamination,
     )
 }
 
@@ -125,4 +133,33 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_ledger": SECRETS_SQL, "op8_circulant_minhash": NEARDUP_SQL, "op10_pivot_topk": TOPK_SQL}
+PHRASES_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS ph FROM w UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w WHERE len(ws) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w WHERE len(ws) > 2),
+f AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, ph, string_split(ph, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 10),
+u AS (SELECT lang, ph, a, i, array_to_string(ws[1:i], ' ') AS lp, array_to_string(ws[i + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+x AS (SELECT u.*, l.f AS l, r.f AS r, (1000000::HUGEINT * u.a * u.a) // (l.f::HUGEINT * r.f) AS score FROM u JOIN f l ON l.lang = u.lang AND l.ph = u.lp JOIN f r ON r.lang = u.lang AND r.ph = u.rp),
+s AS (SELECT lang, ph, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, i) AS z FROM x) WHERE z = 1),
+hide AS (SELECT lang, part AS ph, max(a) AS a FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT s.lang, s.ph AS phrase, s.a, s.l, s.r, n.n, s.score::BIGINT AS score FROM s JOIN n ON n.lang = s.lang LEFT JOIN hide h ON h.lang = s.lang AND h.ph = s.ph WHERE h.a IS NULL OR 100 * h.a < 50 * s.a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000
+"""
+
+LEAKS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])) AS words FROM (SELECT *, least(len(ws), 10) AS m FROM b WHERE len(ws) > 0 AND item_id IS NOT NULL)),
+a AS (SELECT row, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: {'pos': i, 'words': ws[i:i + m - 1]})) AS x FROM d, (SELECT DISTINCT m FROM w) WHERE len(ws) >= m),
+h AS (SELECT a.row, a.m, a.x.pos AS pos, w.item_id FROM a JOIN w ON w.m = a.m AND w.words = a.x.words),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(pos, pos + m)) AS p FROM h) GROUP BY row),
+i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h) GROUP BY row)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN i USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_ledger": SECRETS_SQL, "op8_circulant_minhash": NEARDUP_SQL, "op10_pivot_topk": TOPK_SQL, "op12_phrase_tries": PHRASES_SQL, "op13_ngram_decontamination": LEAKS_SQL}
