@@ -335,6 +335,8 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     often = ranked(every.where(F.col("f") >= least).select("lang", "word", "hash", "f"), ["hash"])
     # One row per lang, of which there are few; a count decides.
     words = materialise(often.select((F.col("rn") + 1).cast("int").alias("code"), "lang", "word", "hash", "f").join(sized(total), "lang"), "vocabulary")
+    if words.isEmpty():
+        return words, words.select(F.array("code").alias("codes"), "f")
     codes = coded(blocks.where("seq is not null").select("seq"), words)
     discard(blocks, every)
     rows = codes.select(F.col("codes").alias("state"), "codes")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, chunks, decontaminate, htmltree, langid, licenses, mixing, neardup, phrases, quality, secrets, topk
+from fieldloom.llm import bpe, chunks, decontaminate, htmltree, langid, licenses, mixing, neardup, phrases, prefixtrie, quality, secrets, topk
 from fieldloom.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_ledger, op2_language_id, op3_byte_bpe, op4_html_style_tree, op5_quality_ratio,
-        op6_license_rules, op7_mixing, op8_circulant_minhash, op9_gear_chunks, op10_pivot_topk, op12_phrase_tries, op13_ngram_decontamination,
+        op6_license_rules, op7_mixing, op8_circulant_minhash, op9_gear_chunks, op10_pivot_topk, op11_prefix_trie, op12_phrase_tries, op13_ngram_decontamination,
     )
 }
 
@@ -133,6 +137,24 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: The unsigned CRC-32 of a number's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda z: z)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+TRIE_SQL = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS k, d, w FROM (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - ((conv_id % 20) + 20) % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (SELECT c.conv_id, 0 AS part, k, d, w FROM c JOIN o ON o.conv_id = c.base AND k < h UNION ALL SELECT c.conv_id, 1, k, d, w FROM c JOIN o ON o.conv_id = c.conv_id AND k >= h),
+s AS (SELECT c.conv_id, coalesce(list(t.d ORDER BY part, k) FILTER (t.d IS NOT NULL), []) AS l, coalesce(list(t.w ORDER BY part, k) FILTER (t.d IS NOT NULL), []) AS w FROM c LEFT JOIN t ON t.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, depth, sha256(array_to_string(l[1:depth], ',')) AS key, CASE WHEN depth > 0 THEN sha256(array_to_string(l[1:depth - 1], ',')) END AS up, CASE WHEN depth > 0 THEN w[depth] ELSE 0 END AS w, depth = len(l) AS stops, l FROM (SELECT *, unnest(range(len(l) + 1)) AS depth FROM s)),
+n AS (SELECT depth, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, arg_min(l, conv_id) AS l, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends FROM m GROUP BY depth, key),
+k AS (SELECT up, depth - 1 AS depth, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY ALL),
+a AS (SELECT *, coalesce(kids, 0) = 0 AS leaf FROM n LEFT JOIN (SELECT up AS key, depth, kids FROM k) USING (key, depth)),
+b AS (SELECT depth, key, sum(leaf::INT)::BIGINT AS leaves, sum((n - 1) * w)::BIGINT AS saved FROM (SELECT x AS depth, sha256(array_to_string(l[1:x], ',')) AS key, leaf, n, w FROM (SELECT *, unnest(range(depth + 1)) AS x FROM a)) GROUP BY ALL)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n AS n_convs, coalesce(a.kids, 0) AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN b ON b.key = a.key AND b.depth = a.depth LEFT JOIN n p ON p.key = a.up AND p.depth = a.depth - 1
+"""
+
 PHRASES_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
@@ -162,4 +184,4 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN c USING (row) LEFT JOIN i USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_ledger": SECRETS_SQL, "op8_circulant_minhash": NEARDUP_SQL, "op10_pivot_topk": TOPK_SQL, "op12_phrase_tries": PHRASES_SQL, "op13_ngram_decontamination": LEAKS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_ledger": SECRETS_SQL, "op8_circulant_minhash": NEARDUP_SQL, "op10_pivot_topk": TOPK_SQL, "op11_prefix_trie": TRIE_SQL, "op12_phrase_tries": PHRASES_SQL, "op13_ngram_decontamination": LEAKS_SQL}
