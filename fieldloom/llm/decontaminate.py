@@ -31,7 +31,7 @@ WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bits of the bitmap for each window, and bits at most (2 MB).
-BITS_EACH, MOST_BITS = 64, 1 << 24
+BITS_EACH, MOST_BITS = 512, 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -106,6 +106,11 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = WINDOW, cells: int = BROADC
     return base.drop("found"), found
 
 
+def fitting(found: DataFrame, cells: int) -> int:
+    """``cells`` if ``found`` holds so many values at most, those in its lists included; else -1."""
+    return cells if (found.agg(F.sum(5 + 2 * F.size("spans") + F.size("items"))).first()[0] or 0) <= cells else -1
+
+
 def covered(spans: Column) -> Column:
     """Words in the union of the sorted spans."""
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(acc["end"], s["at"]))).cast("long").alias("n"), F.greatest(acc["end"], s["stop"]).alias("end"))
@@ -115,7 +120,7 @@ def covered(spans: Column) -> Column:
 def judge(docs: DataFrame, bench: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     base, found = hits(narrow(docs, id_col, text_col).toDF("id", "text"), bench, n, cells)
-    rows = look_up(base, found, ["digest"], cells)
+    rows = look_up(base, found, ["digest"], fitting(found, cells))
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -131,7 +136,7 @@ def remove(docs: DataFrame, bench: DataFrame, what: str = "documents", n: int =
         raise ValueError("what is removed are documents or spans")
     found = hits(narrow(docs, "doc_id", "text").toDF("id", "text"), bench, n, cells)[1]
     rows = materialise(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), digest_of(docs["text"]).alias("digest")), "rows")
-    both = look_up(rows, found.select("digest", "spans"), ["digest"], cells)
+    both = look_up(rows, found.select("digest", "spans"), ["digest"], fitting(found, cells))
     if what == "documents":
         return both.where("spans is null").select("row.*")
     text = F.col("row.text")
