@@ -41,8 +41,8 @@ from fieldloom.runtime import BROADCAST_CELLS, discard, materialise, ship, sized
 from fieldloom.sources.frames import ranked
 
 LONGEST, LEAST, SHADOW, TOP = 3, 10, 50, 2000
-#: Transitions of a trie, transitions that are broadcast at once, words that a task counts before it passes them on.
-SHARD, GROUP, WORDS = 1 << 18, 1 << 22, 1 << 19
+#: Transitions of a trie, transitions that are broadcast at once; words and candidates that a task gathers before it passes them on; bytes of text that are cut at once.
+SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 22, 1 << 17, 1 << 20, 1 << 20
 #: Stands between pieces; no byte of UTF-8.
 BREAK = b"\xff"
 _CLEAN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -93,7 +93,7 @@ def cut(docs: DataFrame, seed: int) -> DataFrame:
                     yield record(schema, [lang], [None], [words[a:b]], [hashes[a:b]], [counts[a:b]])
             known.clear()
 
-        for part in slices(batches):
+        for part in slices(batches, 1, TEXT):
             langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 if lang not in known:
@@ -148,6 +148,11 @@ def observed(rows: DataFrame, level: int) -> DataFrame:
     """key (state << 32 | word) of every candidate that occurs."""
     schema = pa.schema([("key", pa.int64())])
 
+    def passed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.unique(np.concatenate(held))
+        for a in range(0, len(keys), 1 << 16):
+            yield record(schema, keys[a : a + (1 << 16)])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -157,17 +162,17 @@ def observed(rows: DataFrame, level: int) -> DataFrame:
                 on = q > 0
                 held.append(np.unique(p[on].astype(np.int64) << 32 | q[on]))
                 size += len(held[-1])
-                if size > GROUP:
-                    yield record(schema, np.unique(np.concatenate(held)))
+                if size > SEEN:
+                    yield from passed(held)
                     held, size = [], 0
         if held:
-            yield record(schema, np.unique(np.concatenate(held)))
+            yield from passed(held)
 
     return map_arrow(rows, kernel, "key long").distinct()
 
 
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """The double array of sorted keys: parents (states), words, base of each parent, check (parent's number from 1) and key of each place.
+    """The double array of sorted keys: parents (states), words, base of each parent, and check (parent's number from 1) of each place.
 
     Parents with many words are placed first, where a few tried bases allow, else
     behind all others; those with one word then take the places left.
@@ -201,9 +206,13 @@ def build(keys: np.ndarray) -> dict[str, np.ndarray]:
     at = base[owner] + w
     check = np.zeros(int(at.max()) + 1, dtype=np.int32)
     check[at] = owner + 1
-    key = np.zeros(len(check), dtype=np.int64)
-    key[at] = keys
-    return {"parents": parents.astype(np.int32), "words": words.astype(np.int32), "base": base, "check": check, "key": key}
+    return {"parents": parents.astype(np.int32), "words": words.astype(np.int32), "base": base, "check": check}
+
+
+def keys_at(trie: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The keys of places that a transition leads to."""
+    owner = trie["check"][at] - 1
+    return trie["parents"][owner].astype(np.int64) << 32 | trie["words"][at - trie["base"][owner]]
 
 
 def advance(trie: dict[str, np.ndarray], state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +241,9 @@ def tries(keys: DataFrame) -> Iterator:
     top = keys.agg(F.max("rn")).first()[0]
     for a in range(0, 0 if top is None else top + 1, GROUP):
         part = keys.where(F.col("rn").between(a, a + GROUP - 1)).select("key", F.floor(F.col("rn") / SHARD).alias("shard"))
-        kinds, found = {"key": np.int64}, {}
+        found = {}
         for r in part.groupBy("shard").applyInArrow(kernel, "shard long, part string, data binary").collect():
-            found.setdefault(r["shard"], {})[r["part"]] = np.frombuffer(bytes(r["data"]), kinds.get(r["part"], np.int32))
+            found.setdefault(r["shard"], {})[r["part"]] = np.frombuffer(bytes(r["data"]), np.int32)
         shared = spark.sparkContext.broadcast(sorted(found.items(), key=lambda x: x[0]))
         yield shared
         shared.unpersist()
@@ -249,7 +258,7 @@ def counted(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
-            total = [np.zeros(len(t["check"]), dtype=np.int64) for _, t in held]
+            total = [np.zeros(len(t["check"]), dtype=np.int32) for _, t in held]
             for batch in batches:
                 for i in range(batch.num_rows):
                     state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
@@ -258,18 +267,18 @@ def counted(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
                         to = advance(trie, p, q)[1]
                         if len(to):
                             got = np.bincount(to)
-                            total[k][: len(got)] += got
+                            total[k][: len(got)] += got.astype(np.int32)
             for k, (shard, _) in enumerate(held):
                 at = np.flatnonzero(total[k])
                 if len(at):
-                    yield record(schema, [shard], [at.astype(np.int32).tobytes()], [total[k][at].tobytes()])
+                    yield record(schema, [shard], [at.astype(np.int32).tobytes()], [total[k][at].astype(np.int64).tobytes()])
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held, now, total = dict(shared.value), None, None
 
             def done() -> pa.RecordBatch:
                 at = np.flatnonzero(total)
-                return record(sums, held[now]["key"][at], total[at])
+                return record(sums, keys_at(held[now], at), total[at])
 
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -300,7 +309,7 @@ def marked(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
             for _, trie in shared.value:
                 at = np.flatnonzero(trie["check"])
                 number = np.zeros(len(trie["check"]), dtype=np.int32)
-                number[at[np.argsort(trie["key"][at])]] = np.arange(first, first + len(at)) + 1
+                number[at[np.argsort(keys_at(trie, at))]] = np.arange(first, first + len(at)) + 1
                 first += len(at)
                 numbers.append(number)
             for batch in batches:

@@ -155,7 +155,7 @@ def test_double_array():
         state, word = rng.integers(0, 210, 5000).astype(np.int32), rng.integers(0, 510, 5000).astype(np.int32)
         sel, to = phrases.advance(trie, state, word)
         want = np.isin(state.astype(np.int64) << 32 | word, keys)
-        assert np.array_equal(np.sort(sel), np.flatnonzero(want)) and np.array_equal(trie["key"][to], state[sel].astype(np.int64) << 32 | word[sel])
+        assert np.array_equal(np.sort(sel), np.flatnonzero(want)) and np.array_equal(phrases.keys_at(trie, to), state[sel].astype(np.int64) << 32 | word[sel])
 
 
 # Benchmark windows ---------------------------------------------------------------------------
