@@ -13,9 +13,11 @@ from fieldloom.operators import images as I
 from fieldloom.operators import kinematics as K
 from fieldloom.operators import masks as R
 from fieldloom.operators import matching as C
+from fieldloom.operators import splines as P
 from fieldloom.operators import stats as A
+from fieldloom.operators import tracking as T
 from fieldloom.plans import fixtures as fx
-from fieldloom.runtime import new_path, sized
+from fieldloom.runtime import materialise, new_path, sized
 from fieldloom.sources import frames as S
 from fieldloom.sources import session
 
@@ -227,6 +229,107 @@ query("c7_accept", f"WITH {WARP} SELECT vec_id FROM w WHERE abs(ux * 40) < 0.5 A
 query("c13_survival", f"WITH {fx.DENSE} SELECT frame_idx, count(u) AS n_valid, count(u) / 480.0::DOUBLE AS survival, count(u) / 480.0::DOUBLE < 0.6 AS redo FROM dense GROUP BY frame_idx")(lambda s, d: A.survival(fx.disp(s, d), 480, N))
 query("c14_next_guess", f"WITH {fx.DISP} SELECT frame_idx, median(u) AS u0, median(v) AS v0 FROM disp GROUP BY frame_idx")(lambda s, d: A.next_guess(fx.disp(s, d)))
 
+# Tracking ------------------------------------------------------------------------------------
+AT, PAR = "s4, y, x", "u, v, du_dx, du_dy, dv_dx, dv_dy"
+
+
+def scored(points: DataFrame, image: DataFrame) -> DataFrame:
+    """A stand-in for a solver: parameters and score that depend on the start and on the pixel below."""
+    c = F.col("val").cast("int")
+    new = {"u": F.col("u") + c % 9 - 4, "v": F.col("v") + (c % 5 - 2) / 4.0, **{p: (c % m - 1) / 64.0 for p, m in zip(T.PARAMS[2:], (3, 4, 5, 6), strict=True)}}
+    return points.join(image.hint("merge"), ["set", "y", "x"]).withColumns(new).withColumn("corr", (F.col("val") + 5 * F.col("set") % 4 * F.col("k")) / 80.0)
+
+
+def tracked(s: SparkSession, d: str, n_frames: int, least: float | None) -> DataFrame:
+    """Sequences of the deformed images of each set, from the grid point nearest to the middle of the mask."""
+    px = materialise(in_sets(fx.pixels(s, d)).select("set", (F.col("frame_id") % 4).alias("k"), "y", "x", "val"), "images")
+    grid = materialise(G.build_grid(px.where("k = 0 and val >= 90").select("set", "y", "x"), SIDE, SIDE, 5, 3, ("set",)).select("set", "y", "x"), "grid")
+    d2 = (F.col("y") - 24) * (F.col("y") - 24) + (F.col("x") - 24) * (F.col("x") - 24)
+    seed = grid.groupBy("set").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("m")).select("set", "m.y", "m.x", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("frame_idx"))
+    seed = materialise(seed.withColumns({"u": F.col("frame_idx") + 1, "v": 2 * F.col("frame_idx") + 2}), "seeds")
+    return T.track(seed, grid, lambda active, t: scored(active, px.where(F.col("k") == t + 1)), n_frames, 3, ("set",), least=least)
+
+
+GROWTH = fx.PIXEL + """, im AS MATERIALIZED (SELECT frame_id // 4 AS s4, frame_id % 4 AS k, y, x, val, val::INTEGER AS c FROM px),
+gr AS MATERIALIZED (SELECT s4, y, x FROM im WHERE k = 0 AND val >= 90 AND y BETWEEN 5 AND 42 AND x BETWEEN 5 AND 42 AND (y - 5) % 3 = 0 AND (x - 5) % 3 = 0),
+se AS MATERIALIZED (SELECT s4, y, x FROM (SELECT *, row_number() OVER (PARTITION BY s4 ORDER BY (y - 24) * (y - 24) + (x - 24) * (x - 24), y, x) AS r FROM gr) WHERE r = 1)"""
+
+
+def solved_sql(source: str, k: int) -> str:
+    """Points of ``source`` solved on image k of their set."""
+    new = [f"q.u + p.c % 9 - 4 AS u, q.v + (p.c % 5 - 2) / 4.0::DOUBLE AS v, (p.c % 3 - 1) / 64.0::DOUBLE AS du_dx, (p.c % 4 - 1) / 64.0::DOUBLE AS du_dy, (p.c % 5 - 1) / 64.0::DOUBLE AS dv_dx, (p.c % 6 - 1) / 64.0::DOUBLE AS dv_dy, (p.val + 5 * q.s4 % 4 * {k}) / 80.0::DOUBLE AS corr"]
+    return f"SELECT q.s4, q.y, q.x, {new[0]}, (p.val + 5 * q.s4 % 4 * {k}) / 80.0 < 2 AND abs(p.c % 9 - 4) < 4 AND abs((p.c % 5 - 2) / 4.0) < 4 AS ok FROM ({source}) q JOIN im p ON p.k = {k} AND p.s4 = q.s4 AND p.y = q.y AND p.x = q.x"
+
+
+def grow_sql(name: str, start: str, k: int) -> str:
+    """The recursion from the points ``start`` on image k: the neighbours of accepted points that no round has seen."""
+    to = f"SELECT t.s4, t.y + m.dy AS y, t.x + m.dx AS x, arg_min({{'u': t.u + t.du_dx * m.dx + t.du_dy * m.dy, 'v': t.v + t.dv_dx * m.dx + t.dv_dy * m.dy}}, m.way) AS g FROM {name} t, (VALUES (0, -3, 0), (1, 3, 0), (2, 0, -3), (3, 0, 3)) m(way, dy, dx) WHERE t.ok GROUP BY ALL"
+    fresh = f"SELECT c.s4, c.y, c.x, c.g.u AS u, c.g.v AS v FROM ({to}) c JOIN gr ON gr.s4 = c.s4 AND gr.y = c.y AND gr.x = c.x WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.s4 = c.s4 AND r.y = c.y AND r.x = c.x)"
+    return f"{name}({AT}, {PAR}, corr, ok) USING KEY ({AT}) AS ({solved_sql(start, k)} UNION {solved_sql(fresh, k)})"
+
+
+def track_sql(n_frames: int, least: float | None) -> str:
+    ctes, before = [f"WITH RECURSIVE {GROWTH}"], None
+    for k in range(1, n_frames + 1):
+        seed = f"SELECT s4, y, x, {k}::DOUBLE AS u, {2 * k}::DOUBLE AS v FROM se"
+        ctes.append(grow_sql(f"w{k}", seed if before is None else f"SELECT s4, y, x, u, v FROM {before} WHERE ok", k))
+        if before is None or least is None:
+            ctes.append(f"f{k} AS MATERIALIZED (SELECT * FROM w{k})")
+        else:
+            ctes.append(f"low{k} AS MATERIALIZED (SELECT g.s4 FROM (SELECT s4, count(*) AS n FROM gr GROUP BY s4) g LEFT JOIN (SELECT s4, count(*) AS n FROM w{k} WHERE ok GROUP BY s4) w ON w.s4 = g.s4 WHERE coalesce(w.n, 0) / g.n::DOUBLE < {least})")
+            ctes.append(grow_sql(f"r{k}", f"SELECT * FROM ({seed}) WHERE s4 IN (SELECT s4 FROM low{k})", k))
+            ctes.append(f"f{k} AS MATERIALIZED (SELECT * FROM w{k} WHERE s4 NOT IN (SELECT s4 FROM low{k}) UNION ALL SELECT * FROM r{k})")
+        before = f"f{k}"
+    out = " UNION ALL ".join(f"SELECT {k - 1}::INTEGER AS frame_idx, s4::INTEGER AS set, y, x, {PAR}, corr, ok FROM f{k}" for k in range(1, n_frames + 1))
+    return ",\n".join(ctes) + "\n" + out
+
+
+query("c9_frontier", track_sql(1, None))(lambda s, d: tracked(s, d, 1, None))
+query("c12_warm_start", track_sql(3, None))(lambda s, d: tracked(s, d, 3, None))
+query("c13_redo", track_sql(3, 0.6))(lambda s, d: tracked(s, d, 3, 0.6))
+
+# Splines -------------------------------------------------------------------------------------
+REFS = fx.PIXEL + ", rf AS MATERIALIZED (SELECT * FROM px WHERE frame_id % 4 = 0)"
+
+
+def coeff_sql(source: str = "rf") -> str:
+    """Spline coefficients as a sum over mirrored neighbours: the closed impulse response of the two poles."""
+    z1, z2 = P.POLES
+    gain = 120 / ((z1 + 1 / z1) - (z2 + 1 / z2))
+    weight = f"({-gain * z1 / (1 - z1 * z1)!r} * power({z1!r}, abs(o)) + {gain * z2 / (1 - z2 * z2)!r} * power({z2!r}, abs(o)))"
+    mirror = "mi AS (SELECT i.range::INTEGER AS i, o.range - 40 AS o, CASE WHEN (i.range + o.range - 40 + 94) % 94 > 47 THEN 94 - (i.range + o.range - 40 + 94) % 94 ELSE (i.range + o.range - 40 + 94) % 94 END AS j FROM range(48) i, range(81) o)"
+    return f"{mirror}, wt AS (SELECT i, j, sum({weight}) AS w FROM mi GROUP BY ALL), c1 AS (SELECT p.frame_id, t.i AS y, p.x, sum(p.val * t.w) AS val FROM {source} p JOIN wt t ON t.j = p.y GROUP BY ALL), co AS MATERIALIZED (SELECT p.frame_id, p.y, t.i AS x, sum(p.val * t.w) AS val FROM c1 p JOIN wt t ON t.j = p.x GROUP BY ALL)"
+
+
+COEFF = REFS + ", " + coeff_sql()
+coeff = lambda s, d: P.coefficients(fx.references(s, d), SIDE, SIDE)
+query("i1_spline_prefilter", sql(COEFF, "frame_id y x", "val", "co"))(lambda s, d: rounded(coeff(s, d), "frame_id y x", "val"))
+SPOTS = "sp AS (SELECT frame_id, y * 48 + x AS id, y * 53 // 48 - 3 + (x % 8) / 8.0::DOUBLE AS y, x * 53 // 48 - 3 + (y % 16) / 16.0::DOUBLE AS x FROM rf WHERE (5 * y + 3 * x) % 13 = 0)"
+
+
+def spots(s: SparkSession, d: str) -> DataFrame:
+    """Points off the pixels, some of them beyond the image, in every reference image."""
+    y, x = F.col("y"), F.col("x")
+    return fx.references(s, d).where((5 * y + 3 * x) % 13 == 0).select("frame_id", (y * 48 + x).alias("id"), (F.floor(y * 53 / 48) - 3 + (x % 8) / 8.0).alias("y"), (F.floor(x * 53 / 48) - 3 + (y % 16) / 16.0).alias("x"))
+
+
+def beta_sql(d: str) -> str:
+    return f"CASE WHEN abs({d}) < 1 THEN (66 - 60 * power({d}, 2) + 30 * power({d}, 4) - 10 * power(abs({d}), 5)) / 120 WHEN abs({d}) < 2 THEN (51 + 75 * abs({d}) - 210 * power({d}, 2) + 150 * power(abs({d}), 3) - 45 * power({d}, 4) + 5 * power(abs({d}), 5)) / 120 WHEN abs({d}) < 3 THEN power(3 - abs({d}), 5) / 120 ELSE 0 END"
+
+
+def taps_sql(dy: float, dx: float, name: str) -> str:
+    """The spline at the points moved by (dy, dx), mirrored by pixel."""
+    mirror = lambda e: f"CASE WHEN ({e} + 94) % 94 > 47 THEN 94 - ({e} + 94) % 94 ELSE ({e} + 94) % 94 END"
+    ty, tx = f"(p.y + {dy!r} - floor(p.y) - a.range + 3)", f"(p.x + {dx!r} - floor(p.x) - b.range + 3)"
+    return f"{name} AS (SELECT p.frame_id, p.id, p.y, p.x, sum(c.val * ({beta_sql(ty)}) * ({beta_sql(tx)})) AS val FROM sp p, range(8) a, range(8) b JOIN co c ON true WHERE c.frame_id = p.frame_id AND c.y = {mirror('(floor(p.y)::INTEGER + a.range - 3)')} AND c.x = {mirror('(floor(p.x)::INTEGER + b.range - 3)')} GROUP BY ALL)"
+
+
+query("i2_spline_sample", sql(COEFF + ", " + SPOTS + ", " + taps_sql(0.0, 0.0, "va"), "frame_id id y x", "val", "va"))(lambda s, d: rounded(P.sample(spots(s, d), coeff(s, d), SIDE, SIDE).withColumnRenamed("value", "val"), "frame_id id y x", "val"))
+_H = P.STEP
+GRADS = COEFF + ", " + SPOTS + ", " + ", ".join(taps_sql(dy, dx, n) for n, dy, dx in (("xa", 0.0, _H), ("xb", 0.0, -_H), ("ya", _H, 0.0), ("yb", -_H, 0.0)))
+GRADS += f", gd AS (SELECT xa.frame_id, xa.id, xa.y, xa.x, round((xa.val - xb.val) / {2 * _H!r}, 4) AS gx, round((ya.val - yb.val) / {2 * _H!r}, 4) AS gy FROM xa JOIN xb USING (frame_id, id) JOIN ya USING (frame_id, id) JOIN yb USING (frame_id, id))"
+query("i3_spline_gradient", sql(GRADS, "frame_id id y x", "gx gy", "gd"))(lambda s, d: rounded(P.gradient_at(spots(s, d), coeff(s, d), SIDE, SIDE).withColumns({c: F.round(c, 4) for c in ("gx", "gy")}), "frame_id id y x", "gx gy"))
+
 # Kinematics ----------------------------------------------------------------------------------
 query("k1_velocity", sql(fx.VEL, "frame_idx y x", "Vx Vy", "vel"))(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Vx Vy"))
 query("k2_speed", f'WITH {fx.VEL} SELECT frame_idx, y, x, round(sqrt("Vx" * "Vx" + "Vy" * "Vy"), 6) AS "Veff" FROM vel')(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Veff"))
