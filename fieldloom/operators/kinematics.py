@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.expressions import effective
+from fieldloom.operators.discs import disc_sums
+from fieldloom.runtime import materialise
 
 LEAST_POINTS, LEAST_DET = 6, 1e-12
 
@@ -54,14 +56,17 @@ def complete_lattice(field: DataFrame, spacing: int) -> DataFrame:
     return points.join(field.hint("merge"), ["frame_idx", "y", "x"], "left")
 
 
-def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, valid: Column | None = None) -> DataFrame:
-    """Slopes d<c>_dx and d<c>_dy of the least-squares plane over the square of ``radius`` pixels.
+def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, valid: Column | None = None, shape: str = "square") -> DataFrame:
+    """Slopes d<c>_dx and d<c>_dy of the least-squares plane over the square, or disc, of ``radius`` pixels.
 
     Only valid points take part and get a result, which also needs six points
     and a regular system. Sums go over y within a column and then over x within
-    a row, on the complete lattice: no self-join. Coordinates count from the
+    a row, on the complete lattice: no self-join. A disc's sums are taken line by
+    line (``disc_sums``). Coordinates count from the
     origin of the bounding box, since large ones would cancel in the sums.
     """
+    if shape not in ("square", "disc"):
+        raise ValueError("a neighbourhood is a square or a disc")
     ok = valid if valid is not None else F.lit(True)
     for c in columns:
         ok = ok & F.col(c).isNotNull()
@@ -71,7 +76,12 @@ def plane_fit(field: DataFrame, columns: list[str], radius: int, spacing: int, v
     for c in columns:
         v = F.when(w > 0, F.col(c)).otherwise(0.0)
         moments |= {f"s_{c}": v, f"sx_{c}": v * x, f"sy_{c}": v * y}
-    for keys, order in ((("frame_idx", "x"), "y"), (("frame_idx", "y"), "x")):
+    if shape == "disc":
+        lattice = materialise(lattice, "lattice")
+        box = lattice.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+        sums = disc_sums(lattice.where(w > 0), lattice, moments, radius, ("frame_idx",), box["low"] or 0, box["high"] or 0, spacing)
+        lattice = lattice.join(sums.withColumnsRenamed({k: f"_{k}" for k in moments}).hint("merge"), ["frame_idx", "y", "x"], "left")
+    for keys, order in () if shape == "disc" else ((("frame_idx", "x"), "y"), (("frame_idx", "y"), "x")):
         span = Window.partitionBy(*keys).orderBy(order).rangeBetween(-radius, radius)
         source = moments if order == "y" else {k: F.col(f"_{k}") for k in moments}
         lattice = lattice.withColumns({f"_{k}": F.sum(m).over(span) for k, m in source.items()})
@@ -123,9 +133,9 @@ def kinematics(disp: DataFrame, n_frames: int, fps: float, radius: int, spacing:
     return integrate_strain(rated, fps)
 
 
-def green_lagrange(field: DataFrame, radius: int, spacing: int) -> DataFrame:
-    """GExx, GEyy, GExy from the plane-fitted displacement gradient."""
-    fit = plane_fit(field, ["u", "v"], radius, spacing)
+def green_lagrange(field: DataFrame, radius: int, spacing: int, shape: str = "square") -> DataFrame:
+    """GExx, GEyy, GExy from the displacement gradient, plane-fitted over a square or a disc."""
+    fit = plane_fit(field, ["u", "v"], radius, spacing, shape=shape)
     ux, uy, vx, vy = (F.col(c) for c in ("du_dx", "du_dy", "dv_dx", "dv_dy"))
     return fit.withColumns({"GExx": 0.5 * (2 * ux + ux * ux + vx * vx), "GEyy": 0.5 * (2 * vy + uy * uy + vy * vy), "GExy": 0.5 * (uy + vx + ux * uy + vx * vy)})
 

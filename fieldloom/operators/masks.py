@@ -194,14 +194,21 @@ def mask_fill_holes(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ())
 
 
 def largest_component(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The 8-connected component of each frame that holds the most pixels once its holes are filled."""
+    """The 8-connected component of each frame whose outer contour encloses the most area, filled; ties to the first.
+
+    The contour runs through the centres of pixels. What it encloses of a unit
+    cell between four of them is the whole cell where all four belong to the filled
+    component, half of it where three do, and nothing else.
+    """
     parts = materialise(label_components(mask, diagonal=True, keys=keys), "parts")
     # A hole lies in the component of the pixel left of its first one.
     holes = materialise(enclosed(mask, h, w, keys), "holes")
     first = holes.groupBy("label").agg(F.min(F.struct("y", "x", *keys)).alias("p")).select("label", *[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.y").alias("y"), (F.col("p.x") - 1).alias("x"))
     owner = first.join(parts.select(*keys, "y", "x", F.col("label").alias("owner")).hint("merge"), [*keys, "y", "x"]).select("label", "owner")
     filled = parts.select(*keys, "y", "x", F.col("label").alias("owner")).unionByName(holes.join(owner.hint("merge"), "label").select(*keys, "y", "x", "owner"))
-    sizes = filled.groupBy(*keys, "owner").agg(F.count("*").alias("n"))
+    filled = materialise(filled, "filled")
+    corners = shifted(filled, [(0, 0), (0, -1), (-1, 0), (-1, -1)], (*keys, "owner")).groupBy(*keys, "owner", "y", "x").agg(F.count("*").alias("_m"))
+    sizes = corners.groupBy(*keys, "owner").agg(F.sum(F.when(F.col("_m") == 4, 2).when(F.col("_m") == 3, 1).otherwise(0)).alias("n"))
     best = sizes.groupBy(*keys).agg(F.min_by("owner", F.struct(-F.col("n"), F.col("owner"))).alias("owner")).select("owner")
     return filled.join(best.hint("merge"), "owner", "left_semi").select(*keys, "y", "x")
 

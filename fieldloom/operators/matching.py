@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.discs import disc_sums
+from fieldloom.operators.patches import folded, over_tiles, tile_arrays
 from fieldloom.runtime import ship
 
 #: Side of the tiles that images are cut into, and seeds that meet a tile at once.
@@ -97,11 +99,113 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     return found.withColumn("score", F.round("score", 9))
 
 
-def subset_quality(grid: DataFrame, ref: DataFrame, r: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, y, x, n_px, sigma (root of the summed squared deviations) and valid of the disc around every grid point."""
-    side = F.sequence(F.lit(-r), F.lit(r))
-    cells = grid.select("y", "x", F.explode(side).alias("dy")).select("*", F.explode(side).alias("dx")).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= r * r)
-    pixels = cells.select("y", "x", (F.col("y") + F.col("dy")).alias("py"), (F.col("x") + F.col("dx")).alias("px")).join(ref.select(*keys, F.col("y").alias("py"), F.col("x").alias("px"), "val").hint("merge"), ["py", "px"])
-    sums = pixels.groupBy(*keys, "y", "x").agg(F.count("*").alias("n_px"), F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("ss"))
-    sigma = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n_px"), F.lit(0.0)))
-    return sums.select(*keys, "y", "x", "n_px", sigma.alias("sigma"), ((F.col("n_px") >= 6) & (sigma >= 1e-12)).alias("valid"))
+#: Entries of the upper half of the normal matrix: a product of gradients (gx gx, gx gy, gy gy) and a monomial of the offsets.
+NORMAL = {
+    "00": ("a", "1"), "01": ("b", "1"), "02": ("a", "x"), "03": ("a", "y"), "04": ("b", "x"), "05": ("b", "y"),
+    "11": ("c", "1"), "12": ("b", "x"), "13": ("b", "y"), "14": ("c", "x"), "15": ("c", "y"),
+    "22": ("a", "xx"), "23": ("a", "xy"), "24": ("b", "xx"), "25": ("b", "xy"),
+    "33": ("a", "yy"), "34": ("b", "xy"), "35": ("b", "yy"), "44": ("c", "xx"), "45": ("c", "xy"), "55": ("c", "yy"),
+}
+#: A pivot under this share of its diagonal entry counts as none.
+LEAST_PIVOT = 1e-12
+
+
+def with_pivots(rows: DataFrame, size: int = 6) -> DataFrame:
+    """``rows`` with the pivots p0, p1, ... of the symmetric matrix h00, h01, ...; NULL from the first that is not positive."""
+    kept = [c for c in rows.columns]
+    now = rows.withColumns({f"_{i}{j}": F.col(f"h{i}{j}") for i in range(size) for j in range(i, size)})
+    for k in range(size):
+        at = [(i, j) for i in range(k + 1, size) for j in range(i, size)]
+        now = now.withColumn(f"p{k}", F.when(F.col(f"_{k}{k}") > LEAST_PIVOT * F.col(f"h{k}{k}"), F.col(f"_{k}{k}")))
+        now = now.select(*kept, *[f"p{i}" for i in range(k + 1)], *[(F.col(f"_{i}{j}") - F.col(f"_{k}{i}") * F.col(f"_{k}{j}") / F.col(f"p{k}")).alias(f"_{i}{j}") for i, j in at])
+    return now
+
+
+def subset_quality(grid: DataFrame, ref: DataFrame, r: int, h: int, w: int, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """keys, y, x, n_px, sigma, h00 to h55, logdet and valid of the disc around every grid point (keys, y, x), clipped to the image.
+
+    sigma is the root of the summed squared deviations; h is the normal matrix of
+    the six parameters, of gradients gx, gy of ``ref`` (keys, y, x, val, gx, gy) over
+    sigma. A subset is valid if it has 6 pixels, sigma is at least 1e-12 and all
+    pivots of the matrix are positive; logdet is the log of its determinant then.
+    Sums are taken line by line (``disc_sums``), with coordinates from the middle of
+    the image, and then moved to the subset's centre.
+    """
+    y, x = F.col("y") - h // 2.0, F.col("x") - w // 2.0
+    product = {"a": F.col("gx") * F.col("gx"), "b": F.col("gx") * F.col("gy"), "c": F.col("gy") * F.col("gy")}
+    monomial = {"1": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+    sums = {"n": F.lit(1.0), "s": F.col("val"), "ss": F.col("val") * F.col("val")} | {f"{p}_{m}": v * u for p, v in product.items() for m, u in monomial.items()}
+    got = disc_sums(grid.select(*keys, "y", "x").distinct(), ref, sums, r, keys, 0, w - 1)
+    cy, cx = F.col("y") - h // 2.0, F.col("x") - w // 2.0
+    square = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+    over = F.when((F.col("n") >= 6) & (square >= 1e-24), square)
+
+    def moved(p: str, m: str) -> Column:
+        at = lambda k: F.col(f"{p}_{k}")
+        return {
+            "1": at("1"), "x": at("x") - cx * at("1"), "y": at("y") - cy * at("1"),
+            "xx": at("xx") - 2 * cx * at("x") + cx * cx * at("1"), "yy": at("yy") - 2 * cy * at("y") + cy * cy * at("1"),
+            "xy": at("xy") - cx * at("y") - cy * at("x") + cx * cy * at("1"),
+        }[m]
+
+    rows = with_pivots(got.select(*keys, "y", "x", F.col("n").cast("long").alias("n_px"), F.sqrt(square).alias("sigma"), *[(moved(*k) / over).alias(f"h{e}") for e, k in NORMAL.items()]))
+    logdet = sum((F.log(f"p{k}") for k in range(1, 6)), F.log("p0"))
+    return rows.select(*keys, "y", "x", "n_px", "sigma", *[f"h{e}" for e in NORMAL], logdet.alias("logdet"), logdet.isNotNull().alias("valid"))
+
+
+def coarse_search(points: DataFrame, ref: DataFrame, cur: DataFrame, r: int, h: int, w: int, ref_keys: tuple[str, ...], keys: tuple[str, ...], search: int = 3) -> DataFrame:
+    """``points`` (keys, y, x, u, v, ...) with u and v moved by the whole shift of at most ``search`` pixels whose score is least, and that score.
+
+    The score is the squared distance of the normalised zero-mean subsets: the disc
+    of radius r around the point in ``ref`` (ref_keys, some of keys) and the disc
+    around (y + v, x + u) in ``cur`` (keys), bilinear, borders mirrored. Of equal
+    scores the first in the order of the shift along x, then y, counts. A subset of
+    one value scores as if its deviations were zero. Images are read as tiles; a point
+    holds the (2 (r + search) + 1) squared values around it once for all shifts.
+    """
+    reach, columns = r + search, points.columns
+    side = 2 * reach + 1
+    disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
+
+    places = points.select(*ref_keys, "y", "x").distinct()
+    at = lambda p, y, x, dy, dx: F.get(F.col("cells"), ((p[y] - F.col("y0") + dy) * F.col("width") + p[x] - F.col("x0") + dx).cast("int"))
+    held = over_tiles(places, tile_arrays(ref, ref_keys, h, w, r), ref_keys, F.col("y"), F.col("x"))
+    template = held.select(*ref_keys, F.explode(F.transform("points", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"), F.array(*[at(p, "y", "x", dy, dx) for dy, dx in disc]).alias("_f")))).alias("p"))
+    template = template.select(*ref_keys, "p.y", "p.x", "p._f").withColumn("_m", F.aggregate("_f", F.lit(0.0), lambda a, v: a + v) / float(len(disc)))
+    template = template.withColumn("_c", F.transform("_f", lambda v: v - F.col("_m"))).withColumn("_s", F.greatest(F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, v: a + v * v)), F.lit(1e-12)))
+    template = template.select(*ref_keys, "y", "x", F.transform("_c", lambda v: v / F.col("_s")).alias("_f"))
+
+    aim = points.withColumns({"_ty": F.col("y") + F.col("v"), "_tx": F.col("x") + F.col("u")})
+    whole = lambda c: F.floor(F.col(c))
+    aim = aim.withColumns({"_by": F.col("_ty") - whole("_ty"), "_bx": F.col("_tx") - whole("_tx"), "_iy": whole("_ty").cast("int"), "_ix": whole("_tx").cast("int")})
+    # A target beyond the image is read where its mirror image lies, and backwards along that axis.
+    turned = lambda c, n: F.pmod(F.floor(F.col(c) / F.lit(max(1, n - 1))), F.lit(2)) == 1
+    aim = aim.withColumns({"_dy": F.when(turned("_iy", h), -1).otherwise(1), "_dx": F.when(turned("_ix", w), -1).otherwise(1), "_fy": folded(F.col("_iy"), h), "_fx": folded(F.col("_ix"), w)})
+    held = over_tiles(aim, tile_arrays(cur, keys, h, w, reach + 1), keys, F.col("_fy"), F.col("_fx"))
+
+    def value(p: Column, k: Column) -> Column:
+        dy, dx = F.floor(k / side) - reach, k % side - reach
+        tap = lambda a, b: at(p, "_fy", "_fx", p["_dy"] * (dy + a), p["_dx"] * (dx + b))
+        return (1 - p["_by"]) * ((1 - p["_bx"]) * tap(0, 0) + p["_bx"] * tap(0, 1)) + p["_by"] * ((1 - p["_bx"]) * tap(1, 0) + p["_bx"] * tap(1, 1))
+
+    seen = held.select(F.explode(F.transform("points", lambda p: F.struct(*[p[c].alias(c) for c in columns], F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: value(p, k)).alias("_g")))).alias("p")).select("p.*")
+    both = seen.join(template.hint("merge"), [*ref_keys, "y", "x"])
+    n = float(len(disc))
+    spots = F.array(*[F.lit(dy * side + dx) for dy, dx in disc])
+    pairs = both.withColumn("_fs", F.arrays_zip(F.col("_f"), spots.alias("o")))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy"), F.lit((sy + reach) * side + sx + reach).alias("o")) for i, (sx, sy) in enumerate((sx, sy) for sx in range(-search, search + 1) for sy in range(-search, search + 1))])
+
+    def score(shift: Column) -> Column:
+        start = F.struct(*[F.lit(0.0).alias(c) for c in ("g", "gg", "fg", "f", "ff")])
+        step = lambda a, p: (lambda g: F.struct((a["g"] + g).alias("g"), (a["gg"] + g * g).alias("gg"), (a["fg"] + p["_f"] * g).alias("fg"), (a["f"] + p["_f"]).alias("f"), (a["ff"] + p["_f"] * p["_f"]).alias("ff")))(F.get(F.col("_g"), (shift["o"] + p["o"]).cast("int")))
+
+        def distance(a: Column) -> Column:
+            squares = F.greatest(a["gg"] - a["g"] * a["g"] / n, F.lit(0.0))
+            norm = F.greatest(F.sqrt(squares), F.lit(1e-12))
+            return squares / (norm * norm) - 2 * (a["fg"] - a["f"] * a["g"] / n) / norm + a["ff"]
+
+        return F.aggregate("_fs", start, step, distance)
+
+    best = pairs.withColumn("_b", F.array_min(F.transform(shifts, lambda s: F.struct(F.round(score(s), 9).alias("score"), s["i"].alias("i"), s["sx"].alias("sx"), s["sy"].alias("sy")))))
+    new = {"u": (F.col("u") + F.col("_b.sx")).alias("u"), "v": (F.col("v") + F.col("_b.sy")).alias("v")}
+    return best.select(*[new.get(c, F.col(c)) for c in columns], F.col("_b.score").alias("score"))

@@ -171,7 +171,21 @@ query("i8_otsu", "WITH " + fx.PIXEL + OTSU + " SELECT * FROM ot")(lambda s, d: I
 ELL = "el AS (SELECT a.range::INTEGER - 7 AS dy, b.range::INTEGER - 7 AS dx FROM range(15) a, range(15) b WHERE abs(b.range - 7) <= round_even(7 * sqrt(1 - (a.range - 7) * (a.range - 7) / 49.0), 0))"
 query("i9_close", f"WITH {fx.BRIGHT}, {ELL}, sparse AS (SELECT frame_id, y, x FROM bright WHERE (y * 5 + x * 3) % 7 = 0), di AS (SELECT DISTINCT b.frame_id, b.y - dy AS y, b.x - dx AS x FROM sparse b, el WHERE b.y - dy BETWEEN 0 AND 47 AND b.x - dx BETWEEN 0 AND 47), inside AS (SELECT i.y, i.x, count(*) AS n FROM img i, el WHERE i.y + dy BETWEEN 0 AND 47 AND i.x + dx BETWEEN 0 AND 47 GROUP BY ALL), hit AS (SELECT d.frame_id, d.y - dy AS y, d.x - dx AS x, count(*) AS n FROM di d, el GROUP BY ALL) SELECT h.frame_id, h.y, h.x FROM hit h JOIN inside i ON i.y = h.y AND i.x = h.x AND i.n = h.n")(
     lambda s, d: R.morph_close(fx.bright(s, d).where((F.col("y") * 5 + F.col("x") * 3) % 7 == 0), SIDE, SIDE, 15, BY))
-query("i10_largest_component")(lambda s, d: R.largest_component(fx.bright(s, d), SIDE, SIDE, BY))
+def contour_sql(mask: str) -> str:
+    """Least labels of 8-connected pixels and of the 4-connected rest by recursion to the end, holes to the part around them, and areas by unit cells."""
+    spread = lambda name, of, near: f"{name}(frame_id, y, x, lab) USING KEY (frame_id, y, x) AS (SELECT frame_id, y, x, y * 48 + x FROM {of} UNION SELECT n.frame_id, n.y, n.x, min(t.lab) FROM {name} t JOIN recurring.{name} n ON n.frame_id = t.frame_id AND abs(n.y - t.y) <= 1 AND abs(n.x - t.x) <= 1 AND {near} AND t.lab < n.lab GROUP BY ALL)"
+    return f"""bk AS MATERIALIZED (SELECT i.frame_id, i.y, i.x FROM (SELECT f.frame_id, i.y, i.x FROM (SELECT DISTINCT frame_id FROM {mask}) f, (SELECT a.range::INTEGER AS y, b.range::INTEGER AS x FROM range(48) a, range(48) b) i) i WHERE NOT EXISTS (SELECT 1 FROM {mask} m WHERE m.frame_id = i.frame_id AND m.y = i.y AND m.x = i.x)),
+{spread('fg', mask, 'true')}, {spread('bg', 'bk', '(n.y = t.y OR n.x = t.x)')},
+ho AS (SELECT * FROM bg WHERE NOT EXISTS (SELECT 1 FROM bg e WHERE e.frame_id = bg.frame_id AND e.lab = bg.lab AND (e.y IN (0, 47) OR e.x IN (0, 47)))),
+ow AS (SELECT h.frame_id, h.lab, f.lab AS owner FROM (SELECT DISTINCT frame_id, lab FROM ho) h JOIN fg f ON f.frame_id = h.frame_id AND f.y = h.lab // 48 AND f.x = h.lab % 48 - 1),
+fl AS MATERIALIZED (SELECT frame_id, y, x, lab AS owner FROM fg UNION ALL SELECT h.frame_id, h.y, h.x, o.owner FROM ho h JOIN ow o ON o.frame_id = h.frame_id AND o.lab = h.lab),
+ce AS (SELECT frame_id, owner, y - a.range AS y, x - b.range AS x, count(*) AS m FROM fl, range(2) a, range(2) b GROUP BY ALL),
+ar AS (SELECT frame_id, owner, sum(CASE m WHEN 4 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS n FROM ce GROUP BY ALL),
+bs AS (SELECT frame_id, owner FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, owner) AS k FROM ar) WHERE k = 1)
+SELECT frame_id, y, x FROM fl JOIN bs USING (frame_id, owner)"""
+
+
+query("i10_largest_component", f"WITH RECURSIVE {fx.PIXEL}, bright AS MATERIALIZED (SELECT frame_id, y, x FROM px WHERE frame_id % 4 = 0 AND val >= 125), {contour_sql('bright')}")(lambda s, d: R.largest_component(fx.bright(s, d), SIDE, SIDE, BY))
 query("i11_dynamic_mask")(lambda s, d: I.dynamic_mask(fx.pixels(s, d), SIDE, SIDE, "Hybrid"))
 
 # Matching ------------------------------------------------------------------------------------
@@ -199,8 +213,6 @@ def matched(zero_mean: bool) -> Query:
 
 query("c1_template_match", match_sql("CASE WHEN tt * ii > 0 THEN ti / sqrt(tt * ii) ELSE 0 END"))(matched(False))
 query("c2_zero_mean_match", match_sql("CASE WHEN (tt - st * st / n) * (ii - si * si / n) > 0 THEN (ti - st * si / n) / sqrt((tt - st * st / n) * (ii - si * si / n)) ELSE 0 END"))(matched(True))
-query("c3_subset_quality", f"WITH {fx.PIXEL}, {fx.GRID}, q AS (SELECT p.frame_id, g.y, g.x, count(*) AS n_px, sqrt(greatest(sum(val * val) - sum(val) * sum(val) / count(*), 0.0)) AS sigma FROM grid g JOIN px p ON p.frame_id % 4 = 0 AND (p.y - g.y) * (p.y - g.y) + (p.x - g.x) * (p.x - g.x) <= 25 GROUP BY p.frame_id, g.y, g.x) SELECT frame_id, y, x, n_px, round(sigma, 6) + 0.0 AS sigma, n_px >= 6 AND sigma >= 1e-12 AS valid FROM q")(
-    lambda s, d: C.subset_quality(G.build_grid(fx.rect(s), SIDE, SIDE, 5, 3), fx.references(s, d), 5, BY).withColumn("sigma", F.round("sigma", 6) + F.lit(0.0)))
 WARP = "w AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS u, CAST(embedding[2] AS DOUBLE) * 4 AS v, CAST(embedding[3] AS DOUBLE) / 8 AS ux, CAST(embedding[4] AS DOUBLE) / 8 AS uy, CAST(embedding[5] AS DOUBLE) / 8 AS vx, CAST(embedding[6] AS DOUBLE) / 8 AS vy, CAST(embedding[7] AS DOUBLE) AS du, CAST(embedding[8] AS DOUBLE) AS dv, CAST(embedding[9] AS DOUBLE) / 8 AS dux, CAST(embedding[10] AS DOUBLE) / 8 AS duy, CAST(embedding[11] AS DOUBLE) / 8 AS dvx, CAST(embedding[12] AS DOUBLE) / 8 AS dvy FROM embeddings)"
 WNAMES = ("u", "v", "ux", "uy", "vx", "vy", "du", "dv", "dux", "duy", "dvx", "dvy")
 WSCALE = (4, 4, 0.125, 0.125, 0.125, 0.125, 1, 1, 0.125, 0.125, 0.125, 0.125)
@@ -330,6 +342,52 @@ GRADS = COEFF + ", " + SPOTS + ", " + ", ".join(taps_sql(dy, dx, n) for n, dy, d
 GRADS += f", gd AS (SELECT xa.frame_id, xa.id, xa.y, xa.x, round((xa.val - xb.val) / {2 * _H!r}, 4) AS gx, round((ya.val - yb.val) / {2 * _H!r}, 4) AS gy FROM xa JOIN xb USING (frame_id, id) JOIN ya USING (frame_id, id) JOIN yb USING (frame_id, id))"
 query("i3_spline_gradient", sql(GRADS, "frame_id id y x", "gx gy", "gd"))(lambda s, d: rounded(P.gradient_at(spots(s, d), coeff(s, d), SIDE, SIDE).withColumns({c: F.round(c, 4) for c in ("gx", "gy")}), "frame_id id y x", "gx gy"))
 
+# Subsets and the search around a start ---------------------------------------------------------
+_VALUE, _SLOPE = P.kernels()
+_TAPS = "tp(o, wv, ws) AS (VALUES " + ", ".join(f"({o}, {v!r}::DOUBLE, {d!r}::DOUBLE)" for o, v, d in zip(range(-3, 4), _VALUE, _SLOPE, strict=True)) + ")"
+_FOLD = lambda e: f"CASE WHEN ({e} + 94) % 94 > 47 THEN 94 - ({e} + 94) % 94 ELSE ({e} + 94) % 94 END"
+SLOPED = COEFF + f", {_TAPS}, ip AS (SELECT i.range::INTEGER AS i, {_FOLD('(i.range + o)')} AS j, wv, ws FROM range(48) i, tp), g1 AS (SELECT c.frame_id, t.i AS y, c.x, sum(c.val * wv) AS v, sum(c.val * ws) AS d FROM co c JOIN ip t ON t.j = c.y GROUP BY ALL), gi AS MATERIALIZED (SELECT g.frame_id, g.y, t.i AS x, sum(g.v * ws) AS gx, sum(g.d * wv) AS gy FROM g1 g JOIN ip t ON t.j = g.x GROUP BY ALL)"
+query("i3_image_gradient", sql(SLOPED, "frame_id y x", "gx gy", "gi"))(lambda s, d: rounded(P.image_gradient(coeff(s, d), SIDE, SIDE), "frame_id y x", "gx gy"))
+_OFFSETS = {"1": "1", "x": "(p.x - g.x)", "y": "(p.y - g.y)", "xx": "(p.x - g.x) * (p.x - g.x)", "xy": "(p.x - g.x) * (p.y - g.y)", "yy": "(p.y - g.y) * (p.y - g.y)"}
+_PRODUCTS = {"a": "i.gx * i.gx", "b": "i.gx * i.gy", "c": "i.gy * i.gy"}
+QUALITY = SLOPED + ", gq AS (SELECT frame_id, y, x FROM rf WHERE y BETWEEN 5 AND 42 AND x BETWEEN 6 AND 41 AND (y - 5) % 3 = 0 AND (x - 5) % 3 = 0), q AS (SELECT g.frame_id, g.y, g.x, count(*) AS n_px, sqrt(greatest(sum(p.val * p.val) - sum(p.val) * sum(p.val) / count(*), 0.0)) AS sigma, " + ", ".join(f"sum({_PRODUCTS[p]} * {_OFFSETS[m]}) AS {p}_{m}" for p in _PRODUCTS for m in _OFFSETS) + " FROM gq g JOIN rf p ON p.frame_id = g.frame_id AND p.y BETWEEN g.y - 5 AND g.y + 5 AND p.x BETWEEN g.x - 5 AND g.x + 5 AND (p.y - g.y) * (p.y - g.y) + (p.x - g.x) * (p.x - g.x) <= 25 JOIN gi i ON i.frame_id = p.frame_id AND i.y = p.y AND i.x = p.x GROUP BY ALL), m0 AS (SELECT frame_id, y, x, n_px, sigma, " + ", ".join(f"{p}_{m} / (sigma * sigma) AS h{e}" for e, (p, m) in C.NORMAL.items()) + ", " + ", ".join(f"{p}_{m} / (sigma * sigma) AS m{e}" for e, (p, m) in C.NORMAL.items()) + " FROM q)"
+for _k in range(6):
+    QUALITY += f", m{_k + 1} AS (SELECT * EXCLUDE (" + ", ".join(f"m{i}{j}" for i in range(_k, 6) for j in range(i, 6)) + f"), m{_k}{_k} AS p{_k}" + "".join(f", m{i}{j} - m{_k}{i} * m{_k}{j} / m{_k}{_k} AS m{i}{j}" for i in range(_k + 1, 6) for j in range(i, 6)) + f" FROM m{_k})"
+_ENTRIES = " ".join(f"h{e}" for e in C.NORMAL)
+QUALITY += ", qo AS (SELECT *, ln(p0) + ln(p1) + ln(p2) + ln(p3) + ln(p4) + ln(p5) AS logdet, n_px >= 6 AND sigma >= 1e-12 AND least(p0, p1, p2, p3, p4, p5) > 0 AS valid FROM m6)"
+
+
+@query("c3_subset_quality", sql(QUALITY, "frame_id y x n_px valid", f"sigma logdet {_ENTRIES}", "qo"))
+def _c3(s: SparkSession, d: str) -> DataFrame:
+    refs = fx.references(s, d)
+    grid = G.build_grid(refs.where(F.col("y").between(4, 43) & F.col("x").between(6, 41)).select("frame_id", "y", "x"), SIDE, SIDE, 5, 3, BY)
+    whole = refs.join(P.image_gradient(coeff(s, d), SIDE, SIDE).hint("merge"), ["frame_id", "y", "x"])
+    return rounded(C.subset_quality(grid, whole, 5, SIDE, SIDE), "frame_id y x n_px valid", f"sigma logdet {_ENTRIES}")
+
+
+START = fx.PIXEL + ", pt AS (SELECT c.frame_id, c.y, c.x, c.frame_id % 4 + c.x % 3 - 1 + (c.y % 2) / 4.0::DOUBLE AS u, c.frame_id % 4 * 2 + c.y % 5 - 2 + (c.x % 4) / 8.0::DOUBLE AS v FROM px c WHERE c.frame_id % 4 > 0 AND c.y BETWEEN 2 AND 45 AND c.x BETWEEN 2 AND 45 AND (c.y - 2) % 7 = 0 AND (c.x - 2) % 7 = 0)"
+SEARCHED = START + f""", o AS (SELECT a.range - 5 AS dy, b.range - 5 AS dx FROM range(11) a, range(11) b WHERE (a.range - 5) * (a.range - 5) + (b.range - 5) * (b.range - 5) <= 25),
+f0 AS (SELECT p.frame_id, p.y, p.x, o.dy, o.dx, r.val FROM pt p, o JOIN px r ON true WHERE r.frame_id = p.frame_id // 4 * 4 AND r.y = {_FOLD('(p.y + o.dy)')} AND r.x = {_FOLD('(p.x + o.dx)')}),
+f1 AS (SELECT *, val - avg(val) OVER w AS c FROM f0 WINDOW w AS (PARTITION BY frame_id, y, x)), ft AS (SELECT frame_id, y, x, dy, dx, c / greatest(sqrt(sum(c * c) OVER w), 1e-12) AS f FROM f1 WINDOW w AS (PARTITION BY frame_id, y, x)),
+k AS (SELECT a.range - 8 AS ky, b.range - 8 AS kx FROM range(17) a, range(17) b), ta(ay, ax) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)),
+ge AS MATERIALIZED (SELECT p.frame_id, p.y, p.x, k.ky, k.kx, sum(r.val * (CASE WHEN ay = 0 THEN 1 - (p.v - floor(p.v)) ELSE p.v - floor(p.v) END) * (CASE WHEN ax = 0 THEN 1 - (p.u - floor(p.u)) ELSE p.u - floor(p.u) END)) AS g
+  FROM pt p, k, ta JOIN px r ON true WHERE r.frame_id = p.frame_id AND r.y = {_FOLD('(p.y + floor(p.v)::INTEGER + k.ky + ay)')} AND r.x = {_FOLD('(p.x + floor(p.u)::INTEGER + k.kx + ax)')} GROUP BY ALL),
+sh AS (SELECT a.range - 3 AS sx, b.range - 3 AS sy FROM range(7) a, range(7) b),
+sc AS (SELECT t.frame_id, t.y, t.x, sx, sy, count(*) AS n, sum(g) AS g, sum(g * g) AS gg, sum(f * g) AS fg, sum(f) AS f, sum(f * f) AS ff FROM ft t, sh JOIN ge e ON true WHERE e.frame_id = t.frame_id AND e.y = t.y AND e.x = t.x AND e.ky = t.dy + sy AND e.kx = t.dx + sx GROUP BY ALL),
+ds AS (SELECT *, round(1 - 2 * (fg - f * g / n) / greatest(sqrt(greatest(gg - g * g / n, 0.0)), 1e-12) + ff, 9) AS score FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id, y, x ORDER BY score, sx, sy) AS k FROM ds),
+fo AS (SELECT r.frame_id, r.y, r.x, p.u + sx AS u, p.v + sy AS v, score FROM rk r JOIN pt p ON p.frame_id = r.frame_id AND p.y = r.y AND p.x = r.x WHERE k = 1)"""
+
+
+@query("c10_coarse_search", sql(SEARCHED, "frame_id y x", "u v score", "fo"))
+def _c10(s: SparkSession, d: str) -> DataFrame:
+    px = in_sets(fx.pixels(s, d))
+    on = lambda c: F.col(c).between(2, 45) & ((F.col(c) - 2) % 7 == 0)
+    k = F.col("frame_id") % 4
+    start = px.where((k > 0) & on("y") & on("x")).select("set", "frame_id", "y", "x", (k + F.col("x") % 3 - 1 + (F.col("y") % 2) / 4.0).alias("u"), (k * 2 + F.col("y") % 5 - 2 + (F.col("x") % 4) / 8.0).alias("v"))
+    found = C.coarse_search(start, px.where(k == 0).drop("frame_id"), px.where(k > 0), 5, SIDE, SIDE, ("set",), ("set", "frame_id"))
+    return rounded(found, "frame_id y x", "u v score")
+
+
 # Kinematics ----------------------------------------------------------------------------------
 query("k1_velocity", sql(fx.VEL, "frame_idx y x", "Vx Vy", "vel"))(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Vx Vy"))
 query("k2_speed", f'WITH {fx.VEL} SELECT frame_idx, y, x, round(sqrt("Vx" * "Vx" + "Vy" * "Vy"), 6) AS "Veff" FROM vel')(lambda s, d: rounded(vel(s, d), "frame_idx y x", "Veff"))
@@ -348,6 +406,11 @@ SELECT y, x, frame_idx, x + u AS px, y + v AS py FROM g WHERE gone = 0 UNION ALL
 query("k10_probe", f"WITH {fx.DISP} SELECT * FROM disp WHERE x = 12 AND y = 9")(lambda s, d: K.probe(fx.disp(s, d), 12.7, 9.2))
 GL = fx.DISP + fx.fit_sql("disp", "u", "v", "fit") + ', o AS (SELECT frame_idx, y, x, 0.5 * (2 * "du_dx" + "du_dx" * "du_dx" + "dv_dx" * "dv_dx") AS "GExx", 0.5 * (2 * "dv_dy" + "du_dy" * "du_dy" + "dv_dy" * "dv_dy") AS "GEyy", 0.5 * ("du_dy" + "dv_dx" + "du_dx" * "du_dy" + "dv_dx" * "dv_dy") AS "GExy" FROM fit)'
 query("k11_green_lagrange", sql(GL, "frame_idx y x", "GExx GEyy GExy", "o"))(lambda s, d: rounded(K.green_lagrange(fx.disp(s, d), RAD, SP), "frame_idx y x", "GExx GEyy GExy"))
+DISC = fx.DISP + """, me AS (SELECT a.frame_idx, a.y, a.x, count(*) AS n, sum(b.x - a.x)::DOUBLE AS sx, sum(b.y - a.y)::DOUBLE AS sy, sum((b.x - a.x) * (b.x - a.x))::DOUBLE AS sxx, sum((b.y - a.y) * (b.y - a.y))::DOUBLE AS syy, sum((b.x - a.x) * (b.y - a.y))::DOUBLE AS sxy, sum(b.u) AS su, sum(b.v) AS sv,
+  sum(b.u * (b.x - a.x)) AS sxu, sum(b.u * (b.y - a.y)) AS syu, sum(b.v * (b.x - a.x)) AS sxv, sum(b.v * (b.y - a.y)) AS syv
+  FROM disp a JOIN disp b ON b.frame_idx = a.frame_idx AND b.y BETWEEN a.y - 15 AND a.y + 15 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 225 GROUP BY ALL),
+mc AS (SELECT *, sxx - sx * sx / n AS cxx, syy - sy * sy / n AS cyy, sxy - sx * sy / n AS cxy FROM me), mf AS (SELECT frame_idx, y, x, """ + ", ".join(f"CASE WHEN n >= 6 AND cxx * cyy - cxy * cxy > 1e-12 THEN ((s{p}{c} - s{c} * s{p} / n) * c{q}{q} - (s{q}{c} - s{c} * s{q} / n) * cxy) / (cxx * cyy - cxy * cxy) END AS d{c}_d{p}" for c in "uv" for p, q in ("xy", "yx")) + ' FROM mc), gl AS (SELECT frame_idx, y, x, 0.5 * (2 * du_dx + du_dx * du_dx + dv_dx * dv_dx) AS "GExx", 0.5 * (2 * dv_dy + du_dy * du_dy + dv_dy * dv_dy) AS "GEyy", 0.5 * (du_dy + dv_dx + du_dx * du_dy + dv_dx * dv_dy) AS "GExy" FROM mf)'
+query("k11_disc", sql(DISC, "frame_idx y x", "GExx GEyy GExy", "gl"))(lambda s, d: rounded(K.green_lagrange(fx.disp(s, d), 15, SP, "disc").where("u is not null"), "frame_idx y x", "GExx GEyy GExy"))
 query("k12_finite_diff", sql(fx.VEL, "frame_idx y x", "Vx", "vel"))(lambda s, d: rounded(K.dense_frames(fx.disp(s, d), N).withColumn("Vx", K.finite_diff("u", N, FPS)), "frame_idx y x", "Vx"))
 query("k13_trapz_error", f"""WITH {fx.VEL}, m AS (SELECT frame_idx, round(avg(u), 6) AS u, round(avg("Vx"), 6) AS r FROM vel GROUP BY frame_idx), p AS (SELECT *, CASE WHEN row_number() OVER t = 1 THEN 0 ELSE 0.5 * (lag(coalesce(r, 0)) OVER t + coalesce(r, 0)) / 2.0 END AS p FROM m WINDOW t AS (ORDER BY frame_idx)), a AS (SELECT *, sum(p) OVER (ORDER BY frame_idx) AS again FROM p)
 SELECT frame_idx, round(again, 6) + 0.0 AS again, round(CASE WHEN u <> 0 THEN abs(again - u) / abs(u) END, 6) AS error FROM a""")(
