@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.masks import lattice
-from fieldloom.runtime import discard, materialise
+from fieldloom.runtime import materialise, ship, sized
 
 #: Fewer points are not split into domains.
 LEAST_SPLIT = 200
 
 
 def build_grid(mask: DataFrame, h: int, w: int, r: int, s: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, iy, ix, y, x of the points with origin r and pitch s that lie in the mask."""
+    """keys, iy, ix, y, x of the points with origin r and pitch s that lie in the mask; none at all is an error."""
     on = lambda c, n: F.col(c).between(r, n - r - 1) & ((F.col(c) - r) % s == 0)
     inside = mask.select(*keys, "y", "x").where(on("y", h) & on("x", w)).distinct()
+    if inside.isEmpty():
+        raise ValueError("no grid point lies in the mask")
     return inside.select(*keys, ((F.col("y") - r) / s).cast("int").alias("iy"), ((F.col("x") - r) / s).cast("int").alias("ix"), "y", "x")
 
 
@@ -27,29 +33,73 @@ def default_seed(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return mask.groupBy(*keys).agg(F.floor(F.avg("x")).cast("int").alias("x"), F.floor(F.avg("y")).cast("int").alias("y"))
 
 
-def nearest(points: DataFrame, spots: DataFrame, keys: list[str], ids: list[str], carry: list[str], r: int = 1) -> DataFrame:
+def nearest(points: DataFrame, spots: DataFrame, keys: list[str], ids: list[str], carry: list[str]) -> DataFrame:
     """keys, ids and m (d2, y, x and ``carry``) of the nearest spot (keys, y, x, carry) to each point (keys, ids, y, x).
 
-    Ties go to the first in (y, x); points of a group without a spot get none.
-    Both are dealt into squares of side r, and a point meets the spots of its own
-    square and the 8 around it; a spot found is final if its distance is at
-    most r. For the points left r is doubled. Each round is written.
+    Ties go to the first in (y, x); points of a group without a spot get none. An
+    exact distance transform in two passes: in each column the nearest spot above
+    and below every row that has a point, by windows; then in each such row the least
+    over its columns, outwards from the point until no column can be nearer. A task
+    holds one row of a raster. Places are whole numbers.
     """
-    todo = materialise(points.join(spots.select(*keys).distinct().hint("merge"), keys, "left_semi") if keys else points, "points")
-    out = None
-    while out is None or not todo.isEmpty():
-        cell = lambda c, o=0: (F.floor(F.col(c) / r) + o).cast("int")
-        around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        asked = todo.select(*keys, *ids, F.col("y").alias("py"), F.col("x").alias("px"), F.explode(around).alias("o")).select(*keys, *ids, "py", "px", (cell("py") + F.col("o.dy")).alias("cy"), (cell("px") + F.col("o.dx")).alias("cx"))
-        held = spots.select(*keys, "y", "x", *carry, cell("y").alias("cy"), cell("x").alias("cx"))
-        d2 = ((F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))).cast("double")
-        met = asked.join(held.hint("merge"), [*keys, "cy", "cx"]).groupBy(*keys, *ids).agg(F.min(F.struct(d2.alias("d2"), "y", "x", *carry)).alias("m"))
-        found = materialise(met.where(F.col("m.d2") <= float(r) * r), "nearest")
-        out = found if out is None else out.unionByName(found)
-        todo, before = materialise(todo.join(found.select(*keys, *ids).hint("merge"), [*keys, *ids], "left_anti"), "points"), todo
-        discard(before)
-        r *= 2
-    return out
+    ship(points.sparkSession)
+    rows = points.select(*keys, "y").distinct()
+    columns = spots.select(*keys, "x").distinct()
+    raster = rows.join(columns.hint("merge"), keys) if keys else rows.join(sized(columns), F.lit(True))
+    both = raster.select(*keys, "x", "y", F.lit(None).cast("long").alias("_s"), F.lit(True).alias("_q")).unionByName(spots.select(*keys, "x", "y", F.col("y").cast("long").alias("_s"), F.lit(False).alias("_q")))
+    line = Window.partitionBy(*keys, "x").orderBy("y")
+    up = F.last("_s", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    down = F.first("_s", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"_up": up, "_down": down}).where("_q")
+    spot = F.when(F.col("_down").isNull() | (F.col("y") - F.col("_up") <= F.col("_down") - F.col("y")), F.col("_up")).otherwise(F.col("_down"))
+    lists = near.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", spot.alias("s")))).alias("columns"))
+    asked = points.groupBy(*keys, "y").agg(F.collect_list(F.struct(*ids, F.col("x").alias("_px"))).alias("points"))
+    pairs = asked.join(lists.hint("merge"), [*keys, "y"])
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (*keys, *ids)}
+
+    def kernel(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in tables:
+            out = []
+            for row in pdf.itertuples(index=False):
+                cx, cy = (np.array([c[k] for c in row.columns], dtype=np.int64) for k in ("x", "s"))
+                px = np.array([p["_px"] for p in row.points], dtype=np.int64)
+                best = nearest_in_row(row.y, px, cx, cy)
+                held = [getattr(row, k) for k in keys]
+                out += [(*held, *[p[c] for c in ids], int(cy[b]), int(cx[b]), float((cy[b] - row.y) ** 2 + (cx[b] - p["_px"]) ** 2)) for p, b in zip(row.points, best, strict=True)]
+            yield pd.DataFrame(out, columns=[*kinds, "_y", "_x", "_d2"])
+
+    found = pairs.mapInPandas(kernel, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", _y long, _x long, _d2 double")
+    held = spots.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), *[F.col(c).alias(f"_c_{c}") for c in carry]).dropDuplicates([*keys, "_y", "_x"])
+    met = found.join(held.hint("merge"), [*keys, "_y", "_x"])
+    return met.select(*keys, *ids, F.struct(F.col("_d2").alias("d2"), F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), *[F.col(f"_c_{c}").alias(c) for c in carry]).alias("m"))
+
+
+def nearest_in_row(y: int, px: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """For each point (y, px) the number of the column whose spot (cy, cx) is nearest, ties to the first in (cy, cx); cx is sorted."""
+    order = np.lexsort((cx, cy))
+    rank = np.empty(len(cx), dtype=np.int64)
+    rank[order] = np.arange(len(cx))
+    rows = (cy - y) ** 2
+    least = np.full(len(px), np.iinfo(np.int64).max)
+    best = np.zeros(len(px), dtype=np.int64)
+    right = np.searchsorted(cx, px)
+    left = right - 1
+    live = np.arange(len(px))
+    while len(live):
+        again = np.zeros(len(live), dtype=bool)
+        for side in (left, right):
+            at = side[live]
+            inside = (at >= 0) & (at < len(cx))
+            safe = np.where(inside, at, 0)
+            across = (cx[safe] - px[live]) ** 2
+            d2 = rows[safe] + across
+            better = inside & ((d2 < least[live]) | ((d2 == least[live]) & (rank[safe] < rank[best[live]])))
+            least[live[better]], best[live[better]] = d2[better], safe[better]
+            again |= inside & (across <= least[live])
+        left[live] -= 1
+        right[live] += 1
+        live = live[again]
+    return best
 
 
 def snap(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -57,11 +107,9 @@ def snap(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> Data
     seeds = points.select("id", "y", "x")
     if grid.isEmpty():
         return grid.select(*keys, F.lit(None).cast(points.schema["id"].dataType).alias("id"), "y", "x")
-    if keys:
-        # One row with the list of frames.
-        frames = grid.select(*keys).distinct().agg(F.collect_list(F.struct(*keys)).alias("frames"))
-        seeds = seeds.join(frames.hint("broadcast"), F.lit(True)).select("id", "y", "x", F.explode("frames").alias("f")).select(*[F.col(f"f.{k}").alias(k) for k in keys], "id", "y", "x")
-    near = nearest(seeds, grid, list(keys), ["id"], [], 4)
+    if keys:  # every point is asked of every frame: that is the result's size
+        seeds = grid.select(*keys).distinct().join(sized(materialise(seeds, "points")), F.lit(True)).select(*keys, "id", "y", "x")
+    near = nearest(seeds, grid, list(keys), ["id"], [])
     return near.select(*keys, "id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.expressions import in_polygon, on_edge
@@ -106,9 +106,26 @@ def mask_erode(mask: DataFrame, h: int, w: int, offsets: list[tuple[int, int]],
     return hits.where(inside & (F.col("_n") == needed)).drop("_n")
 
 
+def spread_rows(image: DataFrame, c: str, offsets: list[tuple[int, int]], keys: tuple[str, ...], f) -> DataFrame:
+    """``image`` (keys, y, x and column c at every pixel) with c as the f (F.max or F.min) over ``offsets``, whose rows are
+    runs centred on the point. For each length of a run one window along the row, then one value from each row: no pixel
+    is copied, whatever the size of the shape. Places beyond the image don't take part."""
+    half = {}
+    for dy, dx in offsets:
+        half[dy] = max(half.get(dy, 0), abs(dx))
+    if sorted(offsets) != sorted((dy, dx) for dy, n in half.items() for dx in range(-n, n + 1)):
+        raise ValueError("each row of the shape must be one run centred on the point")
+    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    wide = image.withColumns({f"_{n}": f(c).over(row.rangeBetween(-n, n)) for n in set(half.values())})
+    return wide.withColumn(c, (F.greatest if f is F.max else F.least)(*[f(f"_{n}").over(column.rangeBetween(dy, dy)) for dy, n in half.items()])).drop(*[f"_{n}" for n in set(half.values())])
+
+
 def morph_close(mask: DataFrame, h: int, w: int, size: int = 15, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The mask dilated and then eroded by an ellipse; what lies beyond the image counts neither way."""
     shape = ellipse(size)
-    return mask_erode(mask_dilate(mask, h, w, shape, keys), h, w, shape, keys)
+    image = roi_of_frames(mask, h, w, keys).join(mask.select(*keys, "y", "x").distinct().withColumn("_on", F.lit(1)).hint("merge"), [*keys, "y", "x"], "left").withColumn("_on", F.coalesce("_on", F.lit(0)))
+    closed = spread_rows(spread_rows(image, "_on", shape, keys, F.max), "_on", shape, keys, F.min)
+    return closed.where("_on = 1").select(*keys, "y", "x")
 
 
 def mask_border(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -185,7 +202,7 @@ def enclosed(mask: DataFrame, h: int, w: int, keys: tuple[str, ...]) -> DataFram
     """The labelled parts of the background that touch no edge of the image."""
     parts = materialise(label_components(complement(mask, h, w, keys), keys=keys), "ground")
     edge = (F.col("y") == 0) | (F.col("y") == h - 1) | (F.col("x") == 0) | (F.col("x") == w - 1)
-    return parts.join(parts.where(edge).select("label").distinct().hint("merge"), "label", "left_anti")
+    return parts.join(sized(materialise(parts.where(edge).select("label").distinct(), "outside")), "label", "left_anti")
 
 
 def mask_fill_holes(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -210,7 +227,7 @@ def largest_component(mask: DataFrame, h: int, w: int, keys: tuple[str, ...] = (
     corners = shifted(filled, [(0, 0), (0, -1), (-1, 0), (-1, -1)], (*keys, "owner")).groupBy(*keys, "owner", "y", "x").agg(F.count("*").alias("_m"))
     sizes = corners.groupBy(*keys, "owner").agg(F.sum(F.when(F.col("_m") == 4, 2).when(F.col("_m") == 3, 1).otherwise(0)).alias("n"))
     best = sizes.groupBy(*keys).agg(F.min_by("owner", F.struct(-F.col("n"), F.col("owner"))).alias("owner")).select("owner")
-    return filled.join(best.hint("merge"), "owner", "left_semi").select(*keys, "y", "x")
+    return filled.join(sized(materialise(best, "best")), "owner", "left_semi").select(*keys, "y", "x")
 
 
 def seed_in_roi(seed: tuple[int, int], mask: DataFrame) -> DataFrame:

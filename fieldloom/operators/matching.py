@@ -11,92 +11,81 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.discs import disc_sums
 from fieldloom.operators.patches import folded, over_tiles, tile_arrays
-from fieldloom.runtime import ship
-
-#: Side of the tiles that images are cut into, and seeds that meet a tile at once.
-TILE, SEEDS = 64, 512
-
-
-def tiles(pixel: DataFrame, keys: list[str], halo: int, name: str) -> DataFrame:
-    """keys, ty, tx and ``name`` (y, x, val): the pixels of every tile and of the ``halo`` around it."""
-    reach = -(-halo // TILE)
-    near = [F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])]
-    at = lambda c: F.floor(F.col(c) / TILE).cast("int")
-    moved = pixel.select(*keys, "y", "x", "val", F.explode(near[0]).alias("o")).select(*keys, "y", "x", "val", (at("y") + F.col("o.dy")).alias("ty"), (at("x") + F.col("o.dx")).alias("tx"))
-    inside = lambda c, t: F.col(c).between(F.col(t) * TILE - halo, (F.col(t) + 1) * TILE + halo - 1)
-    return moved.where(inside("y", "ty") & inside("x", "tx")).groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct("y", "x", "val")).alias(name))
-
-
-def dense(cells: list, y0: int, x0: int, side: int) -> np.ndarray:
-    """A square of pixels; NaN where there is none."""
-    out = np.full((side, side), np.nan)
-    if len(cells):
-        y, x, v = (np.array(c) for c in zip(*((c["y"], c["x"], c["val"]) for c in cells), strict=True))
-        out[y - y0, x - x0] = v
-    return out
-
-
-def best_shift(ref: np.ndarray, cur: np.ndarray, y: int, x: int, r: int, search: int, zero_mean: bool) -> tuple[int, int, float] | None:
-    """u0, v0 and score of the first best shift of the square around (y, x) whose whole template stays on pixels."""
-    template = ref[y - r : y + r + 1, x - r : x + r + 1]
-    there = ~np.isnan(template)
-    if not there.any():
-        return None
-    t = np.where(there, template, 0.0)
-    reach = r + search
-    field = cur[y - reach : y + reach + 1, x - reach : x + reach + 1]
-    seen = np.lib.stride_tricks.sliding_window_view(np.where(np.isnan(field), 0.0, field), t.shape)
-    held = np.lib.stride_tricks.sliding_window_view(~np.isnan(field), t.shape)
-    over = lambda w, k: np.tensordot(w, k, axes=((2, 3), (0, 1)))
-    m, n = there.astype(float), float(there.sum())
-    full = over(held, m) == n
-    if not full.any():
-        return None
-    ti, ii, tt = over(seen, t), over(seen * seen, m), float((t * t).sum())
+from fieldloom.runtime import materialise, ship, sized
+
+def best_place(t: np.ndarray, window: np.ndarray, zero_mean: bool) -> tuple[int, int, float]:
+    """Row, column and score of the first best place of template t in the window."""
+    seen = np.lib.stride_tricks.sliding_window_view(window, t.shape)
+    ti = np.tensordot(seen, t, axes=((2, 3), (0, 1)))
+    ii, tt, n = (seen * seen).sum(axis=(2, 3)), float((t * t).sum()), t.size
     if zero_mean:
-        st, si = float(t.sum()), over(seen, m)
+        st, si = float(t.sum()), seen.sum(axis=(2, 3))
         ti, tt, ii = ti - st * si / n, tt - st * st / n, ii - si * si / n
     both = tt * ii
-    score = np.where(both > 0, ti / np.sqrt(np.where(both > 0, both, 1.0)), 0.0)
-    at = int(np.argmax(np.where(full, np.round(score, 9), -np.inf)))
-    v, u = divmod(at, full.shape[1])
-    return u - search, v - search, float(score[v, u])
+    score = np.round(np.where(both > 0, ti / np.sqrt(np.where(both > 0, both, 1.0)), 0.0), 9)
+    row, column = divmod(int(np.argmax(score)), score.shape[1])
+    return row, column, float(score[row, column])
+
+
+#: Least side of a template.
+LEAST_SIDE = 3
+
 
+def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, search: int, h: int, w: int, zero_mean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, frame_id, id, u0, v0, score of each seed (id, y, x and, where given, a guess gu, gv) in each frame.
 
-def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, search: int, zero_mean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, frame_id, id, u0, v0, score of each seed (id, y, x): the first best shift within ``search`` pixels.
+    ``ref`` holds one image of h x w pixels for each value of ``keys``, ``cur`` any number of
+    frames for each. The template is the square of radius r clipped to the image; it
+    is tried at every place in the window of ``search`` pixels more around the seed moved by its guess
+    (rounded half to even), clipped as well. The first best score counts: normalised cross correlation, of
+    deviations from the mean where ``zero_mean`` says so. A template with a side
+    under 3, or a window smaller than it, gives the guess and a score of 0.
 
-    ``ref`` holds one image for each value of ``keys``, ``cur`` any number of
-    frames for each. Templates are squares of radius r clipped to the image; a
-    shift counts if the whole template stays inside. Score: normalised cross
-    correlation. Images are cut into tiles with a halo, so a task holds two
-    tiles and at most about SEEDS seeds, whatever the size of an image.
+    Templates are cut out once for each seed and image. Seeds meet frames in the
+    tiles that they are moved to, in lists of a bounded length, so that work is dealt by
+    frame, tile and list.
     """
     ship(ref.sparkSession)
-    halo, group = r + search, list(keys)
-    side = TILE + 2 * halo
-    at = lambda c: F.floor(F.col(c) / TILE).cast("int")
-    placed = seeds.select("id", "y", "x", at("y").alias("ty"), at("x").alias("tx"))
-    many = placed.groupBy("ty", "tx").agg(F.ceil(F.count("*") / SEEDS).cast("int").alias("blocks"))
-    blocks = placed.join(many.hint("merge"), ["ty", "tx"]).groupBy("ty", "tx", F.pmod(F.xxhash64("id", "y", "x"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "y", "x")).alias("seeds"))
-    pairs = tiles(cur, [*group, "frame_id"], halo, "cur").join(tiles(ref, group, halo, "ref").hint("merge"), [*group, "ty", "tx"]).join(blocks.drop("block").hint("merge"), ["ty", "tx"])
-    kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")}
-    kinds["id"] = seeds.schema["id"].dataType.simpleString()
-
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    group = list(keys)
+    guess = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in seeds.columns else F.lit(0.0) for c in ("gu", "gv")}
+    box = seeds.select("id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), guess["gu"].alias("gu"), guess["gv"].alias("gv"))
+    clip = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n))
+    box = box.withColumns({"r1": clip(F.col("y") - r, h), "r2": clip(F.col("y") + r + 1, h), "c1": clip(F.col("x") - r, w), "c2": clip(F.col("x") + r + 1, w), "ty": F.rint(F.col("y") + F.col("gv")).cast("int"), "tx": F.rint(F.col("x") + F.col("gu")).cast("int")})
+    box = box.withColumns({"s1": clip(F.col("ty") - r - search, h), "s2": clip(F.col("ty") + r + search + 1, h), "q1": clip(F.col("tx") - r - search, w), "q2": clip(F.col("tx") + r + search + 1, w)})
+    fits = (F.col("r2") - F.col("r1") >= LEAST_SIDE) & (F.col("c2") - F.col("c1") >= LEAST_SIDE) & (F.col("s2") - F.col("s1") >= F.col("r2") - F.col("r1")) & (F.col("q2") - F.col("q1") >= F.col("c2") - F.col("c1"))
+    box = materialise(box.withColumn("fits", fits), "seeds")
+    frames = materialise(cur.select(*group, "frame_id").distinct(), "frames")
+    # Every seed is asked of every frame: that is the result's size.
+    sides = sized(materialise(ref.select(*group).distinct(), "images")) if group else None
+    each = box if sides is None else box.join(sides, F.lit(True))
+
+    held = over_tiles(each.where("fits"), tile_arrays(ref, keys, h, w, r), keys, clip(F.col("y"), h - 1), clip(F.col("x"), w - 1))
+    line = lambda p: lambda y: F.slice("cells", ((y - F.col("y0")) * F.col("width") + p["c1"] - F.col("x0") + 1).cast("int"), p["c2"] - p["c1"])
+    cut = F.transform("points", lambda p: F.struct(*[p[c].alias(c) for c in each.columns], F.flatten(F.transform(F.sequence(p["r1"], p["r2"] - 1), line(p))).alias("t")))
+    templates = materialise(held.select(F.explode(cut).alias("p")).select("p.*"), "templates")
+    asked = templates.join(sized(frames), group) if group else templates.join(sized(frames), F.lit(True))
+    kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")} | {"id": seeds.schema["id"].dataType.simpleString()}
+    blocks = over_tiles(asked, tile_arrays(cur, (*keys, "frame_id"), h, w, r + search), (*keys, "frame_id"), clip(F.col("ty"), h - 1), clip(F.col("tx"), w - 1))
+
+    def kernel(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in tables:
             rows = []
-            for row in pdf.to_dict("records"):
-                y0, x0 = row["ty"] * TILE - halo, row["tx"] * TILE - halo
-                a, b = dense(row["ref"], y0, x0, side), dense(row["cur"], y0, x0, side)
-                for s in row["seeds"]:
-                    found = best_shift(a, b, s["y"] - y0, s["x"] - x0, r, search, zero_mean)
-                    if found:
-                        rows.append((*[row[k] for k in group], row["frame_id"], s["id"], *found))
+            for block in pdf.itertuples(index=False):
+                if block.cells is None:
+                    continue
+                image = np.asarray(block.cells).reshape(-1, block.width)
+                for p in block.points:
+                    t = np.asarray(p["t"]).reshape(p["r2"] - p["r1"], -1)
+                    window = image[p["s1"] - block.y0 : p["s2"] - block.y0, p["q1"] - block.x0 : p["q2"] - block.x0]
+                    row, column, score = best_place(t, window, zero_mean)
+                    rows.append((*[getattr(block, k) for k in group], block.frame_id, p["id"], float(p["q1"] + column - p["c1"]), float(p["s1"] + row - p["r1"]), score))
             yield pd.DataFrame(rows, columns=[*kinds, "u0", "v0", "score"])
 
-    found = pairs.mapInPandas(kernel, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", u0 int, v0 int, score double")
-    return found.withColumn("score", F.round("score", 9))
+    shape = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", u0 double, v0 double, score double"
+    found = blocks.select(*group, "frame_id", "y0", "x0", "width", "cells", "points").mapInPandas(kernel, shape)
+    small = box.where("not fits").select("id", F.col("gu").alias("u0"), F.col("gv").alias("v0"))
+    rest = small.join(sized(frames), F.lit(True)).select(*kinds, "u0", "v0", F.lit(0.0).alias("score"))
+    return found.unionByName(rest)
 
 
 #: Entries of the upper half of the normal matrix: a product of gradients (gx gx, gx gy, gy gy) and a monomial of the offsets.

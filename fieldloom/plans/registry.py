@@ -66,7 +66,7 @@ ORDER_IDX = "SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders"
 query("s5_sample_range", "SELECT o_orderkey AS idx FROM orders WHERE o_orderkey BETWEEN 10 AND 900 AND (o_orderkey - 10) % 7 = 0")(lambda s, d: S.sample_range(fx.read(s, d, "orders").select(F.col("o_orderkey").alias("idx")), 10, 900, 7))
 query("s6_split_reference", "WITH f AS (SELECT url AS path, row_number() OVER (ORDER BY url, page_id) - 1 AS idx FROM pages) SELECT path, idx = 5 AS is_reference, CAST(CASE WHEN idx = 5 THEN -1 WHEN idx > 5 THEN idx - 1 ELSE idx END AS INTEGER) AS frame_idx FROM f")(
     lambda s, d: S.split_reference(S.ranked(fx.read(s, d, "pages").select(F.col("url").alias("path"), "page_id"), ["path", "page_id"], "idx"), 5))
-query("s7_effective_fps", "SELECT max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x FROM events".replace("max(CASE WHEN event_id < 0 THEN value END) AS m, 1 AS x", "coalesce(max(round(value)), 1.0) / 3 AS fps"))(lambda s, d: S.effective_fps(fx.read(s, d, "events").select(F.round("value").alias("fps")), None, 3))
+query("s7_effective_fps", "SELECT coalesce(max(round(value)), 1.0) / 3 AS fps FROM events")(lambda s, d: S.effective_fps(fx.read(s, d, "events").select(F.round("value").alias("fps")), None, 3))
 query("s8_with_time", f"WITH {fx.DISP} SELECT DISTINCT frame_idx, frame_idx / 2.0::DOUBLE AS t_sec FROM disp")(lambda s, d: S.with_time(fx.disp(s, d).select("frame_idx").distinct(), FPS))
 query("s9_mask_from_pixels", f"WITH {fx.PIXEL} SELECT frame_id, y, x FROM px p WHERE val > 0.5 * (SELECT max(val) FROM px q WHERE q.frame_id = p.frame_id)")(lambda s, d: I.mask_from_pixels(fx.pixels(s, d)))
 query("s11_pick_mask", "WITH c AS (SELECT l_returnflag AS name, CAST(l_linenumber % 2 AS INTEGER) AS val FROM lineitem UNION ALL SELECT l_linestatus, l_linenumber FROM lineitem), g AS (SELECT name, sum(val) AS n FROM c GROUP BY name HAVING bool_and(val IN (0, 1))) SELECT name, CAST(n AS BIGINT) AS n FROM g ORDER BY n DESC, name LIMIT 1")(
@@ -189,26 +189,34 @@ query("i10_largest_component", f"WITH RECURSIVE {fx.PIXEL}, bright AS MATERIALIZ
 query("i11_dynamic_mask")(lambda s, d: I.dynamic_mask(fx.pixels(s, d), SIDE, SIDE, "Hybrid"))
 
 # Matching ------------------------------------------------------------------------------------
-SEEDS = "sd AS (SELECT s_suppkey AS id, (12 + s_suppkey * 7 % 20)::INTEGER AS y, (12 + s_suppkey * 5 % 22)::INTEGER AS x FROM supplier)"
-seeds = lambda s, d: fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (12 + F.col("s_suppkey") * 7 % 20).cast("int").alias("y"), (12 + F.col("s_suppkey") * 5 % 22).cast("int").alias("x"))
+SEEDS = "sd AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 48)::INTEGER AS y, (s_suppkey * 5 % 48)::INTEGER AS x, s_suppkey % 7 * 1.5::DOUBLE - 4.5 AS gu, CASE WHEN s_suppkey % 11 = 0 THEN 70 ELSE s_suppkey % 5 - 2 END::DOUBLE AS gv FROM supplier)"
+
+
+def seeds(s: SparkSession, d: str) -> DataFrame:
+    """Seeds anywhere, borders included, with a guess; that of some lies far outside."""
+    key = F.col("s_suppkey")
+    return fx.read(s, d, "supplier").select(key.alias("id"), (key * 7 % 48).cast("int").alias("y"), (key * 5 % 48).cast("int").alias("x"), (key % 7 * 1.5 - 4.5).alias("gu"), F.when(key % 11 == 0, 70).otherwise(key % 5 - 2).cast("double").alias("gv"))
 
 
 def match_sql(score: str) -> str:
-    """Whole templates as lists; seeds stand far enough from the border for none to be clipped."""
-    return f"""WITH {fx.PIXEL}, {SEEDS}, o AS (SELECT a.range - 5 AS dy, b.range - 5 AS dx FROM range(11) a, range(11) b), sh AS (SELECT a.range::INTEGER - 8 AS v0, b.range::INTEGER - 8 AS u0 FROM range(17) a, range(17) b),
-ar AS (SELECT c.frame_id, c.y, c.x, o.dy, o.dx FROM px c, o),
-pa AS (SELECT a.frame_id, a.y, a.x, list(p.val ORDER BY a.dy, a.dx) AS v FROM ar a JOIN px p ON p.frame_id = a.frame_id AND p.y = a.y + a.dy AND p.x = a.x + a.dx GROUP BY ALL HAVING count(*) = 121),
-pb AS (SELECT *, frame_id // 4 AS s4, list_sum(v) AS s, list_inner_product(v, v) AS ss FROM pa), w AS (SELECT sd.id, sd.y + v0 AS y, sd.x + u0 AS x, a.s4, u0, v0, a.v, a.s, a.ss FROM sd JOIN pb a ON a.y = sd.y AND a.x = sd.x AND a.frame_id % 4 = 0, sh),
-c AS (SELECT b.frame_id, w.id, u0, v0, 121 AS n, list_inner_product(w.v, b.v) AS ti, w.ss AS tt, b.ss AS ii, w.s AS st, b.s AS si FROM w JOIN pb b ON b.s4 = w.s4 AND b.y = w.y AND b.x = w.x AND b.frame_id % 4 > 0),
-k AS (SELECT frame_id, id, u0, v0, round({score}, 9) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, id ORDER BY score DESC, v0, u0) AS rk FROM k)
-SELECT frame_id, id, u0, v0, score FROM r WHERE rk = 1"""
+    """Images as lists; templates and windows are cut out of them row by row."""
+    cut = lambda image, top, bottom, left, width: f"flatten(list_transform(range({top}, {bottom}), j -> {image}[j * 48 + {left} + 1:j * 48 + {left} + {width}]))".replace("j ->", "lambda j:")
+    return f"""WITH {fx.PIXEL}, {SEEDS}, im AS MATERIALIZED (SELECT frame_id, list(val ORDER BY y, x) AS im FROM px GROUP BY frame_id),
+bx AS (SELECT *, greatest(0, y - 5) AS r1, least(48, y + 6) AS r2, greatest(0, x - 5) AS c1, least(48, x + 6) AS c2, round_even(y + gv, 0)::INTEGER AS ty, round_even(x + gu, 0)::INTEGER AS tx FROM sd),
+wi AS (SELECT *, r2 - r1 AS th, c2 - c1 AS tw, greatest(0, ty - 13) AS sr1, least(48, ty + 14) AS sr2, greatest(0, tx - 13) AS sc1, least(48, tx + 14) AS sc2 FROM bx),
+tp AS MATERIALIZED (SELECT *, list_sum(t) AS st, list_inner_product(t, t) AS tt, th * tw AS n FROM (SELECT wi.*, im.frame_id AS rf, {cut('im.im', 'r1', 'r2', 'c1', 'tw')} AS t FROM wi, im WHERE im.frame_id % 4 = 0 AND th >= 3 AND tw >= 3 AND sr2 - sr1 >= th AND sc2 - sc1 >= tw)),
+pl AS (SELECT *, unnest(range(sr1, sr2 - th + 1)) AS a FROM tp), pm AS (SELECT *, unnest(range(sc1, sc2 - tw + 1)) AS b FROM pl),
+ca AS (SELECT *, list_inner_product(t, i) AS ti, list_inner_product(i, i) AS ii, list_sum(i) AS si FROM (SELECT m.*, im.frame_id, {cut('im.im', 'm.a', 'm.a + m.th', 'm.b', 'm.tw')} AS i FROM pm m JOIN im ON im.frame_id // 4 = m.rf // 4 AND im.frame_id % 4 > 0)),
+k AS (SELECT frame_id, id, b - c1 AS u0, a - r1 AS v0, a, b, round({score}, 9) AS score FROM ca), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, id ORDER BY score DESC, a, b) AS rk FROM k)
+SELECT f.frame_id, w.id, coalesce(r.u0::DOUBLE, w.gu) AS u0, coalesce(r.v0::DOUBLE, w.gv) AS v0, coalesce(r.score, 0.0) AS score
+FROM wi w JOIN (SELECT frame_id FROM im WHERE frame_id % 4 > 0) f ON true LEFT JOIN (SELECT * FROM r WHERE rk = 1) r ON r.frame_id = f.frame_id AND r.id = w.id"""
 
 
 in_sets = lambda p: p.withColumn("set", F.floor(F.col("frame_id") / 4).cast("int"))
 
 
 def matched(zero_mean: bool) -> Query:
-    return lambda s, d: C.template_match(seeds(s, d), in_sets(fx.references(s, d)).drop("frame_id"), in_sets(fx.pixels(s, d).where("frame_id % 4 > 0")), 5, fx.SEARCH, zero_mean, ("set",)).drop("set")
+    return lambda s, d: C.template_match(seeds(s, d), in_sets(fx.references(s, d)).drop("frame_id"), in_sets(fx.pixels(s, d).where("frame_id % 4 > 0")), 5, fx.SEARCH, SIDE, SIDE, zero_mean, ("set",)).drop("set")
 
 
 query("c1_template_match", match_sql("CASE WHEN tt * ii > 0 THEN ti / sqrt(tt * ii) ELSE 0 END"))(matched(False))
@@ -367,13 +375,13 @@ def _c3(s: SparkSession, d: str) -> DataFrame:
 
 START = fx.PIXEL + ", pt AS (SELECT c.frame_id, c.y, c.x, c.frame_id % 4 + c.x % 3 - 1 + (c.y % 2) / 4.0::DOUBLE AS u, c.frame_id % 4 * 2 + c.y % 5 - 2 + (c.x % 4) / 8.0::DOUBLE AS v FROM px c WHERE c.frame_id % 4 > 0 AND c.y BETWEEN 2 AND 45 AND c.x BETWEEN 2 AND 45 AND (c.y - 2) % 7 = 0 AND (c.x - 2) % 7 = 0)"
 SEARCHED = START + f""", o AS (SELECT a.range - 5 AS dy, b.range - 5 AS dx FROM range(11) a, range(11) b WHERE (a.range - 5) * (a.range - 5) + (b.range - 5) * (b.range - 5) <= 25),
-f0 AS (SELECT p.frame_id, p.y, p.x, o.dy, o.dx, r.val FROM pt p, o JOIN px r ON true WHERE r.frame_id = p.frame_id // 4 * 4 AND r.y = {_FOLD('(p.y + o.dy)')} AND r.x = {_FOLD('(p.x + o.dx)')}),
+f0 AS (SELECT p.frame_id, p.y, p.x, p.dy, p.dx, r.val FROM (SELECT *, frame_id // 4 * 4 AS rf, {_FOLD('(pt.y + o.dy)')} AS ry, {_FOLD('(pt.x + o.dx)')} AS rx FROM pt, o) p JOIN px r ON r.frame_id = p.rf AND r.y = p.ry AND r.x = p.rx),
 f1 AS (SELECT *, val - avg(val) OVER w AS c FROM f0 WINDOW w AS (PARTITION BY frame_id, y, x)), ft AS (SELECT frame_id, y, x, dy, dx, c / greatest(sqrt(sum(c * c) OVER w), 1e-12) AS f FROM f1 WINDOW w AS (PARTITION BY frame_id, y, x)),
 k AS (SELECT a.range - 8 AS ky, b.range - 8 AS kx FROM range(17) a, range(17) b), ta(ay, ax) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)),
-ge AS MATERIALIZED (SELECT p.frame_id, p.y, p.x, k.ky, k.kx, sum(r.val * (CASE WHEN ay = 0 THEN 1 - (p.v - floor(p.v)) ELSE p.v - floor(p.v) END) * (CASE WHEN ax = 0 THEN 1 - (p.u - floor(p.u)) ELSE p.u - floor(p.u) END)) AS g
-  FROM pt p, k, ta JOIN px r ON true WHERE r.frame_id = p.frame_id AND r.y = {_FOLD('(p.y + floor(p.v)::INTEGER + k.ky + ay)')} AND r.x = {_FOLD('(p.x + floor(p.u)::INTEGER + k.kx + ax)')} GROUP BY ALL),
+ge AS MATERIALIZED (SELECT p.frame_id, p.y, p.x, p.ky, p.kx, sum(r.val * (CASE WHEN ay = 0 THEN 1 - (p.v - floor(p.v)) ELSE p.v - floor(p.v) END) * (CASE WHEN ax = 0 THEN 1 - (p.u - floor(p.u)) ELSE p.u - floor(p.u) END)) AS g
+  FROM (SELECT *, {_FOLD('(pt.y + floor(pt.v)::INTEGER + k.ky + ay)')} AS ry, {_FOLD('(pt.x + floor(pt.u)::INTEGER + k.kx + ax)')} AS rx FROM pt, k, ta) p JOIN px r ON r.frame_id = p.frame_id AND r.y = p.ry AND r.x = p.rx GROUP BY ALL),
 sh AS (SELECT a.range - 3 AS sx, b.range - 3 AS sy FROM range(7) a, range(7) b),
-sc AS (SELECT t.frame_id, t.y, t.x, sx, sy, count(*) AS n, sum(g) AS g, sum(g * g) AS gg, sum(f * g) AS fg, sum(f) AS f, sum(f * f) AS ff FROM ft t, sh JOIN ge e ON true WHERE e.frame_id = t.frame_id AND e.y = t.y AND e.x = t.x AND e.ky = t.dy + sy AND e.kx = t.dx + sx GROUP BY ALL),
+sc AS (SELECT t.frame_id, t.y, t.x, t.sx, t.sy, count(*) AS n, sum(g) AS g, sum(g * g) AS gg, sum(f * g) AS fg, sum(f) AS f, sum(f * f) AS ff FROM (SELECT *, dy + sy AS ky, dx + sx AS kx FROM ft, sh) t JOIN ge e ON e.frame_id = t.frame_id AND e.y = t.y AND e.x = t.x AND e.ky = t.ky AND e.kx = t.kx GROUP BY ALL),
 ds AS (SELECT *, round(1 - 2 * (fg - f * g / n) / greatest(sqrt(greatest(gg - g * g / n, 0.0)), 1e-12) + ff, 9) AS score FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id, y, x ORDER BY score, sx, sy) AS k FROM ds),
 fo AS (SELECT r.frame_id, r.y, r.x, p.u + sx AS u, p.v + sy AS v, score FROM rk r JOIN pt p ON p.frame_id = r.frame_id AND p.y = r.y AND p.x = r.x WHERE k = 1)"""
 

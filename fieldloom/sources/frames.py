@@ -41,8 +41,13 @@ def detect_roi(manifest: DataFrame) -> DataFrame:
 def select_frames(manifest: DataFrame, step: int = 1, limit: int | None = None) -> DataFrame:
     """frame_idx, path, is_reference: files sorted by name without ROI files; the first is the
     reference (frame_idx -1), of the rest every step-th, ``limit`` at most.
+    Fewer than two images, or none left by the limit, are an error.
     """
     files = ranked(manifest.where(~base_name(F.col("path")).contains("roi")), ["path"])
+    if files.where("rn = 1").isEmpty():
+        raise ValueError("there are fewer than two images")
+    if limit is not None and limit < 1:
+        raise ValueError("no deformed image is selected")
     kept = files.where((F.col("rn") == 0) | ((F.col("rn") - 1) % step == 0)).select("path", (F.col("rn") == 0).alias("is_reference"), F.when(F.col("rn") == 0, -1).otherwise(((F.col("rn") - 1) / step).cast("int")).alias("frame_idx"))
     return kept if limit is None else kept.where(F.col("frame_idx") < limit)
 
@@ -72,8 +77,10 @@ def with_time(frames: DataFrame, fps: float) -> DataFrame:
 
 
 def pick_mask(candidates: DataFrame) -> DataFrame:
-    """The name of the table (name, val) that holds only 0 and 1 with the largest sum; ties to the first name."""
+    """The name of the table (name, val) that holds only 0 and 1 with the largest sum; ties to the first name. No such table is an error."""
     sums = candidates.groupBy("name").agg(F.min(F.col("val").isin(0, 1)).alias("ok"), F.sum("val").alias("n")).where("ok")
+    if sums.isEmpty():
+        raise ValueError("no candidate holds only 0 and 1")
     return sums.agg(F.min_by(F.struct("name", "n"), F.struct(-F.col("n"), F.col("name"))).alias("m")).select(F.col("m.name").alias("name"), F.col("m.n").alias("n"))
 
 

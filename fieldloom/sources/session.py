@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fields of a session, in the order of its schema (fixed values).
 FIELDS = "u v Exx Exy Eyy Eeff Vx Vy Veff du_dx du_dy dv_dx dv_dy dVx_dx dVx_dy dVy_dx dVy_dy Exx_rate Exy_rate Eyy_rate Eeff_rate corr".split()
+#: Fields of a CSV export (fixed values): no displacement gradients.
+CSV_FIELDS = "u v Exx Exy Eyy Eeff Vx Vy Veff dVx_dx dVx_dy dVy_dx dVy_dy Exx_rate Exy_rate Eyy_rate Eeff_rate corr".split()
 #: quantity -> unit and its fields, by rank of the quantity.
 QUANTITIES = {
     "displacement": ("px", {"u": "x", "v": "y"}),
@@ -64,6 +66,6 @@ def csv_rows(field: DataFrame, c: str, frame_idx: int, h: int, w: int) -> DataFr
 
 def export_csv(field: DataFrame, frame_idx: int, h: int, w: int, base: str) -> None:
     """One folder <base>_<field>.csv for each present field."""
-    for c in FIELDS[:18]:
+    for c in CSV_FIELDS:
         if c in field.columns:
             csv_rows(field, c, frame_idx, h, w).repartitionByRange("y").sortWithinPartitions("y").select("line").write.mode("overwrite").text(f"{base}_{c}.csv")
