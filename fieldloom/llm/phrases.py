@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import look_up, map_arrow, narrow, record, slices
-from fieldloom.runtime import BROADCAST_CELLS, discard, materialise, ship, sized
+from fieldloom.runtime import BROADCAST_CELLS, discard, materialise, sized
 from fieldloom.sources.frames import ranked
 
 LONGEST, LEAST, SHADOW, TOP = 3, 10, 50, 2000
 #: Transitions of a trie, transitions that are broadcast at once; words and candidates that a task gathers before it passes them on; bytes of text that are cut at once.
-SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 22, 1 << 17, 1 << 20, 1 << 20
+SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 20, 1 << 17, 1 << 21, 1 << 20
 #: Stands between pieces; no byte of UTF-8.
 BREAK = b"\xff"
 _CLEAN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -145,7 +145,7 @@ def extensions(state: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.nda
 
 
 def observed(rows: DataFrame, level: int) -> DataFrame:
-    """key (state << 32 | word) of every candidate that occurs."""
+    """key (state << 32 | word) of every candidate that occurs, once for each task at least; written."""
     schema = pa.schema([("key", pa.int64())])
 
     def passed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def observed(rows: DataFrame, level: int) -> DataFrame:
         if held:
             yield from passed(held)
 
-    return map_arrow(rows, kernel, "key long").distinct()
+    return materialise(map_arrow(rows, kernel, "key long"), "observed")
 
 
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -228,25 +228,55 @@ def advance(trie: dict[str, np.ndarray], state: np.ndarray, word: np.ndarray) ->
     return sel[ok], to[ok]
 
 
+ARRAYS = ("parents", "words", "base", "check")
+
+
+def built(keys: DataFrame) -> DataFrame:
+    """Tries of SHARD transitions at most, from the written ``keys`` (key, in any number; rn, its place where it has one): first (the rn of its first key), size and the arrays; written.
+
+    Keys are sorted by ranges, and a task cuts its range into tries as it reads it.
+    """
+    schema = pa.schema([("low", pa.int64()), ("first", pa.int64()), ("size", pa.int64()), *[(a, pa.binary()) for a in ARRAYS]])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def trie(n: int) -> pa.RecordBatch:
+            got = build(held[:n])
+            return record(schema, [held[0]], [places[0]], [n], *[[got[a].tobytes()] for a in ARRAYS])
+
+        for batch in batches:
+            held, first = np.unique(np.concatenate([held, batch.column(0).to_numpy()]), return_index=True)
+            places = np.concatenate([places, batch.column(1).to_numpy()])[first]
+            while len(held) > SHARD:
+                yield trie(SHARD)
+                held, places = held[SHARD:], places[SHARD:]
+        if len(held):
+            yield trie(len(held))
+
+    place = F.col("rn").cast("long") if "rn" in keys.columns else F.lit(0).cast("long")
+    rows = keys.select("key", place.alias("rn")).repartitionByRange("key").sortWithinPartitions("key")
+    return materialise(map_arrow(rows, kernel, "low long, first long, size long, " + ", ".join(f"{a} binary" for a in ARRAYS)), "tries")
+
+
 def tries(keys: DataFrame) -> Iterator:
-    """Broadcast lists of (shard, trie), GROUP transitions at a time, from the written ``keys`` (key, rn, a place in the order of keys)."""
-    spark = keys.sparkSession
-    ship(spark)
-    schema = pa.schema([("shard", pa.int64()), ("part", pa.string()), ("data", pa.binary())])
-
-    def kernel(shard: tuple, table: pa.Table) -> pa.Table:
-        got = build(np.sort(table.column("key").to_numpy()))
-        return pa.table([pa.array([shard[0].as_py()] * len(got), pa.int64()), pa.array(list(got)), pa.array([v.tobytes() for v in got.values()], pa.binary())], schema=schema)
-
-    top = keys.agg(F.max("rn")).first()[0]
-    for a in range(0, 0 if top is None else top + 1, GROUP):
-        part = keys.where(F.col("rn").between(a, a + GROUP - 1)).select("key", F.floor(F.col("rn") / SHARD).alias("shard"))
-        found = {}
-        for r in part.groupBy("shard").applyInArrow(kernel, "shard long, part string, data binary").collect():
-            found.setdefault(r["shard"], {})[r["part"]] = np.frombuffer(bytes(r["data"]), np.int32)
-        shared = spark.sparkContext.broadcast(sorted(found.items(), key=lambda x: x[0]))
+    """Broadcast lists of (number, first, trie) in the order of keys, GROUP transitions at a time or one trie, from the written ``keys``."""
+    held = built(keys)
+    groups, size = [[]], 0
+    for r in held.select("low", "size").orderBy("low").collect():  # two numbers for each trie
+        if groups[-1] and size + r["size"] > GROUP:
+            groups.append([])
+            size = 0
+        groups[-1].append(r["low"])
+        size += r["size"]
+    for lows in filter(None, groups):
+        rows = held.where(F.col("low").between(lows[0], lows[-1])).orderBy("low").toArrow()
+        array = lambda a, i: np.frombuffer(rows.column(a)[i].as_py(), np.int32)  # noqa: B023, E731
+        shared = keys.sparkSession.sparkContext.broadcast([(i, rows.column("first")[i].as_py(), {a: array(a, i) for a in ARRAYS}) for i in range(rows.num_rows)])
+        del rows
         yield shared
-        shared.unpersist()
+        shared.destroy()
+    discard(held)
 
 
 def counted(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
@@ -258,23 +288,23 @@ def counted(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
-            total = [np.zeros(len(t["check"]), dtype=np.int32) for _, t in held]
+            total = [np.zeros(len(t["check"]), dtype=np.int32) for _, _, t in held]
             for batch in batches:
                 for i in range(batch.num_rows):
                     state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
                     p, q = extensions(state, codes, level)
-                    for k, (_, trie) in enumerate(held):
+                    for k, (_, _, trie) in enumerate(held):
                         to = advance(trie, p, q)[1]
                         if len(to):
                             got = np.bincount(to)
                             total[k][: len(got)] += got.astype(np.int32)
-            for k, (shard, _) in enumerate(held):
+            for k, (shard, _, _) in enumerate(held):
                 at = np.flatnonzero(total[k])
                 if len(at):
                     yield record(schema, [shard], [at.astype(np.int32).tobytes()], [total[k][at].astype(np.int64).tobytes()])
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held, now, total = dict(shared.value), None, None
+            held, now, total = {i: t for i, _, t in shared.value}, None, None
 
             def done() -> pa.RecordBatch:
                 at = np.flatnonzero(total)
@@ -301,23 +331,22 @@ def marked(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """The rows (state, codes) with the states of ``level``: the numbers (rn + 1) of the frequent ``keys``; written."""
     schema = pa.schema([("old", pa.binary()), ("codes", pa.binary()), ("new", pa.binary())])
     now = rows.select(F.col("state").alias("old"), "codes", F.lit(None).cast("binary").alias("new"))
-    for group, shared in enumerate(tries(keys)):
+    for shared in tries(keys):
 
-        def kernel(batches: Iterator[pa.RecordBatch], shared=shared, first=group * GROUP) -> Iterator[pa.RecordBatch]:
-            # Keys are numbered in their order, shard by shard: a place's number is its rank among them.
+        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # Keys are numbered in their order: a place's number is its rank among its trie's, after those before.
             numbers = []
-            for _, trie in shared.value:
+            for _, first, trie in shared.value:
                 at = np.flatnonzero(trie["check"])
                 number = np.zeros(len(trie["check"]), dtype=np.int32)
                 number[at[np.argsort(keys_at(trie, at))]] = np.arange(first, first + len(at)) + 1
-                first += len(at)
                 numbers.append(number)
             for batch in batches:
                 for i in range(batch.num_rows):
                     old, codes, new = (batch.column(j)[i].as_py() for j in range(3))
                     p, q = extensions(np.frombuffer(old, np.int32), np.frombuffer(codes, np.int32), level)
                     state = np.zeros(len(codes) // 4, dtype=np.int32) if new is None else np.frombuffer(new, np.int32).copy()
-                    for number, (_, trie) in zip(numbers, shared.value, strict=True):
+                    for number, (_, _, trie) in zip(numbers, shared.value, strict=True):
                         sel, to = advance(trie, p, q)
                         state[sel] = number[to]
                     yield record(schema, [old], [codes], [state.tobytes()])
@@ -351,7 +380,7 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     rows = codes.select(F.col("codes").alias("state"), "codes")
     levels = [words.select(F.col("code").alias("id"), F.array("code").alias("codes"), "f")]
     for level in range(2, longest + 1):
-        keys = materialise(ranked(observed(rows, level), ["key"]), "candidates")
+        keys = observed(rows, level)
         got = counted(rows, keys, level)
         if got is None:
             break
