@@ -91,13 +91,13 @@ def test_html_style_tree_drops_what_is_the_same_everywhere(spark):
     pages = spark.createDataFrame([(i, "http://h.example/x", page.format(f"text {i}")) for i in range(30)], "page_id long, url string, html string")
     assert {r["text"] for r in htmltree.extract(pages).collect()} == {f"text {i}" for i in range(30)}
     tree = {r["path"]: r["importance"] for r in htmltree.style_tree(pages).collect()}
-    assert tree["html>body" if "html>body>div.t>p" in tree else "body>div.t>p"] == pytest.approx(htmltree.entropy_of([1] * 30))
+    assert tree[htmltree.path_of("body", "div.t", "p")] == pytest.approx(htmltree.entropy_of([1] * 30))
 
 
 @pytest.mark.parametrize("rest", ["<aside><article>Teaser</article></aside>", "<div class=comments><article>Me too</article></div>", "<nav><main>Go</main></nav>", "<article> <p>\n</p></article>", "<article><aside>Ad</aside></article>"])
 def test_html_story_outside_dropped_or_blank_articles(rest):
     page = f"<body><div class='t'><p>The story</p></div>{rest}<div class='bar'>Same words</div></body>"
-    assert htmltree.main_text(page, {"body>div.bar"}) == "The story"
+    assert htmltree.main_text(page, {htmltree.path_of("body", "div.bar")}) == "The story"
     assert htmltree.main_text(page + "<article>Told here</article>", set()) == "Told here"
 
 
@@ -115,6 +115,52 @@ def test_html_style_tree_prunes_inside_articles(spark):
     assert {got[100 + i] for i in range(30)} == {want[1] + whole} and [got[200 + i] for i in range(4)] == [w + whole for w in want[:4]]
 
 
+@pytest.mark.parametrize(("wrappers", "paragraphs"), [(1, 1), (4, 1), (8, 3), (80, 5), (3000, 2)])
+def test_html_story_in_wrappers_stays(spark, wrappers, paragraphs):
+    story = "".join(f"<p>story {{0}} part {k}</p>" for k in range(paragraphs))
+    page = "<body><div class=top><p>Same words</p></div>" + "<div>" * wrappers + story + "</div>" * wrappers + "<ul><li>One</li><li>Two</li></ul></body>"
+    pages = spark.createDataFrame([(i, "http://h.example/x", page.replace("{0}", str(i))) for i in range(30)], "page_id long, url string, html string")
+    want = {i: " ".join(f"story {i} part {k}" for k in range(paragraphs)) for i in range(30)}
+    assert {r["page_id"]: r["text"] for r in htmltree.extract(pages).collect()} == want
+
+
+def test_html_pages_that_all_say_the_same_stay(spark):
+    pages = spark.createDataFrame([(i, "http://h.example/x", "<body><div><p>Same words</p></div></body>") for i in range(9)], "page_id long, url string, html string").withColumns({"host": F.lit("x"), "text": F.lit(1)})
+    assert {r["text"] for r in htmltree.extract(odd(pages)).collect()} == {"Same words"}
+    assert htmltree.extract(pages.limit(0)).count() == 0
+
+
+def test_html_composite_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        inner = "".join(f"<div class=c{rng.randrange(3)}><p>{rng.choice(['same', str(rng.random())])}</p><span>x</span></div>" for _ in range(rng.randrange(4)))
+        rows.append((i, "http://h.example/x", f"<body><div>{inner}</div><div><i>{rng.randrange(2)}</i></div></body>"))
+    seen = {}
+    for _, _, html in rows:
+        for node, shown, said in htmltree.observations(htmltree.Tree(html)):
+            a, b, chain = seen.setdefault(node.path, ([], [], htmltree.above(node)))
+            a.append(shown)
+            b.append(said)
+    counts = lambda v: [v.count(x) for x in set(v)]
+    own = {p: (len(a), max(htmltree.entropy_of(counts(a)), htmltree.entropy_of(counts(b))), chain) for p, (a, b, chain) in seen.items()}
+    sums = {}
+    for m, importance, chain in own.values():
+        for k, p in enumerate(chain):
+            if p in own:
+                x, y = sums.get(p, (0, 0))
+                sums[p] = (x + 0.9**k * m * importance, y + 0.9**k * m)
+    got = {r["path"]: (r["m"], r["importance"], r["composite"]) for r in htmltree.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got) == set(own)
+    for p, (m, importance, _) in own.items():
+        assert got[p] == (m, pytest.approx(importance), pytest.approx(sums[p][0] / sums[p][1]))
+
+
+def test_html_stray_and_deep_tags_in_linear_time():
+    for page in ("<div>" * 20_000 + "</p>" * 20_000 + "end", "<b>" * 20_000 + "<hr>" * 20_000 + "end", "<p>" + "<i>a</i>" * 20_000 + "end"):
+        assert htmltree.main_text(page, {1}).endswith("end")
+
+
 def test_quality_counts_by_brute_force():
     rng = random.Random(2)
     for _ in range(200):
