@@ -5,8 +5,8 @@ a row of codes in which 0 stands for the end of a piece or a word too rare to be
 part of a candidate. Level by level, a place's state is the frequent phrase that
 begins there. A candidate of the next level is a state and the word behind it,
 where the phrase without its first word is frequent as well (Apriori). The
-candidates that occur anywhere are dealt into tries of at most ``shard``
-transitions. A trie is a double array: a state's ``base`` plus the word's number
+candidates that occur, and whose occurrences in all tasks can add up to ``least``,
+are dealt into tries of at most ``shard`` transitions. A trie is a double array: a state's ``base`` plus the word's number
 is the place of the next state, whose ``check`` names the state that it comes from.
 Tries are broadcast in groups of at most ``group`` transitions. Numpy
 advances all places of a row at once, counts the accepting states by bincount,
@@ -144,14 +144,20 @@ def extensions(state: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.nda
     return p, np.where((p > 0) & (state[1 : n + 1] > 0), q, 0) if level > 2 else np.where(p > 0, q, 0)
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their n."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+
+
 def observed(rows: DataFrame, level: int) -> DataFrame:
-    """key (state << 32 | word) of every candidate that occurs, once for each task at least; written."""
-    schema = pa.schema([("key", pa.int64())])
+    """key (state << 32 | word) and n (times that a task has seen it) of every candidate that occurs; written."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-    def passed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(np.concatenate(held))
+    def passed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held]))
         for a in range(0, len(keys), 1 << 16):
-            yield record(schema, keys[a : a + (1 << 16)])
+            yield record(schema, keys[a : a + (1 << 16)], n[a : a + (1 << 16)])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -160,15 +166,15 @@ def observed(rows: DataFrame, level: int) -> DataFrame:
                 state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
                 p, q = extensions(state, codes, level)
                 on = q > 0
-                held.append(np.unique(p[on].astype(np.int64) << 32 | q[on]))
-                size += len(held[-1])
+                held.append(np.unique(p[on].astype(np.int64) << 32 | q[on], return_counts=True))
+                size += len(held[-1][0])
                 if size > SEEN:
                     yield from passed(held)
                     held, size = [], 0
         if held:
             yield from passed(held)
 
-    return materialise(map_arrow(rows, kernel, "key long"), "observed")
+    return materialise(map_arrow(rows, kernel, "key long, n long"), "observed")
 
 
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -231,37 +237,47 @@ def advance(trie: dict[str, np.ndarray], state: np.ndarray, word: np.ndarray) ->
 ARRAYS = ("parents", "words", "base", "check")
 
 
-def built(keys: DataFrame) -> DataFrame:
-    """Tries of SHARD transitions at most, from the written ``keys`` (key, in any number; rn, its place where it has one): first (the rn of its first key), size and the arrays; written.
+def built(keys: DataFrame, least: int) -> DataFrame:
+    """Tries of SHARD transitions at most, from the written ``keys`` (key, n: in parts that add up; rn, its place where it has one): first (the rn of its first key), size and the arrays; written.
 
-    Keys are sorted by ranges, and a task cuts its range into tries as it reads it.
+    Keys are sorted by ranges, and a task cuts its range into tries as it reads it. Keys whose parts don't add up to ``least`` are no candidates.
     """
     schema = pa.schema([("low", pa.int64()), ("first", pa.int64()), ("size", pa.int64()), *[(a, pa.binary()) for a in ARRAYS]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, places = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        held, places = none, none
+        last = (none, none, none)  # the largest key so far, which may go on
 
         def trie(n: int) -> pa.RecordBatch:
             got = build(held[:n])
             return record(schema, [held[0]], [places[0]], [n], *[[got[a].tobytes()] for a in ARRAYS])
 
+        def take(key: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+            nonlocal held, places
+            held, places = np.concatenate([held, key[n >= least]]), np.concatenate([places, place[n >= least]])
+
         for batch in batches:
-            held, first = np.unique(np.concatenate([held, batch.column(0).to_numpy()]), return_index=True)
-            places = np.concatenate([places, batch.column(1).to_numpy()])[first]
+            key, place, n = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(last))
+            first = np.unique(key, return_index=True)[1]
+            key, n, place = *summed(key, n), place[first]
+            take(key[:-1], place[:-1], n[:-1])
+            last = (key[-1:], place[-1:], n[-1:])
             while len(held) > SHARD:
                 yield trie(SHARD)
                 held, places = held[SHARD:], places[SHARD:]
+        take(*last)
         if len(held):
             yield trie(len(held))
 
     place = F.col("rn").cast("long") if "rn" in keys.columns else F.lit(0).cast("long")
-    rows = keys.select("key", place.alias("rn")).repartitionByRange("key").sortWithinPartitions("key")
+    rows = keys.select("key", place.alias("rn"), "n").repartitionByRange("key").sortWithinPartitions("key")
     return materialise(map_arrow(rows, kernel, "low long, first long, size long, " + ", ".join(f"{a} binary" for a in ARRAYS)), "tries")
 
 
-def tries(keys: DataFrame) -> Iterator:
+def tries(keys: DataFrame, least: int) -> Iterator:
     """Broadcast lists of (number, first, trie) in the order of keys, GROUP transitions at a time or one trie, from the written ``keys``."""
-    held = built(keys)
+    held = built(keys, least)
     groups, size = [[]], 0
     for r in held.select("low", "size").orderBy("low").collect():  # two numbers for each trie
         if groups[-1] and size + r["size"] > GROUP:
@@ -279,12 +295,12 @@ def tries(keys: DataFrame) -> Iterator:
     discard(held)
 
 
-def counted(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
+def counted(rows: DataFrame, keys: DataFrame, level: int, least: int) -> DataFrame:
     """key, f of the candidates ``keys`` in the rows (state, codes); written."""
     schema = pa.schema([("shard", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
     sums = pa.schema([("key", pa.int64()), ("f", pa.int64())])
     out = None
-    for shared in tries(keys):
+    for shared in tries(keys, least):
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
@@ -331,7 +347,7 @@ def marked(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """The rows (state, codes) with the states of ``level``: the numbers (rn + 1) of the frequent ``keys``; written."""
     schema = pa.schema([("old", pa.binary()), ("codes", pa.binary()), ("new", pa.binary())])
     now = rows.select(F.col("state").alias("old"), "codes", F.lit(None).cast("binary").alias("new"))
-    for shared in tries(keys):
+    for shared in tries(keys.withColumn("n", F.col("f")), 0):
 
         def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             # Keys are numbered in their order: a place's number is its rank among its trie's, after those before.
@@ -381,7 +397,7 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     levels = [words.select(F.col("code").alias("id"), F.array("code").alias("codes"), "f")]
     for level in range(2, longest + 1):
         keys = observed(rows, level)
-        got = counted(rows, keys, level)
+        got = counted(rows, keys, level, least)
         if got is None:
             break
         found = materialise(ranked(got.where(F.col("f") >= least), ["key"]).select("key", "rn", "f"), "frequent")
