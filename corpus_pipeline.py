@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before has
 kept, and returns a DataFrame that is written as Parquet and read again for the
-next one. All but the last return the columns of documents.
+next one. All but the last return the columns of documents. Rows that repeat are
+each judged; further columns of any name stay as they are; an empty table gives an
+empty result; texts are read whole at any length.
 """
 
 from __future__ import annotations
@@ -14,33 +16,35 @@ from fieldloom.llm.common import table
 from fieldloom.llm.queries import vocabulary
 from fieldloom.runtime import new_path
 
-#: Domains of the mixture and their shares of its tokens; clean documents stay as often as they are.
+#: Domains of the mixture and their shares of its tokens. Toxic tokens come down to the share that texts without a
+#: sign of a domain are expected to have (labels are noisy, so it isn't 0); clean documents stay as often as they are.
 DOMAINS = {"toxic": "toxic = 1", "clean": "toxic = 0"}
-TARGETS = {"clean": 0.995, "toxic": 0.005}
+TARGETS = {"clean": 1.0, "toxic": None}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, those with a null or blank text among them."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group stays: shingles of five words, similarity of 0.8 or more. Null ids and blank texts stay."""
     return neardup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the text; n_chars follows."""
+    """Found secrets are replaced in the text; n_chars follows. A null text stays null."""
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay with the probability of their rate, so that the domains' tokens meet the targets."""
-    return mixing.sample(docs, mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), DOMAINS, TARGETS, "clean", most=1.0)[0])
+    """Documents stay with the probability of their rate, so that the domains' tokens meet the targets. Rows that repeat
+    an id and a text stay or go together; without labels or without documents all stay."""
+    return mixing.sample(docs, mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), DOMAINS, TARGETS, "clean", most=1.0, weak=0.0, slack=None)[0])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token digests of every document left."""
+    """The token digests of every document left; a null text is empty."""
     return bpe.round_trip(docs, vocabulary())
 
 

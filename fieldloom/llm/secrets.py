@@ -16,9 +16,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from fieldloom.llm.common import look_up, map_arrow, narrow, slices
 from fieldloom.runtime import BROADCAST_CELLS, materialise, new_path
@@ -163,10 +167,35 @@ def redact(docs: DataFrame, mask: str = "<secret>", cells: int = BROADCAST_CELLS
         both = rows.join(found.hint("broadcast"), "blob", "left").select("row", "spans")
     else:
         both = look_up(rows, found, ["blob"], 0).select("row", "spans")
-    text = F.col("row.text")
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
-    state = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    done = both.select("row", "spans", F.when(F.col("spans").isNull(), text).otherwise(state).alias("clean"))
-    new = {"text": F.col("clean"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast("long"))}
-    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    columns, schema = docs.columns, docs.schema
+    shape = pa.schema([(f"c{i}", f.type) for i, f in enumerate(to_arrow_schema(schema))])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, spans = batch.column(0), batch.column(1)
+            held = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            values = [row.field(i) for i in range(len(columns))]
+            at = columns.index("text")
+            texts = {int(i): masked(values[at][int(i)].as_py(), [(s["start"], s["end"]) for s in spans[int(i)].as_py()], mask) for i in held}
+            if texts:
+                put = {"text": texts, "n_chars": {i: len(t) for i, t in texts.items()}}
+                for name, new in put.items():
+                    if name in columns:
+                        old = values[columns.index(name)]
+                        change = np.zeros(len(old), dtype=bool)
+                        change[held] = True
+                        values[columns.index(name)] = pc.replace_with_mask(old, pa.array(change), pa.array([new[int(i)] for i in held], type=old.type))
+            yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, shape, strict=True)], schema=shape)
+
+    out = map_arrow(both, kernel, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)]))
+    return out.toDF(*columns)
+
+
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with the spans, sorted, replaced; overlapping ones are one. Each character is looked at once."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])

@@ -47,6 +47,13 @@ def test_secrets_redact(spark):
     assert got == {0: ("é <secret> z", 12), 1: (None, 0), 2: ("plain", 5)}
 
 
+def test_secrets_redact_long_and_overlapping():
+    assert secrets.masked("ab secret cd", [(3, 9), (4, 6), (8, 10)], "*") == "ab *cd"
+    text = "token=abcdefgh1 " * 300_000  # 5 MB
+    spans = [(a, b) for _, a, b in secrets.find_spans(text, secrets.RULES)]
+    assert len(spans) == 300_000 and secrets.masked(text, spans, "*") == "* " * 300_000
+
+
 def test_langid(spark):
     rng = random.Random(1)
     text = lambda w: " ".join(rng.choice(w) for _ in range(30))
@@ -197,6 +204,47 @@ def test_mixing_meets_targets(spark):
     total = {k: sum(r["n_tokens"] * r[f"q_{k}"] * r["rate"] for r in got) for k in ("clean", "toxic")}
     assert total["clean"] / total["toxic"] == pytest.approx(9, rel=1e-3)
     assert mixing.mix(table.limit(0), labels, {"toxic": "toxic = 1", "clean": "toxic = 0"}, {"clean": 0.9, "toxic": 0.1}).count() == 0
+    with pytest.raises(mixing.Infeasible):
+        mixing.mix(table, labels, {"toxic": "toxic = 1", "clean": "toxic = 0"}, {"clean": 0.9999, "toxic": 0.0001})
+
+
+@pytest.mark.parametrize("most", [None, 1.0, 2.0])
+def test_mixing_rates_by_least_squares(spark, most):
+    rng = np.random.default_rng(7)
+    q = rng.dirichlet([2, 1, 0.5], 60)
+    n = rng.integers(1, 400, 60)
+    members = spark.createDataFrame([(int(k), *map(float, p)) for k, p in zip(n, q, strict=True)], "n_tokens long, q_a double, q_b double, q_c double")
+    targets = {"a": 0.62, "b": 0.26, "c": 0.12}
+    steps, residual = mixing.descend(members, targets, "a", most)
+    goal = np.array(list(targets.values())) / 0.62 * (n @ q[:, 0])
+    rates = np.ones(60)  # the same problem by many small projected steps
+    size = 1 / np.linalg.eigvalsh((q * n[:, None]).T @ (q * n[:, None]))[-1]
+    for _ in range(20_000):
+        rates = np.clip(rates - size * n * (q @ (rates @ (q * n[:, None]) - goal)), 0, most)
+    least = np.linalg.norm(rates @ (q * n[:, None]) - goal) / goal.sum()
+    assert residual <= least + 2e-3
+    mixture = mixing.Mixture(mixing.Model(["a", "b", "c"], {}, []), steps, most, residual)
+    got = np.array([r["r"] for r in members.select(mixture.rate().alias("r")).collect()])
+    assert (got >= 0).all() and (most is None or (got <= most).all())
+    assert np.linalg.norm(got @ (q * n[:, None]) - goal) / goal.sum() == pytest.approx(residual, abs=1e-9)
+
+
+def test_mixing_logits():
+    rng = np.random.default_rng(8)
+    x = np.column_stack([np.ones(4000), rng.normal(size=(4000, 2))])
+    b = np.array([[0.5, 1.0, 0.0], [0.0, 0.0, -1.0]])
+    p = np.exp(x @ b.T)
+    y = (rng.random(4000) > p[:, 0] / p.sum(axis=1)).astype(int)
+    got = mixing.regressed(x, y, 2)
+    assert np.allclose(got[0] - got[1], b[0] - b[1], atol=0.15)
+
+
+def test_mixing_draws_rates(spark):
+    model = mixing.Model(["a"], {"a": [0.0] * mixing.BUCKETS}, [[0.0, 0.0]])
+    table = docs(spark, [f"w{i}" for i in range(4000)])
+    for rate, most in ((0.004, 1.0), (0.5, 1.0), (1 - 1e-9, 1.0), (2.25, None)):
+        got = mixing.sample(table, mixing.Mixture(model, [[1 - rate]], most, 0.0)).count()
+        assert abs(got - rate * 4000) <= 5 * math.sqrt(4000 * (rate % 1) * (1 - rate % 1)) + 1e-3, rate
 
 
 def near_copies():
@@ -313,7 +361,7 @@ def test_stages_keep_columns_that_clash(spark):
     rows = [(1, f"{good} token=abcdefgh1", "en", "s", 9), (1, f"{good} token=abcdefgh1", "en", "s", 9), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, good, "en", "s", 9)]
     table = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(7) for n in names})
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    mixture = mixing.fit_mixture(table, labels, {"toxic": "toxic = 1", "clean": "toxic = 0"}, {"clean": 0.9, "toxic": 0.1}, most=1.0)[0]
+    mixture = mixing.fit_mixture(table, labels, {"toxic": "toxic = 1", "clean": "toxic = 0"}, {"clean": 1.0, "toxic": None}, most=1.0, weak=0.0, slack=None)[0]
     stages = {"quality": lambda d: quality.keep_good(d, labels), "secrets": secrets.redact, "mixture": lambda d: mixing.sample(d, mixture), "chunks": chunks.remove_repeats}
     for name, stage in stages.items():
         out = stage(table)
