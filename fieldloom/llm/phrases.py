@@ -66,20 +66,23 @@ class Vocabulary(dict):
         self.hashes.append((xxhash.xxh3_64_intdigest(self.salt + word, self.seed) >> 1) or 1)
         return number
 
-    def numbered(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The hashes of the texts' words, each text after a 0; the words are counted."""
+    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words as places (int32) in the second array, which holds the words' hashes (BREAK's is 0), each text after a BREAK; the words are counted."""
         flat = list(chain.from_iterable(x for t in texts for x in ((BREAK,), t)))
         numbers = np.fromiter(map(self.__getitem__, flat), dtype=np.int64, count=len(flat))
         got = np.bincount(numbers, minlength=len(self))
         if len(self) > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros(len(self), dtype=np.int64)])
         self.counts[: len(got)] += got
-        return np.frombuffer(self.hashes, dtype=np.int64)[numbers]
+        here = np.flatnonzero(got)
+        place = np.zeros(len(got), dtype=np.int32)
+        place[here] = np.arange(len(here))
+        return place[numbers], np.frombuffer(self.hashes, dtype=np.int64)[here]
 
 
 def cut(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows of two kinds: lang and seq (hashes of words, 0 between pieces; int64), or lang, words, hashes and counts of a part of the corpus."""
-    schema = pa.schema([("lang", pa.string()), ("seq", pa.binary()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    """Rows of two kinds: lang, seq (words as places in table; int32) and table (their hashes, 0 for the end of a piece; int64), or lang, words, hashes and counts of a part of the corpus."""
+    schema = pa.schema([("lang", pa.string()), ("seq", pa.binary()), ("table", pa.binary()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
@@ -90,7 +93,7 @@ def cut(docs: DataFrame, seed: int) -> DataFrame:
                 hashes, counts = np.array(held.hashes[1:]), held.counts[1 : len(held)]
                 for a in range(0, len(words), 1 << 16):
                     b = a + (1 << 16)
-                    yield record(schema, [lang], [None], [words[a:b]], [hashes[a:b]], [counts[a:b]])
+                    yield record(schema, [lang], [None], [None], [words[a:b]], [hashes[a:b]], [counts[a:b]])
             known.clear()
 
         for part in slices(batches, 1, TEXT):
@@ -99,12 +102,13 @@ def cut(docs: DataFrame, seed: int) -> DataFrame:
                 if lang not in known:
                     known[lang] = Vocabulary(lang, seed)
                 mine = [tokens(t) for k, t in zip(langs, texts, strict=True) if k == lang]
-                yield record(schema, [lang], [known[lang].numbered(mine).tobytes()], [None], [None], [None])
+                seq, held = known[lang].numbered(mine)
+                yield record(schema, [lang], [seq.tobytes()], [held.tobytes()], [None], [None], [None])
             if sum(map(len, known.values())) > WORDS:
                 yield from counted()
         yield from counted()
 
-    return map_arrow(docs, kernel, "lang string, seq binary, words array<string>, hashes array<long>, counts array<long>")
+    return map_arrow(docs, kernel, "lang string, seq binary, table binary, words array<string>, hashes array<long>, counts array<long>")
 
 
 def chunks_of(table: DataFrame, order: str, size: int) -> Iterator[pa.Table]:
@@ -115,10 +119,13 @@ def chunks_of(table: DataFrame, order: str, size: int) -> Iterator[pa.Table]:
 
 
 def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """codes (int32): the sequences (seq) of hashes by the frequent ``words`` (hash, code), others 0; written. Words are broadcast GROUP at a time."""
-    schema = pa.schema([("seq", pa.binary()), ("codes", pa.binary())])
-    now = blocks.select("seq", F.lit(None).cast("binary").alias("codes"))
-    for part in chunks_of(words.select((F.col("code") - 1).alias("at"), "hash", "code"), "at", GROUP):
+    """codes (int32): the rows (seq, table) with the codes of the frequent ``words`` (hash, code), 0 for others; written. Words are broadcast GROUP at a time."""
+    schema = pa.schema([("seq", pa.binary()), ("table", pa.binary()), ("known", pa.binary())])
+    now = blocks.select("seq", "table", F.lit(None).cast("binary").alias("known"))
+    for turn, part in enumerate(chunks_of(words.select((F.col("code") - 1).alias("at"), "hash", "code"), "at", GROUP)):
+        if turn:  # so that no more than one group is held at a time
+            now, before = materialise(now, "known"), now
+            discard(before)
         part = part.sort_by("hash")
         shared = blocks.sparkSession.sparkContext.broadcast((part.column("hash").to_numpy(), part.column("code").to_numpy()))
 
@@ -126,15 +133,22 @@ def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
             hashes, numbers = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    seq = np.frombuffer(batch.column(0)[i].as_py(), np.int64)
-                    old = batch.column(1)[i].as_py()
-                    at = np.minimum(np.searchsorted(hashes, seq), len(hashes) - 1)
-                    new = np.where(hashes[at] == seq, numbers[at], 0 if old is None else np.frombuffer(old, np.int32)).astype(np.int32)
-                    yield record(schema, [batch.column(0)[i].as_py()], [new.tobytes()])
+                    seq, table, old = (batch.column(j)[i].as_py() for j in range(3))
+                    held = np.frombuffer(table, np.int64)
+                    at = np.minimum(np.searchsorted(hashes, held), len(hashes) - 1)
+                    new = np.where(hashes[at] == held, numbers[at], 0 if old is None else np.frombuffer(old, np.int32)).astype(np.int32)
+                    yield record(schema, [seq], [table], [new.tobytes()])
 
-        now, before = materialise(map_arrow(now, kernel, "seq binary, codes binary"), "codes"), now
-        discard(before)
-    return now.select("codes")
+        now = map_arrow(now, kernel, "seq binary, table binary, known binary")
+    schema_out = pa.schema([("codes", pa.binary())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seq, known = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                yield record(schema_out, [np.frombuffer(known, np.int32)[np.frombuffer(seq, np.int32)].tobytes()])
+
+    return materialise(map_arrow(now, placed, "codes binary"), "codes")
 
 
 def extensions(state: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,6 +323,8 @@ def counted(rows: DataFrame, keys: DataFrame, level: int, least: int) -> DataFra
                 for i in range(batch.num_rows):
                     state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
                     p, q = extensions(state, codes, level)
+                    on = np.flatnonzero(q)
+                    p, q = p[on], q[on]
                     for k, (_, _, trie) in enumerate(held):
                         to = advance(trie, p, q)[1]
                         if len(to):
@@ -391,7 +407,7 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     words = materialise(often.select((F.col("rn") + 1).cast("int").alias("code"), "lang", "word", "hash", "f").join(sized(total), "lang"), "vocabulary")
     if words.isEmpty():
         return words, words.select(F.array("code").alias("codes"), "f")
-    codes = coded(blocks.where("seq is not null").select("seq"), words)
+    codes = coded(blocks.where("seq is not null").select("seq", "table"), words)
     discard(blocks, every)
     rows = codes.select(F.col("codes").alias("state"), "codes")
     levels = [words.select(F.col("code").alias("id"), F.array("code").alias("codes"), "f")]
