@@ -13,7 +13,7 @@ mit 6 permission is hereby granted free of charge to any person obtaining a copy
 mit 5 the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit 4 opensource org licenses mit
 mit 4 mit style licen[sc]e
-mit 4 under the mit(?: licen[sc]e)?
+mit 4 under the mit licen[sc]e
 mit-0 5 permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files ~40 subject to the following no conditions
 ncsa 6 permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files ~4 to deal with the software
 bsl 6 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
@@ -55,7 +55,7 @@ apache 5 unless required by applicable law or agreed to in writing software dist
 apache 6 this product includes software developed (?:by|at) the apache software foundation
 apache 4 apache org licenses(?: license)?(?: 2 0)?
 apache 4 opensource org licenses apache
-apache 4 under the apache(?: software)?(?: licen[sc]e)?(?: v(?:ersion)?)?(?: ?2(?: 0)?)?
+apache 4 under the apache(?: software)?(?: licen[sc]e(?: v(?:ersion)?)?(?: ?2(?: 0)?)?| v(?:ersion)? ?2(?: 0)?| 2(?: 0)?)
 gpl 6 this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
 gpl 6 is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
 gpl 6 the licenses for most software are designed to take away your freedom to share and change it

@@ -68,7 +68,7 @@ FORMS: dict[str, tuple[str, str, int, bool]] = {
     "licensed": ("licensed", r"(?:is |are |dual )?licensed under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", 3, True),
     "field": ("licen", r"licen[sc]e (?:is )?(?:{name}){version}", 3, True),
     "released": ("under", r"(?:released|distributed|published|available|provided|covered) under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", 3, True),
-    "dedicated": ("to the", r"(?:dedicated|placed|subject|pursuant) (?:to|in|under) (?:the )?(?:{name}){version}", 2, False),
+    "dedicated": ("", r"(?:dedicated|placed|subject|pursuant) (?:to|in|under) (?:the )?(?:{name}){version}", 2, False),
     "named": ("", r"(?:{name}){version}", 1, False),
 }
 CONFIDENCE = {6: 0.99, 5: 0.95, 4: 0.9, 3: 0.9, 2: 0.7, 1: 0.5, 0: 0.6}

@@ -380,6 +380,54 @@ def test_license_texts_without_a_name():
     assert (n, base, first, last) == (60_000, 20_000, 0, 59_997)
 
 
+def test_license_forms_and_what_is_none():
+    labels = lambda t: licenses.scan_text(t, licenses.rules_here())[5]
+    for text in ("placed in public domain", "dedicated to the public domain", "subject to public domain"):
+        assert labels(text) == "public-domain"
+    assert labels("under the MIT umbrella") == "" and labels("under the Apache helicopter") == ""
+    assert labels("under the MIT license") == "mit" and labels("under the Apache 2.0") == "apache"
+
+
+def test_no_gate_hides_a_license():
+    """Every rule without its gates finds nothing in the corpus that the gated scan leaves out."""
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where text is not null order by doc_id").fetchall()]
+    here = licenses.rules_here()
+    for text in texts:
+        shown = set(licenses.scan_text(text, here)[5].split(",")) - {""}
+        if not shown:
+            for line in text.splitlines():
+                plain = line.encode().translate(licenses._TABLE)
+                plain = b" ".join(plain.split())
+                for rule in here.rules:
+                    assert not rule.expression.search(plain), (rule.label, rule.expression.pattern, line)
+
+
+@pytest.mark.parametrize("name", ["op1_secret_ledger", "op8_circulant_minhash", "op10_pivot_topk", "op11_prefix_trie", "op12_phrase_tries", "op13_ngram_decontamination"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from fieldloom.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
+        duck.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = QUERIES[name](spark, folder)
+    want = duck.execute(ORACLE_SQL[name])
+    names = [x[0] for x in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted((tuple(r) for r in want.fetchall()), key=repr)
+
+
+def test_empty_tables(spark):
+    none = docs(spark, []).withColumns({"blob": F.lit(1), "words": F.lit(2)})
+    model = langid.fit(docs(spark, ["the thing"]))
+    empty = [secrets.scan(none), langid.predict(none, model), bpe.round_trip(none, vocabulary()), licenses.scan(none), chunks.repeated(none), mixing.posteriors(none, mixing.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"), mixing.GRADES), "doc_id")]
+    assert [e.count() for e in empty] == [0] * len(empty)
+
+
 def test_chunk_lengths():
     rng = random.Random(9)
     for text in ("a" * 5000, "-" * 999, "ab" * 3000, "".join(rng.choice("abcdefgh é") for _ in range(9000))):
