@@ -141,8 +141,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     words = log_shares(top(counts, "word", WORDS), langs, "word")
     grams, gram_logs = [], []
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    cut = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]
-    per = counts.select("lang", "n", F.explode(F.concat(*cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+
+    def cut(n: int) -> Column:
+        # The function for ``transform`` takes one argument: a second one, even with a default, would be the index.
+        every = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    per = counts.select("lang", "n", F.explode(F.concat(*[cut(n) for n in range(1, LONGEST + 1)])).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     for n in range(1, LONGEST + 1):
         keys, logs = log_shares(top(per.where(F.length("gram") == n), "gram", GRAMS), langs, "gram")
         grams += keys
