@@ -95,7 +95,7 @@ def test_polygon_needs_three_points(spark):
 def test_planted_shift_is_found(spark):
     px = lambda d: spark.createDataFrame([(1, y, x, float((y - 2 * d) ** 2 * 7 % 31 + (x - d) ** 3 % 23)) for y in range(24) for x in range(24)], "frame_id int, y int, x int, val double")
     seeds = spark.createDataFrame([(1, 12, 12)], "id int, y int, x int")
-    got = matching.template_match(seeds, px(0).drop("frame_id"), px(1), 4, 4).first()
+    got = matching.template_match(seeds, px(0).drop("frame_id"), px(1), 4, 4, 24, 24).first()
     assert (got["u0"], got["v0"], got["score"]) == (1, 2, 1.0)
 
 
@@ -160,7 +160,7 @@ def test_flat_images_match_without_a_score(spark):
     px = spark.createDataFrame([(1, y, x, 0.0) for y in range(20) for x in range(20)], "frame_id int, y int, x int, val double")
     seeds = spark.createDataFrame([(1, 10, 10)], "id int, y int, x int")
     for zero_mean in (False, True):
-        assert tuple(matching.template_match(seeds, px.drop("frame_id"), px, 2, 3, zero_mean).first()) == (1, 1, -3, -3, 0.0)
+        assert tuple(matching.template_match(seeds, px.drop("frame_id"), px, 2, 3, 20, 20, zero_mean).first()) == (1, 1, -3, -3, 0.0)
 
 
 def test_nearest_of_far_points_and_empty_frames(spark):
