@@ -47,7 +47,7 @@ FREE, FLAT = 0.01, 1e-4
 
 #: domain -> condition on a row of labels; the first that holds counts.
 GRADES = {"toxic": "toxic = 1", "poor": "quality = 0", "clean": "quality = 1"}
-TARGETS = {"clean": 0.86, "poor": 0.07, "toxic": 0.07}
+TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
 
 
 @dataclass
@@ -189,9 +189,9 @@ class Infeasible(ValueError):
     """No rates meet the targets."""
 
 
-def shares(members: DataFrame, targets: dict[str, float | None]) -> dict[str, float]:
+def shares(members: DataFrame, targets: dict[str, float | None], strict: bool = True) -> dict[str, float]:
     """The targets as shares that sum to 1. A domain's share of any mixture lies between the least and the largest posterior;
-    a target of None is the least one, any other beyond them an error."""
+    a target of None is the least one, any other beyond them an error, where ``strict`` says so."""
     names = list(targets)
     r = members.where("n_tokens > 0").agg(*[f(f"q_{k}").alias(f"{w}_{k}") for k in names for w, f in (("low", F.min), ("high", F.max))]).first()
     if r[f"low_{names[0]}"] is None:
@@ -200,7 +200,7 @@ def shares(members: DataFrame, targets: dict[str, float | None]) -> dict[str, fl
     rest = sum(v for v in targets.values() if v is not None)
     out = {k: fixed[k] if v is None else v / rest * (1 - sum(fixed.values())) for k, v in targets.items()}
     for k, v in out.items():
-        if not fixed and not r[f"low_{k}"] - 1e-9 <= v <= r[f"high_{k}"] + 1e-9:
+        if strict and not fixed and not r[f"low_{k}"] - 1e-9 <= v <= r[f"high_{k}"] + 1e-9:
             raise Infeasible(f"a share of {v:.4f} of {k} cannot be met: posteriors lie between {r[f'low_{k}']:.4f} and {r[f'high_{k}']:.4f}")
     return out
 
@@ -252,12 +252,12 @@ def descend(members: DataFrame, targets: dict[str, float], anchor: str, most: fl
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, targets: dict[str, float | None] | None = None, anchor: str = "clean", most: float | None = None, fit_docs: int = FIT_DOCS, weak: float = WEAK, slack: float | None = SLACK) -> tuple[Mixture, DataFrame]:
-    """The mixture that meets ``targets`` with rates of ``most`` at most, and doc_id, n_tokens, q_<domain> of every document. A residual over ``slack`` is an error; with None, one over SLACK is a warning."""
+    """The mixture that meets ``targets`` with rates of ``most`` at most, and doc_id, n_tokens, q_<domain> of every document. Targets that cannot be met, or a residual over ``slack``, are an error; with None the nearest mixture counts, and a residual over SLACK is a warning."""
     targets = targets or TARGETS
     docs = narrow(docs, "doc_id", "text")
     model = fit(docs, labels, domains or GRADES, fit_docs, weak)
     members = materialise(posteriors(docs, model, "doc_id"), "posteriors")
-    wanted = shares(members, {k: targets[k] for k in model.domains})
+    wanted = shares(members, {k: targets[k] for k in model.domains}, slack is not None)
     # The least share is that of the documents with the least posterior alone, so these are the budget.
     least = [F.col(f"q_{k}") <= wanted[k] * (1 + 1e-9) for k, v in targets.items() if v is None]
     steps, residual = descend(members, wanted, anchor, most, budget=reduce(lambda a, b: a & b, least) if least else None)
