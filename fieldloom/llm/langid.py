@@ -18,14 +18,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +37,21 @@ from fieldloom.runtime import materialise
 
 #: Bounds of the model: documents it is fitted on, words and n-grams it keeps.
 FIT_DOCS, WORDS, GRAMS, LONGEST = 10_000, 30_000, 20_000, 4
-#: Unseen words whose backoff a worker remembers.
+#: Unseen words whose backoff a worker remembers beyond the texts at hand.
 MEMO = 100_000
 SCHEMA = "doc_id long, lang_pred string, score double"
 #: Runs of letters and marks are words, in the fit as in a prediction; everything else separates them.
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 
 
+class Numbers(dict):
+    """The number of each word; one that has none takes the next."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 @dataclass
 class Model:
     """Row i of ``word_logs`` holds the logs of words[i] for each language, likewise for n-grams."""
@@ -57,43 +64,64 @@ class Model:
     gram_logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __post_init__(self) -> None:
-        self.word_at = {w: i for i, w in enumerate(self.words)}
-        self.gram_at = dict(zip(self.grams, map(tuple, self.gram_logs.tolist()), strict=True))
-        self.memo: dict[str, list[float] | None] = {}
-
-    def unseen(self, word: str) -> list[float] | None:
-        padded = f"^{word}$"
-        for n in range(min(LONGEST, len(padded)), 0, -1):
-            known = [v for i in range(len(padded) - n + 1) if (v := self.gram_at.get(padded[i : i + n]))]
-            if known:
-                return [sum(x) / len(known) for x in zip(*known, strict=True)]
-        return None
-
-    def remembered(self, word: str) -> list[float] | None:
-        if word not in self.memo:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[word] = self.unseen(word)
-        return self.memo[word]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text or ""))
-        if not counts or not self.langs:
-            return "und", 0.0
-        total, known, weights, rows, times = self.prior.copy(), [], [], [], []
-        for word, n in counts.items():
-            if (at := self.word_at.get(word)) is not None:
-                known.append(at)
-                weights.append(n)
-            elif (s := self.remembered(word)) is not None:
-                rows.append(s)
-                times.append(n)
-        if known:
-            total += np.dot(weights, self.word_logs[known])
-        if rows:
-            total += np.dot(times, np.array(rows))
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        row_of, number = {g: i for i, g in enumerate(self.grams)}, {"": 0}
+        for n in range(1, max(map(len, self.grams), default=0) + 1):
+            key_of = {p: number[p[:-1]] << 32 | ord(p[-1]) for p in {g[:n] for g in self.grams if len(g) >= n}}
+            ordered = sorted(key_of, key=key_of.__getitem__)
+            number = {p: i for i, p in enumerate(ordered, 1)}
+            self.levels.append((np.array([key_of[p] for p in ordered]), np.array([row_of.get(p, -1) for p in ordered])))
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the model's own words are numbered, and ``logs`` has their rows."""
+        self.numbers = Numbers(zip(self.words, range(len(self.words)), strict=True))
+        self.logs = self.word_logs.reshape(len(self.words), len(self.langs))
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Each unseen word's row: the mean over its known n-grams of the greatest length that has any; 0 if none has.
+
+        ``levels`` is a trie of the n-grams. All places of all words go down it together, one length at a time.
+        """
+        out = np.zeros((len(words), len(self.langs)))
+        codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+        owner = np.repeat(np.arange(len(words)), size)
+        at, end = np.arange(len(codes)), np.repeat(np.cumsum(size), size)
+        state, found = np.zeros(len(codes), dtype=np.int64), []
+        for n, (keys, rows) in enumerate(self.levels, 1):
+            inside = at + n <= end[at]
+            at, key = at[inside], state[inside] << 32 | codes[at[inside] + n - 1]
+            to = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ok = keys[to] == key
+            at, to = at[ok], to[ok]
+            state, row = to + 1, rows[to]
+            found.append((owner[at[row >= 0]], row[row >= 0]))
+        waiting = np.ones(len(words), dtype=bool)
+        for who, row in reversed(found):
+            times = np.bincount(who, minlength=len(words))
+            now = waiting & (times > 0)
+            for j in range(len(self.langs)):
+                out[now, j] = np.bincount(who, weights=self.gram_logs[row, j], minlength=len(words))[now] / times[now]
+            waiting &= ~now
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its score."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        if len(self.numbers) > len(self.words) + MEMO:
+            self.forget()
+        words = [words_of(t or "") for t in texts]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sizes.sum())
+        if len(self.numbers) > len(self.logs):
+            self.logs = np.concatenate([self.logs, self.backoff(list(islice(self.numbers, len(self.logs), None)))])
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        total = np.stack([p + np.bincount(doc, weights=self.logs[numbers, j], minlength=len(texts)) for j, p in enumerate(self.prior)], axis=1)
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0).tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,16 +129,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 @cache
-def letters() -> re.Pattern[str]:
-    """Runs of the characters whose category is a letter or a mark, as one class of ranges."""
-    is_one = [unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)]
-    edges = [c for c in range(len(is_one)) if is_one[c] != (c > 0 and is_one[c - 1])]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]+")
+def letters() -> np.ndarray:
+    """For each code point, whether its category is a letter or a mark."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and marks, in lower case; none if no letter is among them."""
-    found = letters().findall(text.lower())
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    found = np.where(letters()[codes], codes, 32).astype(np.uint32).tobytes().decode("utf-32-le").split(" ")
+    found = list(filter(None, found))
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
@@ -178,7 +206,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(key, sent)
         for part in slices(batches):
-            out = [model.predict(t) for t in part.column(1).to_pylist()]
-            yield record(schema, part.column(0), [x[0] for x in out], [x[1] for x in out])
+            yield record(schema, part.column(0), *model.predict(part.column(1).to_pylist()))
 
     return map_arrow(narrow(docs, id_col, text_col).toDF("doc_id", "text"), kernel, SCHEMA)

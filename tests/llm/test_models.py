@@ -99,3 +99,15 @@ def test_quality_ratio_and_threshold_by_plain_counting(spark):
     for r in quality.judge(docs, labels).collect():
         t = next(t for i, t, _ in rows if i == r["doc_id"] and abs(llr(t) - r["llr"]) < 1e-9)
         assert r["kept"] == (not fails(t) and llr(t) >= cut)
+
+
+def test_language_does_not_depend_on_what_a_worker_has_seen(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the thing thing of things", "en"), ("das ding dinge und nichts", "de")] * 5)]
+    model = langid.fit(table(spark, rows))
+    texts = ["the dingo", None, "", "12 !", "́", "nichtig " * 50_000, "x" * 200_000, "\U00010410 日本", "the dingo"]
+    together = list(zip(*model.predict(texts), strict=True))
+    monkeypatch.setattr(langid, "MEMO", 0)
+    alone = [tuple(x[0] for x in model.predict([t])) for t in texts]
+    assert [a for a, _ in alone] == [a for a, _ in together] and np.allclose([b for _, b in alone], [b for _, b in together])
+    assert together[1:5] == [("und", 0.0)] * 4 and together[0] == together[8]
+    assert len(model.numbers) == len(model.words) + 1  # the last text's unseen word alone
