@@ -6,8 +6,8 @@ part of a candidate. Level by level, a place's state is the frequent phrase that
 begins there. A candidate of the next level is a state and the word behind it,
 where the phrase without its first word is frequent as well (Apriori). The
 candidates that occur, and whose occurrences in all tasks can add up to ``least``,
-are dealt into tries of at most ``shard`` transitions. A trie is a double array: a state's ``base`` plus the word's number
-is the place of the next state, whose ``check`` names the state that it comes from.
+are dealt into tries of at most ``shard`` transitions. A trie is a double array: the ``base`` of a state and of the upper bits of
+the word's code, plus the lower bits, is the place of the next state, whose ``check`` names where it comes from.
 Tries are broadcast in groups of at most ``group`` transitions. Numpy
 advances all places of a row at once, counts the accepting states by bincount,
 and the counts of the tasks are summed trie by trie. Frequent candidates give the
@@ -43,6 +43,8 @@ from fieldloom.sources.frames import ranked
 LONGEST, LEAST, SHADOW, TOP = 3, 10, 50, 2000
 #: Transitions of a trie, transitions that are broadcast at once; words and candidates that a task gathers before it passes them on; bytes of text that are cut at once.
 SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 20, 1 << 17, 1 << 21, 1 << 20
+#: Bits of a word's code that are a trie's symbol (the others go with the state, so that an array of few symbols stays dense); bases tried for a state.
+SYMBOL, TRIED = 8, 8
 #: Stands between pieces; no byte of UTF-8.
 BREAK = b"\xff"
 _CLEAN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -192,31 +194,28 @@ def observed(rows: DataFrame, level: int) -> DataFrame:
 
 
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """The double array of sorted keys: parents (states), words, base of each parent, and check (parent's number from 1) of each place.
+    """The double array of sorted keys: parents (a key without its last SYMBOL bits), base of each parent, and check (parent's number from 1) of each place.
 
-    Parents with many words are placed first, where a few tried bases allow, else
-    behind all others; those with one word then take the places left.
+    Parents with many symbols are placed first, where a few tried bases allow, else
+    behind all others; those with one symbol then take the places left.
     """
-    p, q = keys >> 32, keys & 0xFFFFFFFF
-    parents, first, size = np.unique(p, return_index=True, return_counts=True)
-    words, w = np.unique(q, return_inverse=True)
+    w = keys & (1 << SYMBOL) - 1
+    parents, first, size = np.unique(keys >> SYMBOL, return_index=True, return_counts=True)
     base = np.zeros(len(parents), dtype=np.int32)
-    used = np.zeros(2 * len(keys) + 2 * len(words) + 1, dtype=bool)
-    rng, end = np.random.default_rng(len(keys)), 0
-    for i in np.argsort(-size, kind="stable"):
-        if size[i] == 1:
-            break
-        if len(used) <= end + len(words):
-            used = np.concatenate([used, np.zeros(len(used) + len(words), dtype=bool)])
+    used, end = np.zeros(2 * len(keys) + (2 << SYMBOL), dtype=bool), 0
+    many = np.flatnonzero(size > 1)
+    many = many[np.argsort(-size[many], kind="stable")]
+    tried = np.random.default_rng(len(keys)).random((len(many), TRIED))
+    for i, share in zip(many.tolist(), tried, strict=True):
+        if len(used) < end + (2 << SYMBOL):
+            used = np.concatenate([used, np.zeros(len(used), dtype=bool)])
         mine = w[first[i] : first[i] + size[i]]
-        for b in rng.integers(0, end + 1, 6):
-            if not used[mine + b].any():
-                break
-        else:
-            b = end - mine[0]
+        bases = (share * (end + 1)).astype(np.int64)
+        free = np.flatnonzero(~used[bases[:, None] + mine].any(axis=1))
+        b = int(bases[free[0]] if len(free) else end - mine[0])
         base[i] = b
         used[mine + b] = True
-        end = max(end, int(mine[-1] + b + 1))
+        end = max(end, int(mine[-1]) + b + 1)
     single = np.flatnonzero(size == 1)
     free = np.flatnonzero(~used)
     if len(free) < len(single):
@@ -226,29 +225,39 @@ def build(keys: np.ndarray) -> dict[str, np.ndarray]:
     at = base[owner] + w
     check = np.zeros(int(at.max()) + 1, dtype=np.int32)
     check[at] = owner + 1
-    return {"parents": parents.astype(np.int32), "words": words.astype(np.int32), "base": base, "check": check}
+    return {"parents": parents, "base": base, "check": check}
 
 
 def keys_at(trie: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     """The keys of places that a transition leads to."""
     owner = trie["check"][at] - 1
-    return trie["parents"][owner].astype(np.int64) << 32 | trie["words"][at - trie["base"][owner]]
-
+    return trie["parents"][owner] << SYMBOL | (at - trie["base"][owner])
 
-def advance(trie: dict[str, np.ndarray], state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places whose state and word have a transition in the trie, and where it leads."""
-    parents, words = trie["parents"], trie["words"]
-    sel = np.flatnonzero((state >= parents[0]) & (state <= parents[-1]) & (word > 0))
-    i = np.searchsorted(parents, state[sel])
-    w = np.minimum(np.searchsorted(words, word[sel]), len(words) - 1)
-    to = trie["base"][i] + w
-    ok = (parents[i] == state[sel]) & (words[w] == word[sel]) & (to >= 0) & (to < len(trie["check"]))
-    sel, i, to = sel[ok], i[ok], to[ok]
-    ok = trie["check"][to] == i + 1
-    return sel[ok], to[ok]
 
+def advance(tries: list[tuple[int, int, dict[str, np.ndarray]]], keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each trie that has some of the keys: its number in the list, the places of these keys, and where their transitions lead.
 
-ARRAYS = ("parents", "words", "base", "check")
+    Tries follow each other in the order of keys, so a key has one trie that may know it.
+    """
+    of = np.searchsorted(np.array([low for low, _, _ in tries]), keys, "right")
+    order = np.argsort(of.astype(np.int16) if len(tries) < 1 << 15 else of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(1, len(tries) + 2))
+    for k, (_, _, trie) in enumerate(tries):
+        sel = order[cuts[k] : cuts[k + 1]]
+        if not len(sel):
+            continue
+        parent = keys[sel] >> SYMBOL
+        i = np.minimum(np.searchsorted(trie["parents"], parent), len(trie["parents"]) - 1)
+        to = trie["base"][i] + (keys[sel] & (1 << SYMBOL) - 1)
+        ok = (trie["parents"][i] == parent) & (to >= 0) & (to < len(trie["check"]))
+        sel, i, to = sel[ok], i[ok], to[ok]
+        ok = trie["check"][to] == i + 1
+        if ok.any():
+            yield k, sel[ok], to[ok]
+
+
+#: The arrays of a trie, and the types of their numbers.
+ARRAYS = {"parents": np.int64, "base": np.int32, "check": np.int32}
 
 
 def built(keys: DataFrame, least: int) -> DataFrame:
@@ -290,7 +299,7 @@ def built(keys: DataFrame, least: int) -> DataFrame:
 
 
 def tries(keys: DataFrame, least: int) -> Iterator:
-    """Broadcast lists of (number, first, trie) in the order of keys, GROUP transitions at a time or one trie, from the written ``keys``."""
+    """Broadcast lists of (first key, its rn, trie) in the order of keys, GROUP transitions at a time or one trie, from the written ``keys``."""
     held = built(keys, least)
     groups, size = [[]], 0
     for r in held.select("low", "size").orderBy("low").collect():  # two numbers for each trie
@@ -301,8 +310,8 @@ def tries(keys: DataFrame, least: int) -> Iterator:
         size += r["size"]
     for lows in filter(None, groups):
         rows = held.where(F.col("low").between(lows[0], lows[-1])).orderBy("low").toArrow()
-        array = lambda a, i: np.frombuffer(rows.column(a)[i].as_py(), np.int32)  # noqa: B023, E731
-        shared = keys.sparkSession.sparkContext.broadcast([(i, rows.column("first")[i].as_py(), {a: array(a, i) for a in ARRAYS}) for i in range(rows.num_rows)])
+        array = lambda a, i: np.frombuffer(rows.column(a)[i].as_py(), ARRAYS[a])  # noqa: B023, E731
+        shared = keys.sparkSession.sparkContext.broadcast([(rows.column("low")[i].as_py(), rows.column("first")[i].as_py(), {a: array(a, i) for a in ARRAYS}) for i in range(rows.num_rows)])
         del rows
         yield shared
         shared.destroy()
@@ -324,12 +333,9 @@ def counted(rows: DataFrame, keys: DataFrame, level: int, least: int) -> DataFra
                     state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
                     p, q = extensions(state, codes, level)
                     on = np.flatnonzero(q)
-                    p, q = p[on], q[on]
-                    for k, (_, _, trie) in enumerate(held):
-                        to = advance(trie, p, q)[1]
-                        if len(to):
-                            got = np.bincount(to)
-                            total[k][: len(got)] += got.astype(np.int32)
+                    for k, _, to in advance(held, p[on].astype(np.int64) << 32 | q[on]):
+                        got = np.bincount(to)
+                        total[k][: len(got)] += got.astype(np.int32)
             for k, (shard, _, _) in enumerate(held):
                 at = np.flatnonzero(total[k])
                 if len(at):
@@ -378,9 +384,9 @@ def marked(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
                     old, codes, new = (batch.column(j)[i].as_py() for j in range(3))
                     p, q = extensions(np.frombuffer(old, np.int32), np.frombuffer(codes, np.int32), level)
                     state = np.zeros(len(codes) // 4, dtype=np.int32) if new is None else np.frombuffer(new, np.int32).copy()
-                    for number, (_, _, trie) in zip(numbers, shared.value, strict=True):
-                        sel, to = advance(trie, p, q)
-                        state[sel] = number[to]
+                    on = np.flatnonzero(q)
+                    for k, sel, to in advance(shared.value, p[on].astype(np.int64) << 32 | q[on]):
+                        state[on[sel]] = numbers[k][to]
                     yield record(schema, [old], [codes], [state.tobytes()])
 
         now, before = materialise(map_arrow(now, kernel, "old binary, codes binary, new binary"), "states"), now

@@ -153,9 +153,14 @@ def test_double_array():
         keys = np.unique(p.astype(np.int64) << 32 | rng.integers(1, 500, n))
         trie = phrases.build(keys)
         state, word = rng.integers(0, 210, 5000).astype(np.int32), rng.integers(0, 510, 5000).astype(np.int32)
-        sel, to = phrases.advance(trie, state, word)
+        asked = state.astype(np.int64) << 32 | word
+        half = len(keys) // 2
+        lists = [[(int(keys[0]), 0, trie)], [(int(k[0]), 0, phrases.build(k)) for k in (keys[:half], keys[half:]) if len(k)]]
         want = np.isin(state.astype(np.int64) << 32 | word, keys)
-        assert np.array_equal(np.sort(sel), np.flatnonzero(want)) and np.array_equal(phrases.keys_at(trie, to), state[sel].astype(np.int64) << 32 | word[sel])
+        for tries in lists:
+            got = list(phrases.advance(tries, asked))
+            assert np.array_equal(np.sort(np.concatenate([sel for _, sel, _ in got] or [[]])), np.flatnonzero(want))
+            assert all(np.array_equal(phrases.keys_at(tries[k][2], to), asked[sel]) for k, sel, to in got)
 
 
 # Benchmark windows ---------------------------------------------------------------------------
