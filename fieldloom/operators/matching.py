@@ -10,23 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.discs import disc_sums
-from fieldloom.operators.patches import folded, over_tiles, tile_arrays
+from fieldloom.operators.patches import TILE, folded, over_tiles, readers, tile_arrays
 from fieldloom.runtime import materialise, ship, sized
 
-def best_place(t: np.ndarray, window: np.ndarray, zero_mean: bool) -> tuple[int, int, float]:
-    """Row, column and score of the first best place of template t in the window."""
-    seen = np.lib.stride_tricks.sliding_window_view(window, t.shape)
-    ti = np.tensordot(seen, t, axes=((2, 3), (0, 1)))
-    ii, tt, n = (seen * seen).sum(axis=(2, 3)), float((t * t).sum()), t.size
-    if zero_mean:
-        st, si = float(t.sum()), seen.sum(axis=(2, 3))
-        ti, tt, ii = ti - st * si / n, tt - st * st / n, ii - si * si / n
-    both = tt * ii
-    score = np.round(np.where(both > 0, ti / np.sqrt(np.where(both > 0, both, 1.0)), 0.0), 9)
-    row, column = divmod(int(np.argmax(score)), score.shape[1])
-    return row, column, float(score[row, column])
-
 
+def score_maps(templates: np.ndarray, image: np.ndarray, zero_mean: bool) -> np.ndarray:
+    """The score of each template (all of one shape) at every place of the image where it fits: template, row, column."""
+    k, th, tw = templates.shape
+    flat, n = templates.reshape(k, -1), th * tw
+    seen = np.lib.stride_tricks.sliding_window_view(image, (th, tw))
+    tt, st = (flat * flat).sum(axis=1), flat.sum(axis=1)
+    out = np.empty((k, *seen.shape[:2]))
+    band = max(1, BAND // (seen.shape[1] * max(n, k)))
+    for top in range(0, len(seen), band):
+        part = seen[top : top + band]
+        windows = part.reshape(-1, n)
+        ti, ii, ss = flat @ windows.T, (windows * windows).sum(axis=1), tt
+        if zero_mean:
+            si = windows.sum(axis=1)
+            ti, ii, ss = ti - np.outer(st, si) / n, ii - si * si / n, tt - st * st / n
+        both = np.outer(ss, ii)
+        score = np.where(both > 0, ti / np.sqrt(np.where(both > 0, both, 1.0)), 0.0)
+        out[:, top : top + band] = np.round(score, 9).reshape(k, *part.shape[:2])
+    return out
+
+
+#: Numbers in the windows of an image that are laid out at once.
+BAND = 1 << 20
 #: Least side of a template.
 LEAST_SIDE = 3
 
@@ -41,11 +51,13 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     deviations from the mean where ``zero_mean`` says so. A template with a side
     under 3, or a window smaller than it, gives the guess and a score of 0.
 
-    Templates are cut out once for each seed and image. Seeds meet frames in the
-    tiles that they are moved to, in lists of a bounded length, so that work is dealt by
-    frame, tile and list.
+    What is found depends on the seed's place and on the one that its guess moves it to, so
+    each such pair is matched once and the seeds read the answer. Templates are cut
+    out once for each place and image, and meet frames in the tiles that they are
+    moved to, in lists of a bounded length, so that work is dealt by frame, tile and list.
     """
-    ship(ref.sparkSession)
+    spark = ref.sparkSession
+    ship(spark)
     group = list(keys)
     guess = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in seeds.columns else F.lit(0.0) for c in ("gu", "gv")}
     box = seeds.select("id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), guess["gu"].alias("gu"), guess["gv"].alias("gv"))
@@ -55,17 +67,22 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     fits = (F.col("r2") - F.col("r1") >= LEAST_SIDE) & (F.col("c2") - F.col("c1") >= LEAST_SIDE) & (F.col("s2") - F.col("s1") >= F.col("r2") - F.col("r1")) & (F.col("q2") - F.col("q1") >= F.col("c2") - F.col("c1"))
     box = materialise(box.withColumn("fits", fits), "seeds")
     frames = materialise(cur.select(*group, "frame_id").distinct(), "frames")
-    # Every seed is asked of every frame: that is the result's size.
-    sides = sized(materialise(ref.select(*group).distinct(), "images")) if group else None
-    each = box if sides is None else box.join(sides, F.lit(True))
-
-    held = over_tiles(each.where("fits"), tile_arrays(ref, keys, h, w, r), keys, clip(F.col("y"), h - 1), clip(F.col("x"), w - 1))
+    pair, window = ["y", "x", "ty", "tx"], ["ty", "tx", "s1", "s2", "q1", "q2"]
+    # The windows of a place, by the tile that they are searched in: at most as many as the tile has pixels.
+    tile = lambda c, n: (F.floor(clip(F.col(c), n - 1) / F.lit(TILE)) * TILE).cast("int")
+    sought = box.where("fits").select("r1", "r2", "c1", "c2", "y", "x", *window, tile("ty", h).alias("at_y"), tile("tx", w).alias("at_x")).distinct()
+    windows = materialise(sought.groupBy("y", "x", "r1", "r2", "c1", "c2", "at_y", "at_x").agg(F.flatten(F.collect_list(F.array(*window))).alias("windows")), "windows")
+    places = windows.select("y", "x", "r1", "r2", "c1", "c2").distinct()
+    each = places.join(sized(materialise(ref.select(*group).distinct(), "images")), F.lit(True)) if group else places
+
+    held = over_tiles(each, tile_arrays(ref, keys, h, w, r), keys, clip(F.col("y"), h - 1), clip(F.col("x"), w - 1))
     line = lambda p: lambda y: F.slice("cells", ((y - F.col("y0")) * F.col("width") + p["c1"] - F.col("x0") + 1).cast("int"), p["c2"] - p["c1"])
-    cut = F.transform("points", lambda p: F.struct(*[p[c].alias(c) for c in each.columns], F.flatten(F.transform(F.sequence(p["r1"], p["r2"] - 1), line(p))).alias("t")))
+    cut = F.transform("points", lambda p: F.struct(*[p[c].alias(c) for c in (*group, "y", "x")], F.flatten(F.transform(F.sequence(p["r1"], p["r2"] - 1), line(p))).alias("t")))
     templates = materialise(held.select(F.explode(cut).alias("p")).select("p.*"), "templates")
-    asked = templates.join(sized(frames), group) if group else templates.join(sized(frames), F.lit(True))
-    kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")} | {"id": seeds.schema["id"].dataType.simpleString()}
-    blocks = over_tiles(asked, tile_arrays(cur, (*keys, "frame_id"), h, w, r + search), (*keys, "frame_id"), clip(F.col("ty"), h - 1), clip(F.col("tx"), w - 1))
+    asked = templates.join(windows.hint("merge"), ["y", "x"])
+    asked = asked.join(sized(frames), group) if group else asked.join(sized(frames), F.lit(True))
+    kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")}
+    blocks = over_tiles(asked, tile_arrays(cur, (*keys, "frame_id"), h, w, r + search), (*keys, "frame_id"), F.col("at_y"), F.col("at_x"))
 
     def kernel(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tables:
@@ -73,19 +90,30 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
             for block in pdf.itertuples(index=False):
                 if block.cells is None:
                     continue
-                image = np.asarray(block.cells).reshape(-1, block.width)
+                image, held = np.asarray(block.cells).reshape(-1, block.width), [getattr(block, k) for k in kinds]
+                shapes: dict[tuple[int, int], list] = {}
                 for p in block.points:
-                    t = np.asarray(p["t"]).reshape(p["r2"] - p["r1"], -1)
-                    window = image[p["s1"] - block.y0 : p["s2"] - block.y0, p["q1"] - block.x0 : p["q2"] - block.x0]
-                    row, column, score = best_place(t, window, zero_mean)
-                    rows.append((*[getattr(block, k) for k in group], block.frame_id, p["id"], float(p["q1"] + column - p["c1"]), float(p["s1"] + row - p["r1"]), score))
-            yield pd.DataFrame(rows, columns=[*kinds, "u0", "v0", "score"])
-
-    shape = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", u0 double, v0 double, score double"
+                    shapes.setdefault((p["r2"] - p["r1"], p["c2"] - p["c1"]), []).append(p)
+                for (th, tw), points in shapes.items():
+                    sought = [np.asarray(p["windows"]).reshape(-1, len(window)) for p in points]
+                    _, _, s1, s2, q1, q2 = np.concatenate(sought).T
+                    top, left = int(s1.min()), int(q1.min())
+                    seen = image[top - block.y0 : s2.max() - block.y0, left - block.x0 : q2.max() - block.x0]
+                    maps = score_maps(np.array([p["t"] for p in points]).reshape(-1, th, tw), seen, zero_mean)
+                    for p, score, wanted in zip(points, maps, sought, strict=True):
+                        for ty, tx, s1, s2, q1, q2 in wanted.tolist():
+                            part = score[s1 - top : s2 - top - th + 1, q1 - left : q2 - left - tw + 1]
+                            row, column = divmod(int(part.argmax()), part.shape[1])
+                            rows.append((*held, p["y"], p["x"], ty, tx, float(q1 + column - p["c1"]), float(s1 + row - p["r1"]), float(part[row, column])))
+            yield pd.DataFrame(rows, columns=[*kinds, *pair, "u0", "v0", "score"])
+
+    shape = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", y int, x int, ty int, tx int, u0 double, v0 double, score double"
     found = blocks.select(*group, "frame_id", "y0", "x0", "width", "cells", "points").mapInPandas(kernel, shape)
-    small = box.where("not fits").select("id", F.col("gu").alias("u0"), F.col("gv").alias("v0"))
-    rest = small.join(sized(frames), F.lit(True)).select(*kinds, "u0", "v0", F.lit(0.0).alias("score"))
-    return found.unionByName(rest)
+    # Every seed is told every frame: that is the result's size.
+    out = found.join(readers(box.where("fits").select("id", *pair), pair), pair).select(*kinds, F.explode("points").alias("p"), "u0", "v0", "score").select(*kinds, "p.id", "u0", "v0", "score")
+    small = box.where("not fits").select("id", F.col("gu").alias("u0"), F.col("gv").alias("v0")).repartition(spark.sparkContext.defaultParallelism)
+    rest = small.join(sized(frames), F.lit(True)).select(*kinds, "id", "u0", "v0", F.lit(0.0).alias("score"))
+    return out.unionByName(rest)
 
 
 #: Entries of the upper half of the normal matrix: a product of gradients (gx gx, gx gy, gy gy) and a monomial of the offsets.
