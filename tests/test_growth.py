@@ -42,7 +42,7 @@ def match_by_hand(ref, cur, y, x, gu, gv, r, search, zero_mean):
     return best
 
 
-@pytest.mark.parametrize(("zero_mean", "cells"), [(False, 250_000)])
+@pytest.mark.parametrize(("zero_mean", "cells"), [(False, 250_000), (True, 0)])
 def test_seeds_of_a_place_and_guess_are_matched_once(spark, monkeypatch, zero_mean, cells):
     rng = np.random.default_rng(11)
     ref, cur = rng.random((40, 45)), {k: rng.random((40, 45)) for k in (1, 2)}
