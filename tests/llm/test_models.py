@@ -111,3 +111,22 @@ def test_language_does_not_depend_on_what_a_worker_has_seen(spark, monkeypatch):
     assert [a for a, _ in alone] == [a for a, _ in together] and np.allclose([b for _, b in alone], [b for _, b in together])
     assert together[1:5] == [("und", 0.0)] * 4 and together[0] == together[8]
     assert len(model.numbers) == len(model.words) + 1  # the last text's unseen word alone
+
+
+def test_quality_reads_every_label(spark, monkeypatch):
+    # 20,100 labelled documents, all but 100 of them trusted; a bound of 20,000 labels would miss some of both.
+    rows = [(i, "fair words " * 6 if i % 201 else "bad words ugh " * 5, "en") for i in range(20_100)] + [(7, "again fair again " * 5, "en")] * 600 + [(None, "no id " * 6, "en")]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 201 > 0), 0) for i in range(20_100)], "doc_id long, quality int, toxic int")
+    target = np.zeros(quality.BUCKETS)
+    for text, n in ((rows[1][1], 20_000), (rows[20_100][1], 600)):
+        target += n * np.bincount(quality.buckets_of(text.encode()), minlength=quality.BUCKETS)
+    raw = target.copy()
+    for text, n in ((rows[0][1], 100), (rows[-1][1], 1)):
+        raw += n * np.bincount(quality.buckets_of(text.encode()), minlength=quality.BUCKETS)
+    want = np.log((target + 0.5) / (target + 0.5).sum()) - np.log((raw + 0.5) / (raw + 0.5).sum())
+    ratio, _ = quality.fitted(docs, labels, quality.FIT_DOCS)
+    assert np.allclose(ratio, want, atol=1e-9)
+    grades = quality.materialise(quality.graded(labels), "grades")
+    few, many = (sorted(quality.with_grades(docs, grades, cells).collect()) for cells in (250_000, 0))
+    assert len(many) == 20_700 and few == many
