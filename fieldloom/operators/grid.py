@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.masks import lattice
+from fieldloom.operators.patches import readers
 from fieldloom.runtime import materialise, ship, sized
 
 #: Fewer points are not split into domains.
@@ -103,14 +104,21 @@ def nearest_in_row(y: int, px: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> np
 
 
 def snap(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The nearest grid point of each point (id, x, y) in every frame of the grid; ties go to the first in (y, x)."""
-    seeds = points.select("id", "y", "x")
+    """The nearest grid point of each point (id, x, y) in every frame of the grid; ties go to the first in (y, x).
+
+    What is nearest depends on the place alone, so it is sought once for each place
+    of a frame, and the points there read it.
+    """
     if grid.isEmpty():
         return grid.select(*keys, F.lit(None).cast(points.schema["id"].dataType).alias("id"), "y", "x")
-    if keys:  # every point is asked of every frame: that is the result's size
-        seeds = grid.select(*keys).distinct().join(sized(materialise(seeds, "points")), F.lit(True)).select(*keys, "id", "y", "x")
-    near = nearest(seeds, grid, list(keys), ["id"], [])
-    return near.select(*keys, "id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+    seeds = materialise(points.select("id", F.col("y").alias("_at_y"), F.col("x").alias("_at_x")), "points")
+    spots = seeds.select("_at_y", "_at_x").distinct()
+    if keys:  # every place is asked of every frame
+        spots = grid.select(*keys).distinct().join(sized(materialise(spots, "places")), F.lit(True))
+    near = nearest(spots.select("*", F.col("_at_y").alias("y"), F.col("_at_x").alias("x")), grid, list(keys), ["_at_y", "_at_x"], [])
+    # Every point is told every frame: that is the result's size.
+    told = near.join(readers(seeds, ["_at_y", "_at_x"]), ["_at_y", "_at_x"]).select(*keys, F.explode("points").alias("p"), "m")
+    return told.select(*keys, "p.id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 
 def assign_domain(grid: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import matching, patches
+from fieldloom.operators import grid, matching, patches
 
 KEY = ("frame_id",)
 
@@ -71,3 +71,19 @@ def test_tiles_of_lines(spark):
             ys, xs = np.mgrid[t["y0"] : t["y0"] + len(t["cells"]) // t["width"], t["x0"] : t["x0"] + t["width"]]
             fold = lambda c, n: np.where(c % (2 * n - 2) > n - 1, 2 * n - 2 - c % (2 * n - 2), c % (2 * n - 2))
             assert [c["val"] for c in t["cells"]] == values[fold(ys, 7), fold(xs, 50)].ravel().tolist()
+
+
+@pytest.mark.parametrize("cells", [250_000, 0])
+def test_points_of_a_place_are_snapped_once(spark, monkeypatch, cells):
+    at = spark.createDataFrame([(f, y, x) for f in (1, 2) for y in range(0, 40, 4 * f) for x in range(1, 40, 5)], "frame_id int, y int, x int")
+    points = spark.createDataFrame([(None if i == 5 else i, i % 3 * 9, i % 3 * 13 + 1) for i in range(90)], "id int, y int, x int")
+    asked, seek = [], grid.nearest
+    monkeypatch.setattr(grid, "nearest", lambda points, *rest: asked.append(points.count()) or seek(points, *rest))
+    if hasattr(grid, "readers"):
+        monkeypatch.setattr(grid, "readers", lambda points, at: patches.readers(points, at, cells))
+    got = {(r["frame_id"], r["id"]): (r["y"], r["x"]) for r in grid.snap(points, at, KEY).collect()}
+    assert asked == [6] and len(got) == 180
+    spots = [(r["frame_id"], r["y"], r["x"]) for r in at.collect()]
+    for (f, i), found in got.items():
+        y, x = (5 if i is None else i) % 3 * 9, (5 if i is None else i) % 3 * 13 + 1
+        assert found == min((a, b) for g, a, b in spots if g == f and (a - y) ** 2 + (b - x) ** 2 == min((c - y) ** 2 + (d - x) ** 2 for h, c, d in spots if h == f))
