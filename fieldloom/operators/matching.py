@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fieldloom.operators.discs import disc_sums
 from fieldloom.operators.patches import TILE, folded, over_tiles, readers, tile_arrays
@@ -177,11 +180,11 @@ def coarse_search(points: DataFrame, ref: DataFrame, cur: DataFrame, r: int, h:
     of radius r around the point in ``ref`` (ref_keys, some of keys) and the disc
     around (y + v, x + u) in ``cur`` (keys), bilinear, borders mirrored. Of equal
     scores the first in the order of the shift along x, then y, counts. A subset of
-    one value scores as if its deviations were zero. Images are read as tiles; a point
-    holds the (2 (r + search) + 1) squared values around it once for all shifts.
+    one value scores as if its deviations were zero. Images are read as tiles, the
+    points of a list together; a point whose tile lacks pixels stays, without a score.
     """
+    ship(points.sparkSession)
     reach, columns = r + search, points.columns
-    side = 2 * reach + 1
     disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
     places = points.select(*ref_keys, "y", "x").distinct()
@@ -192,37 +195,57 @@ def coarse_search(points: DataFrame, ref: DataFrame, cur: DataFrame, r: int, h:
     template = template.withColumn("_c", F.transform("_f", lambda v: v - F.col("_m"))).withColumn("_s", F.greatest(F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, v: a + v * v)), F.lit(1e-12)))
     template = template.select(*ref_keys, "y", "x", F.transform("_c", lambda v: v / F.col("_s")).alias("_f"))
 
-    aim = points.withColumns({"_ty": F.col("y") + F.col("v"), "_tx": F.col("x") + F.col("u")})
+    aim = points.withColumns({"_ty": F.col("y") + F.col("v"), "_tx": F.col("x") + F.col("u")}).join(template.hint("merge"), [*ref_keys, "y", "x"])
     whole = lambda c: F.floor(F.col(c))
     aim = aim.withColumns({"_by": F.col("_ty") - whole("_ty"), "_bx": F.col("_tx") - whole("_tx"), "_iy": whole("_ty").cast("int"), "_ix": whole("_tx").cast("int")})
     # A target beyond the image is read where its mirror image lies, and backwards along that axis.
     turned = lambda c, n: F.pmod(F.floor(F.col(c) / F.lit(max(1, n - 1))), F.lit(2)) == 1
     aim = aim.withColumns({"_dy": F.when(turned("_iy", h), -1).otherwise(1), "_dx": F.when(turned("_ix", w), -1).otherwise(1), "_fy": folded(F.col("_iy"), h), "_fx": folded(F.col("_ix"), w)})
-    held = over_tiles(aim, tile_arrays(cur, keys, h, w, reach + 1), keys, F.col("_fy"), F.col("_fx"))
-
-    def value(p: Column, k: Column) -> Column:
-        dy, dx = F.floor(k / side) - reach, k % side - reach
-        tap = lambda a, b: at(p, "_fy", "_fx", p["_dy"] * (dy + a), p["_dx"] * (dx + b))
-        return (1 - p["_by"]) * ((1 - p["_bx"]) * tap(0, 0) + p["_bx"] * tap(0, 1)) + p["_by"] * ((1 - p["_bx"]) * tap(1, 0) + p["_bx"] * tap(1, 1))
-
-    seen = held.select(F.explode(F.transform("points", lambda p: F.struct(*[p[c].alias(c) for c in columns], F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: value(p, k)).alias("_g")))).alias("p")).select("p.*")
-    both = seen.join(template.hint("merge"), [*ref_keys, "y", "x"])
-    n = float(len(disc))
-    spots = F.array(*[F.lit(dy * side + dx) for dy, dx in disc])
-    pairs = both.withColumn("_fs", F.arrays_zip(F.col("_f"), spots.alias("o")))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy"), F.lit((sy + reach) * side + sx + reach).alias("o")) for i, (sx, sy) in enumerate((sx, sy) for sx in range(-search, search + 1) for sy in range(-search, search + 1))])
-
-    def score(shift: Column) -> Column:
-        start = F.struct(*[F.lit(0.0).alias(c) for c in ("g", "gg", "fg", "f", "ff")])
-        step = lambda a, p: (lambda g: F.struct((a["g"] + g).alias("g"), (a["gg"] + g * g).alias("gg"), (a["fg"] + p["_f"] * g).alias("fg"), (a["f"] + p["_f"]).alias("f"), (a["ff"] + p["_f"] * p["_f"]).alias("ff")))(F.get(F.col("_g"), (shift["o"] + p["o"]).cast("int")))
-
-        def distance(a: Column) -> Column:
-            squares = F.greatest(a["gg"] - a["g"] * a["g"] / n, F.lit(0.0))
-            norm = F.greatest(F.sqrt(squares), F.lit(1e-12))
-            return squares / (norm * norm) - 2 * (a["fg"] - a["f"] * a["g"] / n) / norm + a["ff"]
-
-        return F.aggregate("_fs", start, step, distance)
-
-    best = pairs.withColumn("_b", F.array_min(F.transform(shifts, lambda s: F.struct(F.round(score(s), 9).alias("score"), s["i"].alias("i"), s["sx"].alias("sx"), s["sy"].alias("sy")))))
-    new = {"u": (F.col("u") + F.col("_b.sx")).alias("u"), "v": (F.col("v") + F.col("_b.sy")).alias("v")}
-    return best.select(*[new.get(c, F.col(c)) for c in columns], F.col("_b.score").alias("score"))
+    asked = aim.select(*columns, *[F.col(c).cast("double").alias(c) for c in ("_by", "_bx")], *[F.col(c).cast("long").alias(c) for c in ("_dy", "_dx", "_fy", "_fx")], "_f")
+    held = over_tiles(asked, tile_arrays(cur, keys, h, w, reach + 1), keys, F.col("_fy"), F.col("_fx")).select("y0", "x0", "width", F.col("cells").cast("array<double>").alias("cells"), "points")
+    shape = StructType([*points.schema.fields, *[StructField(c, DoubleType()) for c in ("_sx", "_sy", "score")]])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, cells = batch.column("points"), batch.column("cells")
+            flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            fields = {c: flat.field(c) for c in (*columns, "_by", "_bx", "_dy", "_dx", "_fy", "_fx", "_f")}
+            found = np.full((3, len(flat)), np.nan)
+            for i, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if not cells[i].is_valid:
+                    continue
+                of = {c: fields[c].slice(start, end - start) for c in ("_by", "_bx", "_dy", "_dx", "_fy", "_fx", "_f")}
+                f = np.asarray(of.pop("_f").flatten()).reshape(-1, len(disc))
+                image = np.asarray(cells[i].values).reshape(-1, batch.column("width")[i].as_py())
+                spot = {c: of[c].to_numpy(zero_copy_only=False) for c in of}
+                spot["_fy"], spot["_fx"] = spot["_fy"] - batch.column("y0")[i].as_py(), spot["_fx"] - batch.column("x0")[i].as_py()
+                step = max(1, BAND // (2 * reach + 2) ** 2)
+                for k in range(0, end - start, step):
+                    found[:, start + k : min(start + k + step, end)] = best_shifts(image, {c: x[k : k + step] for c, x in spot.items()}, f[k : k + step], disc, r, search)
+            moved = [pa.array(x, pa.float64(), from_pandas=True) for x in found]
+            yield pa.RecordBatch.from_arrays([*[fields[c] for c in columns], *moved], names=[f.name for f in shape])
+
+    found = held.mapInArrow(kernel, shape)
+    new = {c: (F.col(c) + F.coalesce(F.col(by), F.lit(0.0))).alias(c) for c, by in (("u", "_sx"), ("v", "_sy"))}
+    return found.select(*[new.get(c, F.col(c)) for c in columns], "score")
+
+
+def best_shifts(image: np.ndarray, spot: dict[str, np.ndarray], f: np.ndarray, disc: list[tuple[int, int]], r: int, search: int) -> np.ndarray:
+    """Shift along x and y and score of the first best shift of each point at (_fy + _by, _fx + _bx), with the values f of its subset on ``disc``."""
+    reach, n, side = r + search, float(len(disc)), np.arange(-r - search, r + search + 2)
+    ys, xs = spot["_fy"][:, None] + spot["_dy"][:, None] * side, spot["_fx"][:, None] + spot["_dx"][:, None] * side
+    tap, by, bx = image[ys[:, :, None], xs[:, None, :]], spot["_by"][:, None, None], spot["_bx"][:, None, None]
+    g = (1 - by) * ((1 - bx) * tap[:, :-1, :-1] + bx * tap[:, :-1, 1:]) + by * ((1 - bx) * tap[:, 1:, :-1] + bx * tap[:, 1:, 1:])
+    dy, dx = np.array(disc).T + reach
+    s, ss = f.sum(axis=1), (f * f).sum(axis=1)
+    shifts = [(sx, sy) for sx in range(-search, search + 1) for sy in range(-search, search + 1)]
+    score = np.empty((len(shifts), len(f)))
+    for k, (sx, sy) in enumerate(shifts):
+        at = g[:, dy + sy, dx + sx]
+        total, both = at.sum(axis=1), (f * at).sum(axis=1)
+        squares = np.maximum((at * at).sum(axis=1) - total * total / n, 0.0)
+        norm = np.maximum(np.sqrt(squares), 1e-12)
+        score[k] = np.round(squares / (norm * norm) - 2 * (both - s * total / n) / norm + ss, 9)
+    best = score.argmin(axis=0)
+    least = score[best, np.arange(len(f))]
+    return np.where(np.isnan(least), np.nan, np.array([*np.array(shifts, dtype=float)[best].T, least]))

@@ -87,3 +87,36 @@ def test_points_of_a_place_are_snapped_once(spark, monkeypatch, cells):
     for (f, i), found in got.items():
         y, x = (5 if i is None else i) % 3 * 9, (5 if i is None else i) % 3 * 13 + 1
         assert found == min((a, b) for g, a, b in spots if g == f and (a - y) ** 2 + (b - x) ** 2 == min((c - y) ** 2 + (d - x) ** 2 for h, c, d in spots if h == f))
+
+
+def test_coarse_search_by_hand_and_without_pixels(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BAND", 1_000)
+    rng = np.random.default_rng(12)
+    ref, cur = rng.random((40, 70)), rng.random((40, 70))
+    rows = [(0, int(y), int(x), float(u), float(v), None if x % 2 else "n") for y, x, u, v in zip(rng.integers(0, 40, 30), rng.integers(0, 20, 30), rng.uniform(-9, 9, 30), rng.uniform(-9, 9, 30))]
+    points = spark.createDataFrame(rows, "frame_id int, y int, x int, u double, v double, name string")
+    fold = lambda c, n: c % (2 * n - 2) if c % (2 * n - 2) < n else 2 * n - 2 - c % (2 * n - 2)
+    disc = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+
+    def unit(v):
+        v = np.array(v) - np.mean(v)
+        return v / np.sqrt((v * v).sum())
+
+    def at(y, x):
+        i, j = int(np.floor(y)), int(np.floor(x))
+        return sum(cur[fold(i + a, 40), fold(j + b, 70)] * (y - i if a else 1 - y + i) * (x - j if b else 1 - x + j) for a in (0, 1) for b in (0, 1))
+
+    def by_hand(y, x, u, v):
+        f = unit([ref[fold(y + a, 40), fold(x + b, 70)] for a, b in disc])
+        tries = [(round(float(((f - unit([at(y + v + sy + a, x + u + sx + b) for a, b in disc])) ** 2).sum()), 9), sx, sy) for sx in (-1, 0, 1) for sy in (-1, 0, 1)]
+        return min(tries)
+
+    got = matching.coarse_search(points, image(spark, ref), image(spark, cur), 2, 40, 70, KEY, KEY, 1).collect()
+    assert len(got) == 30
+    for y, x, u, v, name in (r[1:] for r in rows):
+        score, sx, sy = by_hand(y, x, u, v)
+        assert any((g["y"], g["x"], g["name"]) == (y, x, name) and g["u"] == u + sx and g["v"] == v + sy and abs(g["score"] - score) < 2e-9 for g in got)
+    far = spark.createDataFrame([(0, 20, 10, 0.0, 0.0), (0, 20, 60, 0.25, 0.5)], "frame_id int, y int, x int, u double, v double")
+    lost = image(spark, cur).where("not (y = 20 and x = 62)")
+    got = {g["x"]: g for g in matching.coarse_search(far, image(spark, ref), lost, 2, 40, 70, KEY, KEY, 1).collect()}
+    assert got[10]["score"] is not None and tuple(got[60])[3:] == (0.25, 0.5, None)
