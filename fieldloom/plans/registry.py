@@ -267,7 +267,9 @@ def tracked(s: SparkSession, d: str, n_frames: int, least: float | None) -> Data
     d2 = (F.col("y") - 24) * (F.col("y") - 24) + (F.col("x") - 24) * (F.col("x") - 24)
     seed = grid.groupBy("set").agg(F.min(F.struct(d2.alias("d2"), "y", "x")).alias("m")).select("set", "m.y", "m.x", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("frame_idx"))
     seed = materialise(seed.withColumns({"u": F.col("frame_idx") + 1, "v": 2 * F.col("frame_idx") + 2}), "seeds")
-    return T.track(seed, grid, lambda active, t: scored(active, px.where(F.col("k") == t + 1)), n_frames, 3, ("set",), least=least)
+    # The stand-in reads the pixels below grid points only.
+    below = [materialise(px.where(F.col("k") == t + 1).join(grid.hint("merge"), ["set", "y", "x"], "left_semi"), "below") for t in range(n_frames)]
+    return T.track(seed, grid, lambda active, t: scored(active, below[t]), n_frames, 3, ("set",), least=least)
 
 
 GROWTH = fx.PIXEL + """, im AS MATERIALIZED (SELECT frame_id // 4 AS s4, frame_id % 4 AS k, y, x, val, val::INTEGER AS c FROM px),
