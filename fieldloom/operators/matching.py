@@ -58,6 +58,8 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     each such pair is matched once and the seeds read the answer. Templates are cut
     out once for each place and image, and meet frames in the tiles that they are
     moved to, in lists of a bounded length, so that work is dealt by frame, tile and list.
+    What is found in a batch of tiles is sorted by place and guess: so the same ids
+    come again for each frame, and the result (seeds times frames) packs well where it is written.
     """
     spark = ref.sparkSession
     ship(spark)
@@ -70,11 +72,11 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     fits = (F.col("r2") - F.col("r1") >= LEAST_SIDE) & (F.col("c2") - F.col("c1") >= LEAST_SIDE) & (F.col("s2") - F.col("s1") >= F.col("r2") - F.col("r1")) & (F.col("q2") - F.col("q1") >= F.col("c2") - F.col("c1"))
     box = materialise(box.withColumn("fits", fits), "seeds")
     frames = materialise(cur.select(*group, "frame_id").distinct(), "frames")
-    pair, window = ["y", "x", "ty", "tx"], ["ty", "tx", "s1", "s2", "q1", "q2"]
-    # The windows of a place, by the tile that they are searched in: at most as many as the tile has pixels.
+    pair = ["y", "x", "ty", "tx"]
+    # The windows of a place (their middles), by the tile that they are searched in: at most as many as the tile has pixels.
     tile = lambda c, n: (F.floor(clip(F.col(c), n - 1) / F.lit(TILE)) * TILE).cast("int")
-    sought = box.where("fits").select("r1", "r2", "c1", "c2", "y", "x", *window, tile("ty", h).alias("at_y"), tile("tx", w).alias("at_x")).distinct()
-    windows = materialise(sought.groupBy("y", "x", "r1", "r2", "c1", "c2", "at_y", "at_x").agg(F.flatten(F.collect_list(F.array(*window))).alias("windows")), "windows")
+    sought = box.where("fits").select("r1", "r2", "c1", "c2", "y", "x", "ty", "tx", tile("ty", h).alias("at_y"), tile("tx", w).alias("at_x")).distinct()
+    windows = materialise(sought.groupBy("y", "x", "r1", "r2", "c1", "c2", "at_y", "at_x").agg(F.flatten(F.collect_list(F.array("ty", "tx"))).alias("windows")), "windows")
     places = windows.select("y", "x", "r1", "r2", "c1", "c2").distinct()
     each = places.join(sized(materialise(ref.select(*group).distinct(), "images")), F.lit(True)) if group else places
 
@@ -87,6 +89,12 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
     kinds = {k: cur.schema[k].dataType.simpleString() for k in (*group, "frame_id")}
     blocks = over_tiles(asked, tile_arrays(cur, (*keys, "frame_id"), h, w, r + search), (*keys, "frame_id"), F.col("at_y"), F.col("at_x"))
 
+    def windows_of(middles: np.ndarray) -> np.ndarray:
+        """ty, tx and the ends s1, s2 (rows) and q1, q2 (columns) of each window."""
+        ty, tx = np.asarray(middles, dtype=np.int64).reshape(-1, 2).T
+        ends = [np.clip(c + d, 0, n) for c, n in ((ty, h), (tx, w)) for d in (-r - search, r + search + 1)]
+        return np.array([ty, tx, *ends]).T
+
     def kernel(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tables:
             rows = []
@@ -98,7 +106,7 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
                 for p in block.points:
                     shapes.setdefault((p["r2"] - p["r1"], p["c2"] - p["c1"]), []).append(p)
                 for (th, tw), points in shapes.items():
-                    sought = [np.asarray(p["windows"]).reshape(-1, len(window)) for p in points]
+                    sought = [windows_of(p["windows"]) for p in points]
                     _, _, s1, s2, q1, q2 = np.concatenate(sought).T
                     top, left = int(s1.min()), int(q1.min())
                     seen = image[top - block.y0 : s2.max() - block.y0, left - block.x0 : q2.max() - block.x0]
@@ -108,7 +116,7 @@ def template_match(seeds: DataFrame, ref: DataFrame, cur: DataFrame, r: int, sea
                             part = score[s1 - top : s2 - top - th + 1, q1 - left : q2 - left - tw + 1]
                             row, column = divmod(int(part.argmax()), part.shape[1])
                             rows.append((*held, p["y"], p["x"], ty, tx, float(q1 + column - p["c1"]), float(s1 + row - p["r1"]), float(part[row, column])))
-            yield pd.DataFrame(rows, columns=[*kinds, *pair, "u0", "v0", "score"])
+            yield pd.DataFrame(rows, columns=[*kinds, *pair, "u0", "v0", "score"]).sort_values(pair, kind="stable", ignore_index=True)
 
     shape = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", y int, x int, ty int, tx int, u0 double, v0 double, score double"
     found = blocks.select(*group, "frame_id", "y0", "x0", "width", "cells", "points").mapInPandas(kernel, shape)

@@ -64,6 +64,20 @@ def test_seeds_of_a_place_and_guess_are_matched_once(spark, monkeypatch, zero_me
             assert (u, v, score) == (at[0], at[1], pytest.approx(at[2], abs=2e-9))
 
 
+def test_matches_of_a_place_follow_each_other(spark):
+    """So the ids that read it come again in the same order for each frame, and pack well where they are written."""
+    rng = np.random.default_rng(14)
+    px = image(spark, rng.random((20, 20)), 1)
+    for k in range(2, 9):
+        px = px.unionByName(image(spark, rng.random((20, 20)), k))
+    seeds = spark.createDataFrame([(i, i % 3 * 6 + 3, 10, float(i % 2), 0.0) for i in range(30)], "id int, y int, x int, gu double, gv double")
+    found = matching.template_match(seeds, image(spark, rng.random((20, 20))).drop("frame_id"), px.coalesce(1), 3, 2, 20, 20, True)
+    got = found.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 240
+    spot = [(r["part"], r["id"] % 6) for r in got]
+    assert sum(a != b for a, b in zip(spot, spot[1:])) == len(set(spot)) - 1
+
+
 def test_tiles_of_lines(spark):
     values = np.arange(7 * 50).reshape(7, 50)
     for halo in (0, 3, 60):
