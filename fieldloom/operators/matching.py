@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldloom.operators.discs import disc_sums
-from fieldloom.operators.patches import TILE, folded, over_tiles, readers, tile_arrays
+from fieldloom.operators.patches import TILE, folded, over_tiles, readers, tile_arrays, tile_lines
 from fieldloom.runtime import materialise, ship, sized
 
 
@@ -156,31 +155,65 @@ def subset_quality(grid: DataFrame, ref: DataFrame, r: int, h: int, w: int, keys
     the six parameters, of gradients gx, gy of ``ref`` (keys, y, x, val, gx, gy) over
     sigma. A subset is valid if it has 6 pixels, sigma is at least 1e-12 and all
     pivots of the matrix are positive; logdet is the log of its determinant then.
-    Sums are taken line by line (``disc_sums``), with coordinates from the middle of
-    the image, and then moved to the subset's centre.
+    Images are read as tiles with a halo of r pixels, and the sums of the points of a list are
+    taken together; a pixel that the image lacks takes no part.
     """
-    y, x = F.col("y") - h // 2.0, F.col("x") - w // 2.0
-    product = {"a": F.col("gx") * F.col("gx"), "b": F.col("gx") * F.col("gy"), "c": F.col("gy") * F.col("gy")}
-    monomial = {"1": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
-    sums = {"n": F.lit(1.0), "s": F.col("val"), "ss": F.col("val") * F.col("val")} | {f"{p}_{m}": v * u for p, v in product.items() for m, u in monomial.items()}
-    got = disc_sums(grid.select(*keys, "y", "x").distinct(), ref, sums, r, keys, 0, w - 1)
-    cy, cx = F.col("y") - h // 2.0, F.col("x") - w // 2.0
+    ship(grid.sparkSession)
+    spots = grid.select(*keys, "y", "x").distinct()
+    ref = ref.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(c).cast("double").alias(c) for c in ("val", "gx", "gy")])
+    inside = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n - 1))
+    held = over_tiles(spots, tile_lines(ref, keys, h, w, r, ["val", "gx", "gy"]), keys, inside("y", h), inside("x", w)).select("ty", "tx", "lines", "points")
+    shape = StructType([*spots.schema.fields, *[StructField(c, DoubleType()) for c in SUMS]])
+    columns, side = spots.columns, TILE + 2 * r
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, lines = batch.column("points"), batch.column("lines")
+            flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            y, x = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x"))
+            found = np.empty((len(SUMS), len(flat)))
+            for i, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                y0, x0 = (batch.column(c)[i].as_py() * TILE - r for c in ("ty", "tx"))
+                line = lines[i].values.field("cells")
+                pixel = line.flatten()
+                at = np.repeat(lines[i].values.field("y").to_numpy(zero_copy_only=False), pc.list_value_length(line).to_numpy(zero_copy_only=False)) - y0, pixel.field("x").to_numpy(zero_copy_only=False) - x0
+                image = np.zeros((4, side, side))
+                image[(0, *at)] = 1.0
+                for k, c in enumerate(("val", "gx", "gy"), 1):
+                    image[(k, *at)] = pixel.field(c).fill_null(0.0).to_numpy(zero_copy_only=False)
+                found[:, start:end] = subset_sums(image, y[start:end] - y0, x[start:end] - x0, r)
+            yield pa.RecordBatch.from_arrays([*[flat.field(c) for c in columns], *map(pa.array, found)], names=[*columns, *SUMS])
+
+    got = held.mapInArrow(kernel, shape).where("n > 0")
     square = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
     over = F.when((F.col("n") >= 6) & (square >= 1e-24), square)
-
-    def moved(p: str, m: str) -> Column:
-        at = lambda k: F.col(f"{p}_{k}")
-        return {
-            "1": at("1"), "x": at("x") - cx * at("1"), "y": at("y") - cy * at("1"),
-            "xx": at("xx") - 2 * cx * at("x") + cx * cx * at("1"), "yy": at("yy") - 2 * cy * at("y") + cy * cy * at("1"),
-            "xy": at("xy") - cx * at("y") - cy * at("x") + cx * cy * at("1"),
-        }[m]
-
-    rows = with_pivots(got.select(*keys, "y", "x", F.col("n").cast("long").alias("n_px"), F.sqrt(square).alias("sigma"), *[(moved(*k) / over).alias(f"h{e}") for e, k in NORMAL.items()]))
+    rows = with_pivots(got.select(*keys, "y", "x", F.col("n").cast("long").alias("n_px"), F.sqrt(square).alias("sigma"), *[(F.col(f"{p}_{m}") / over).alias(f"h{e}") for e, (p, m) in NORMAL.items()]))
     logdet = sum((F.log(f"p{k}") for k in range(1, 6)), F.log("p0"))
     return rows.select(*keys, "y", "x", "n_px", "sigma", *[f"h{e}" for e in NORMAL], logdet.alias("logdet"), logdet.isNotNull().alias("valid"))
 
 
+#: Sums over a subset: pixels, values, squares, and the products of gradients times the monomials of the offsets.
+MONOMIALS = ("1", "x", "y", "xx", "xy", "yy")
+SUMS = ("n", "s", "ss", *[f"{p}_{m}" for p in "abc" for m in MONOMIALS])
+
+
+def subset_sums(image: np.ndarray, y: np.ndarray, x: np.ndarray, r: int) -> np.ndarray:
+    """``SUMS`` of the discs of radius r around the points, of an image of four layers: 1 where a pixel is, val, gx and gy (else 0)."""
+    side = np.arange(-r, r + 1.0)
+    dy, dx = (d[side[:, None] ** 2 + side**2 <= r * r] for d in np.meshgrid(side, side, indexing="ij"))
+    monomials = np.array([np.ones(len(dx)), dx, dy, dx * dx, dx * dy, dy * dy]).T
+    _, height, width = image.shape
+    cells = np.concatenate([image.reshape(4, -1), np.zeros((4, 1))], axis=1)
+    out, step = np.empty((len(SUMS), len(y))), max(1, BAND // (4 * len(dx)))
+    for k in range(0, len(y), step):
+        ys, xs = y[k : k + step, None] + dy.astype(int), x[k : k + step, None] + dx.astype(int)
+        on = (ys >= 0) & (ys < height) & (xs >= 0) & (xs < width)
+        n, val, gx, gy = cells[:, np.where(on, ys * width + xs, height * width)]
+        out[:3, k : k + step] = n.sum(axis=1), val.sum(axis=1), (val * val).sum(axis=1)
+        out[3:, k : k + step] = np.concatenate([(product @ monomials).T for product in (gx * gx, gx * gy, gy * gy)])
+    return out
+
+
 def coarse_search(points: DataFrame, ref: DataFrame, cur: DataFrame, r: int, h: int, w: int, ref_keys: tuple[str, ...], keys: tuple[str, ...], search: int = 3) -> DataFrame:
     """``points`` (keys, y, x, u, v, ...) with u and v moved by the whole shift of at most ``search`` pixels whose score is least, and that score.
 

@@ -148,3 +148,45 @@ def test_lines_are_filtered_together():
             for k in range(148, -1, -1):
                 line[k] = (line[k + 1] - line[k]) * z
     assert np.allclose(splines.recursed(values), want, atol=1e-12)
+
+
+def test_image_gradient_filters_each_line_once(spark):
+    h, w = 37, 70
+    values = np.random.default_rng(15).normal(size=(h, w))
+    whole = splines.image_gradient(splines.coefficients(image(spark, values, 3), h, w), h, w)
+    got = {(r["y"], r["x"]): (r["gx"], r["gy"]) for r in whole.collect()}
+    assert len(got) == h * w
+    coeff = np.zeros((h, w))
+    for r in splines.coefficients(image(spark, values, 3), h, w).collect():
+        coeff[r["y"], r["x"]] = r["val"]
+    pad, (value, slope) = np.pad(coeff, 3, mode="reflect"), splines.kernels()
+    for (y, x), found in got.items():
+        near = pad[y : y + 7, x : x + 7]
+        assert found == pytest.approx((np.dot(value, near @ slope), np.dot(slope, near @ value)), abs=1e-9)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3
+
+
+def test_subsets_of_an_image_with_holes(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BAND", 2_000)
+    rng, h, w, r = np.random.default_rng(16), 40, 45, 4
+    layers, there = rng.random((3, h, w)), rng.random((h, w)) < 0.8
+    there[10] = False
+    rows = [(0, y, x, *map(float, layers[:, y, x])) for y in range(h) for x in range(w) if there[y, x]]
+    ref = spark.createDataFrame(rows, "frame_id int, y int, x int, val double, gx double, gy double")
+    spots = [(y, x) for y in range(-3, h + 3, 3) for x in range(-2, w + 3, 4)]
+    got = {(g["y"], g["x"]): g for g in matching.subset_quality(spark.createDataFrame([(0, *s) for s in spots], "frame_id int, y int, x int"), ref, r, h, w).collect()}
+    ys, xs = np.mgrid[0:h, 0:w]
+    for y, x in spots:
+        on = there & ((ys - y) ** 2 + (xs - x) ** 2 <= r * r)
+        if not on.any():
+            assert (y, x) not in got
+            continue
+        g, f = got.pop((y, x)), layers[0][on]
+        sigma = np.sqrt(((f - f.mean()) ** 2).sum())
+        assert (g["n_px"], g["sigma"]) == (on.sum(), pytest.approx(sigma, abs=1e-7))
+        if on.sum() >= 6:
+            gx, gy, dx, dy = layers[1][on], layers[2][on], xs[on] - x, ys[on] - y
+            sd = np.column_stack([gx, gy, gx * dx, gx * dy, gy * dx, gy * dy]) / sigma
+            assert all(g[f"h{i}{j}"] == pytest.approx((sd.T @ sd)[i, j]) for i in range(6) for j in range(i, 6))
+    assert not got
