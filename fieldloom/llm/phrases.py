@@ -8,14 +8,16 @@ where the phrase without its first word is frequent as well (Apriori). The
 candidates that occur, and whose occurrences in all tasks can add up to ``least``,
 are dealt into tries of at most ``shard`` transitions. A trie is a double array: the ``base`` of a state and of the upper bits of
 the word's code, plus the lower bits, is the place of the next state, whose ``check`` names where it comes from.
-Tries are broadcast in groups of at most ``group`` transitions. Numpy
-advances all places of a row at once, counts the accepting states by bincount,
-and the counts of the tasks are summed trie by trie. Frequent candidates give the
+Tries are broadcast in groups of at most ``group`` transitions. A worker keeps what it
+has got in files that it maps into its memory, so that it has all groups at hand and
+the codes are read once for all of them. Numpy
+advances all places of a row at once, the accepting states are counted as they
+gather, and the counts of the tasks are summed trie by trie. Frequent candidates give the
 states of the next level.
 
-So memory is bounded by ``shard``, ``group`` and the longest text at any size of
-the corpus; what grows is the number of groups, each of which reads the codes
-once more. Every level counts all texts, and drops only what cannot reach
+So memory is bounded by ``shard``, ``group``, ``seen`` and the longest text at any size of
+the corpus; what grows is the number of groups, which take local disk (of each worker). Every
+level counts all texts, and drops only what cannot reach
 ``least``. Words are told apart by a 64-bit hash; where two share one, the hash is
 seeded anew.
 
@@ -26,13 +28,16 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +46,8 @@ from fieldloom.runtime import BROADCAST_CELLS, discard, materialise, sized
 from fieldloom.sources.frames import ranked
 
 LONGEST, LEAST, SHADOW, TOP = 3, 10, 50, 2000
-#: Transitions of a trie, transitions that are broadcast at once; words and candidates that a task gathers before it passes them on; bytes of text that are cut at once.
-SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 20, 1 << 17, 1 << 21, 1 << 20
+#: Transitions of a trie, transitions of a broadcast; words and candidates that a task gathers before it passes them on; bytes of text that are cut at once.
+SHARD, GROUP, WORDS, SEEN, TEXT = 1 << 18, 1 << 20, 1 << 17, 1 << 20, 1 << 20
 #: Bits of a word's code that are a trie's symbol (the others go with the state, so that an array of few symbols stays dense); bases tried for a state.
 SYMBOL, TRIED = 8, 8
 #: Stands between pieces; no byte of UTF-8.
@@ -120,37 +125,58 @@ def chunks_of(table: DataFrame, order: str, size: int) -> Iterator[pa.Table]:
         yield table.where(F.col(order).between(a, a + size - 1)).toArrow()
 
 
+class Mapped(list):
+    """(low, first, arrays by name), in the order of low; where they are unpickled, the arrays lie in a mapped file (``mapped``)."""
+
+    def __reduce__(self) -> tuple:
+        return mapped, (list(self),)
+
+
+def mapped(parts: list[tuple[int, int, dict[str, np.ndarray]]]) -> Mapped:
+    """The parts, with their arrays in a file without a name, which goes with them; only the pages in use take memory, and none of the process's own."""
+    with tempfile.TemporaryFile() as f:
+        for a in (a for _, _, arrays in parts for a in arrays.values()):
+            f.write(a)
+            f.write(bytes(-a.nbytes % 8))
+        f.flush()
+        held, at, out = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0, Mapped()
+    for low, first, arrays in parts:
+        views = {}
+        for name, a in arrays.items():
+            views[name] = np.frombuffer(held, a.dtype, len(a), at)
+            at += a.nbytes + -a.nbytes % 8
+        out.append((low, first, views))
+    return out
+
+
+def opened(shared: list[Broadcast]) -> list[tuple[int, int, dict[str, np.ndarray]]]:
+    return [part for s in shared for part in s.value]
+
+
 def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """codes (int32): the rows (seq, table) with the codes of the frequent ``words`` (hash, code), 0 for others; written. Words are broadcast GROUP at a time."""
-    schema = pa.schema([("seq", pa.binary()), ("table", pa.binary()), ("known", pa.binary())])
-    now = blocks.select("seq", "table", F.lit(None).cast("binary").alias("known"))
-    for turn, part in enumerate(chunks_of(words.select((F.col("code") - 1).alias("at"), "hash", "code"), "at", GROUP)):
-        if turn:  # so that no more than one group is held at a time
-            now, before = materialise(now, "known"), now
-            discard(before)
-        part = part.sort_by("hash")
-        shared = blocks.sparkSession.sparkContext.broadcast((part.column("hash").to_numpy(), part.column("code").to_numpy()))
-
-        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, numbers = shared.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    seq, table, old = (batch.column(j)[i].as_py() for j in range(3))
-                    held = np.frombuffer(table, np.int64)
-                    at = np.minimum(np.searchsorted(hashes, held), len(hashes) - 1)
-                    new = np.where(hashes[at] == held, numbers[at], 0 if old is None else np.frombuffer(old, np.int32)).astype(np.int32)
-                    yield record(schema, [seq], [table], [new.tobytes()])
-
-        now = map_arrow(now, kernel, "seq binary, table binary, known binary")
-    schema_out = pa.schema([("codes", pa.binary())])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """codes (int32): the rows (seq, table) with the codes of the frequent ``words`` (hash, code: from 1, in the order of hashes), 0 for others; written. Words are broadcast GROUP at a time."""
+    schema = pa.schema([("codes", pa.binary())])
+    shared = []
+    for part in chunks_of(words.select((F.col("code") - 1).alias("at"), "hash", "code"), "at", GROUP):
+        hashes = np.sort(part.column("hash").to_numpy())
+        shared.append(blocks.sparkSession.sparkContext.broadcast(Mapped([(int(hashes[0]), part.column("code").to_numpy().min(), {"hashes": hashes})])))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = [(first, arrays["hashes"]) for _, first, arrays in opened(shared)]
         for batch in batches:
             for i in range(batch.num_rows):
-                seq, known = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                yield record(schema_out, [np.frombuffer(known, np.int32)[np.frombuffer(seq, np.int32)].tobytes()])
-
-    return materialise(map_arrow(now, placed, "codes binary"), "codes")
+                seq, table = (np.frombuffer(batch.column(j)[i].as_py(), kind) for j, kind in enumerate((np.int32, np.int64)))
+                known = np.zeros(len(table), dtype=np.int32)
+                for first, hashes in frequent:
+                    at = np.minimum(np.searchsorted(hashes, table), len(hashes) - 1)
+                    found = np.flatnonzero(hashes[at] == table)
+                    known[found] = first + at[found]
+                yield record(schema, [known[seq].tobytes()])
+
+    out = materialise(map_arrow(blocks.select("seq", "table"), kernel, "codes binary"), "codes", wide=True)
+    for s in shared:
+        s.destroy()
+    return out
 
 
 def extensions(state: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,39 +188,57 @@ def extensions(state: np.ndarray, codes: np.ndarray, level: int) -> tuple[np.nda
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and the sums of their n."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")  # quick on sorted runs
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else n.astype(np.int64)
+
+
+def gathered(pieces: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct numbers of the pieces, sorted, and how often each stands there; time and again, before more than SEEN (of one piece at least) come together."""
+    held, size = [], 0
+
+    def passed() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal held
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+        return summed(keys, n)
+
+    for piece in pieces:
+        got = np.unique(piece, return_counts=True)
+        if held and size + len(got[0]) > SEEN:
+            yield passed()
+            size = 0
+        held.append(got)
+        size += len(got[0])
+    if held:
+        yield passed()
 
 
 def observed(rows: DataFrame, level: int) -> DataFrame:
     """key (state << 32 | word) and n (times that a task has seen it) of every candidate that occurs; written."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-    def passed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, n = summed(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held]))
-        for a in range(0, len(keys), 1 << 16):
-            yield record(schema, keys[a : a + (1 << 16)], n[a : a + (1 << 16)])
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
-                p, q = extensions(state, codes, level)
-                on = q > 0
-                held.append(np.unique(p[on].astype(np.int64) << 32 | q[on], return_counts=True))
-                size += len(held[-1][0])
-                if size > SEEN:
-                    yield from passed(held)
-                    held, size = [], 0
-        if held:
-            yield from passed(held)
+        for keys, n in gathered(candidates(batches, level)):
+            for a in range(0, len(keys), 1 << 16):
+                yield record(schema, keys[a : a + (1 << 16)], n[a : a + (1 << 16)])
 
     return materialise(map_arrow(rows, kernel, "key long, n long"), "observed")
 
 
+def candidates(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[np.ndarray]:
+    """The keys (state << 32 | word) of each row (state, codes), place by place."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
+            p, q = extensions(state, codes, level)
+            on = q > 0
+            yield p[on].astype(np.int64) << 32 | q[on]
+
+
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """The double array of sorted keys: parents (a key without its last SYMBOL bits), base of each parent, and check (parent's number from 1) of each place.
+    """The double array of sorted keys: parents (a key without its last SYMBOL bits), base of each parent, and check (parent's number from 1) and rank (of the key among all) of each place.
 
     Parents with many symbols are placed first, where a few tried bases allow, else
     behind all others; those with one symbol then take the places left.
@@ -225,7 +269,9 @@ def build(keys: np.ndarray) -> dict[str, np.ndarray]:
     at = base[owner] + w
     check = np.zeros(int(at.max()) + 1, dtype=np.int32)
     check[at] = owner + 1
-    return {"parents": parents, "base": base, "check": check}
+    rank = np.zeros(len(check), dtype=np.int32)
+    rank[at] = np.arange(len(keys))
+    return {"parents": parents, "base": base, "check": check, "rank": rank}
 
 
 def keys_at(trie: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -257,7 +303,7 @@ def advance(tries: list[tuple[int, int, dict[str, np.ndarray]]], keys: np.ndarra
 
 
 #: The arrays of a trie, and the types of their numbers.
-ARRAYS = {"parents": np.int64, "base": np.int32, "check": np.int32}
+ARRAYS = {"parents": np.int64, "base": np.int32, "check": np.int32, "rank": np.int32}
 
 
 def built(keys: DataFrame, least: int) -> DataFrame:
@@ -298,8 +344,8 @@ def built(keys: DataFrame, least: int) -> DataFrame:
     return materialise(map_arrow(rows, kernel, "low long, first long, size long, " + ", ".join(f"{a} binary" for a in ARRAYS)), "tries")
 
 
-def tries(keys: DataFrame, least: int) -> Iterator:
-    """Broadcast lists of (first key, its rn, trie) in the order of keys, GROUP transitions at a time or one trie, from the written ``keys``."""
+def tries(keys: DataFrame, least: int) -> list[Broadcast]:
+    """Broadcasts of lists (first key, its rn, trie) in the order of keys, each of GROUP transitions or one trie, from the written ``keys``; the caller destroys them."""
     held = built(keys, least)
     groups, size = [[]], 0
     for r in held.select("low", "size").orderBy("low").collect():  # two numbers for each trie
@@ -308,90 +354,81 @@ def tries(keys: DataFrame, least: int) -> Iterator:
             size = 0
         groups[-1].append(r["low"])
         size += r["size"]
+    shared = []
     for lows in filter(None, groups):
         rows = held.where(F.col("low").between(lows[0], lows[-1])).orderBy("low").toArrow()
-        array = lambda a, i: np.frombuffer(rows.column(a)[i].as_py(), ARRAYS[a])  # noqa: B023, E731
-        shared = keys.sparkSession.sparkContext.broadcast([(rows.column("low")[i].as_py(), rows.column("first")[i].as_py(), {a: array(a, i) for a in ARRAYS}) for i in range(rows.num_rows)])
-        del rows
-        yield shared
-        shared.destroy()
+        array = lambda a, i: np.frombuffer(rows.column(a)[i].as_buffer(), ARRAYS[a])  # noqa: B023, E731
+        shared.append(keys.sparkSession.sparkContext.broadcast(Mapped((rows.column("low")[i].as_py(), rows.column("first")[i].as_py(), {a: array(a, i) for a in ARRAYS}) for i in range(rows.num_rows))))
     discard(held)
+    return shared
 
 
-def counted(rows: DataFrame, keys: DataFrame, level: int, least: int) -> DataFrame:
-    """key, f of the candidates ``keys`` in the rows (state, codes); written."""
-    schema = pa.schema([("shard", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
+def counted(rows: DataFrame, keys: DataFrame, level: int, least: int) -> DataFrame | None:
+    """key, f of the candidates ``keys`` in the rows (state, codes), None where there is no candidate; written."""
+    schema = pa.schema([("shard", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
     sums = pa.schema([("key", pa.int64()), ("f", pa.int64())])
-    out = None
-    for shared in tries(keys, least):
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            total = [np.zeros(len(t["check"]), dtype=np.int32) for _, _, t in held]
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    state, codes = (np.frombuffer(batch.column(j)[i].as_py(), np.int32) for j in (0, 1))
-                    p, q = extensions(state, codes, level)
-                    on = np.flatnonzero(q)
-                    for k, _, to in advance(held, p[on].astype(np.int64) << 32 | q[on]):
-                        got = np.bincount(to)
-                        total[k][: len(got)] += got.astype(np.int32)
-            for k, (shard, _, _) in enumerate(held):
-                at = np.flatnonzero(total[k])
-                if len(at):
-                    yield record(schema, [shard], [at.astype(np.int32).tobytes()], [total[k][at].astype(np.int64).tobytes()])
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held, now, total = {i: t for i, _, t in shared.value}, None, None
-
-            def done() -> pa.RecordBatch:
-                at = np.flatnonzero(total)
-                return record(sums, keys_at(held[now], at), total[at])
-
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = batch.column(0)[i].as_py()
-                    if shard != now:
-                        if now is not None:
-                            yield done()
-                        now, total = shard, np.zeros(len(held[shard]["check"]), dtype=np.int64)
-                    total[np.frombuffer(batch.column(1)[i].as_py(), np.int32)] += np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-            if now is not None:
-                yield done()
-
-        parts = map_arrow(rows, count, "shard long, at binary, n binary").repartition("shard").sortWithinPartitions("shard")
-        part = materialise(map_arrow(parts, add, "key long, f long"), "counts")
-        out = part if out is None else out.unionByName(part)
+    shared = tries(keys, least)
+    if not shared:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = opened(shared)
+        starts = np.cumsum([0, *[len(t["check"]) for _, _, t in held]])  # the places of all tries in a row
+        accepted = (np.concatenate([starts[k] + to for k, _, to in advance(held, asked)] or [starts[:0]]) for asked in candidates(batches, level))
+        for at, n in gathered(accepted):
+            cuts = np.searchsorted(at, starts)
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = slice(cuts[k], cuts[k + 1])
+                yield record(schema, [k], [(at[mine] - starts[k]).astype(np.int32).tobytes()], [n[mine].tobytes()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, total = opened(shared), None, None
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return record(sums, keys_at(held[now][2], at), total[at])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column(0)[i].as_py()
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, total = shard, np.zeros(len(held[shard][2]["check"]), dtype=np.int64)
+                total[np.frombuffer(batch.column(1)[i].as_py(), np.int32)] += np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+        if now is not None:
+            yield done()
+
+    parts = map_arrow(rows, count, "shard int, at binary, n binary").repartition("shard").sortWithinPartitions("shard")
+    out = materialise(map_arrow(parts, add, "key long, f long"), "counts")
+    for s in shared:
+        s.destroy()
     return out
 
 
 def marked(rows: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """The rows (state, codes) with the states of ``level``: the numbers (rn + 1) of the frequent ``keys``; written."""
-    schema = pa.schema([("old", pa.binary()), ("codes", pa.binary()), ("new", pa.binary())])
-    now = rows.select(F.col("state").alias("old"), "codes", F.lit(None).cast("binary").alias("new"))
-    for shared in tries(keys.withColumn("n", F.col("f")), 0):
-
-        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            # Keys are numbered in their order: a place's number is its rank among its trie's, after those before.
-            numbers = []
-            for _, first, trie in shared.value:
-                at = np.flatnonzero(trie["check"])
-                number = np.zeros(len(trie["check"]), dtype=np.int32)
-                number[at[np.argsort(keys_at(trie, at))]] = np.arange(first, first + len(at)) + 1
-                numbers.append(number)
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    old, codes, new = (batch.column(j)[i].as_py() for j in range(3))
-                    p, q = extensions(np.frombuffer(old, np.int32), np.frombuffer(codes, np.int32), level)
-                    state = np.zeros(len(codes) // 4, dtype=np.int32) if new is None else np.frombuffer(new, np.int32).copy()
-                    on = np.flatnonzero(q)
-                    for k, sel, to in advance(shared.value, p[on].astype(np.int64) << 32 | q[on]):
-                        state[on[sel]] = numbers[k][to]
-                    yield record(schema, [old], [codes], [state.tobytes()])
-
-        now, before = materialise(map_arrow(now, kernel, "old binary, codes binary, new binary"), "states"), now
-        discard(before)
-    return now.select(F.coalesce("new", "old").alias("state"), "codes")
+    schema = pa.schema([("state", pa.binary()), ("codes", pa.binary())])
+    shared = tries(keys.withColumn("n", F.col("f")), 0)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = opened(shared)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                old, codes = (batch.column(j)[i].as_py() for j in (0, 1))
+                p, q = extensions(np.frombuffer(old, np.int32), np.frombuffer(codes, np.int32), level)
+                state = np.zeros(len(codes) // 4, dtype=np.int32)
+                on = np.flatnonzero(q)
+                # Keys are numbered in their order: a place's number is its rank among its trie's, after those before.
+                for k, sel, to in advance(held, p[on].astype(np.int64) << 32 | q[on]):
+                    _, first, trie = held[k]
+                    state[on[sel]] = first + trie["rank"][to] + 1
+                yield record(schema, [state.tobytes()], [codes])
+
+    out = materialise(map_arrow(rows, kernel, "state binary, codes binary"), "states", wide=True)
+    for s in shared:
+        s.destroy()
+    return out
 
 
 def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -400,7 +437,7 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     docs = narrow(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     seed = 0
     while True:
-        blocks = materialise(cut(docs, seed), "blocks")
+        blocks = materialise(cut(docs, seed), "blocks", wide=True)
         every = blocks.where("words is not null").select("lang", F.inline(F.arrays_zip("words", "hashes", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.first("hashes").alias("hash"), F.sum("counts").alias("f"))
         every = materialise(every, "words")
         if every.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").isEmpty():
@@ -415,7 +452,7 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
         return words, words.select(F.array("code").alias("codes"), "f")
     codes = coded(blocks.where("seq is not null").select("seq", "table"), words)
     discard(blocks, every)
-    rows = codes.select(F.col("codes").alias("state"), "codes")
+    rows, written = codes.select(F.col("codes").alias("state"), "codes"), codes
     levels = [words.select(F.col("code").alias("id"), F.array("code").alias("codes"), "f")]
     for level in range(2, longest + 1):
         keys = observed(rows, level)
@@ -429,6 +466,8 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
         discard(keys)
         if level < longest:
             rows = marked(rows, found, level)
+            discard(written)
+            written = rows
     parts = levels[0].select("codes", "f")
     for level in levels[1:]:
         parts = parts.unionByName(level.select("codes", "f"))

@@ -15,6 +15,8 @@ ROOT = Path(__file__).resolve().parent.parent
 BROADCAST_CELLS = 250_000
 #: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
 BATCH_BYTES = 4 << 20
+#: Rows of a row group where rows hold 100 KB and more. Sizes are looked at from the 100th row on, and a reader unpacks a row group's rows at once.
+WIDE = {"parquet.block.row.count.limit": 16}
 #: Folders written so far, by context.
 _WRITTEN: dict[int, list[str]] = {}
 
@@ -43,14 +45,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; ``wide`` rows in small row groups (``WIDE``).
 
     This cuts the lineage, survives lost executors and gives later joins true
     sizes.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**WIDE if wide else {}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fieldloom_path = path
     return out

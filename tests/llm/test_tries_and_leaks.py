@@ -1,16 +1,21 @@
 """Conversation tries, phrases and benchmark windows against brute force, with odd input."""
 
 import hashlib
+import mmap
+import pickle
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, phrases, prefixtrie
+from fieldloom.runtime import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CONVS = "conv_id long, turn long, role string, text string"
@@ -146,6 +151,51 @@ def test_phrases_of_none(spark):
     assert phrases.mine(spark.createDataFrame([(1, "a b c", "en", "s", 5)], DOCS)).count() == 0
 
 
+def test_phrases_pass_once_over_the_texts(spark, monkeypatch):
+    """However many groups of words and tries are broadcast, a level's tables of the texts are written once, in small row groups."""
+    monkeypatch.setattr(phrases, "GROUP", 3)
+    written, groups, write, tries = [], [], phrases.materialise, phrases.tries
+    monkeypatch.setattr(phrases, "materialise", lambda df, name, **more: written.append((name, more)) or write(df, name, **more))
+    monkeypatch.setattr(phrases, "tries", lambda *a: groups.append(tries(*a)) or groups[-1])
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(5)
+        rows = [(" ".join(rng.choice("abcdefgh") for _ in range(50)), "en") for _ in range(40)]
+        table = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(rows)], DOCS)
+        assert {tuple(r) for r in phrases.mine(table).collect()} == phrases_by_hand(rows, 3, 10, 50, 2000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert all(len(g) > 1 for g in groups[:2])  # the tries that count and those that mark level 2
+    assert [x for x in written if x[1]] == [(name, {"wide": True}) for name in ("blocks", "codes", "states")]
+    assert [x for x, _ in written if x in ("known", "codes", "states", "counts")] == ["codes", "counts", "states", "counts"]
+
+
+def test_wide_rows_in_small_groups(spark):
+    path = materialise(spark.range(100).coalesce(1), "wide", wide=True)._fieldloom_path.removeprefix("file://")
+    found = [pq.ParquetFile(p).metadata for p in Path(path).glob("*.parquet")]
+    assert sum(m.num_rows for m in found) == 100 and all(m.row_group(i).num_rows <= 16 for m in found for i in range(m.num_row_groups))
+
+
+def test_broadcast_tries_are_mapped():
+    """What a worker unpickles doesn't lie in its own memory."""
+    tries = [(k, 0, phrases.build(np.arange(k, k + n))) for k, n in ((0, 1), (7, 3), (300, 301))]
+    got = pickle.loads(pickle.dumps(phrases.Mapped(tries)))
+    assert [x[:2] for x in got] == [x[:2] for x in tries]
+    for (_, _, old), (_, _, new) in zip(tries, got, strict=True):
+        assert old.keys() == new.keys() and all(np.array_equal(old[a], new[a]) and old[a].dtype == new[a].dtype for a in old)
+        assert all(isinstance(a.base.obj if isinstance(a.base, memoryview) else a.base, mmap.mmap) for a in new.values())
+
+
+def test_gathered_in_parts(monkeypatch):
+    monkeypatch.setattr(phrases, "SEEN", 10)
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(0, 30, n) for n in (0, 5, 40, 3, 0, 9, 9)]
+    got = list(phrases.gathered(pieces))
+    assert len(got) > 1 and all((np.diff(keys) > 0).all() and n.dtype == np.int64 for keys, n in got)
+    assert sum((Counter(dict(zip(keys.tolist(), n.tolist(), strict=True))) for keys, n in got), Counter()) == Counter(np.concatenate(pieces).tolist())
+
+
 def test_double_array():
     rng = np.random.default_rng(2)
     for n in (1, 5, 300, 4000):
